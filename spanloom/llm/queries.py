@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import boilerplate, pieces, residue, stuffing, tokens
+from spanloom.llm import boilerplate, mojibake, pieces, residue, stuffing, tokens
 from spanloom.sources.tables import table
 
 RECORD = ["case_id", "document_id"]
@@ -30,6 +30,25 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.find_residue(_pages(spark, d), RECORD)
 
 
+def _garbled(spark: SparkSession, d: str) -> DataFrame:
+    """``field_name, case_id, document_id, restored`` of all affected values of both fields, copies included."""
+    texts = table(spark, d, "case_documents").select(*RECORD, F.col("text").alias("value"))
+    listed = table(spark, d, "catalog").select("case_id", F.explode("documents").alias("x"))
+    titles = listed.select("case_id", F.col("x.id").alias("document_id"), F.col("x.title").alias("value"))
+    stats = mojibake.associations(texts.select("value").unionByName(titles.select("value")), "value")
+    found = [mojibake.repair_values(v, RECORD, "value", stats, cut).withColumn("field_name", F.lit(n)) for n, v, cut in (("text", texts, True), ("title", titles, False))]
+    return found[0].unionByName(found[1])
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _garbled(spark, d).select("field_name", *RECORD).distinct()
+
+
+def p4_restored(spark: SparkSession, d: str) -> DataFrame:
+    """The affected values with the original text, null where bytes were lost."""
+    return _garbled(spark, d).groupBy("field_name", *RECORD).agg(F.first("restored").alias("restored"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     documents = table(spark, d, "case_documents").select(*RECORD, "layout", "text")
     found = pieces.split_oversized(documents, table(spark, d, "piece_limits"), RECORD, with_text=False)
@@ -63,7 +82,7 @@ def p10_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_main, p2_found, p5_found, p5_pieces, p8_ids, p8_offsets, p10_found, p10_report)
+    f.__name__: f for f in (p1_found, p1_main, p2_found, p4_found, p4_restored, p5_found, p5_pieces, p8_ids, p8_offsets, p10_found, p10_report)
 }
 
 ORACLE_SQL = {
