@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -108,6 +109,11 @@ def furniture_kind(line: str) -> str | None:
     return None
 
 
+@functools.lru_cache(maxsize=65_536)
+def kind_of(line: str) -> str | None:
+    return furniture_kind(line)
+
+
 _TOKEN = re.compile(r"[^\W\d_][\w’'-]*|\d[\d.,  ]*|[·:–—|?!/,-]")
 
 

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.lines import FURNITURE_PATTERN, bare_title, furniture_kind, key_of
+from spanloom.llm.lines import KEY_CHARS, bare_title, key_of, kind_of
 
 #: A body of at most so many characters, after furniture, says little.
 LOW_INFORMATION = 320
@@ -33,6 +33,7 @@ _FIELD = re.compile(
     r"|<(?:[a-z]+(?:[_.][a-z]+)+|[A-Z]+(?:[_.][A-Z]+)+|title|headline|lead|summary|claim|region|author|date|TITLE|HEADLINE|LEAD|SUMMARY|CLAIM|REGION|AUTHOR|DATE)>(?!.*</)"
 )
 _FIELD_HINT = re.compile(r"\{[{%]|[#$]\{|<[%A-Za-z]|%%|@@|__|\[[A-Za-z\[]|\(\(|\*\|")
+_FIELD_SIGNS = ("{", "%", "@@", "__", "[", "((", "<", "*|")
 _VALUE = re.compile(r"\[object \w+\]|\bInvalid Date\b|\bNaN\b|\(null\)|\bundefined\b|(?<![\w-])null(?! and void\b)(?![\w-])|\bNullPointerException\b")
 _VALUE_HINT = ("[object", "Invalid Date", "NaN", "null", "undefined", "NullPointer")
 #: What stands right before a field that a sentence names or quotes instead of showing it.
@@ -129,8 +130,8 @@ def shows_residue(text: str, title: str | None, publisher: str | None = None) ->
         for t in {title.strip(), bare_title(title, publisher)}:
             if _TITLES.match(t) or shows_message(t) or shows_field(t):
                 return True
-    fields = _FIELD_HINT.search(text) or any(h in text for h in _VALUE_HINT)
-    filler = any(h in text for h in _FILLER_SIGNS)
+    fields = any([h in text for h in _FIELD_SIGNS]) or any([h in text for h in _VALUE_HINT])
+    filler = any([h in text for h in _FILLER_SIGNS])
     for line in text.split("\n"):
         n = len(line)
         if n > 2 and (fields and shows_field(line) or (filler and shows_message(line)) or (n <= MESSAGE_CHARS and _may_begin(line) and _message(line))):
@@ -156,14 +157,14 @@ def core_signature(text: str, title: str | None, url: str | None, publisher: str
     core, size = [], 0
     for line in text.split("\n"):
         s = line.strip()
-        if not s or furniture_kind(s) in ("furniture", "head") or FURNITURE_PATTERN.match(s.lower()):
+        if not s or len(s) <= KEY_CHARS and kind_of(s) in ("furniture", "head"):
             continue
+        if size + len(s) > LOW_INFORMATION:
+            return None
         key = key_of(s, publisher)
         if key in learned:
             continue
         size += len(s)
-        if size > LOW_INFORMATION:
-            return None
         core.append(key)
     body = "\n".join(core)
     words = set(_WORDS.findall(body))
