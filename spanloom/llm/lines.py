@@ -77,6 +77,11 @@ SUBHEAD_PATTERN = re.compile(r"(?i)^(?:how the .{2,60} works|numbers behind .{2,
 _MENU_SPLIT = re.compile(r"\s{2,}|\s*[|/>›»·]\s*|\t")
 
 
+#: The same with characters outside ASCII as blanks, which is what wrong decoding leaves alike.
+_NOT_ASCII = re.compile(r"\s*[^\x00-\x7f]+\s*")
+_PLAIN_FURNITURE, _PLAIN_HEADS = (frozenset(y for x in s if not x.isascii() and len(y := _NOT_ASCII.sub(" ", x).strip()) >= 5) for s in (FURNITURE, HEADS))
+
+
 def key_of(line: str, publisher: str | None) -> str:
     """What lines that repeat have in common: numbers as 0, the page's own publisher as <p>, white space as one blank."""
     out = " ".join(line.split())
@@ -103,6 +108,12 @@ def furniture_kind(line: str) -> str | None:
         return "head" if low.startswith("more from ") else "furniture"
     if low in HEADS:
         return "head"
+    if not low.isascii():
+        plain = _NOT_ASCII.sub(" ", low).strip()
+        if plain in _PLAIN_FURNITURE:
+            return "furniture"
+        if plain in _PLAIN_HEADS:
+            return "head"
     before, colon, after = low.replace(":", ":").partition(":")
     if colon and after.strip() and before in HEADS:
         return "furniture"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import boilerplate, mojibake, pieces, residue, stuffing, tokens
+from spanloom.llm import boilerplate, mojibake, pieces, residue, stuffing, tokens, truncation
 from spanloom.sources.tables import table
 
 RECORD = ["case_id", "document_id"]
@@ -62,6 +62,16 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     return found.dropDuplicates([*RECORD, "piece_no"])
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.score_records(_pages(spark, d), RECORD).where("is_cut").select(*RECORD).distinct()
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    """Records and cut records per publisher."""
+    records = truncation.score_records(_pages(spark, d), RECORD).groupBy(*RECORD).agg(F.first("publisher").alias("publisher"), F.max("is_cut").alias("is_cut"))
+    return records.groupBy("publisher").agg(F.count("*").alias("n_records"), F.count_if("is_cut").alias("n_cut")).withColumn("cut_rate", F.round(F.col("n_cut") / F.col("n_records"), 6))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, d, "documents"))
 
@@ -82,7 +92,7 @@ def p10_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_main, p2_found, p4_found, p4_restored, p5_found, p5_pieces, p8_ids, p8_offsets, p10_found, p10_report)
+    f.__name__: f for f in (p1_found, p1_main, p2_found, p4_found, p4_restored, p5_found, p5_pieces, p7_found, p7_report, p8_ids, p8_offsets, p10_found, p10_report)
 }
 
 ORACLE_SQL = {
