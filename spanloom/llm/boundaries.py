@@ -7,7 +7,7 @@ import re
 #: White space of any kind, and what ends a sentence, with closing marks.
 PARAGRAPH = re.compile(r"(?:\r?\n[^\S\n]*){2,}| ")
 LINE = re.compile(r"\r?\n")
-SENTENCE = re.compile(r"[.!?…؟۔։]+[\"'”’»)\]]*\s+|[。!?。।॥]+[\"'”’»」』)\]]*\s*")
+SENTENCE = re.compile(r"[.!?…؟۔։]+[\"'”’»)\]]*\s+|[。\uff01\uff1f。।॥]+[\"'”’»」』)\]]*\s*")
 WORD = re.compile(r"\s+")
 #: Letters without spaces between words: a cut between two of them is no worse than elsewhere, but not inside a cluster.
 JOINER = re.compile(r"[̀-ͯ҃-҉֑-ֽً-ٰٟऀ-ःऺ-ॏ॑-ॗॢॣัิ-ฺ็-๎‌‍⃐-⃿︀-️\U0001f3fb-\U0001f3ff\U000e0100-\U000e01ef]")

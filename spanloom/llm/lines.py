@@ -20,7 +20,7 @@ FLUSH_KEYS = 100_000
 
 _DIGITS = re.compile(r"\d+(?:[.,  ]\d+)*")
 _BULLET = re.compile(r"^(?:[-*•–—‣▪✅🧾🔎☑✓→]|\d{1,3}[.)]|\(?[a-z]\))\s+")
-SENTENCE_END = re.compile(r"[.!?…。!?।؟۔][\"'”’»」』)\]]*$")
+SENTENCE_END = re.compile(r"[.!?…。\uff01\uff1f।؟۔][\"'”’»」』)\]]*$")
 
 # Furniture of pages by language, in lower case, as whole lines.
 CONSENT = """

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import boilerplate, mojibake, pieces, residue, stuffing, tokens, truncation
+from spanloom.llm import boilerplate, mojibake, pieces, residue, sentences, stuffing, tokens, truncation
 from spanloom.sources.tables import table
 
 RECORD = ["case_id", "document_id"]
@@ -62,6 +62,17 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     return found.dropDuplicates([*RECORD, "piece_no"])
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentence_units(table(spark, d, "documents"))
+
+
+def p6_cases(spark: SparkSession, d: str) -> DataFrame:
+    """Sentence units of the case documents, once per record."""
+    rows = table(spark, d, "case_documents").select(F.struct(*RECORD).alias("record"), "text", "lang")
+    found = sentences.sentence_units(rows, "record")
+    return found.select("record.*", "start_off", "end_off").distinct()
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return truncation.score_records(_pages(spark, d), RECORD).where("is_cut").select(*RECORD).distinct()
 
@@ -92,7 +103,7 @@ def p10_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_main, p2_found, p4_found, p4_restored, p5_found, p5_pieces, p7_found, p7_report, p8_ids, p8_offsets, p10_found, p10_report)
+    f.__name__: f for f in (p1_found, p1_main, p2_found, p4_found, p4_restored, p5_found, p5_pieces, p6_found, p6_cases, p7_found, p7_report, p8_ids, p8_offsets, p10_found, p10_report)
 }
 
 ORACLE_SQL = {

@@ -30,7 +30,7 @@ LEAST_SPREAD = 0.015
 LENGTH_CLASSES = (300, 600, 1200, 2400, 4800, 9600)
 FEATURES = "script string, len_class int, ratio double, punct double, prose double, links double, tags double, top double, variety double"
 
-_END = re.compile(r"[.!?…]+(?=[\s\"'”’»)\]]|$)|[。!?।؟۔]")
+_END = re.compile(r"[.!?…]+(?=[\s\"'”’»)\]]|$)|[。\uff01\uff1f।؟۔]")
 _LINK = re.compile(r"\[[^\]\n]*\]\([^)\s]+\)|\[url=[^\]\n]*\][^\[\n]*\[/url\]|<a\s[^>\n]*>[^<\n]*</a>|(?:https?://|www\.)\S+|\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}/\S*", re.I)
 _CHAIN = re.compile(r"[^\s»›>|/]\s[»›>]\s")
 _TAG = re.compile(r"(?<!\w)#\w+|\bSKU\b[\s:#-]*\S+|[$€£]\s?\d+(?:[.,]\d+)?|\b(?:XS|XL|XXL)\b|\b[SML] (?=[a-z])")
@@ -65,7 +65,7 @@ def page_features(text: str) -> tuple:
         blocks[-2:] = [blocks[-2] + blocks[-1]]
     ratio = sum(len(zlib.compress(b, 1)) for b in blocks) / max(1, len(raw))
     script, n = script_of(text), len(text)
-    ends = sum(map(text.count, ".!?…。!?।؟۔")) + (len(_THAI_GAP.findall(text)) if script == "thai" else 0)
+    ends = sum(map(text.count, ".!?…。\uff01\uff1f।؟۔")) + (len(_THAI_GAP.findall(text)) if script == "thai" else 0)
     prose = sum(len(x) for x in text.split("\n") if len(x) > 40 and (_END.search(x) or script == "thai" and _THAI_GAP.search(x))) / n
     links = sum(map(len, _LINK.findall(text))) / n if "/" in text else 0.0
     if "»" in text or "›" in text or " > " in text:

@@ -38,7 +38,7 @@ _CERTAIN = re.compile(r"\[\s*[+＋]\s*\d[\d., ]*\s*\w*\s*\]|\[(?:truncated|…|\
 #: Entries of lists and sources: what ends in a number, a date or a quoted title after a comma or colon, or in an address.
 _ENTRY = re.compile(r"(?:[:,–—]\s*\d[\d.,   ]*|[,–—]\s*(?:\d{1,2}\.?\s)?[^\W\d_]+\.?\s(?:\d{1,2},\s)?\d{4}|,\s[“«„][^”»“]+[”»“]|(?:https?://|www\.)\S+)$")
 _PLACED = re.compile(r"^(?:[^\W\d_][\w.'’-]*\s?){1,7},\s[^\W\d_][\w.'’-]*(?:\s[^\W\d_][\w.'’-]*){0,2}$")
-_CLOSED = re.compile(r"[.!?…。!?।؟۔:;][\"'”’»」』)\]*_]*$")
+_CLOSED = re.compile(r"[.!?…。\uff01\uff1f।؟۔:;][\"'”’»」』)\]*_]*$")
 _TOKEN = re.compile(r"[^\W_]+(?:[-'’.][^\W_]+)*|[^\w\s]")
 _LETTER = re.compile(r"[^\W\d_]+")
 _ABBREVIATED = re.compile(r"(?:^|[\s(“\"«„])(?:[^\W\d_]\.|(?:[Dd]r|Mr|Mrs|Ms|Prof|Gen|Sen|Rep|Capt|Judge|St|Mt|Nr|No|Nos|Art|Abs|Sec|Reg|Fig|Vol|approx|incl|e\.g|i\.e|cf|vs|ca|bzw|d\. h|z\. B|u\. a|Hr|Fr|Sr|Sra|Dra|Mme|M|Mlle|núm|pág|p\. ex|n\.º|art|стр|см|т\. е|др|проф|г|руб|тыс|д-р|प्रो|डॉ|रु|د|أ)\.)$")
@@ -97,7 +97,7 @@ def features(text: str, corpus: Corpus) -> list[str]:
     limit = "at" if size in corpus.limits or len(text) in corpus.limits or size + 1 in corpus.limits else "byte" if raw in corpus.byte_limits else "no"
     known = corpus.word_count(word) if word else -1
     form = "none" if not word else "new" if known <= 2 else "rare" if known <= 8 else "some" if known <= 60 else "common"
-    sentences = len(re.findall(r"[.!?。!?।؟]\s", line))
+    sentences = len(re.findall(r"[.!?。\uff01\uff1f।؟]\s", line))
     long = "long" if len(line) > 140 else "mid" if len(line) > 70 else "short" if len(line) > 25 else "tiny"
     end = "open" if not closed else "abbr" if abbreviated else "closed"
     quotes = line.count("“") != line.count("”") or line.count("«") != line.count("»") or line.count("(") > line.count(")")
@@ -204,7 +204,7 @@ def _counted(words: Counter, chars: Counter, sizes: Counter) -> pd.DataFrame:
 
 def training_texts(pages: DataFrame, limits: frozenset[int]) -> list[str]:
     """At most TRAIN_TEXTS intact texts: those that end with a sentence or in Thai script, bear no trace of a cut, and are not as long as a limit."""
-    fit_for = pages.where((F.length("text") <= TRAIN_CHARS) & (F.length("text") >= 200) & F.col("text").rlike("[.!?。!?।؟][\"'”’»」』)]*\\s*$|[ก-๛]\\s*$")).select("text")
+    fit_for = pages.where((F.length("text") <= TRAIN_CHARS) & (F.length("text") >= 200) & F.col("text").rlike("[.!?。\uff01\uff1f।؟][\"'”’»」』)]*\\s*$|[ก-๛]\\s*$")).select("text")
     rows = fit_for.orderBy(F.xxhash64("text")).limit(TRAIN_TEXTS).collect()
     return [r[0] for r in rows if not TRACE.search(r[0][-160:]) and len(r[0]) not in limits]
 
