@@ -179,9 +179,9 @@ def line_statistics(pages: DataFrame) -> DataFrame:
         yield _frame(counts)
 
     partial = pages.select("text", "title", "publisher").mapInPandas(scan, "key string, pages bigint, head bigint, tail bigint, last bigint")
-    total = pages.select(F.count("*").alias("total"))
+    total = pages.count()
     sums = partial.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("pages", "head", "tail", "last")])
-    return sums.where(F.col("pages") >= REPEATED_LEAST).join(F.broadcast(total), F.col("pages") * REPEATED_SHARE >= F.col("total")).drop("total")  # total: one row
+    return sums.where(F.col("pages") >= REPEATED_LEAST).where(F.col("pages") * REPEATED_SHARE >= total)
 
 
 def _frame(counts: dict[str, list[int]]) -> pd.DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import boilerplate, mojibake, pieces, residue, sentences, stuffing, tokens, truncation
+from spanloom.llm import boilerplate, mix, mojibake, pieces, residue, sentences, stuffing, tokens, truncation
 from spanloom.sources.tables import table
 
 RECORD = ["case_id", "document_id"]
@@ -92,6 +92,16 @@ def p8_offsets(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_with_offsets(table(spark, d, "documents")).select("doc_id", F.size("ids").alias("n_tokens"), "starts", "ends", "restored")
 
 
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The mix, as long as the documents with targets are together."""
+    return mix.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Shares reached and reasons for shortfalls."""
+    return mix.mix_report(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return stuffing.find_stuffed(table(spark, d, "documents"))
 
@@ -103,7 +113,7 @@ def p10_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_main, p2_found, p4_found, p4_restored, p5_found, p5_pieces, p6_found, p6_cases, p7_found, p7_report, p8_ids, p8_offsets, p10_found, p10_report)
+    f.__name__: f for f in (p1_found, p1_main, p2_found, p4_found, p4_restored, p5_found, p5_pieces, p6_found, p6_cases, p7_found, p7_report, p8_ids, p8_offsets, p9_mix, p9_shares, p10_found, p10_report)
 }
 
 ORACLE_SQL = {
