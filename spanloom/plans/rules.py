@@ -166,3 +166,33 @@ ORACLE_SQL = {
     "alias_pairs": f"""WITH s AS (SELECT s_suppkey, {_WHO.format(x="s_name")} || ' works' AS a, 'sw' || lower(translate(CAST(s_suppkey AS VARCHAR), '0123456789', 'ABCDEFGHIJ')) AS b FROM supplier)
       SELECT s_suppkey, a AS name, b AS alias FROM s UNION ALL SELECT s_suppkey, b, a FROM s""",
 }
+
+
+def atom_grounding(spark: SparkSession, d: str) -> DataFrame:
+    """Where the source texts of atoms stand in their claims, found anew."""
+    from spanloom.operators import decompose
+
+    claims = table(spark, d, "catalog").groupBy("case_id").agg(F.min("claim").alias("claim"))
+    return decompose.ground(table(spark, d, "atoms").select("case_id", "atom_id", "source_text"), claims)
+
+
+def atom_warnings(spark: SparkSession, d: str) -> DataFrame:
+    from spanloom.operators import decompose
+
+    claims = table(spark, d, "catalog").groupBy("case_id").agg(F.min("claim").alias("claim"))
+    return decompose.warnings(table(spark, d, "atoms"), claims)
+
+
+def identity_alignment(spark: SparkSession, d: str) -> DataFrame:
+    """Names of the atoms in the documents of their cases."""
+    from spanloom.operators import identity
+
+    atoms = table(spark, d, "atoms").select("case_id", "atom_id", "text")
+    documents = table(spark, d, "case_documents").select("case_id", "document_id", F.col("text").alias("body")).distinct()
+    evidence = documents.join(atoms.select("case_id", "atom_id"), "case_id").select("case_id", "atom_id", "document_id", F.col("body").alias("text"))
+    found = identity.align(atoms, evidence)
+    return found.select("case_id", "atom_id", F.size("required").alias("n_required"), F.size("matched").alias("n_matched"), "status")
+
+
+QUERIES |= {f.__name__: f for f in (atom_grounding, atom_warnings, identity_alignment)}
+ORACLE_SQL["atom_grounding"] = "SELECT case_id, atom_id, start_off AS start_u16, end_off AS end_u16, true AS grounded FROM atoms"
