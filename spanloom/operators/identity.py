@@ -78,7 +78,8 @@ def align(claims: DataFrame, evidence: DataFrame) -> DataFrame:
             groups = alias_groups(t or "")
             here = set(mentions(t or ""))
             roots = {groups.get(n, n) for n in here}
-            out.append(sorted(here | {n for n, r in groups.items() if r in roots}))
+            last = [n.split()[-1] for n in here if " " in n]
+            out.append(sorted(here | {n for n, r in groups.items() if r in roots} | {x for x in last if last.count(x) == 1}))
         return pd.Series(out)
 
     need = claims.select("case_id", "atom_id", F.pandas_udf(names_of, "array<string>")(F.col("text")).alias("required"))
