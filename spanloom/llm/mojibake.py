@@ -192,7 +192,7 @@ def _sequence(encoding: str) -> re.Pattern:
     return re.compile(f"[{lead}][{more}]")
 
 
-def _from_single(run: str, encoding: str, stats: Associations, left: str = "", right: str = "") -> str | None:
+def _from_single(run: str, encoding: str, stats: Associations, left: str = "", right: str = "", again: int = 2) -> str | None:
     """The run with every UTF-8 sequence in it put right, or None if that gives nothing the corpus knows better."""
     table = to_byte(encoding)
     raw = bytes(table.get(c, 0) for c in run)
@@ -208,7 +208,8 @@ def _from_single(run: str, encoding: str, stats: Associations, left: str = "", r
     out.append(run[at:])
     text = "".join(out)
     if known < len(found) and (len(found) < 3 or known * 2 < len(found)):
-        return None
+        # decoded wrongly more than once, perhaps, with a step between that the corpus never shows
+        return _from_single(text, encoding, stats, left, right, again - 1) if again else None
     if all(c in _INVISIBLE for c in text) or stats.excess(left + text + right) > stats.excess(left + run + right) + GAIN:
         return text
     return None
@@ -380,8 +381,8 @@ def repair_values(values: DataFrame, keys: list[str], col: str, stats: Associati
     def scan(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pdfs:
             out = [repair(t, shared.value, may_be_cut) for t in pdf["_v"]]
-            hit = [x for x, _ in out]
-            yield pdf.loc[hit, keys].assign(restored=[y for x, y in out if x])
+            hit = np.array([x for x, _ in out], dtype=bool)
+            yield pd.DataFrame({**{k: pdf[k][hit].to_numpy() for k in keys}, "restored": pd.Series([y for x, y in out if x], dtype=object)})
 
     schema = ", ".join(f"`{k}` {values.schema[k].dataType.simpleString()}" for k in keys) + ", restored string"
     return values.select(*keys, F.col(col).alias("_v")).where("_v IS NOT NULL").mapInPandas(scan, schema)

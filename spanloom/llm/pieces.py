@@ -38,7 +38,12 @@ LEAST_FILL = 0.5
 ANYWHERE, WORDS, SENTENCES, LINES, PARAGRAPHS = 0, 1, 2, 3, 4
 
 
-def range_boundaries(text: str, begin: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+def mark_step(limit: int) -> int:
+    """How far apart word marks may be: every window that a cut is sought in must hold some."""
+    return max(1, min(WORD_STEP, limit // 8))
+
+
+def range_boundaries(text: str, begin: int, end: int, step: int = WORD_STEP) -> tuple[np.ndarray, np.ndarray]:
     """Boundaries of ``text[begin:end]``, as offsets after which to cut in ``(begin, end]``, and their strengths.
 
     Characters outside are the halo: they are looked at, but boundaries there belong to the neighbours.
@@ -50,21 +55,20 @@ def range_boundaries(text: str, begin: int, end: int) -> tuple[np.ndarray, np.nd
                 found[m.end()] = strength
     strong = sorted(found)
     for a, b in zip([begin, *strong], [*strong, end]):
-        if b - a > 2 * WORD_STEP:
-            step = -1
-            last = None
+        if b - a > 2 * step:
+            bucket, last = -1, None
             for m in WORD.finditer(text, a, min(len(text), b + HALO)):
                 if m.end() > b:
                     break
-                if m.end() // WORD_STEP != step and last is not None:
+                if m.end() // step != bucket and last is not None:
                     found.setdefault(last, WORDS)
-                step, last = m.end() // WORD_STEP, m.end()
+                bucket, last = m.end() // step, m.end()
             if last is not None:
                 found.setdefault(last, WORDS)
     marks = sorted(found)
     for a, b in zip([begin, *marks], [*marks, end]):
-        for x in range(a + WORD_STEP, b, WORD_STEP):
-            found[next((y for y in range(x, x - WORD_STEP // 2, -1) if clusters_break(text, y)), x)] = ANYWHERE
+        for x in range(a + step, b, step):
+            found.setdefault(next((y for y in range(x, max(a, x - WORD_STEP // 2), -1) if clusters_break(text, y)), x), ANYWHERE)
     at = np.array(sorted(found), dtype=np.int64)
     return at, np.array([found[x] for x in at.tolist()], dtype=np.int8)
 
@@ -93,15 +97,15 @@ def choose_cuts(length: int, at: np.ndarray, strength: np.ndarray, limit: int, o
     return out
 
 
-def _cut_inline(text: str, limit: int | None, overlap: int | None) -> list[tuple[int, int]]:
-    if limit is None or len(text) <= limit:
+def _cut_inline(text: str, limit: int, overlap: int, range_chars: int) -> list[tuple[int, int]]:
+    if len(text) <= limit:
         return [(0, len(text))]
-    tables = [range_boundaries(text, b, min(len(text), b + RANGE_CHARS)) for b in range(0, len(text), RANGE_CHARS)]
+    tables = [range_boundaries(text, b, min(len(text), b + range_chars), mark_step(limit)) for b in range(0, len(text), range_chars)]
     at, strength = (np.concatenate(x) for x in zip(*tables))
-    return choose_cuts(len(text), at, strength, limit, overlap or 0)
+    return choose_cuts(len(text), at, strength, limit, overlap)
 
 
-def split_oversized(df: DataFrame, limits: DataFrame, keys: list[str], text_col: str = "text", class_col: str = "layout", inline_chars: int = INLINE_CHARS, with_text: bool = True) -> DataFrame:
+def split_oversized(df: DataFrame, limits: DataFrame, keys: list[str], text_col: str = "text", class_col: str = "layout", inline_chars: int = INLINE_CHARS, range_chars: int = RANGE_CHARS, with_text: bool = True) -> DataFrame:
     """``keys, piece_no, n_pieces, start_off, end_off`` and, where wanted, ``piece`` of every item.
 
     ``limits`` has one row per class (``class_col``, ``max_chars``, ``overlap_chars``).
@@ -117,31 +121,31 @@ def split_oversized(df: DataFrame, limits: DataFrame, keys: list[str], text_col:
     def cuts(text: pd.Series, limit: pd.Series, overlap: pd.Series) -> pd.Series:
         out = []
         for t, m, o in zip(text, limit, overlap):
-            spans = _cut_inline(t, int(m), 0 if pd.isna(o) else int(o))
+            spans = _cut_inline(t, int(m), 0 if pd.isna(o) else int(o), range_chars)
             out.append([{"piece_no": i, "n_pieces": len(spans), "start_off": a, "end_off": b} for i, (a, b) in enumerate(spans)])
         return pd.Series(out)
 
     inline = rows.where(~fits & (F.col("_len") <= inline_chars)).select(*keys, "_text", F.explode(cuts("_text", "_max", "_overlap")).alias("_p"))
     inline = inline.select(*keys, "_p.*", F.expr("substring(_text, _p.start_off + 1, _p.end_off - _p.start_off)").alias("piece")).select(*cols)
-    giant = _split_spread(rows.where(~fits & (F.col("_len") > inline_chars)), keys).select(*cols)
+    giant = _split_spread(rows.where(~fits & (F.col("_len") > inline_chars)), keys, range_chars).select(*cols)
     return whole.unionByName(inline).unionByName(giant)
 
 
-def _split_spread(rows: DataFrame, keys: list[str]) -> DataFrame:
+def _split_spread(rows: DataFrame, keys: list[str], range_chars: int) -> DataFrame:
     """The same for items too long for one task: their ranges are separate rows, of which only boundary tables meet."""
     rows = rows.withColumn("_item", F.xxhash64(*keys, "_text"))
-    parts = rows.select(*keys, "_item", "_len", "_max", "_overlap", "_text", F.explode(F.sequence(F.lit(0), F.col("_len") - 1, F.lit(RANGE_CHARS))).alias("_begin"))
-    parts = parts.select(*keys, "_item", "_len", "_max", "_overlap", "_begin", F.least(F.lit(HALO), "_begin").alias("_left"), F.expr(f"substring(_text, greatest(_begin - {HALO}, 0) + 1, {RANGE_CHARS} + least({HALO}, _begin) + {HALO})").alias("_part"))
+    parts = rows.select(*keys, "_item", "_len", "_max", "_overlap", "_text", F.explode(F.sequence(F.lit(0), F.col("_len") - 1, F.lit(range_chars))).alias("_begin"))
+    parts = parts.select(*keys, "_item", "_len", "_max", "_overlap", "_begin", F.least(F.lit(HALO), "_begin").alias("_left"), F.expr(f"substring(_text, greatest(_begin - {HALO}, 0) + 1, {range_chars} + least({HALO}, _begin) + {HALO})").alias("_part"))
 
     @F.pandas_udf("struct<at:array<bigint>,strength:array<tinyint>>")
-    def table(part: pd.Series, begin: pd.Series, left: pd.Series) -> pd.DataFrame:
+    def table(part: pd.Series, begin: pd.Series, left: pd.Series, limit: pd.Series) -> pd.DataFrame:
         out = []
-        for p, b, h in zip(part, begin, left):
-            at, strength = range_boundaries(p, int(h), min(len(p), int(h) + RANGE_CHARS))
+        for p, b, h, m in zip(part, begin, left, limit):
+            at, strength = range_boundaries(p, int(h), min(len(p), int(h) + range_chars), mark_step(int(m)))
             out.append(((at - int(h) + int(b)).tolist(), strength.tolist()))
         return pd.DataFrame(out, columns=["at", "strength"])
 
-    tables = parts.select(*keys, "_item", "_len", "_max", "_overlap", "_begin", table("_part", "_begin", "_left").alias("_t"))
+    tables = parts.select(*keys, "_item", "_len", "_max", "_overlap", "_begin", table("_part", "_begin", "_left", "_max").alias("_t"))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", _item bigint, piece_no int, n_pieces int, start_off int, end_off int"
 
@@ -158,9 +162,9 @@ def _split_spread(rows: DataFrame, keys: list[str]) -> DataFrame:
         return out[[*keys, "_item", "piece_no", "n_pieces", "start_off", "end_off"]]
 
     spans = tables.groupBy("_item").applyInPandas(stitch, schema)
-    # a piece is put together from the ranges it touches, of which there are limit / RANGE_CHARS + 2 at most
-    touched = spans.withColumn("_begin", F.explode(F.expr(f"sequence(start_off - start_off % {RANGE_CHARS}, greatest(end_off - 1, start_off) - greatest(end_off - 1, start_off) % {RANGE_CHARS}, {RANGE_CHARS})")))
-    own = parts.select("_item", "_begin", F.expr(f"substring(_part, _left + 1, {RANGE_CHARS})").alias("_own")).dropDuplicates(["_item", "_begin"])
+    # a piece is put together from the ranges it touches, of which there are limit / range_chars + 2 at most
+    touched = spans.withColumn("_begin", F.explode(F.expr(f"sequence(start_off - start_off % {range_chars}, greatest(end_off - 1, start_off) - greatest(end_off - 1, start_off) % {range_chars}, {range_chars})")))
+    own = parts.select("_item", "_begin", F.expr(f"substring(_part, _left + 1, {range_chars})").alias("_own")).dropDuplicates(["_item", "_begin"])
     cut = touched.join(own, ["_item", "_begin"]).withColumn("_seg", F.expr("substring(_own, greatest(start_off - _begin, 0) + 1, end_off - greatest(start_off, _begin))"))
     whole = cut.groupBy(*keys, "_item", "piece_no", "n_pieces", "start_off", "end_off").agg(F.sort_array(F.collect_list(F.struct("_begin", "_seg"))).alias("_segs"))
     return whole.select(*keys, "piece_no", "n_pieces", "start_off", "end_off", F.expr("concat_ws('', transform(_segs, x -> x._seg))").alias("piece"))
@@ -185,7 +189,7 @@ def split_files(spark: SparkSession, path: str, max_chars: int, overlap_chars: i
                 raw = _read(name, left, right)
                 a, b = _aligned(raw, begin - left), _aligned(raw, end - left)
                 before, own, after = (x.decode("utf-8", errors="surrogateescape") for x in (raw[_aligned(raw, 0) : a], raw[a:b], raw[b : _aligned(raw, len(raw), back=True)]))
-                at, strength = range_boundaries(before + own + after, len(before), len(before) + len(own))
+                at, strength = range_boundaries(before + own + after, len(before), len(before) + len(own), mark_step(max_chars))
                 sizes = np.concatenate([[0], np.cumsum([_width(c) for c in own])]) if not own.isascii() else None
                 rel = at - len(before)
                 byte = rel if sizes is None else sizes[rel]

@@ -27,6 +27,8 @@ BLOCK_BYTES = 2048
 LEAST_CHARS = 120
 #: Spreads are taken as this much at least, where a class is too uniform or too small to tell.
 LEAST_SPREAD = 0.015
+#: Classes with fewer pages take their script's median, if that is more, and a usual spread.
+LEAST_PAGES, USUAL_SPREAD = 20, 0.045
 LENGTH_CLASSES = (300, 600, 1200, 2400, 4800, 9600)
 FEATURES = "script string, len_class int, ratio double, punct double, prose double, links double, tags double, top double, variety double"
 
@@ -101,9 +103,11 @@ def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def expected_ratios(features: DataFrame) -> DataFrame:
     """Median and spread (scaled median deviation) of the compression ratio per script and length class: at most
     scripts x length classes rows, whatever the corpus."""
-    mid = features.groupBy("script", "len_class").agg(F.percentile_approx("ratio", 0.5, 1000).alias("median"))
+    mid = features.groupBy("script", "len_class").agg(F.percentile_approx("ratio", 0.5, 1000).alias("own"), F.count("*").alias("n"))
+    every = features.groupBy("script").agg(F.percentile_approx("ratio", 0.5, 1000).alias("of_script"))
+    mid = mid.join(every, "script").withColumn("median", F.when(F.col("n") >= LEAST_PAGES, F.col("own")).otherwise(F.greatest("own", "of_script"))).select("script", "len_class", "median")
     off = features.join(F.broadcast(mid), ["script", "len_class"])
-    return off.groupBy("script", "len_class").agg(F.first("median").alias("median"), (1.4826 * F.percentile_approx(F.abs(F.col("ratio") - F.col("median")), 0.5, 1000)).alias("spread"))
+    return off.groupBy("script", "len_class").agg(F.first("median").alias("median"), (1.4826 * F.percentile_approx(F.abs(F.col("ratio") - F.col("median")), 0.5, 1000)).alias("spread"), F.count("*").alias("n")).select("script", "len_class", "median", F.when(F.col("n") >= LEAST_PAGES, F.col("spread")).otherwise(USUAL_SPREAD).alias("spread"))
 
 
 def score_pages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
