@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,3 +52,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per session, unless they find it by themselves through PYTHONPATH or the working folder."""
+    root = Path(__file__).resolve().parents[1]
+    paths = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    if spark.conf.get("spanloom.shipped", None) or any(p and Path(p).resolve() == root for p in paths):
+        return
+    at = tempfile.mkdtemp(prefix="spanloom-")
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{at}/spanloom", "zip", root, "spanloom"))  # Spark copies it to every executor
+    spark.conf.set("spanloom.shipped", "true")
