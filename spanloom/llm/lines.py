@@ -58,6 +58,36 @@ def _set(text: str) -> frozenset[str]:
     return frozenset(x.strip() for row in text.strip().split("\n") for x in row.split(" | ") if x.strip())
 
 
+def _garbled(phrases: frozenset[str]) -> frozenset[str]:
+    """What phrases outside ASCII look like, in lower case, when their bytes were read by another encoding."""
+    out = set()
+    for phrase in phrases:
+        if phrase.isascii():
+            continue
+        for form in {phrase, phrase.capitalize(), phrase.title()}:
+            raw = form.encode()
+            read = [_read_as(raw, e) for e in ("cp1252", "latin-1", "cp437", "cp850", "mac_roman", "cp1251", "koi8_r")]
+            read += [_read_as(read[0].encode(), "cp1252"), raw.decode("gbk", "replace")]
+            for meant in ("cp1251", "koi8_r", "gbk", "shift_jis", "cp1252"):
+                try:
+                    own = form.encode(meant)
+                except UnicodeEncodeError:
+                    continue
+                read += [_read_as(own, e) for e in ("cp1252", "latin-1", "cp866", "cp1251", "koi8_r") if e != meant] + [own.decode("utf-8", "replace")]
+            out.update(" ".join(x.lower().split()) for x in read)
+    return frozenset(x for x in out if len(x) > 2 and x not in phrases)
+
+
+def _read_as(raw: bytes, encoding: str) -> str:
+    return raw.decode("latin-1").translate(_byte_table(encoding))
+
+
+@functools.lru_cache(maxsize=None)
+def _byte_table(encoding: str) -> dict[int, str]:
+    """Characters of the upper bytes; a byte without one stands for itself."""
+    return {b: bytes([b]).decode(encoding, "replace").replace("�", chr(b)) for b in range(128, 256)}
+
+
 FURNITURE = _set(CONSENT) | _set(MENU) | _set(WIDGETS)
 MENU_ITEMS = _set(MENU) | _set("terms of use | privacy | accessibility | imprint | faq | impressum | datenschutz | aviso legal | privacidad | mentions légales | confidentialité | termos | privacidade | условия | конфиденциальность | 使用条款 | 隐私 | 利用規約 | プライバシー")
 HEADS = _set(TEASER_HEADS)
@@ -74,7 +104,9 @@ FURNITURE_PATTERN = re.compile(
 )
 #: Subheads of articles with parts that vary.
 SUBHEAD_PATTERN = re.compile(r"(?i)^(?:how the .{2,60} works|numbers behind .{2,60}|verdict on .{2,60}|what .{2,60} (?:said|did|found|shows)|interview with .{2,60}|evidence from .{2,60}|verdict: .{2,40}|no evidence\.)$")
-_MENU_SPLIT = re.compile(r"\s{2,}|\s*[|/>›»·]\s*|\t")
+#: The same lists with their wrongly decoded forms.
+ALL_FURNITURE, ALL_MENU, ALL_HEADS, ALL_SUBHEADS = (x | _garbled(x) for x in (FURNITURE, MENU_ITEMS, HEADS, SUBHEAD_LINES))
+_MENU_SPLIT = re.compile(r"\s{2,}|\t|\s*(?:[|/>›»·]|" + "|".join(re.escape(x) for x in sorted(_garbled(frozenset("›»·")) | {_read_as(c.encode(), e).lower() for c in "›»·" for e in ("cp1252", "latin-1", "cp437", "cp850", "mac_roman")}, key=len, reverse=True)) + r")\s*")
 
 
 #: The same with characters outside ASCII as blanks, which is what wrong decoding leaves alike.
@@ -93,20 +125,20 @@ def key_of(line: str, publisher: str | None) -> str:
 def is_menu(line: str) -> bool:
     """Whether the line is menu entries, one or several with separators; bullets before them don't matter."""
     body = _BULLET.sub("", line.strip()).lower()
-    if body in MENU_ITEMS:
+    if body in ALL_MENU:
         return True
     parts = [p for p in _MENU_SPLIT.split(body) if p]
-    return len(parts) > 1 and sum(p in MENU_ITEMS for p in parts) * 2 > len(parts)
+    return len(parts) > 1 and sum(p in ALL_MENU for p in parts) * 2 > len(parts)
 
 
 def furniture_kind(line: str) -> str | None:
     """``furniture``, ``head`` (of teasers), ``heads`` (with a teaser on the same line), ``subhead`` or None, by fixed phrases alone."""
     low = " ".join(line.lower().split())
-    if low in SUBHEAD_LINES or SUBHEAD_PATTERN.match(low):
+    if low in ALL_SUBHEADS or SUBHEAD_PATTERN.match(low):
         return "subhead"
-    if low in FURNITURE or is_menu(line) or FURNITURE_PATTERN.match(low):
+    if low in ALL_FURNITURE or is_menu(line) or FURNITURE_PATTERN.match(low):
         return "head" if low.startswith("more from ") else "furniture"
-    if low in HEADS:
+    if low in ALL_HEADS:
         return "head"
     if not low.isascii():
         plain = _NOT_ASCII.sub(" ", low).strip()
@@ -115,7 +147,7 @@ def furniture_kind(line: str) -> str | None:
         if plain in _PLAIN_HEADS:
             return "head"
     before, colon, after = low.replace(":", ":").partition(":")
-    if colon and after.strip() and before in HEADS:
+    if colon and after.strip() and before in ALL_HEADS:
         return "furniture"
     return None
 

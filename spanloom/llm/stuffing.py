@@ -119,7 +119,7 @@ def score_pages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         F.when((F.col("links") > 0.42) & (F.col("prose") < 0.5), "links")
         .when(no_prose & (F.col("tags") > 0.08), "tags")
         .when(no_prose & ((top >= 0.25) | ((z < -2) & (top > 0.15)) | ((z < -3.5) & (F.col("variety") < 0.4))), "keywords")
-        .when((z < -3.5) & (top > 0.13), "phrases")
+        .when(((z < -3.5) & (top > 0.13)) | ((z < -1.5) & (top > 0.2) & (F.col("variety") < 0.5)), "phrases")
     )
     return scored.withColumn("kind", kind)
 
