@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.text import LIST_PREFIX, LIST_QUERY, lexical_tokens
+from spanloom.session import materialize
 
 # Fixed values of the scoring function and of fusion.
 K1, B, LIST_BONUS, FUSION = 1.5, 0.75, 0.15, 60
@@ -29,18 +30,18 @@ def corpus_statistics(passages: DataFrame, case: str, keys: list[str], text: str
 def bm25(passages: DataFrame, queries: DataFrame, case: str, passage_keys: list[str], query_key: str, text: str = "sentence", query_text: str = "query") -> DataFrame:
     """``case, query_key, passage_keys, score`` of every passage for every query of its case; 0 where no term meets."""
     keys = [case, *passage_keys]
-    own = Window.partitionBy(case)
-    # tokens are made once: their number, and the case's statistics, travel with every term
-    base = passages.select(*keys, lexical_tokens(F.col(text)).alias("_tokens")).withColumn("n_tokens", F.size("_tokens"))
-    base = base.withColumn("n_passages", F.count("*").over(own)).withColumn("avg_len", F.avg("n_tokens").over(own))
+    # tokens are made once and kept, as several aggregates need them; each of these combines before it shuffles, so no case is too large for a task
+    base = materialize(passages.select(*keys, F.col(text).rlike(LIST_PREFIX).alias("listed"), lexical_tokens(F.col(text)).alias("_tokens")).withColumn("n_tokens", F.size("_tokens")), "passage-tokens")
+    stats = base.groupBy(case).agg(F.count("*").alias("n_passages"), F.avg("n_tokens").alias("avg_len"))
     terms = queries.select(case, query_key, F.explode(F.array_distinct(lexical_tokens(F.col(query_text)))).alias("term"))
-    tf = base.select(*keys, "n_tokens", "n_passages", "avg_len", F.explode("_tokens").alias("term")).join(terms.select(case, "term").distinct(), [case, "term"], "left_semi")
-    tf = tf.groupBy(*keys, "n_tokens", "n_passages", "avg_len", "term").agg(F.count("*").alias("tf")).withColumn("df", F.count("*").over(Window.partitionBy(case, "term")))
+    tf = base.select(*keys, "n_tokens", F.explode("_tokens").alias("term")).join(terms.select(case, "term").distinct(), [case, "term"], "left_semi").groupBy(*keys, "n_tokens", "term").agg(F.count("*").alias("tf"))
+    df = tf.groupBy(case, "term").agg(F.count("*").alias("df"))
+    tf = tf.join(df, [case, "term"]).join(stats, case)
     idf = F.log(1 + (F.col("n_passages") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.when(F.col("avg_len") > 0, 1 - B + B * F.col("n_tokens") / F.col("avg_len")).otherwise(1 - B)
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * norm)
     sums = tf.join(terms, [case, "term"]).groupBy(query_key, *keys).agg(F.sum(part).alias("raw"))
-    pairs = passages.select(*keys, F.col(text).rlike(LIST_PREFIX).alias("listed")).join(queries.select(case, query_key, F.col(query_text).rlike(LIST_QUERY).alias("asks_list")), case)
+    pairs = base.select(*keys, "listed").join(queries.select(case, query_key, F.col(query_text).rlike(LIST_QUERY).alias("asks_list")), case)
     raw = F.coalesce("raw", F.lit(0.0))
     score = raw + F.when((raw > 0) & F.col("listed") & F.col("asks_list"), LIST_BONUS).otherwise(0.0)
     return pairs.join(sums, [query_key, *keys], "left").select(*keys, query_key, F.round(score, DIGITS).alias("score"))
