@@ -219,3 +219,54 @@ ORACLE_SQL = {
       SELECT DISTINCT case_id, document_id FROM r WHERE len(list_intersect({_sym("claim")}, {_sym("text")})) >= least(8, greatest(3, floor(len({_sym("claim")}) / 12))) OR (length(lower(trim(regexp_replace(claim, '\s+', ' ', 'g')))) >= 24 AND contains(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), lower(trim(regexp_replace(claim, '\s+', ' ', 'g')))))""",
     "operator_status": "SELECT method, status, count(*) AS n FROM (SELECT DISTINCT audit_id, method, status FROM fetch_audit) GROUP BY ALL",
 }
+
+
+def layout_tags(spark: SparkSession, d: str) -> DataFrame:
+    """Documents per layout and language tag."""
+    from spanloom.functions.prep import layout_of
+
+    return table(spark, d, "documents").groupBy(layout_of(F.col("layout"), F.col("text")).alias("layout"), F.lower(F.left("lang", F.lit(2))).alias("lang2")).agg(F.count("*").alias("n"))
+
+
+def published_gates(spark: SparkSession, d: str) -> DataFrame:
+    """Rules that runs rendered from the tables break."""
+    from spanloom.operators import publish
+
+    v = verdict_fold(spark, d).join(_cases(spark, d).select("case_id", "label"), "case_id")
+    n = table(spark, d, "atoms").groupBy("case_id").agg(F.count("*").alias("n_atoms"))
+    stats = graph_stats(spark, d)
+    rows = v.join(n, "case_id").join(stats, "case_id").select(
+        "case_id", F.lit(7).alias("schema_version"), "n_atoms", F.col("n_atoms").alias("n_assessed"), F.array(F.lit(0.5), F.lit(1.0)).alias("timings"), "verdict", "label", (F.col("n_edges") - F.col("n_atoms")).alias("n_edges"), "n_nodes"
+    )
+    return publish.failed(rows, "case_id", publish.run_rules()).groupBy("rule").agg(F.count("*").alias("n_cases"))
+
+
+def fetch_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that were listed but never fetched, and fetched but never listed, by number."""
+    from spanloom.operators import publish
+
+    listed = table(spark, d, "case_documents").select("document_id")
+    fetched = table(spark, d, "fetch_audit").where("document_id IS NOT NULL").select("document_id")
+    return publish.coverage_gaps(listed, fetched, ["document_id"]).groupBy("gap").agg(F.count("*").alias("n"))
+
+
+def quantity_grounding(spark: SparkSession, d: str) -> DataFrame:
+    """Whether rendered evidence meets the amounts of rendered claims."""
+    from spanloom.operators import assess
+
+    rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min("l_linenumber").alias("a"), F.max("l_linenumber").alias("b"))
+    said = lambda c: F.concat(F.lit("The parcel had "), (F.col(c) * 10 + 1).cast("string"), F.lit(" boxes."))
+    atoms = rows.select(F.col("l_orderkey").cast("string").alias("case_id"), F.lit("a").alias("atom_id"), said("a").alias("text"))
+    relations = rows.select(F.col("l_orderkey").cast("string").alias("case_id"), F.lit("a").alias("atom_id"), F.lit("s").alias("span_id"), said("b").alias("span_text"), F.lit("SUPPORTS").alias("relation"))
+    return assess.numeric_grounding(atoms, relations).select(F.col("case_id").cast("bigint").alias("l_orderkey"), "grounded")
+
+
+QUERIES |= {f.__name__: f for f in (layout_tags, published_gates, fetch_coverage, quantity_grounding)}
+ORACLE_SQL |= {
+    "layout_tags": "SELECT layout, lower(left(lang, 2)) AS lang2, count(*) AS n FROM documents GROUP BY ALL",
+    "published_gates": f"""WITH {_REL}, gs AS (SELECT n.case_id, n_nodes, e.n AS n_all FROM (SELECT case_id, count(*) AS n_nodes FROM gn GROUP BY 1) n JOIN (SELECT case_id, count(*) AS n FROM ge GROUP BY 1) e ON e.case_id = n.case_id),
+      r AS (SELECT ve.*, gs.n_nodes, gs.n_all - a.n AS n_edges FROM ve JOIN gs ON gs.case_id = ve.case_id JOIN (SELECT case_id, count(*) AS n FROM atoms GROUP BY 1) a ON a.case_id = ve.case_id)
+      SELECT rule, count(*) AS n_cases FROM (SELECT 'DECISIVE_EVIDENCE' AS rule FROM r WHERE NOT (verdict = 'NOT_ENOUGH_EVIDENCE' OR n_edges > 0) UNION ALL SELECT 'VERDICT_IS_LABEL' FROM r WHERE label IS NULL OR label <> verdict UNION ALL SELECT 'GRAPH_SIZE' FROM r WHERE n_nodes > 60) GROUP BY 1""",
+    "fetch_coverage": "WITH a AS (SELECT DISTINCT document_id FROM case_documents), b AS (SELECT DISTINCT document_id FROM fetch_audit WHERE document_id IS NOT NULL) SELECT CASE WHEN a.document_id IS NULL THEN 'UNEXPECTED' ELSE 'MISSING' END AS gap, count(*) AS n FROM a FULL JOIN b ON a.document_id = b.document_id WHERE a.document_id IS NULL OR b.document_id IS NULL GROUP BY 1",
+    "quantity_grounding": "SELECT l_orderkey, min(l_linenumber) = max(l_linenumber) AS grounded FROM lineitem GROUP BY 1",
+}

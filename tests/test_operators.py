@@ -193,3 +193,49 @@ def test_core_stands_without_the_subpackage():
             assert "spanloom.llm" not in path.read_text(), path
     code = "import sys; sys.modules['spanloom.llm'] = None; import __spark_entry__ as e; assert 'p3_found' in e.queries() and 'p1_found' not in e.queries()"
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
+
+
+def test_assess(spark):
+    from spanloom.operators import assess
+
+    assert assess.quantities("12.5% of 3 million in 1999, and two more, -4") == [(0.125, 0.01), (3e6, 1.0), (2.0, 1.0), (-4.0, 1.0)]
+    assert assess.quantity_matches((3e6, 1.0), (3.1e6, 1.0)) and not assess.quantity_matches((300, 1.0), (310, 1.0)) and not assess.quantity_matches((0.1, 0.01), (0.1, 1.0))
+    atoms = spark.createDataFrame([("c", "a", "It had 12 boxes.")], "case_id string, atom_id string, text string")
+    relations = spark.createDataFrame([("c", "a", "s1", "It had 12 boxes", "SUPPORTS"), ("c", "a", "s2", "It had 13 boxes", "SUPPORTS"), ("c", "a", "s3", "It was not so", "REFUTES")], "case_id string, atom_id string, span_id string, span_text string, relation string")
+    ground = assess.numeric_grounding(atoms, relations)
+    assert {r["span_id"]: r["grounded"] for r in ground.collect()} == {"s1": True, "s2": False, "s3": True}
+    given = spark.createDataFrame([("c", "a", ["s2"], [], ["s9"], "SUFFICIENT", 3)], "case_id string, atom_id string, support_ids array<string>, refute_ids array<string>, context_ids array<string>, sufficiency string, n_spans int")
+    out = assess.demote_ungrounded(given, ground).first()
+    assert (out["support_ids"], out["context_ids"], out["sufficiency"]) == ([], ["s2", "s9"], "PARTIAL")
+    omissions = spark.createDataFrame([("c", True, ["s2"], ["s9"]), ("d", True, [], []), ("e", False, [], [])], "case_id string, detected boolean, support_ids array<string>, context_ids array<string>")
+    assert {r["case_id"]: r["reason"] for r in assess.omission_errors(omissions, given).collect()} == {"d": "INCOMPLETE_CERTIFICATE"}
+
+
+def test_programs(spark):
+    from spanloom.operators import programs
+
+    candidates = spark.createDataFrame([("c", "a", f"k{i}", "NUMERIC_COMPARE") for i in range(5)], "case_id string, atom_id string, candidate_id string, operator string")
+    permitted = spark.createDataFrame([("c", f"k{i}", p) for i in range(5) for p in ("p1", "p2")], "case_id string, candidate_id string, premise_id string")
+    answers = spark.createDataFrame([("c", "k1", "p2", 0), ("c", "k1", "p1", 1), ("c", "k1", "p2", 2), ("c", "k2", "p9", 3), ("c", "zz", "p1", 4), ("c", "k3", "p1", 5), ("c", "k4", "p1", 6), ("c", "k0", "p1", 7)], "case_id string, candidate_id string, premise_id string, ord int")
+    maps = programs.valid_mappings(answers, candidates, permitted)
+    assert {r["candidate_id"]: r["premise_ids"] for r in maps.collect()} == {"k1": ["p2", "p1"], "k3": ["p1"], "k4": ["p1"]}
+    assert sorted(r["candidate_id"] for r in programs.unmapped(candidates, maps).collect()) == ["k0", "k2"]
+    runs = maps.withColumn("operator", F.lit("NUMERIC_COMPARE")).withColumn("status", F.lit("PROVED")).withColumn("warning", F.lit(None).cast("string"))
+    names = spark.createDataFrame([("c", "a", "UNRESOLVED")], "case_id string, atom_id string, status string")
+    row = programs.with_program(programs.preconditions(programs.demote_unaligned(runs, names))).where("candidate_id = 'k1'").first()
+    assert row["status"] == "UNRESOLVED" and [s["operation"] for s in row["program"]["steps"]] == ["LOOKUP", "LOOKUP", "COMPARE"] and not row["preconditions"][3]["met"]
+
+
+def test_publish_and_prep(spark):
+    from spanloom.functions import prep
+    from spanloom.operators import publish
+
+    documents = spark.createDataFrame([("c", "d", "a🚨bc")], "case_id string, document_id string, text string")
+    premises = spark.createDataFrame([("c", "d", "ok", 1, 4, "🚨b"), ("c", "d", "off", 0, 2, "xx"), ("c", "z", "lost", 0, 1, "a")], "case_id string, document_id string, premise_id string, start_u16 int, end_u16 int, text string")
+    assert {r["premise_id"]: r["reason"] for r in publish.grounding_errors(premises, documents).collect()} == {"off": "TEXT_DIFFERS", "lost": "UNKNOWN_DOCUMENT"}
+    text = "\n".join(f"Name 6: Family{i}\n1: First{i}\n2: n/a" for i in range(25))
+    assert prep.compact_list(text).splitlines()[1] == "- First0 Family0" and prep.compact_list("Name 6: X\n1: Y") is None
+    assert prep.grow_excerpt(["a b"] * 9, 4, 6, 8) == (3, 5) and prep.grow_excerpt(["a b"] * 2, 0, 6, 8) is None
+    assert prep.strip_export("see [the page](http://x) and hyphen-\nated") == "see the page and hyphenated"
+    claims = spark.createDataFrame([("1", "It rains!"), ("2", "It snows.")], "case_id string, claim string")
+    assert [r["case_id"] for r in publish.prompt_leaks(claims, spark.createDataFrame([("it RAINS",)], "claim string")).collect()] == ["1"]
