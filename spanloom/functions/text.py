@@ -98,6 +98,7 @@ def utf16_length(text: Column) -> Column:
 
 
 def utf16_slice(text: Column, begin: Column, end: Column) -> Column:
+    """The text between two offsets in code units, which must not split a character."""
     return F.decode(F.substring(F.encode(text, "UTF-16LE"), begin * 2 + 1, (end - begin) * 2), "UTF-16LE")
 
 

@@ -27,11 +27,10 @@ def run_rules() -> dict[str, Column]:
 
 def grounding_errors(premises: DataFrame, documents: DataFrame) -> DataFrame:
     """Premises (case_id, document_id, premise_id, start_u16, end_u16, text) whose document is unknown or has another text at their place."""
-    from spanloom.functions.text import utf16_slice
-
     rows = premises.withColumnRenamed("text", "said").join(documents.select("case_id", "document_id", F.col("text").alias("body")), ["case_id", "document_id"], "left")
-    there = utf16_slice(F.col("body"), F.col("start_u16"), F.col("end_u16"))
-    reason = F.when(F.col("body").isNull(), "UNKNOWN_DOCUMENT").when(~F.coalesce(there == F.col("said"), F.lit(False)), "TEXT_DIFFERS")
+    # compared as code units, as offsets may split a character
+    there = F.substring(F.encode("body", "UTF-16LE"), F.col("start_u16") * 2 + 1, (F.col("end_u16") - F.col("start_u16")) * 2)
+    reason = F.when(F.col("body").isNull(), "UNKNOWN_DOCUMENT").when(~F.coalesce(there == F.encode("said", "UTF-16LE"), F.lit(False)), "TEXT_DIFFERS")
     return rows.select("case_id", "premise_id", reason.alias("reason")).where("reason IS NOT NULL")
 
 
