@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from spanloom.llm.lines import _BULLET, furniture_kind, shape_of, title_statistics
 from spanloom.llm.residue import shows_message
 
-TRAIN_TEXTS, TRAIN_CHARS = 4000, 20_000
+TRAIN_TEXTS, TRAIN_CHARS = 2000, 20_000
 DIMENSIONS = 1 << 15
 WORD_SLOTS = 1 << 18
 #: A length is a limit if one record in so many has it and it is so many times as common as its neighbours.
@@ -206,10 +206,10 @@ def _counted(words: Counter, chars: Counter, sizes: Counter) -> pd.DataFrame:
 
 def training_texts(pages: DataFrame, limits: frozenset[int], n_texts: int) -> list[str]:
     """At most TRAIN_TEXTS intact texts: those that end with a sentence or in Thai script, bear no trace of a cut, and are not as long as a limit."""
-    fit_for = pages.where((F.length("text") <= TRAIN_CHARS) & (F.length("text") >= 200) & F.col("text").rlike("[.!?。\uff01\uff1f।؟][\"'”’»」』)]*\\s*$|[ก-๛]\\s*$")).select("text")
     # only hashes that some three times TRAIN_TEXTS have are looked at, so tasks send few texts, however many there are
     share = min(1.0, 3 * TRAIN_TEXTS / max(1, n_texts))
-    few = fit_for.withColumn("h", F.xxhash64("text")).where(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)))
+    few = pages.select("text", F.xxhash64("text").alias("h")).where(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)))
+    few = few.where((F.length("text") <= TRAIN_CHARS) & (F.length("text") >= 200) & F.col("text").rlike("[.!?。\uff01\uff1f।؟][\"'”’»」』)]*\\s*$|[ก-๛]\\s*$"))
     rows = few.orderBy("h").limit(TRAIN_TEXTS).select("text").collect()
     return [r[0] for r in rows if not TRACE.search(r[0][-160:]) and len(r[0]) not in limits]
 
