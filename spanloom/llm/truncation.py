@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.lines import _BULLET, furniture_kind, shape_of, title_statistics
 from spanloom.llm.residue import shows_message
+from spanloom.session import materialize
 
 TRAIN_TEXTS, TRAIN_CHARS = 2000, 20_000
 DIMENSIONS = 1 << 15
@@ -177,6 +178,7 @@ def corpus_counts(pages: DataFrame) -> Corpus:
         yield _counted(words, chars, sizes)
 
     counts = pages.where("text IS NOT NULL").select("text").mapInPandas(scan, "kind int, value bigint, n bigint").groupBy("kind", "value").agg(F.sum("n").alias("n"))
+    counts = materialize(counts, "length-counts")  # several parts of the plan below read it
     lengths = counts.where("kind > 0").withColumn("near", F.floor(F.col("value") / 50))
     around = lengths.groupBy("kind", "near").agg(F.sum("n").alias("all"), F.count("*").alias("of"))
     total = lengths.groupBy("kind").agg(F.sum("n").alias("total"))
