@@ -103,7 +103,7 @@ FURNITURE_PATTERN = re.compile(
     )$"""
 )
 #: Subheads of articles with parts that vary.
-SUBHEAD_PATTERN = re.compile(r"(?i)^(?:how the .{2,60} works|numbers behind .{2,60}|verdict on .{2,60}|what .{2,60} (?:said|did|found|shows)|interview with .{2,60}|evidence from .{2,60}|verdict: .{2,40}|no evidence\.)$")
+SUBHEAD_PATTERN = re.compile(r"(?i)^(?:how the .{2,60} works|numbers behind .{2,60}|verdict on .{2,60}|what .{2,60} (?:said|did|found|shows)|interview with .{2,60}|evidence from .{2,60}|verdict: .{2,40}|no evidence\.|no evidence on .{2,60})$")
 #: The same lists with their wrongly decoded forms.
 ALL_FURNITURE, ALL_MENU, ALL_HEADS, ALL_SUBHEADS = (x | _garbled(x) for x in (FURNITURE, MENU_ITEMS, HEADS, SUBHEAD_LINES))
 _MENU_SPLIT = re.compile(r"\s{2,}|\t|\s*(?:[|/>›»·]|" + "|".join(re.escape(x) for x in sorted(_garbled(frozenset("›»·")) | {_read_as(c.encode(), e).lower() for c in "›»·" for e in ("cp1252", "latin-1", "cp437", "cp850", "mac_roman")}, key=len, reverse=True)) + r")\s*")

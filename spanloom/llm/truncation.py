@@ -32,6 +32,8 @@ WORD_SLOTS = 1 << 18
 #: A length is a limit if one record in so many has it and it is so many times as common as its neighbours.
 LIMIT_SHARE, LIMIT_FACTOR, LIMIT_LEAST = 2000, 6, 5
 THRESHOLD, SURE = 0.5, 0.9
+#: An end of a line in Thai that fewer lines than this share is not one of a clause.
+KNOWN_ENDS = 2
 
 #: What a cut leaves behind it.
 TRACE = re.compile(r"(?:\s*(?:\[\s*[+＋]\s*\d[\d., ]*\s*(?:chars?|characters|more|zeichen|caracteres|caractères|字)?\s*\]|\[(?:…|\.\.\.|truncated|cut|gekürzt|more)\]|\((?:…|\.\.\.|more|truncated)\)|<truncated>|(?:read|see|show) more\s*[»›>→]?|continue reading\s*[»›>→]?|weiterlesen|leer más|lire la suite|ler mais|(?-i:&[a-z#]{1,5}\d{0,4};?|</?[a-z]{0,10})|…|\.\.\.|�))+\s*$", re.I)
@@ -41,6 +43,9 @@ _ENTRY = re.compile(r"(?:[:,–—]\s*\d[\d.,   ]*|[,–—]\s*(?:\d{1,2}\.?\s)?
 _PLACED = re.compile(r"^(?:[^\W\d_][\w.'’-]*\s?){1,7},\s[^\W\d_][\w.'’-]*(?:\s[^\W\d_][\w.'’-]*){0,2}$")
 _CLOSED = re.compile(r"[.!?…。\uff01\uff1f।؟۔:;][\"'”’»」』)\]*_]*$")
 _TOKEN = re.compile(r"[^\W_]+(?:[-'’.][^\W_]+)*|[^\w\s]")
+#: How lines in Thai end; as no mark ends its clauses, an end that no other line has tells of a cut.
+_THAI_END = re.compile(r"([ก-๛]{4})[ \t\r]*$", re.M)
+_PAIR = re.compile(r"^[^.,!?\u3002\uff01\uff1f]{2,40},\s[^.,!?\u3002\uff01\uff1f]{2,30}$")
 _LETTER = re.compile(r"[^\W\d_]+")
 _ABBREVIATED = re.compile(r"(?:^|[\s(“\"«„])(?:[^\W\d_]\.|(?:[Dd]r|Mr|Mrs|Ms|Prof|Gen|Sen|Rep|Capt|Judge|St|Mt|Nr|No|Nos|Art|Abs|Sec|Reg|Fig|Vol|approx|incl|e\.g|i\.e|cf|vs|ca|bzw|d\. h|z\. B|u\. a|Hr|Fr|Sr|Sra|Dra|Mme|M|Mlle|núm|pág|p\. ex|n\.º|art|стр|см|т\. е|др|проф|г|руб|тыс|д-р|प्रो|डॉ|रु|د|أ)\.)$")
 
@@ -172,6 +177,8 @@ def corpus_counts(pages: DataFrame) -> Corpus:
                 chars[n] += 1
                 sizes[len(t.encode("utf-8", "surrogatepass"))] += 1
                 words.update(_LETTER.findall(t.lower()))
+                if not t.isascii() and _THAI_END.search(t):
+                    words.update("$" + x for x in _THAI_END.findall(t[: t.rstrip().rfind("\n") + 1]))
             if len(words) > 200_000:
                 yield _counted(words, chars, sizes)
                 words, chars, sizes = Counter(), Counter(), Counter()
@@ -229,10 +236,15 @@ class Classifier:
     def is_cut(self, text: str | None) -> bool:
         """The classifier's decision, and what it can't know: furniture is no article, and a script without full stops, or a heading
         or entry, shows a cut only by its trace or a limit."""
-        if not text or self.score(text) < THRESHOLD:
+        if not text or not text.strip():
             return False
         body, trace, size = end_of(text)
         line = body[body.rfind("\n") + 1 :].strip()
+        thai = script_class(line[-160:]) == "thai"
+        if thai and (m := _THAI_END.search(line)) and self.corpus.word_count("$" + m.group(1)) <= KNOWN_ENDS and "\n" in body:
+            return True
+        if self.score(text) < THRESHOLD:
+            return False
         if _CERTAIN.search(trace):
             return True
         if len(line) <= 200 and (furniture_kind(line) is not None or shows_message(line)):
@@ -240,8 +252,11 @@ class Classifier:
         at_limit = size in self.corpus.limits or len(text) in self.corpus.limits or len(text.encode("utf-8", "surrogatepass")) in self.corpus.byte_limits
         if at_limit or trace:
             return True
-        if script_class(line[-160:]) == "thai":
+        if thai:
             return self.score(text) > SURE
+        entry = _BULLET.sub("", line)
+        if len(line) <= 75 and _PAIR.match(entry) and (entry != line or script_class(line) == "cjk"):
+            return False
         if len(line) <= 110 and _ENTRY.search(line) or len(line) <= 60 and _PLACED.match(line):
             return False
         return len(line) > 160 or shape_of(line, self.corpus.frequent) not in self.corpus.shapes
