@@ -197,8 +197,8 @@ def _from_single(run: str, encoding: str, stats: Associations, left: str = "", r
     table = to_byte(encoding)
     raw = bytes(table.get(c, 0) for c in run)
     found = list(_UTF8.finditer(raw))
-    if not found:
-        return None
+    if sum(m.end() - m.start() for m in found) * 2 < len(run) or not found:
+        return None  # chance, in letters of another encoding
     out, at, known = [], 0, 0
     for m in found:
         c = m.group().decode("utf-8")
@@ -250,8 +250,8 @@ _SUSPECT = re.compile("[\x80-\x9f\xa1-\u058f\u2039-\u203a\u20ac-\u2bff⺀-\u303f
 _SCRIPT = re.compile(r"[Ѐ-ӿ]+|[Ͱ-Ͽ]+|[֐-׿]+|[؀-ۿ]+|[฀-๿]+|[぀-ヿ一-鿿ｦ-ﾟ]+|[가-힣]+")
 
 
-def _from_other(run: str, stats: Associations) -> str | None:
-    """Words of another script whose bytes were read as Western letters."""
+def _from_other(run: str, stats: Associations) -> tuple[str, tuple[str, str]] | None:
+    """Words of another script whose bytes were read as Western letters, with the encodings used and meant."""
     best, found = stats.mean(run) + 0.12, None
     for wrong in WESTERN:
         table = to_byte(wrong)
@@ -266,11 +266,20 @@ def _from_other(run: str, stats: Associations) -> str | None:
             if sum(map(len, _SCRIPT.findall(text))) * 10 < len(text) * 9 or text.isupper() != run.isupper() and text.swapcase().istitle():
                 continue
             if (score := stats.mean(text)) > best:
-                best, found = score, text
+                best, found = score, (text, (wrong, meant))
     return found
 
 
-def _from_cyrillic(run: str, stats: Associations) -> str | None:
+def reread(text: str, wrong: str, meant: str) -> str | None:
+    """A whole text back to bytes by one encoding and read by another; None if a character or byte doesn't fit."""
+    table = to_byte(wrong)
+    try:
+        return bytes(ord(c) if c < "\x80" else table[c] for c in text).decode(meant)
+    except (KeyError, UnicodeDecodeError):
+        return None
+
+
+def _from_cyrillic(run: str, stats: Associations) -> tuple[str, tuple[str, str]] | None:
     """Words of Cyrillic read by another Cyrillic encoding."""
     best, found = stats.mean(run) + 0.3, None
     for wrong in CYRILLIC:
@@ -284,7 +293,7 @@ def _from_cyrillic(run: str, stats: Associations) -> str | None:
             except UnicodeDecodeError:
                 continue
             if text and (score := stats.mean(text)) > best:
-                best, found = score, text
+                best, found = score, (text, (wrong, meant))
     return found
 
 
@@ -297,7 +306,7 @@ def repair(text: str | None, stats: Associations, may_be_cut: bool = True) -> tu
     case = lost
     for _ in range(6):  # some were decoded wrongly more than once
         pieces, at = [], 0
-        used: dict[str, int] = {}
+        used: dict[str | tuple[str, str], int] = {}
         for a, b in improbable_segments(fixed, stats):
             a, b = max(a, at), b
             if b - a < 1:
@@ -322,16 +331,26 @@ def repair(text: str | None, stats: Associations, may_be_cut: bool = True) -> tu
             break
         case = True
         whole = fixed
-        if used:  # the encoding went through the rest of the text, too
+        pairs = [e for e in used if isinstance(e, tuple)]
+        again = [t for e in pairs if (t := reread(fixed, *e)) is not None]
+        if again:  # a value in another encoding is so as a whole
+            return True, None if lost else max([*again, "".join(pieces) + fixed[at:]], key=stats.excess)
+        if used and not pairs:  # the encoding went through the rest of the text, too
             encoding = max(used, key=used.get)
             whole = _HIGH.sub(lambda m: _strict(m.group(), encoding, stats) or m.group(), fixed)
         fixed = whole if whole != fixed else "".join(pieces) + fixed[at:]
-    lost |= _CONTROL.search(fixed) is not None
+    if _CONTROL.search(fixed):
+        # bytes of double-byte encodings lie among ASCII, where runs are too short to tell
+        again = [t for wrong in ("latin-1", "cp1252") for meant in ("shift_jis", "gbk", "big5", "euc_jp", "euc_kr") if (t := reread(text, wrong, meant)) is not None and not _CONTROL.search(t)]
+        best = max(again, key=stats.excess, default=None)
+        if best is not None and stats.mean(best) > stats.mean(text) + GAIN and not lost:
+            return True, best
+        lost = True
     return case or lost, (None if lost else fixed) if case or lost else None
 
 
-def _repair_segment(segment: str, stats: Associations, left: str = "", right: str = "") -> tuple[str | None, bool, str | None]:
-    """The segment put right, or None; whether characters of it are lost; the encoding used for UTF-8, if that was it."""
+def _repair_segment(segment: str, stats: Associations, left: str = "", right: str = "") -> tuple[str | None, bool, str | tuple[str, str] | None]:
+    """The segment put right, or None; whether characters of it are lost; and the encoding used for UTF-8, or the encodings used and meant for another."""
     runs = list(_HIGH.finditer(segment))
     sides = [(segment[m.start() - 1] if m.start() else left, segment[m.end()] if m.end() < len(segment) else right) for m in runs]
     best, chosen, named = 0, None, None
@@ -354,9 +373,11 @@ def _repair_segment(segment: str, stats: Associations, left: str = "", right: st
             other = lambda r: (_from_cyrillic if _CYRILLIC.search(r) else _from_other)(r, stats)
             if _CYRILLIC.search(segment) and not _ODD_CYRILLIC.search(segment):
                 return None, False, None
-            chosen = [other(m.group()) if m.end() - m.start() >= 4 and stats.mean(m.group()) < IMPROBABLE else None for m in runs]
-            if any(chosen):  # short words beside those that are certain
-                chosen = [t or other(m.group()) for m, t in zip(runs, chosen)]
+            pairs = [other(m.group()) if m.end() - m.start() >= 4 and stats.mean(m.group()) < IMPROBABLE else None for m in runs]
+            if any(pairs):  # short words beside those that are certain
+                named = next(p for p in pairs if p)[1]
+                pairs = [p or other(m.group()) for m, p in zip(runs, pairs)]
+            chosen = [p and p[0] for p in pairs]
         if not any(chosen):
             return None, False, None
     else:
