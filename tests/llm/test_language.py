@@ -104,3 +104,28 @@ def test_units_of_rows(spark, learned):
     got = sentences.sentence_units(df, stats=learned).groupBy("doc_id").count().collect()
     assert {r["doc_id"]: r["count"] for r in got} == {1: 4, 5: 20000}
     assert sentences.sentence_units(df.limit(0)).count() == 0
+
+
+def test_statistics_are_kept_per_language_with_collocations(spark):
+    rng = random.Random(10)
+    names = ["Marrow", "Quindry", "Vantor", "Ellery"]
+    english = [lambda: f"See No. {rng.randrange(30)} in the annex of the office.", lambda: "The office of the town said that it was so.", lambda: f"It was written by {rng.choice(names)} in the town.", lambda: f"They went to Ft. Hessel and to the {rng.choice(names)} office.", lambda: f"It was the office of the Ft. {rng.choice(names)} town.", lambda: "Is it so? The town said it was."]
+    spanish = [lambda: "El acta de la ciudad dice que no.", lambda: "La ciudad no pagó el agua de la obra.", lambda: f"El alcalde {rng.choice(names)} dijo en la ciudad que no.", lambda: "¿Es cierto? La ciudad dice que no lo es."]
+    german = [lambda: f"Die Stadt hat am {rng.randrange(1, 29)}. Oktober den Bau und die Maut geprüft.", lambda: "Die Maut und der Bau sind in der Stadt.", lambda: f"Ab {rng.randrange(1, 29)}. Oktober gilt die Maut in der Stadt."]
+    rows = [(3 * i + k, "\n".join(" ".join(rng.choice(make)() for _ in range(3)) for _ in range(3)), lang, 0) for i in range(200) for k, (lang, make) in enumerate((("en", english), ("es-ES", spanish), ("de", german)))]
+    own = sentences.learn(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, start_off int"))
+    assert "no" in own.languages["en"].abbreviations and "no" not in own.languages["es"].abbreviations
+    assert "The" in own.languages["en"].starters and not set(names) & own.languages["en"].starters
+
+    def cut(text, tag):
+        a, b = sentences.units(text, own, tag)
+        return [text[x:y] for x, y in zip(a, b)]
+
+    spanish_text = ["El alcalde de la ciudad dice que no.", "El acta no lo dice."]
+    for tag in ("es", "ES-mx", None, "en"):  # the text's words tell the language where the tag doesn't
+        assert cut(" ".join(spanish_text), tag) == spanish_text
+    assert cut("See No. 12 and the office.", "en") == ["See No. 12 and the office."]
+    assert ("0", "Oktober") in own.languages["de"].collocations and cut("Die Sitzung war der 3. Oktober und die Maut.", None) == ["Die Sitzung war der 3. Oktober und die Maut."]
+    assert cut("Die Stadt und die Maut bis Montag, 3. Oktober und so.", "de") == ["Die Stadt und die Maut bis Montag, 3. Oktober und so."]
+    assert ("ft", "Hessel") in own.languages["en"].collocations
+    assert sentences._association(10, 10, 1, 100) == 0 and sentences._association(10, 10, 9, 1000) > sentences.COLLOCATION_SCORE
