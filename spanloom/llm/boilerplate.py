@@ -97,6 +97,7 @@ class Lexicon:
     """What the corpus tells about lines: repeated furniture, and the words and shapes of titles."""
 
     def __init__(self, pages: DataFrame) -> None:
+        pages = pages.withColumn("text", F.coalesce("text", F.lit("")))
         self.frequent, self.shapes = title_statistics(pages)
         rows = line_statistics(pages).collect()  # bounded: see lines.REPEATED_SHARE
         self.learned = learned_furniture([tuple(r) for r in rows], self.frequent, self.shapes)

@@ -27,7 +27,8 @@ def p1_main(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return residue.find_residue(_pages(spark, d), RECORD)
+    pages = _pages(spark, d)
+    return residue.find_residue(pages, RECORD, boilerplate.Lexicon(pages).learned)
 
 
 def _garbled(spark: SparkSession, d: str) -> DataFrame:

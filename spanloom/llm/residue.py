@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.lines import KEY_CHARS, bare_title, key_of, kind_of
+from spanloom.llm.lines import KEY_CHARS, bare_title, furniture_kind, key_of, kind_of
 
 #: A body of at most so many characters, after furniture, says little.
 LOW_INFORMATION = 320
@@ -83,7 +83,13 @@ _BEGINNINGS = frozenset(
 )
 #: Messages are lines of at most so many characters.
 MESSAGE_CHARS = 220
-_WORDS = re.compile(r"[^\W\d_]{4,}")
+#: Letters with the marks over and under them, which are no letters to ``re``; and scripts that put no blanks between words.
+_MARKS = "\u0300-\u036f\u064b-\u065f\u0670\u0900-\u0903\u093a-\u094f\u0962\u0963\u0981-\u0983\u09bc-\u09cd\u0b82\u0bbe-\u0bcd\u0e31\u0e34-\u0e3a\u0e47-\u0e4e\u0eb1-\u0ebc\u0ec8-\u0ece\u102b-\u103e\u17b4-\u17d3"
+_UNSPACED_CHARS = "\u0e01-\u0e30\u0e32\u0e33\u0e40-\u0e46\u0e81-\u0eb0\u0ec0-\u0ec6\u1000-\u102a\u1780-\u17b3\u3041-\u3096\u30a1-\u30fa\u30fc\u3400-\u4dbf\u4e00-\u9fff"
+_WORDS = re.compile(rf"(?:[^\W\d_{_UNSPACED_CHARS}]|[{_MARKS}]){{4,}}")
+_UNSPACED = re.compile(rf"(?:[{_UNSPACED_CHARS}][{_MARKS}]*)+")
+#: A body says something from so many words, or characters of scripts without blanks; of these, so many in a row are a word in common.
+LEAST_WORDS, LEAST_CHARS, GRAM = 3, 8, 4
 
 
 def shows_field(line: str) -> bool:
@@ -152,26 +158,32 @@ def _message(line: str) -> bool:
     return shows_message(line)
 
 
+def _grams(text: str) -> set[str]:
+    """Runs of GRAM characters in scripts without blanks between words."""
+    return {m[i : i + GRAM] for m in _UNSPACED.findall(text) for i in range(len(m) - GRAM + 1)}
+
+
 def core_signature(text: str, title: str | None, url: str | None, publisher: str | None, learned: frozenset[str] = frozenset()) -> str | None:
     """A digest of what is left without furniture, if it is short and meets neither title nor address; else None."""
     core, size = [], 0
     for line in text.split("\n"):
         s = line.strip()
-        if not s or len(s) <= KEY_CHARS and kind_of(s) in ("furniture", "head"):
+        if not s or (kind_of(s) if len(s) <= KEY_CHARS else furniture_kind(s)) in ("furniture", "head"):
             continue
-        if size + len(s) > LOW_INFORMATION:
-            return None
         key = key_of(s, publisher)
         if key in learned:
             continue
         size += len(s)
+        if size > LOW_INFORMATION:
+            return None
         core.append(key)
     body = "\n".join(core)
     words = set(_WORDS.findall(body))
-    if len(words) < 3:
+    if len(words) < LEAST_WORDS and sum(map(len, _UNSPACED.findall(body))) < LEAST_CHARS:
         return None
-    known = {w.lower() for w in _WORDS.findall((title or "") + " " + re.sub(r"^https?://[^/]*", "", url or ""))}
-    return None if words & known else hashlib.md5(body.encode()).hexdigest()
+    about = (title or "") + " " + re.sub(r"^https?://[^/]*", "", url or "")
+    known = {w.lower() for w in _WORDS.findall(about)}
+    return None if words & known or _grams(body) & _grams(about) else hashlib.md5(body.encode()).hexdigest()
 
 
 def examine(pages: DataFrame, keys: list[str], learned: frozenset[str] = frozenset()) -> DataFrame:

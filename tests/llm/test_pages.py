@@ -60,6 +60,23 @@ def test_unknown_responses_are_found_by_their_hosts(spark):
     assert residue.find_residue(df.limit(0), ["case_id", "document_id"]).count() == 0
 
 
+def test_host_evidence_beside_furniture_and_in_any_script(spark):
+    sides = [f"Harbour almanac and calendar of the region, part {c}{c}, with all that it says" for c in "abcdefgh"]
+    notice = "© 2020 Bay Courier. All rights reserved."
+    answers = {"en": "Nothing can be shown today, kindly come back tomorrow", "zh": "暂时不能显示此内容请稍后再来", "th": "ขณะนี้ไม่สามารถแสดงเนื้อหานี้ได้", "hi": "अभी यह सामग्री दिखाई नहीं जा सकती"}
+    rows = []
+    for a, answer in answers.items():
+        for i in range(4):  # other furniture on each page, together longer than a short body
+            text = "\n".join([*sides[i : i + 5], notice, answer])
+            rows.append((text, f"Tax {i}", f"https://{a}{i}.example/{i}", "Bay Courier"))
+    rows += [("据水务管理局称收费标准没有变化", "据水务管理局称收费标准没有变化吗", f"https://w{i}.example/{i}", None) for i in range(4)]
+    learned = frozenset(key_of(x, None) for x in sides)
+    got = {r["document_id"] for r in residue.find_residue(pages(spark, rows), ["case_id", "document_id"], learned).collect()}
+    assert got == {f"d{i}" for i in range(16)}
+    wide = "Tags: " + "harbour, ferry, " * 30  # known furniture of any length
+    assert residue.core_signature(wide + "\n" + answers["en"], None, None, None) == residue.core_signature(answers["en"], None, None, None) is not None
+
+
 def test_stuffing(spark):
     rng = random.Random(5)
     words = [f"w{a}{b}n" for a in "abcdefghkl" for b in "aeiouyrst"]
