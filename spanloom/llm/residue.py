@@ -64,24 +64,21 @@ _MESSAGE = re.compile(
     | (?:您访问的|抱歉,?|该|此)?页面(?:不存在|未找到|无法).* | 请(?:启用|开启|打开)\ ?java\s?script.* | 访问被拒绝.* | 服务器(?:内部)?错误.* | 正在(?:检查|验证)您的浏览器.* | お探しのページは.* | ページが見つかりません.* | (?:このページを表示するには)?java\s?scriptを(?:有効|オン)に.* | このページを表示するには.* | アクセスが拒否.* | サーバー(?:内部)?エラー.* | الصفحة\ (?:غير\ موجودة|المطلوبة).* | يرجى\ تفعيل\ .* | ไม่พบหน้า.* | (?:กรุณา|โปรด)เปิดใช้งาน\ ?java\s?script.* | पृष्ठ\ (?:नहीं\ मिला|उपलब्ध\ नहीं).* | कृपया\ java\s?script.*
     )$"""
 )
-#: One hint per way a message can begin, so that most lines need no long match.
-_MESSAGE_HINT = re.compile(
-    r"(?i)[45]\d\d\b|oops|sorry|page|article|address|access|permission|requests|limit of|database|error|traceback|upstream|gateway|unavailable|available|maintenance|session|redirect|loading|please|nothing happens|seconds|script|browser|human|robot|captcha|search box|erreur|activez|accès|seite|zugriff|fehler|sitzung|página|acceso|sesión|acesso|erro|sessão|страниц|включите|доступ|ошибка|проверка|页面|启用|开启|拒绝|错误|浏览器|ページ|アクセス|エラー|الصفحة|تفعيل|หน้า|เปิดใช้|पृष्ठ|कृपया"
-)
 _TITLES = re.compile(
     r"(?i)^(?:error|oops!?|untitled(?: document| page)?|sample page|new page|page title|no title|title|home ?page|index|default|document|redirecting(?:…|\.\.\.)?|loading(?:…|\.\.\.)?|please wait(?:…|\.\.\.)?|just a moment(?:…|\.\.\.)?|attention required!?.*|are you a robot\??|security check|captcha|maintenance|test(?: page)?|coming soon|under construction|hello world!?|service unavailable|bad gateway|forbidden|not found|site maintenance|one moment(?:…|\.\.\.|,? please.*)?|verification required|human verification|robot check|seite nicht gefunden|página no encontrada|página não encontrada|page introuvable|страница не найдена|页面不存在|ページが見つかりません|your headline goes here|null|undefined|nan|none|n/a|tbd|todo|xxx+)$"
 )
 #: Lines that only look like notices.
 _HARMLESS = re.compile(r"(?i)^(?:this browser can play|page \d+|article \d+|pages? \d+[-–])")
-_FILLER_HINT = re.compile(r"(?i)lorem|ipsum|dolor|ornat|vestu|fusca|test|asdf|qwer|xxx|tk|todo|here|headline|title|intro|sample|dummy|placeholder|texto|text|titre|текст|插入|输入|填写|示例|ここに|サンプル")
-#: Parts of words one of which is in any filler, as written.
-_FILLER_SIGNS = ("psum", "dolor", "viverr", "vestu", "fusca", "lorem", "asdf", "qwer", "test test", "xxx", "TK TK", "TODO", "here", "ample ", "ummy", "laceholder", "ejemplo", "exemplo", "exemple", "lindtext", "ispieltext", "latzhalter", "пример", "текст", "插入", "输入", "填写", "示例", "ここに", "サンプル")
+#: In lower case: stems of filler words, what filler lines hold anywhere, and what they begin with; one for every alternative of the patterns.
+_FILLER_STEMS = ("lorem", "ipsum", "dolor", "amet", "consectetur", "adipiscing", "elit", "tincid", "viverr", "vestu", "dapib", "sollic", "fusca", "quindis", "rhonce", "pelorat", "egat", "allemor", "ornat", "morvit", "nuntis", "curabit")
+_FILLER_INSIDE = ("asdf", "qwer", "tk", "goes")
+_FILLER_STARTS = ("test", "xx", "todo", "insert", "add", "enter", "place", "put", "sample", "dummy", "aquí", "texto", "hier", "beispieltext", "blindtext", "platzhalter", "texte", "ici", "votre", "aqui", "пример", "здесь", "текст", "此处", "在此", "示例文本", "ここに", "サンプルテキスト")
 #: The first words of the messages that begin in ASCII.
 _BEGINNINGS = frozenset(
-    """error http oops sorry whoops the page article file document access you too slow an internal fatal parse runtime uncaught syntax traceback warning bad service site website gateway connection request this your redirect redirecting redirected loading please if enable turn switch activate allow javascript java our we checking verify confirm prove complete solve are i'm i’m update try
+    """error http oops sorry whoops the page article file document resource access you too slow an internal fatal parse runtime uncaught syntax traceback warning bad service site website gateway connection request this your redirect redirecting redirected loading please if enable turn switch activate allow javascript java our we checking verify confirm prove complete solve are i'm i’m update try
     erreur la pour veuillez activez votre diese die seite bitte zugriff interner serverfehler fehler ihre ihr por active habilite acceso su a ative ativar acesso erro""".split()
 )
-#: Messages are lines of at most so many characters.
+#: Lines of at most so many characters are remembered, as they may come again.
 MESSAGE_CHARS = 220
 #: Letters with the marks over and under them, which are no letters to ``re``; and scripts that put no blanks between words.
 _MARKS = "\u0300-\u036f\u064b-\u065f\u0670\u0900-\u0903\u093a-\u094f\u0962\u0963\u0981-\u0983\u09bc-\u09cd\u0b82\u0bbe-\u0bcd\u0e31\u0e34-\u0e3a\u0e47-\u0e4e\u0eb1-\u0ebc\u0ec8-\u0ece\u102b-\u103e\u17b4-\u17d3"
@@ -116,18 +113,23 @@ def _reported(line: str, begin: int, end: int) -> bool:
 def shows_message(line: str) -> bool:
     """Whether a whole line is filler or a message of a server, script or browser check."""
     low = line.strip()
-    if len(low) > MESSAGE_CHARS:
-        return _filler(low)
-    if _FILLER_HINT.search(low) and (_FILLER_LINE.match(low) or _filler(low)):
+    if _shows_filler(low):
         return True
-    return _MESSAGE_HINT.search(low) is not None and not _HARMLESS.match(low) and bool(_MESSAGE.match(low))
+    return _is_message(low)
+
 
+def _is_message(line: str) -> bool:
+    return bool(_MESSAGE.match(line)) and not _HARMLESS.match(line)
 
-def _filler(line: str) -> bool:
-    if not ("or" in line or "um" in line or "am" in line or "it" in line) or not _FILLER.search(line):
+
+def _shows_filler(line: str) -> bool:
+    low = line.lower()
+    if (low.startswith(_FILLER_STARTS) or any([h in low for h in _FILLER_INSIDE])) and _FILLER_LINE.match(line):
+        return True
+    if not any([h in low for h in _FILLER_STEMS]):
         return False
-    words = line.count(" ") + 1
-    return words >= 5 and len(_FILLER.findall(line)) * 2 >= words
+    words = low.count(" ") + 1
+    return words >= 5 and len(_FILLER.findall(low)) * 2 >= words
 
 
 def shows_residue(text: str, title: str | None, publisher: str | None = None) -> bool:
@@ -137,25 +139,35 @@ def shows_residue(text: str, title: str | None, publisher: str | None = None) ->
             if _TITLES.match(t) or shows_message(t) or shows_field(t):
                 return True
     fields = any([h in text for h in _FIELD_SIGNS]) or any([h in text for h in _VALUE_HINT])
-    filler = any([h in text for h in _FILLER_SIGNS])
-    for line in text.split("\n"):
+    low = text.lower()
+    filler = [h for h in (*_FILLER_STEMS, *_FILLER_INSIDE) if h in low]
+    activate = "activez" in low
+    for line, lowered in zip(text.split("\n"), low.split("\n")):
         n = len(line)
-        if n > 2 and (fields and shows_field(line) or (filler and shows_message(line)) or (n <= MESSAGE_CHARS and _may_begin(line) and _message(line))):
+        if n < 3:
+            continue
+        if fields and shows_field(line):
+            return True
+        bare = lowered.lstrip()
+        if (bare.startswith(_FILLER_STARTS) or filler and any([h in lowered for h in filler])) and _shows_filler(line.strip()):
+            return True
+        if (_may_begin(bare) or activate and "activez" in lowered) and (_message(line) if n <= MESSAGE_CHARS else _is_message(line.strip())):
             return True
     return False
 
 
-def _may_begin(line: str) -> bool:
-    first = line.split(None, 1)
+def _may_begin(low: str) -> bool:
+    """Whether the first word of a line in lower case begins messages."""
+    first = low[:60].split(None, 1)
     if not first:
         return False
-    word = first[0].rstrip(".,!:;…").lower()
-    return not word.isascii() or word in _BEGINNINGS or word[:3].isdigit() or word.endswith(("error", "exception"))
+    word = first[0].rstrip(".,!:;…")
+    return not word.isascii() or word in _BEGINNINGS or word[:3].isdigit() or word.endswith(("error", "exception")) or len(first[0]) >= 60
 
 
 @functools.lru_cache(maxsize=65_536)
 def _message(line: str) -> bool:
-    return shows_message(line)
+    return _is_message(line.strip())
 
 
 def _grams(text: str) -> set[str]:

@@ -50,6 +50,15 @@ def test_residue(text, title, want):
     assert residue.shows_residue(text, title) is want
 
 
+@pytest.mark.parametrize("line", [
+    "Test. Test. Test.", "ASDF", "Qwerty", "XXX XXX", "words tk TK", "todo: write it", "Insert your text here", "Put copy here", "Headline goes here", "the CAPTION Goes Here", "Sample paragraph", "Dummy text", "Placeholder", "Aquí va el texto", "texto de exemplo", "Hier steht Ihr Text", "Hier steht etwas", "Blindtext", "Platzhalter", "Texte d'exemple", "Ici va le texte", "votre titre", "aqui vai o texto", "Пример текста", "Здесь будет текст", "此处插入内容", "示例文本", "ここに本文", "サンプルテキスト",
+    "Consectetur adipiscing dapibus sollicitudin rhoncus curabitur viverra", "LOREM IPSUM DOLOR SIT AMET ELIT", "Ativar JavaScript", "Pour la suite, activez JavaScript", "Slow down and retry", "The resource you requested was not found", "Resource you requested has moved", "SomeException: value", 'File "a.py", line 3', "Warning: bad thing on line 3", "Connection timed out", "Request time-out", "Service is down", "Solve the challenge", "Complete the action", "Vérification de votre navigateur", "Access denied", "Loading...", "Oops! Something went wrong", "502 Bad Gateway", "Traceback (most recent call last):",
+    "Internal server error occurred " + "while the page was made " * 12,
+])
+def test_every_alternative_passes_its_gate(line):
+    assert residue.shows_residue(PROSE + "\n  " + line + "\n" + PROSE, None)
+
+
 def test_unknown_responses_are_found_by_their_hosts(spark):
     answer = "Nothing can be shown today, kindly come back tomorrow"
     rows = [(answer, f"Harbour {w}", f"https://{w}.example/{w}", None) for w in ("plan", "tax", "fee", "toll")]
