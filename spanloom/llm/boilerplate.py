@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.lines import SENTENCE_END, _BULLET, key_of, kind_of, learned_furniture, line_statistics, shape_of, title_statistics
-from spanloom.llm.residue import core_signature, duplicated_responses, shows_residue
+from spanloom.llm.residue import core_signature, residue_cases, shows_residue
 from spanloom.session import materialize
 
 #: Lines on either side that a window takes in, and the length in bytes at which its sum counts as a surge; sentences and entries
@@ -112,20 +112,24 @@ def find_boilerplate(pages: DataFrame, keys: list[str], lexicon: Lexicon | None
 
     def scan(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pdfs:
-            lines, marks = [], []
+            lines, marks, residue = [], [], []
             for text, title, url, publisher in zip(pdf["text"], pdf["title"], pdf["url"], pdf["publisher"]):
-                if shows_residue(text, title, publisher):
+                residue.append(shows_residue(text, title, publisher))
+                if residue[-1]:
                     lines.append([])
                     marks.append(None)
                     continue
                 labels = label_lines(text, title, publisher, learned, frequent, shapes)
                 lines.append([i for i, x in enumerate(labels) if x is False])
-                marks.append(core_signature(text, title, url, publisher, learned) if len(text) < 4000 else None)
-            yield pdf[[*keys, "url"]].assign(line_nos=lines, signature=marks)
-
-    schema = ", ".join(f"`{k}` {pages.schema[k].dataType.simpleString()}" for k in keys) + ", url string, line_nos array<int>, signature string"
-    found = materialize(pages.mapInPandas(scan, schema).where("size(line_nos) > 0"), "furniture")
-    sound = found.where("signature IS NULL").unionByName(found.where("signature IS NOT NULL").join(duplicated_responses(found), "signature", "left_anti").select(*found.columns))
+                marks.append(core_signature(text, title, url, publisher, learned))
+            yield pdf[[*keys, "url"]].assign(line_nos=lines, signature=marks, residue=residue)
+
+    schema = ", ".join(f"`{k}` {pages.schema[k].dataType.simpleString()}" for k in keys) + ", url string, line_nos array<int>, signature string, residue boolean"
+    found = materialize(pages.mapInPandas(scan, schema).where("size(line_nos) > 0 OR signature IS NOT NULL OR residue"), "furniture")
+    # the cases of problem 2, by the same signs over the same rows as there
+    cases = residue_cases(found, keys)
+    same = [F.col(f"f.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys]
+    sound = found.where("size(line_nos) > 0").alias("f").join(cases.alias("c"), same, "left_anti")
     # copies of a record have the same lines: one row per record is kept before lines are spread
     return sound.groupBy(*keys).agg(F.first("line_nos").alias("line_nos")).select(*keys, F.explode("line_nos").alias("line_no"))
 

@@ -224,6 +224,11 @@ def find_residue(pages: DataFrame, keys: list[str], learned: frozenset[str] = fr
     from spanloom.session import materialize
 
     examined = materialize(examine(pages, keys, learned).where("residue OR signature IS NOT NULL"), "residue")
+    return residue_cases(examined, keys)
+
+
+def residue_cases(examined: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys`` of the records with residue or a response given out for several addresses, each once (``keys, url, residue, signature``)."""
     direct = examined.where("residue").select(*keys)
     doubled = examined.where("signature IS NOT NULL").join(duplicated_responses(examined), "signature", "left_semi").select(*keys)
     return direct.unionByName(doubled).distinct()

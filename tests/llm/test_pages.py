@@ -69,6 +69,18 @@ def test_unknown_responses_are_found_by_their_hosts(spark):
     assert residue.find_residue(df.limit(0), ["case_id", "document_id"]).count() == 0
 
 
+def test_cases_of_residue_give_no_rows_of_boilerplate(spark):
+    answer, keys = "Nothing can be shown today, kindly come back tomorrow", ["case_id", "document_id"]
+    menu = "Home | About us | Contact\n"
+    # one with more than 4000 characters of furniture, the others with none
+    rows = [(menu * 200 + answer, "Tax", "https://a.example/1", None)] + [(answer, f"Harbour {i}", f"https://b{i}.example/{i}", None) for i in range(3)]
+    rows += [(menu + PROSE, "Tax", "https://c.example/1", None)]
+    df = pages(spark, rows)
+    assert len(rows[0][0]) > 4000
+    assert {r["document_id"] for r in residue.find_residue(df, keys).collect()} == {"d0", "d1", "d2", "d3"}
+    assert {(r["document_id"], r["line_no"]) for r in boilerplate.find_boilerplate(df, keys).collect()} == {("d4", 0)}
+
+
 def test_host_evidence_beside_furniture_and_in_any_script(spark):
     sides = [f"Harbour almanac and calendar of the region, part {c}{c}, with all that it says" for c in "abcdefgh"]
     notice = "© 2020 Bay Courier. All rights reserved."
