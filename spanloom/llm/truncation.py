@@ -257,11 +257,18 @@ class Classifier:
         entry = _BULLET.sub("", line)
         if len(line) <= 75 and _PAIR.match(entry) and (entry != line or script_class(line) == "cjk"):
             return False
-        if len(line) <= 110 and _ENTRY.search(line) or len(line) <= 60 and _PLACED.match(line):
-            return False
+        if _entry_like(line):
+            # words with a comma may as well be the beginning of a sentence: among entries they are one, else a high score says that they aren't
+            above = [x for x in map(str.strip, body[: body.rfind("\n") + 1].split("\n")) if x][-1:]
+            if any(_BULLET.match(x) or _entry_like(x) for x in above) or self.score(text) < SURE:
+                return False
         return len(line) > 160 or shape_of(line, self.corpus.frequent) not in self.corpus.shapes
 
 
+def _entry_like(line: str) -> bool:
+    return len(line) <= 110 and bool(_ENTRY.search(line)) or len(line) <= 60 and bool(_PLACED.match(line))
+
+
 def score_records(pages: DataFrame, keys: list[str], classifier: Classifier | None = None) -> DataFrame:
     """``keys, publisher, is_cut`` of every row."""
     own = classifier or Classifier(pages)

@@ -139,6 +139,15 @@ def test_truncation(spark, classifier):
     assert truncation.TRACE.search("end… [+12 chars]") and truncation.TRACE.search("end […]") and not truncation.TRACE.search("the end.")
 
 
+def test_form_of_an_entry_yields_to_a_high_score(classifier, monkeypatch):
+    own, say = classifier
+    text, rows = say() + "\n\nAccording to the annual drawings, Lucian Hintze", "\nMarnwick Harbour, Lucian Hintze\nBay Harbour, Ilse Quindry"
+    for score, want in ((0.97, True), (0.7, False)):
+        monkeypatch.setattr(own, "score", lambda _, score=score: score)
+        assert own.is_cut(text) is want
+        assert not own.is_cut(say() + rows)  # in a run of entries
+
+
 def test_truncation_without_texts(spark):
     empty = pages(spark, [(None, None, None, None)]).where("text IS NOT NULL")
     own = truncation.Classifier(empty.select("text", "title", "publisher"))
