@@ -1,152 +1,125 @@
 """Problem 1: the main content of web pages.
 
-Line-block distribution: mark-up is stripped, each line is given the text length that speaks for content (none, if it repeats
-over the corpus as furniture or has a menu's form), and these lengths are summed over sliding windows of neighbouring lines.
-Where the sum surges text begins, where it dives text ends; lines between are kept. Inside, an exact check takes out lines that
-are furniture by themselves: notices, widgets and the teasers under their headings.
+Line-block distribution: mark-up is stripped, each line weighs its bytes, and weights are summed over sliding windows of
+neighbouring lines. Over the corpus this curve gives every page's core; lines that repeat outside the core, per site or over all pages,
+are learned as furniture (``furniture``). On each page these then weigh nothing, as do teasers below learned heads, the windows are summed again, and
+where the sum surges text begins, where it dives text ends: lines between surge and dive that weigh something are kept, all others go.
 
 Defined results: blank lines are never reported; null and empty texts give no rows; a text that is furniture only loses all its
-lines; repeated rows give the same rows once; other columns are ignored.
+lines; lines of any length may be furniture; repeated rows give the same rows once; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.lines import SENTENCE_END, _BULLET, key_of, kind_of, learned_furniture, line_statistics, shape_of, title_statistics
-from spanloom.llm.residue import core_signature, residue_cases, shows_residue
-from spanloom.session import materialize
+from spanloom.llm.furniture import CONTENT, HEAD, Furniture, digest, learn, page_lines, site_of, with_site_keys
+from spanloom.llm.lines import SENTENCE_END, _BULLET, key_of, shape_of
 
-#: Lines on either side that a window takes in, and the length in bytes at which its sum counts as a surge; sentences and entries
-#: of lists speak for content alone.
+#: Lines on either side that a window takes in, and the bytes at which its sum surges. Sentences and entries weigh a surge: they are text wherever they stand.
 REACH = 2
 SURGE = 40
-#: Teasers under one heading.
-MOST_TEASERS = 8
-TEASER_CHARS = 140
 
-_MARKUP = re.compile(r"<(?:/?[a-zA-Z][^<>]*|!--.*?--)>")
 #: A line that points to another page.
 _POINTED = re.compile(r"^[→»➜➔]\s+\S")
+_RUNTIME = re.compile(r"\s*\([\d: ]+\)$")
 _LISTED = re.compile(r"\d|[,;]\s")
 
 
-def _teaser(line: str, key: str, frequent: frozenset[str], shapes: frozenset[str]) -> bool:
-    """Whether a line under a heading of teasers is one: it has the shape of a title, or at least not that of text or entries."""
-    if len(line) > TEASER_CHARS or _BULLET.match(line):
+def _teaser(line: str, furniture: Furniture) -> bool:
+    """Whether a line under a head of teasers is one: it has the shape of a title, or at least not that of text or entries."""
+    if _BULLET.match(line):
         return False
-    if shape_of(line, frequent) in shapes:
-        return True
-    return not SENTENCE_END.search(line) and not _LISTED.search(line)
+    return shape_of(line, furniture.frequent) in furniture.shapes or not SENTENCE_END.search(line) and not _LISTED.search(line)
 
 
-def label_lines(text: str, title: str | None, publisher: str | None, learned: frozenset[str], frequent: frozenset[str], shapes: frozenset[str]) -> list[bool | None]:
+def _pointer(line: str, furniture: Furniture) -> bool:
+    """Whether a line points to another page: an arrow, or a few words and a colon, before what has the shape of a title."""
+    if _POINTED.match(line):
+        return shape_of(line, furniture.frequent).lstrip("_ ") in furniture.bare_shapes
+    before, colon, after = line.partition(": ")
+    if not colon or before.count(" ") > 1 or not before.replace(" ", "").isalpha() or shape_of(line, furniture.frequent) in furniture.shapes:
+        return False
+    return shape_of(_RUNTIME.sub("", after), furniture.frequent) in furniture.shapes
+
+
+def label_lines(text: str, title: str | None, url: str | None, publisher: str | None, furniture: Furniture, own: dict[int, int] | None = None) -> list[bool | None]:
     """For every line whether it is main content; None for blank lines."""
-    lines = text.split("\n")
-    at = [i for i, x in enumerate(lines) if x.strip()]
-    out: list[bool | None] = [None] * len(lines)
+    out: list[bool | None] = [None] * (text.count("\n") + 1)
+    lines = page_lines(text)
     titled = title.strip() if title else None
-    plain, weights, kinds = [], [], []
-    teasers = 0
-    bare_shapes = {x.lstrip("_ ") for x in shapes} if "→" in text or "»" in text else ()
-    for i in at:
-        s = lines[i].strip()
-        if "<" in s:
-            s = _MARKUP.sub(" ", s).strip()
-        kind = None
-        if s == titled and not (teasers and "title" in kinds):
-            kind, teasers = "title", 0
-        elif _POINTED.match(s) and len(s) <= TEASER_CHARS and shape_of(s, frequent).lstrip("_ ") in bare_shapes:
-            kind, teasers = "teaser", 0
-        elif len(s) <= 200:
-            kind = kind_of(s)
-            if kind is None or kind == "subhead":
-                key = key_of(s, publisher)
-                if kind is None and key in learned:
-                    kind = "furniture"
-                elif kind is None and teasers and _teaser(s, key, frequent, shapes):
-                    kind, teasers = "teaser", teasers - 1
-                elif teasers:
-                    teasers = 0
-            elif kind == "head":
-                teasers = MOST_TEASERS
-            elif teasers:
-                teasers = 0
+    site = digest(site_of(url, publisher))
+    weights: list[int] = []
+    teasers = seen_title = False
+    for _, s in lines:
+        weight = len(s.encode("utf-8", "surrogatepass"))
+        if s == titled and not (teasers and seen_title):
+            teasers, seen_title = False, True
         else:
-            teasers = 0
-        plain.append(s)
-        kinds.append(kind)
-        weights.append(len(s.encode()) if kind in (None, "title", "subhead") else 0)
-    n = len(at)
+            key = key_of(s, publisher)
+            kind = furniture.kind(key, site, own)
+            if kind == CONTENT:
+                teasers = False
+            elif kind:
+                weight, teasers = 0, kind == HEAD
+            elif teasers and _teaser(s, furniture) or _pointer(s, furniture):
+                weight = 0
+            elif furniture.framed(key):
+                weight, teasers = 0, False
+            else:
+                teasers = False
+                if SENTENCE_END.search(s) or _BULLET.match(s) or _LISTED.search(s):
+                    weight = max(weight, SURGE)
+        if s == titled:
+            weight = max(weight, SURGE)
+        weights.append(weight)
+    n = len(lines)
     sums = [0] * (n + 1)
     for i, w in enumerate(weights):
         sums[i + 1] = sums[i] + w
-    for j, i in enumerate(at):
-        block = sums[min(n, j + REACH + 1)] - sums[max(0, j - REACH)]
-        s = plain[j]
-        out[i] = weights[j] > 0 and (block >= SURGE or kinds[j] == "title" or bool(SENTENCE_END.search(s) or _BULLET.match(s) or _LISTED.search(s)))
+    for j, (i, _) in enumerate(lines):
+        out[i] = weights[j] > 0 and sums[min(n, j + REACH + 1)] - sums[max(0, j - REACH)] >= SURGE
     return out
 
 
-class Lexicon:
-    """What the corpus tells about lines: repeated furniture, and the words and shapes of titles."""
+def prepared(pages: DataFrame, keys: list[str], furniture: Furniture) -> DataFrame:
+    return with_site_keys(pages.select(*keys, F.coalesce("text", F.lit("")).alias("text"), "title", "url", "publisher"), furniture)
 
-    def __init__(self, pages: DataFrame) -> None:
-        pages = pages.withColumn("text", F.coalesce("text", F.lit("")))
-        self.frequent, self.shapes = title_statistics(pages)
-        rows = line_statistics(pages).collect()  # bounded: see lines.REPEATED_SHARE
-        self.learned = learned_furniture([tuple(r) for r in rows], self.frequent, self.shapes)
 
+def own_keys(cell) -> dict[int, int] | None:
+    return None if cell is None else {x["h"] & 0xFFFFFFFFFFFFFFFF: x["kind"] for x in cell}
 
-def find_boilerplate(pages: DataFrame, keys: list[str], lexicon: Lexicon | None = None) -> DataFrame:
+
+def find_boilerplate(pages: DataFrame, keys: list[str], furniture: Furniture | None = None) -> DataFrame:
     """``keys, line_no`` of every non-blank line outside the main content, of records (``text, title, url, publisher``) that hold
     content at all: those of problem 2 give no rows."""
-    pages = pages.select(*keys, F.coalesce("text", F.lit("")).alias("text"), "title", "url", "publisher")
-    own = lexicon or Lexicon(pages)
-    learned, frequent, shapes = own.learned, own.frequent, own.shapes
-
-    def scan(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in pdfs:
-            lines, marks, residue = [], [], []
-            for text, title, url, publisher in zip(pdf["text"], pdf["title"], pdf["url"], pdf["publisher"]):
-                residue.append(shows_residue(text, title, publisher))
-                if residue[-1]:
-                    lines.append([])
-                    marks.append(None)
-                    continue
-                labels = label_lines(text, title, publisher, learned, frequent, shapes)
-                lines.append([i for i, x in enumerate(labels) if x is False])
-                marks.append(core_signature(text, title, url, publisher, learned))
-            yield pdf[[*keys, "url"]].assign(line_nos=lines, signature=marks, residue=residue)
-
-    schema = ", ".join(f"`{k}` {pages.schema[k].dataType.simpleString()}" for k in keys) + ", url string, line_nos array<int>, signature string, residue boolean"
-    found = materialize(pages.mapInPandas(scan, schema).where("size(line_nos) > 0 OR signature IS NOT NULL OR residue"), "furniture")
-    # the cases of problem 2, by the same signs over the same rows as there
-    cases = residue_cases(found, keys)
+    from spanloom.llm.residue import examine, residue_cases
+
+    taught = furniture or learn(pages)
+    found = examine(pages, keys, taught)
+    cases = residue_cases(found, keys, taught)
     same = [F.col(f"f.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys]
     sound = found.where("size(line_nos) > 0").alias("f").join(cases.alias("c"), same, "left_anti")
     # copies of a record have the same lines: one row per record is kept before lines are spread
     return sound.groupBy(*keys).agg(F.first("line_nos").alias("line_nos")).select(*keys, F.explode("line_nos").alias("line_no"))
 
 
-def extract_main(pages: DataFrame, keys: list[str], lexicon: Lexicon | None = None) -> DataFrame:
+def extract_main(pages: DataFrame, keys: list[str], furniture: Furniture | None = None) -> DataFrame:
     """``keys, main``: the main content of every record, its lines and the blank lines between them as they were."""
-    pages = pages.select(*keys, F.coalesce("text", F.lit("")).alias("text"), "title", "url", "publisher")
-    own = lexicon or Lexicon(pages)
-    learned, frequent, shapes = own.learned, own.frequent, own.shapes
+    taught = furniture or learn(pages)
+    pages = prepared(pages, keys, taught)
 
     @F.pandas_udf("string")
-    def main(text: pd.Series, title: pd.Series, publisher: pd.Series) -> pd.Series:
+    def main(text: pd.Series, title: pd.Series, url: pd.Series, publisher: pd.Series, own: pd.Series) -> pd.Series:
         out = []
-        for t, h, p in zip(text, title, publisher):
-            labels, rows = label_lines(t, h, p, learned, frequent, shapes), t.split("\n")
+        for t, h, u, p, cell in zip(text, title, url, publisher, own):
+            labels, rows = label_lines(t, h, u, p, taught, own_keys(cell)), t.split("\n")
             kept = [i for i, x in enumerate(labels) if x]
             out.append("\n".join(rows[i] for i in range(kept[0], kept[-1] + 1) if labels[i] is not False) if kept else "")
         return pd.Series(out, dtype=object)
 
-    return pages.select(*keys, main("text", "title", "publisher").alias("main"))
+    return pages.select(*keys, main("text", "title", "url", "publisher", "own").alias("main"))

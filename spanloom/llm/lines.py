@@ -114,9 +114,13 @@ _NOT_ASCII = re.compile(r"\s*[^\x00-\x7f]+\s*")
 _PLAIN_FURNITURE, _PLAIN_HEADS = (frozenset(y for x in s if not x.isascii() and len(y := _NOT_ASCII.sub(" ", x).strip()) >= 5) for s in (FURNITURE, HEADS))
 
 
+_SEPARATOR = re.compile(r"(?<=\S)(?:\s{2,}|\t|\s[|/>›»·]\s|[›»·|])(?=\S)")
+
+
 def key_of(line: str, publisher: str | None) -> str:
-    """What lines that repeat have in common: numbers as 0, the page's own publisher as <p>, white space as one blank."""
-    out = " ".join(line.split())
+    """What lines that repeat have in common: numbers as 0, the page's own publisher as <p>, white space as one blank, and
+    what separates entries of menus (wide space among it) as " | "."""
+    out = " ".join(_SEPARATOR.sub(" | ", line).split())
     if publisher and publisher in out:
         out = out.replace(publisher, "<p>")
     return _DIGITS.sub("0", out).lower()

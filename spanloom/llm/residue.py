@@ -1,8 +1,9 @@
 """Problem 2: template residue, filler, error pages and script notices in place of content.
 
-Two kinds of evidence are joined. Detectors look for unfilled fields and values, filler text, and messages that stand on a
-line of their own; a sentence that reports such a thing is no case. Host evidence finds responses that no detector knows: a
-short body whose words meet neither the record's title nor its address, given out for several addresses of one or more hosts.
+Two kinds of evidence are combined. Host evidence: the terms of a page's body (without learned furniture) are compared with its title and
+the slug of its address; a short body that meets neither is low-information, and lines that such bodies of several addresses have in
+common, but hardly any page with a text, mark responses of servers and scripts, known to a detector or not. Placeholder detectors look for unfilled
+fields and values, filler text, and messages that stand on a line of their own, also inside articles; a sentence that reports such a thing is no case.
 
 Defined results: null and empty texts and titles show nothing; a redelivered row is the same record; very long texts are
 searched whole; extra columns are ignored; an empty table has no cases.
@@ -11,7 +12,6 @@ searched whole; extra columns are ignored; an empty table has no cases.
 from __future__ import annotations
 
 import functools
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -19,11 +19,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.lines import KEY_CHARS, bare_title, furniture_kind, key_of, kind_of
+from spanloom.llm.boilerplate import label_lines, own_keys, prepared
+from spanloom.llm.furniture import Furniture, digest, learn
+from spanloom.llm.lines import bare_title, key_of
+from spanloom.session import materialize
 
-#: A body of at most so many characters, after furniture, says little.
+#: A body of at most so many characters, without furniture, says little.
 LOW_INFORMATION = 320
-#: A low-information body must come from so many different addresses, with titles it doesn't meet.
+#: A line of low-information bodies must come from so many different addresses, with titles it doesn't meet.
 LEAST_ADDRESSES = 3
 
 _NAME = r"[\w][\w.\- ]{0,30}"
@@ -175,60 +178,65 @@ def _grams(text: str) -> set[str]:
     return {m[i : i + GRAM] for m in _UNSPACED.findall(text) for i in range(len(m) - GRAM + 1)}
 
 
-def core_signature(text: str, title: str | None, url: str | None, publisher: str | None, learned: frozenset[str] = frozenset()) -> str | None:
-    """A digest of what is left without furniture, if it is short and meets neither title nor address; else None."""
+def low_information(text: str, labels: list[bool | None], title: str | None, url: str | None, publisher: str | None) -> list[int] | None:
+    """Digests of the keys of a page's content lines, if these are few and meet neither title nor address; else None."""
     core, size = [], 0
-    for line in text.split("\n"):
-        s = line.strip()
-        if not s or (kind_of(s) if len(s) <= KEY_CHARS else furniture_kind(s)) in ("furniture", "head"):
-            continue
-        key = key_of(s, publisher)
-        if key in learned:
-            continue
-        size += len(s)
-        if size > LOW_INFORMATION:
-            return None
-        core.append(key)
+    for line, content in zip(text.split("\n"), labels):
+        if content:
+            size += len(line.strip())
+            if size > LOW_INFORMATION:
+                return None
+            core.append(key_of(line.strip(), publisher))
     body = "\n".join(core)
     words = set(_WORDS.findall(body))
     if len(words) < LEAST_WORDS and sum(map(len, _UNSPACED.findall(body))) < LEAST_CHARS:
         return None
     about = (title or "") + " " + re.sub(r"^https?://[^/]*", "", url or "")
     known = {w.lower() for w in _WORDS.findall(about)}
-    return None if words & known or _grams(body) & _grams(about) else hashlib.md5(body.encode()).hexdigest()
+    if words & known or _grams(body) & _grams(about):
+        return None
+    return sorted({d - (1 << 64) if d >= 1 << 63 else d for d in map(digest, core)})
 
 
-def examine(pages: DataFrame, keys: list[str], learned: frozenset[str] = frozenset()) -> DataFrame:
-    """``keys, url, residue, signature`` of every record (``text, title, url, publisher``)."""
+def examine(pages: DataFrame, keys: list[str], furniture: Furniture) -> DataFrame:
+    """``keys, address, line_nos, residue, low`` of the records (``text, title, url, publisher``) that show something: the lines that are
+    no content, whether a detector found residue, and ``low_information``. One pass, written once."""
+    pages = prepared(pages, keys, furniture)
 
     def scan(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pdfs:
-            rows = list(zip(pdf["text"], pdf["title"], pdf["url"], pdf["publisher"]))
-            residue = [shows_residue(t, h, p) for t, h, _, p in rows]
-            marks = [None if r else core_signature(t, h, u, p, learned) for r, (t, h, u, p) in zip(residue, rows)]
-            yield pdf[[*keys, "url"]].assign(residue=residue, signature=marks)
-
-    schema = ", ".join(f"`{k}` {pages.schema[k].dataType.simpleString()}" for k in keys) + ", url string, residue boolean, signature string"
-    rows = pages.select(*keys, F.coalesce("text", F.lit("")).alias("text"), "title", "url", "publisher")
-    return rows.mapInPandas(scan, schema)
-
-
-def duplicated_responses(examined: DataFrame) -> DataFrame:
-    """Signatures given out for several addresses: host evidence, one row each (bounded by nothing: joined by a shuffle)."""
-    rows = examined.where("signature IS NOT NULL").groupBy("signature", F.xxhash64("url").alias("u")).count()
-    return rows.groupBy("signature").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_ADDRESSES).select("signature")
-
-
-def find_residue(pages: DataFrame, keys: list[str], learned: frozenset[str] = frozenset()) -> DataFrame:
+            lines, low, residue = [], [], []
+            for text, title, url, publisher, cell in zip(pdf["text"], pdf["title"], pdf["url"], pdf["publisher"], pdf["own"]):
+                residue.append(shows_residue(text, title, publisher))
+                labels = label_lines(text, title, url, publisher, furniture, own_keys(cell))
+                lines.append([i for i, x in enumerate(labels) if x is False])
+                low.append(low_information(text, labels, title, url, publisher))
+            yield pdf[keys].assign(address=pdf["url"], line_nos=lines, residue=residue, low=low)
+
+    schema = ", ".join(f"`{k}` {pages.schema[k].dataType.simpleString()}" for k in keys) + ", address string, line_nos array<int>, residue boolean, low array<bigint>"
+    return materialize(pages.mapInPandas(scan, schema).where("size(line_nos) > 0 OR residue OR low IS NOT NULL"), "examined")
+
+
+def responses(examined: DataFrame, furniture: Furniture) -> DataFrame:
+    """Host evidence: digests ``h`` of lines that low-information bodies of several addresses have in common, and that fewer pages with a text
+    have; and those of bodies that detectors found, if only two addresses give them out. Joined by shuffles, as nothing bounds them."""
+    rows = examined.where("low IS NOT NULL").select(F.explode("low").alias("h"), F.xxhash64("address").alias("u"), "residue")
+    given = rows.groupBy("h", "u").agg(F.max("residue").alias("r")).groupBy("h").agg(F.count("*").alias("n"), F.max("r").alias("r"))
+    given = given.where((F.col("n") >= LEAST_ADDRESSES) | F.col("r") & (F.col("n") >= 2))
+    if furniture.line_pages is None:
+        return given.select("h")
+    return given.join(furniture.line_pages, "h", "left").where(F.coalesce("pages", F.lit(0)) < F.col("n")).select("h")
+
+
+def find_residue(pages: DataFrame, keys: list[str], furniture: Furniture | None = None) -> DataFrame:
     """``keys`` of the records with residue, each once."""
-    from spanloom.session import materialize
-
-    examined = materialize(examine(pages, keys, learned).where("residue OR signature IS NOT NULL"), "residue")
-    return residue_cases(examined, keys)
+    taught = furniture or learn(pages)
+    return residue_cases(examine(pages, keys, taught), keys, taught)
 
 
-def residue_cases(examined: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys`` of the records with residue or a response given out for several addresses, each once (``keys, url, residue, signature``)."""
-    direct = examined.where("residue").select(*keys)
-    doubled = examined.where("signature IS NOT NULL").join(duplicated_responses(examined), "signature", "left_semi").select(*keys)
-    return direct.unionByName(doubled).distinct()
+def residue_cases(examined: DataFrame, keys: list[str], furniture: Furniture) -> DataFrame:
+    """``keys`` of the records with residue: low-information bodies that host evidence tells, and what detectors found; each once."""
+    low = examined.where("low IS NOT NULL").select(*keys, F.size("low").alias("of"), F.xxhash64("low").alias("body"), F.explode("low").alias("h"))
+    shared = low.distinct().join(responses(examined, furniture), "h", "left_semi")
+    doubled = shared.groupBy(*keys, "body", "of").count().where(F.col("count") * 2 >= F.col("of")).select(*keys)  # half of the body's lines
+    return doubled.unionByName(examined.where("residue").select(*keys)).distinct()

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.llm import boilerplate, residue, stuffing, truncation
+from spanloom.llm import boilerplate, furniture, residue, stuffing, truncation
 from spanloom.llm.lines import furniture_kind, is_menu, key_of, shape_of
 
 SCHEMA = "case_id string, document_id string, text string, title string, url string, publisher string, line_no int, is_cut int"
@@ -14,29 +14,64 @@ def pages(spark, rows):
     return spark.createDataFrame([("c", f"d{i}", *r, 0, 0) for i, r in enumerate(rows)], SCHEMA)
 
 
-def page(topic, publisher="Bay Courier"):
-    return "\n".join(["Home | About us | Contact", "* Search", f"{topic} in Bay: what we know", "", PROSE + f"It was about {topic}.", "Background", "", PROSE * 2, "Trending now", "Old photo of Bay shared as new", "Tax, explained", PROSE, f"© 2020 {publisher}. All rights reserved.", "Back to top ↑"])
+NOTICE = "By staying on these pages readers take note that records of each visit are kept for as long as the house rules of the publisher, which hang in its reading room and may be looked up there on working days, lay down for such records; nothing here asks for more than a nod."
+
+
+def prose(seed):
+    rng = random.Random(seed)
+    words = ["harbour", "council", "ledger", "ferry", "meadow", "signal", "copper", "tariff", "permit", "orchard", "summit", "quarry"]
+    return " ".join(f"{rng.choice(words).title()} {rng.choice(words)} {rng.choice(words)}s saw the {rng.choice(words)} of {rng.choice(words)}." for _ in range(6))
+
+
+def page(i, publisher="Bay Courier"):
+    title = f"Topic{i} in Bay: what we know"
+    teasers = [f"Topic{i + k} in Bay: what we know" for k in range(1, 11)]
+    said = [prose(3 * i + k) for k in range(3)]
+    body = [said[0], "Background", "", said[1], "Our app brings this to your phone", said[2]]
+    return "\n".join(["Home | About us | Contact", "* Search", title, "", *body, "Trending now", *teasers, prose(3 * i) + " In the end it stood.", NOTICE, f"© 20{i:02} {publisher}. All rights reserved.", "Back to top ↑", *["Jobs"][: i % 2]]), title
+
+
+def rows_of(n, publisher="Bay Courier", site="bay"):
+    return [(*page(i, publisher), f"https://{site}.example/{i}", publisher) for i in range(n)]
+
+
+WANT = [0, 1, 8, *range(10, 21), 22, 23, 24]
 
 
 def test_boilerplate(spark):
-    rows = [(page(f"topic{i}"), f"topic{i} in Bay: what we know", f"https://bay.example/{i}", "Bay Courier") for i in range(12)]
-    rows += [(None, None, None, None), ("", "", "", ""), ("\n \n", "x", "y", "z"), (rows[0][0], *rows[0][1:])]
+    rows = rows_of(30) + [(None, None, None, None), ("", "", "", ""), ("\n \n", "x", "y", "z")]
+    rows.append(rows[0])
     df = pages(spark, rows)
+    keys = ["case_id", "document_id"]
     got = {}
-    for r in boilerplate.find_boilerplate(df.unionByName(df.limit(3)), ["case_id", "document_id"]).collect():
+    for r in boilerplate.find_boilerplate(df.unionByName(df.limit(3)), keys).collect():
         got.setdefault(r["document_id"], []).append(r["line_no"])
-    assert all(sorted(got[f"d{i}"]) == [0, 1, 8, 9, 10, 12, 13] for i in range(12))
-    assert not {"d12", "d13", "d14"} & set(got)
-    main = {r["document_id"]: r["main"] for r in boilerplate.extract_main(df, ["case_id", "document_id"]).collect()}
-    assert main["d0"].startswith("topic0 in Bay") and main["d0"].endswith(PROSE) and "Trending" not in main["d0"] and main["d12"] == ""
-    assert boilerplate.find_boilerplate(df.limit(0), ["case_id", "document_id"]).count() == 0
+    assert all(sorted(got[f"d{i}"]) == WANT + [25] * (i % 2) for i in range(30))
+    assert not {"d30", "d31", "d32"} & set(got) and got["d33"] == got["d0"]
+    main = {r["document_id"]: r["main"] for r in boilerplate.extract_main(df, keys).collect()}
+    assert main["d0"].startswith("Topic0 in Bay") and main["d0"].endswith("stood.") and "Trending" not in main["d0"] and main["d30"] == ""
+    assert boilerplate.find_boilerplate(df.limit(0), keys).count() == 0
+
+
+def test_site_keys_sent_or_joined_are_the_same(spark):
+    df = pages(spark, rows_of(20) + [(f"{t}\nBay rules apply", h, u.replace("bay", "cove"), None) for t, h, u, _ in rows_of(12, "Cove Post")])
+    sent, joined = furniture.learn(df), furniture.learn(df, broadcast_keys=0)
+    assert sent.sites is None and joined.sites is not None and len(sent.site_keys[0]) == joined.sites.count() > 0
+    keys = ["case_id", "document_id"]
+    a, b = (sorted(map(tuple, boilerplate.find_boilerplate(df, keys, f).collect())) for f in (sent, joined))
+    assert a == b and a
+
+
+def test_without_surges_nothing_is_learned(spark):
+    df = pages(spark, rows_of(20))
+    assert furniture.learn(df).corpus and not furniture.learn(df, surge=1 << 40).corpus
 
 
 def test_line_forms():
     assert is_menu("Home  About us  Contact") and is_menu("* Opinion") and not is_menu("The council met.")
     assert furniture_kind("© 2019 X. Alle Rechte vorbehalten.") == "furniture" and furniture_kind("Background") == "subhead" and furniture_kind("Lo más leído") == "head" and furniture_kind("What happened next was new") is None
     assert furniture_kind("SÃ\xadguenos") == "furniture"  # wrongly decoded
-    assert key_of("  Page 12 of  Bay Courier", "Bay Courier") == "page 0 of <p>"
+    assert key_of(" Page 12 of Bay Courier", "Bay Courier") == "page 0 of <p>" and key_of("Home  About us › Contact", None) == "home | about us | contact"
     assert shape_of("Old photo of Bay Town shared as new", {"old", "photo", "of", "shared", "as", "new"}) == "old photo of _ shared as new"
 
 
@@ -71,31 +106,20 @@ def test_unknown_responses_are_found_by_their_hosts(spark):
 
 def test_cases_of_residue_give_no_rows_of_boilerplate(spark):
     answer, keys = "Nothing can be shown today, kindly come back tomorrow", ["case_id", "document_id"]
-    menu = "Home | About us | Contact\n"
-    # one with more than 4000 characters of furniture, the others with none
-    rows = [(menu * 200 + answer, "Tax", "https://a.example/1", None)] + [(answer, f"Harbour {i}", f"https://b{i}.example/{i}", None) for i in range(3)]
-    rows += [(menu + PROSE, "Tax", "https://c.example/1", None)]
-    df = pages(spark, rows)
+    # one with more than 4000 characters of learned furniture, the others with none
+    rows = [("Home | About us | Contact\n" * 200 + answer, "Tax", "https://a.example/1", None)] + [(answer, f"Harbour {i}", f"https://b{i}.example/{i}", None) for i in range(3)]
+    df = pages(spark, rows + rows_of(20))
     assert len(rows[0][0]) > 4000
     assert {r["document_id"] for r in residue.find_residue(df, keys).collect()} == {"d0", "d1", "d2", "d3"}
-    assert {(r["document_id"], r["line_no"]) for r in boilerplate.find_boilerplate(df, keys).collect()} == {("d4", 0)}
+    assert {r["document_id"] for r in boilerplate.find_boilerplate(df, keys).collect()} == {f"d{i}" for i in range(4, 24)}
 
 
 def test_host_evidence_beside_furniture_and_in_any_script(spark):
-    sides = [f"Harbour almanac and calendar of the region, part {c}{c}, with all that it says" for c in "abcdefgh"]
-    notice = "© 2020 Bay Courier. All rights reserved."
     answers = {"en": "Nothing can be shown today, kindly come back tomorrow", "zh": "暂时不能显示此内容请稍后再来", "th": "ขณะนี้ไม่สามารถแสดงเนื้อหานี้ได้", "hi": "अभी यह सामग्री दिखाई नहीं जा सकती"}
-    rows = []
-    for a, answer in answers.items():
-        for i in range(4):  # other furniture on each page, together longer than a short body
-            text = "\n".join([*sides[i : i + 5], notice, answer])
-            rows.append((text, f"Tax {i}", f"https://{a}{i}.example/{i}", "Bay Courier"))
+    rows = [("\n".join(["Home | About us | Contact", *["* Search"] * i, answer, NOTICE]), f"Tax {i}", f"https://{a}{i}.example/{i}", "Bay Courier") for a, answer in answers.items() for i in range(4)]
     rows += [("据水务管理局称收费标准没有变化", "据水务管理局称收费标准没有变化吗", f"https://w{i}.example/{i}", None) for i in range(4)]
-    learned = frozenset(key_of(x, None) for x in sides)
-    got = {r["document_id"] for r in residue.find_residue(pages(spark, rows), ["case_id", "document_id"], learned).collect()}
+    got = {r["document_id"] for r in residue.find_residue(pages(spark, rows + rows_of(20)), ["case_id", "document_id"]).collect()}
     assert got == {f"d{i}" for i in range(16)}
-    wide = "Tags: " + "harbour, ferry, " * 30  # known furniture of any length
-    assert residue.core_signature(wide + "\n" + answers["en"], None, None, None) == residue.core_signature(answers["en"], None, None, None) is not None
 
 
 def test_stuffing(spark):
