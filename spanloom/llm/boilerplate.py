@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.furniture import CONTENT, HEAD, Furniture, digest, learn, page_lines, site_of, with_site_keys
+from spanloom.llm.furniture import CONTENT, HEAD, TEXT_CHARS, Furniture, digest, learn, page_lines, site_of, with_site_keys
 from spanloom.llm.lines import SENTENCE_END, _BULLET, key_of, shape_of
 
 #: Lines on either side that a window takes in, and the bytes at which its sum surges. Sentences and entries weigh a surge: they are text wherever they stand.
@@ -34,15 +34,17 @@ def _teaser(line: str, furniture: Furniture) -> bool:
     """Whether a line under a head of teasers is one: it has the shape of a title, or at least not that of text or entries."""
     if _BULLET.match(line):
         return False
-    return shape_of(line, furniture.frequent) in furniture.shapes or not SENTENCE_END.search(line) and not _LISTED.search(line)
+    return shape_of(line, furniture.frequent) in furniture.shapes or not SENTENCE_END.search(line[-8:]) and not _LISTED.search(line)
 
 
 def _pointer(line: str, furniture: Furniture) -> bool:
     """Whether a line points to another page: an arrow, or a few words and a colon, before what has the shape of a title."""
     if _POINTED.match(line):
         return shape_of(line, furniture.frequent).lstrip("_ ") in furniture.bare_shapes
-    before, colon, after = line.partition(": ")
-    if not colon or before.count(" ") > 1 or not before.replace(" ", "").isalpha() or shape_of(line, furniture.frequent) in furniture.shapes:
+    if ": " not in line or len(line) > TEXT_CHARS:
+        return False
+    before, _, after = line.partition(": ")
+    if before.count(" ") > 1 or not before.replace(" ", "").isalpha() or shape_of(line, furniture.frequent) in furniture.shapes:
         return False
     return shape_of(_RUNTIME.sub("", after), furniture.frequent) in furniture.shapes
 
@@ -52,7 +54,7 @@ def label_lines(text: str, title: str | None, url: str | None, publisher: str |
     out: list[bool | None] = [None] * (text.count("\n") + 1)
     lines = page_lines(text)
     titled = title.strip() if title else None
-    site = digest(site_of(url, publisher))
+    own = furniture.keys_of(digest(site_of(url, publisher))) if own is None else own
     weights: list[int] = []
     teasers = seen_title = False
     for _, s in lines:
@@ -61,7 +63,7 @@ def label_lines(text: str, title: str | None, url: str | None, publisher: str |
             teasers, seen_title = False, True
         else:
             key = key_of(s, publisher)
-            kind = furniture.kind(key, site, own)
+            kind = furniture.kind(key, own)
             if kind == CONTENT:
                 teasers = False
             elif kind:
@@ -72,7 +74,7 @@ def label_lines(text: str, title: str | None, url: str | None, publisher: str |
                 weight, teasers = 0, False
             else:
                 teasers = False
-                if SENTENCE_END.search(s) or _BULLET.match(s) or _LISTED.search(s):
+                if SENTENCE_END.search(s[-8:]) or _BULLET.match(s) or _LISTED.search(s):
                     weight = max(weight, SURGE)
         if s == titled:
             weight = max(weight, SURGE)

@@ -68,10 +68,6 @@ def digest(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
 
 
-def site_digest(site: str, key: int) -> int:
-    return (digest(site) * 0x9E3779B97F4A7C15 ^ key) & 0xFFFFFFFFFFFFFFFF
-
-
 def page_lines(text: str) -> list[tuple[int, str]]:
     """Numbers and contents of the lines that aren't blank, without mark-up."""
     out = []
@@ -91,15 +87,15 @@ def core_lines(weights: list[int], surge: int = SURGE) -> list[int]:
 
 def skeleton(key: str) -> str | None:
     """What wrong decoding leaves alike of a key: its ASCII parts, if they are enough to tell it."""
-    if key.isascii():
+    if len(key) > TEXT_CHARS or key.isascii():
         return None
     out = _NOT_ASCII.sub(" ", key).strip()
-    return out if sum(c.isalpha() for c in out) >= 5 else None
+    return out if len(out) >= 5 and sum(map(str.isalpha, out)) >= 5 else None
 
 
 def menu_parts(key: str) -> list[str]:
     """The entries of a key that is a menu, or an entry of one behind its bullet; none of other keys."""
-    body = _BULLET.sub("", key)
+    body = key if key[:1].isalpha() else _BULLET.sub("", key)
     parts = body.split(" | ")
     return parts if len(parts) > 1 or len(body) < len(key) and len(body) <= ENTRY_CHARS and "0" not in body else []
 
@@ -202,39 +198,48 @@ class Furniture:
         named = [(k, kind) for k, _, kind in keys if k]
         self.heads = frozenset(k for k, kind in named if kind == HEAD)
         self.skeletons = {s: kind for k, kind in named if kind != CONTENT and (s := skeleton(k))}
-        self.site_keys: tuple[np.ndarray, np.ndarray] | None = (np.empty(0, np.uint64), np.empty(0, np.int8))
+        self.site_keys: tuple[np.ndarray, np.ndarray, np.ndarray] | None = (np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int8))
         self.sites: DataFrame | None = None
         self.line_pages: DataFrame | None = None
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("sites", "line_pages")}
-
-    def _known(self, h: int, site: int, own: dict[int, int] | None) -> int | None:
-        found = self.corpus.get(h)
-        if found is None and own is not None:
-            return own.get(h)
-        if found is None and len(self.site_keys[0]):
-            at = (site * 0x9E3779B97F4A7C15 ^ h) & 0xFFFFFFFFFFFFFFFF
-            i = int(np.searchsorted(self.site_keys[0], np.uint64(at)))
-            if i < len(self.site_keys[0]) and self.site_keys[0][i] == at:
-                return int(self.site_keys[1][i])
+        return {k: v for k, v in self.__dict__.items() if k not in ("sites", "line_pages", "cache")}
+
+    def keys_of(self, site: int) -> dict[int, int]:
+        """Digests and kinds of a site's keys, of those sent to the workers; the sites met last are kept."""
+        cache = self.__dict__.setdefault("cache", {})
+        found = cache.get(site)
+        if found is None:
+            if len(cache) > 1000:
+                cache.clear()
+            sites, hashes, kinds = self.site_keys
+            a, b = np.searchsorted(sites, np.uint64(site)), np.searchsorted(sites, np.uint64(site), side="right")
+            found = cache[site] = dict(zip(hashes[a:b].tolist(), kinds[a:b].tolist()))
         return found
 
-    def kind(self, key: str, site: int, own: dict[int, int] | None = None) -> int:
-        """FURNITURE, HEAD, CONTENT or 0 of a line's key on a site; ``own`` has the site's keys where they come with the page."""
-        found = self._known(digest(key), site, own)
-        if found is None and (s := skeleton(key)) is not None:
-            found = self.skeletons.get(s)
-        if found is None and (parts := menu_parts(key)):
-            found = FURNITURE if sum(self._known(digest(p), site, own) == FURNITURE for p in parts) * 2 > len(parts) else None
-        if found is None and len(key) <= TEXT_CHARS:
-            before, colon, after = key.partition(":")
-            if colon and after.strip() and before.strip() in self.heads:
-                found = FURNITURE
-        return found or 0
+    def kind(self, key: str, own: dict[int, int]) -> int:
+        """FURNITURE, HEAD, CONTENT or 0 of a line's key, with the keys of its site."""
+        h = digest(key)
+        found = self.corpus.get(h) or own.get(h)
+        if found is not None or len(key) > TEXT_CHARS:
+            return found or 0
+        if (s := skeleton(key)) is not None and s in self.skeletons:
+            return self.skeletons[s]
+        if parts := menu_parts(key):
+            known = 0
+            for p in parts:
+                h = digest(p)
+                known += (self.corpus.get(h) or own.get(h)) == FURNITURE
+            if known * 2 > len(parts):
+                return FURNITURE
+        if ":" in key:
+            before, _, after = key.partition(":")
+            if before.strip() in self.heads and after.strip():
+                return FURNITURE
+        return 0
 
     def framed(self, key: str) -> bool:
-        return bool(self.frames) and any(f in self.frames for f in frames_of(key))
+        return len(key) <= TEXT_CHARS and bool(self.frames) and not self.frames.isdisjoint(frames_of(key))
 
 
 def learn(pages: DataFrame, broadcast_keys: int = BROADCAST_KEYS, surge: int = SURGE) -> Furniture:
@@ -242,12 +247,12 @@ def learn(pages: DataFrame, broadcast_keys: int = BROADCAST_KEYS, surge: int = S
     at most that many times the lines of a page, and the site keys if they are few."""
     pages = pages.where("text IS NOT NULL")
     frequent, shapes = title_statistics(pages)
-    sums = [F.sum(c).alias(c) for c in ("pages", "head", "tail", "last", "titles", "near")] + [F.bit_or("texts").alias("texts"), F.max("shaped").alias("shaped"), F.max("key").alias("key")]
-    # sums over sites are made of those per site, in the same partitions
-    per_site = materialize(line_counts(pages, frequent, shapes, surge).groupBy("h", "site").agg(*sums), "line-counts")
+    sums = [F.sum(c).alias(c) for c in ("pages", "head", "tail", "last", "titles", "near")] + [F.bit_or("texts").alias("texts"), F.max("shaped").alias("shaped")]
+    # a digest has one key; numbers alone are aggregated, as strings would have to be sorted
+    per_site = materialize(line_counts(pages, frequent, shapes, surge).groupBy("h", "key", "site").agg(*sums), "line-counts")
     totals = per_site.where("h IS NULL").select("site", F.col("pages").alias("total"))
     total = totals.agg(F.sum("total")).first()[0] or 0
-    corpus = per_site.where("h IS NOT NULL").groupBy("h").agg(*sums).withColumn("total", F.lit(total))
+    corpus = per_site.where("h IS NOT NULL").groupBy("h", "key").agg(*sums).withColumn("total", F.lit(total))
     rows = corpus.withColumn("kind", _kind(CORPUS_TEXTS, CORPUS_SHARE, STRONG_CORPUS, INSERT_SHARE)).where("kind IS NOT NULL").select("key", "h", "kind").collect()
     out = Furniture(frequent, shapes, [tuple(r) for r in rows], learn_frames(per_site, total))
     out.line_pages = corpus.select("h", "pages")
@@ -255,9 +260,9 @@ def learn(pages: DataFrame, broadcast_keys: int = BROADCAST_KEYS, surge: int = S
     sites = materialize(often.withColumn("kind", _kind(SITE_TEXTS, SITE_SHARE, STRONG_SITE, SITE_SHARE)).where("kind IS NOT NULL").select("site", "h", "kind"), "site-furniture")
     if sites.limit(broadcast_keys + 1).count() <= broadcast_keys:
         own = sites.toPandas()
-        hashes = own["site"].to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ own["h"].to_numpy().astype(np.uint64)
-        order = np.argsort(hashes)
-        out.site_keys = (hashes[order], own["kind"].to_numpy().astype(np.int8)[order])
+        site = own["site"].to_numpy().astype(np.uint64)
+        order = np.argsort(site, kind="stable")
+        out.site_keys = (site[order], own["h"].to_numpy().astype(np.uint64)[order], own["kind"].to_numpy().astype(np.int8)[order])
     else:
         out.site_keys, out.sites = None, sites
     return out
@@ -270,14 +275,14 @@ def learn_frames(per_site: DataFrame, total: int) -> frozenset[str]:
     def frames(key: pd.Series) -> pd.Series:
         return key.map(frames_of)
 
-    keys = per_site.where("h IS NOT NULL AND key IS NOT NULL")
-    sums = [F.sum(c).alias(c) for c in ("pages", "head", "tail", "last", "near")] + [F.bit_or("texts").alias("texts"), F.approx_count_distinct("h").alias("forms")]
+    keys = per_site.where("h IS NOT NULL AND key IS NOT NULL").withColumn("form", F.expr("shiftleft(1L, int(pmod(h, 64)))"))
+    sums = [F.sum(c).alias(c) for c in ("pages", "head", "tail", "last", "near")] + [F.bit_or("texts").alias("texts"), F.bit_or("form").alias("forms")]
     outer = (F.col("head") + F.col("tail") >= FRAME_OUTSIDE * F.col("pages")) & (F.col("last") <= MOST_LAST * F.col("pages")) & (F.col("near") <= FRAME_NEAR * F.col("pages"))
-    often = (F.col("pages") * CORPUS_SHARE >= total) & (F.bit_count("texts") >= CORPUS_TEXTS) & (F.col("forms") >= FRAME_FORMS)
+    often = (F.col("pages") * CORPUS_SHARE >= total) & (F.bit_count("texts") >= CORPUS_TEXTS) & (F.bit_count("forms") >= FRAME_FORMS)
     service = lambda c: F.col(c).rlike("(?i)" + SERVICE)
     insert = F.col("pages") * INSERT_SHARE >= total
     # first those of keys that stand outside (or pass the check of keys inside the core), then, of these frames, all keys
-    first = keys.where(outer | service("key")).select("h", *[c for c in ("pages", "head", "tail", "last", "near", "texts")], F.explode(frames("key")).alias("frame")).groupBy("frame").agg(*sums).where(often & (outer | insert & ~F.col("frame").contains("0") & service("frame") & F.col("frame").rlike(r"^\S+ \S+ _ \S+ \S+$"))).select("frame").collect()
+    first = keys.where(outer | service("key")).select("form", *[c for c in ("pages", "head", "tail", "last", "near", "texts")], F.explode(frames("key")).alias("frame")).groupBy("frame").agg(*sums).where(often & (outer | insert & ~F.col("frame").contains("0") & service("frame") & F.col("frame").rlike(r"^\S+ \S+ _ \S+ \S+$"))).select("frame").collect()
     found = frozenset(r[0] for r in first)
     if not found:
         return found
@@ -286,7 +291,7 @@ def learn_frames(per_site: DataFrame, total: int) -> frozenset[str]:
     def known(key: pd.Series) -> pd.Series:
         return key.map(lambda k: [f for f in frames_of(k) if f in found])
 
-    rows = keys.select("h", *[c for c in ("pages", "head", "tail", "last", "near", "texts")], F.explode(known("key")).alias("frame")).groupBy("frame").agg(*sums).where(often & (outer | insert & ~F.col("frame").contains("0") & service("frame") & F.col("frame").rlike(r"^\S+ \S+ _ \S+ \S+$"))).select("frame").collect()
+    rows = keys.select("form", *[c for c in ("pages", "head", "tail", "last", "near", "texts")], F.explode(known("key")).alias("frame")).groupBy("frame").agg(*sums).where(often & (outer | insert & ~F.col("frame").contains("0") & service("frame") & F.col("frame").rlike(r"^\S+ \S+ _ \S+ \S+$"))).select("frame").collect()
     return frozenset(r[0] for r in rows)
 
 

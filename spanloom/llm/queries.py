@@ -109,7 +109,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 def p10_report(spark: SparkSession, d: str) -> DataFrame:
     """Pages by script and kind of spam, with mean compression ratios."""
     scored = stuffing.score_pages(table(spark, d, "documents"))
-    return scored.groupBy("script", F.coalesce("kind", F.lit("none")).alias("kind")).agg(F.count("*").alias("n_pages"), F.round(F.avg("ratio"), 4).alias("mean_ratio"))
+    return scored.groupBy("script", F.coalesce("kind", F.lit("none")).alias("kind")).agg(F.count("*").alias("n_pages"), F.round(F.avg("ratio"), 4).alias("mean_ratio"), F.round(F.avg("redundancy"), 3).alias("mean_redundancy"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

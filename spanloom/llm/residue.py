@@ -218,14 +218,14 @@ def examine(pages: DataFrame, keys: list[str], furniture: Furniture) -> DataFram
 
 
 def responses(examined: DataFrame, furniture: Furniture) -> DataFrame:
-    """Host evidence: digests ``h`` of lines that low-information bodies of several addresses have in common, and that fewer pages with a text
+    """Host evidence: digests ``h`` of lines that low-information bodies of several addresses have in common, and that no more pages with a text
     have; and those of bodies that detectors found, if only two addresses give them out. Joined by shuffles, as nothing bounds them."""
     rows = examined.where("low IS NOT NULL").select(F.explode("low").alias("h"), F.xxhash64("address").alias("u"), "residue")
     given = rows.groupBy("h", "u").agg(F.max("residue").alias("r")).groupBy("h").agg(F.count("*").alias("n"), F.max("r").alias("r"))
     given = given.where((F.col("n") >= LEAST_ADDRESSES) | F.col("r") & (F.col("n") >= 2))
     if furniture.line_pages is None:
         return given.select("h")
-    return given.join(furniture.line_pages, "h", "left").where(F.coalesce("pages", F.lit(0)) < F.col("n")).select("h")
+    return given.join(furniture.line_pages, "h", "left").where(F.coalesce("pages", F.lit(0)) <= F.col("n")).select("h")
 
 
 def find_residue(pages: DataFrame, keys: list[str], furniture: Furniture | None = None) -> DataFrame:

@@ -1,13 +1,13 @@
 """Problem 10: keyword-stuffed pages and link lists.
 
-Each text is cut into blocks of ``BLOCK_BYTES`` which are compressed one by one. The ratio is set against what its
-language and length lead to expect: the median and spread of all texts of the same script or language and length class.
-Pages far below are candidates; so are pages whose blocks consist of links, tags or price lines, which compress no better
-than prose. Low density of sentence punctuation confirms; a page whose sentences all turn on one phrase is confirmed by
-the share of that phrase instead. Rolls, registers, chronologies and source lists have entries that differ, and stay.
-
-Defined results: null, blank and short texts (under ``LEAST_CHARS``) are no spam; copies count one by one; very long texts
-are judged over all their blocks; an empty table has no spam.
+Each text is cut into blocks of ``BLOCK_BYTES`` which are compressed one by one, every link and tag reduced to one mark. The ratio to
+the text's bytes is set against what its language and length lead to expect: the median and spread of all texts of the same language
+(tag and script) and length class. How far it lies below, together with the shares of the top word, links and tags, is the page's redundancy. An
+extremely redundant page is flagged if low density of sentence punctuation confirms it: the ends of sentences that inform, which are those
+that don't turn on the page's top word. Rolls, registers, chronologies and source lists have entries that differ, and stay.
+
+Defined results: null and blank texts are no spam; texts of any length are judged, over all their blocks; copies count one by one;
+a corpus of few pages has too little to compare with and takes a usual spread; an empty table has no spam.
 """
 
 from __future__ import annotations
@@ -24,21 +24,24 @@ from pyspark.sql import functions as F
 from spanloom.session import materialize
 
 BLOCK_BYTES = 2048
-LEAST_CHARS = 120
 #: Spreads are taken as this much at least, where a class is too uniform or too small to tell.
 LEAST_SPREAD = 0.015
-#: Classes with fewer pages take their script's median, if that is more, and a usual spread.
+#: Classes with fewer pages take the median of their script and length class, or a usual spread.
 LEAST_PAGES, USUAL_SPREAD = 20, 0.045
 LENGTH_CLASSES = (300, 600, 1200, 2400, 4800, 9600)
-FEATURES = "script string, len_class int, ratio double, punct double, prose double, links double, tags double, top double, variety double"
-
-_END = re.compile(r"[.!?…]+(?=[\s\"'”’»)\]]|$)|[。\uff01\uff1f।؟۔]")
+#: Redundancy is how many spreads the ratio lies below what is expected, and what the share of the top word, of links in characters and of tags among words adds.
+TOP_WEIGHT, LINK_WEIGHT, TAG_WEIGHT = 12, 4, 15
+#: Above this a page is extremely redundant; below this part of the usual density of sentence ends that is confirmed.
+REDUNDANT, INFORMS = 4.5, 0.2
+#: A page turns on its top word from this share on, and sentences with it don't inform; neither do ones of fewer characters.
+TURNING, LEAST_SENTENCE = 0.08, 12
+FEATURES = "script string, language string, len_class int, ratio double, punct double, informing double, links double, tags double, top double"
+
+_END = re.compile(r"[.!?…]+(?=[\s\"'”’»)\]]|$)|[。\uff01\uff1f।؟۔]|(?<=[ก-๛]) +(?=[ก-๛])")
 _LINK = re.compile(r"\[[^\]\n]*\]\([^)\s]+\)|\[url=[^\]\n]*\][^\[\n]*\[/url\]|<a\s[^>\n]*>[^<\n]*</a>|(?:https?://|www\.)\S+|\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}/\S*", re.I)
 _CHAIN = re.compile(r"[^\s»›>|/]\s[»›>]\s")
 _TAG = re.compile(r"(?<!\w)#\w+|\bSKU\b[\s:#-]*\S+|[$€£]\s?\d+(?:[.,]\d+)?|\b(?:XS|XL|XXL)\b|\b[SML] (?=[a-z])")
 _WORD = re.compile(r"[^\W_]+", re.UNICODE)
-_SPLIT = str.maketrans({c: " " for c in "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"})
-_THAI_GAP = re.compile(r"[ก-๛] +[ก-๛]")
 _SCRIPTS = (("thai", "฀", "๿"), ("deva", "ऀ", "ॿ"), ("arab", "؀", "ۿ"), ("cyrl", "Ѐ", "ӿ"), ("cjk", "぀", "鿿"), ("hang", "가", "힣"), ("grek", "Ͱ", "Ͽ"), ("hebr", "֐", "׿"))
 
 
@@ -59,71 +62,94 @@ def script_of(text: str) -> str:
     return name if n * 4 > sum(c.isalpha() for c in text) else "latn"
 
 
-def page_features(text: str) -> tuple:
-    """One row of ``FEATURES`` for a text."""
+def block_ratio(text: str, size: int) -> float:
+    """Compressed bytes of all blocks, for each of ``size`` bytes."""
     raw = text.encode("utf-8", "surrogatepass")
     blocks = [raw[i : i + BLOCK_BYTES] for i in range(0, len(raw), BLOCK_BYTES)]
     if len(blocks) > 1 and len(blocks[-1]) < BLOCK_BYTES // 2:
         blocks[-2:] = [blocks[-2] + blocks[-1]]
-    ratio = sum(len(zlib.compress(b, 1)) for b in blocks) / max(1, len(raw))
+    return sum(len(zlib.compress(b, 1)) for b in blocks) / max(1, size)
+
+
+def page_features(text: str, tag: str | None = None) -> tuple:
+    """One row of ``FEATURES`` for a text and its language tag."""
     script, n = script_of(text), len(text)
-    ends = sum(map(text.count, ".!?…。\uff01\uff1f।؟۔")) + (len(_THAI_GAP.findall(text)) if script == "thai" else 0)
-    prose = sum(len(x) for x in text.split("\n") if len(x) > 40 and (_END.search(x) or script == "thai" and _THAI_GAP.search(x))) / n
-    links = sum(map(len, _LINK.findall(text))) / n if "/" in text else 0.0
+    low = text.lower()
+    bare, links = text, 0.0
+    if "/" in text:
+        links = sum(map(len, _LINK.findall(text))) / n
+        bare = _LINK.sub("\x01", text)
+        low = _LINK.sub(" ", text).lower()
     if "»" in text or "›" in text or " > " in text:
         links += len(_CHAIN.findall(text)) * 12 / n
-    plain = text.split()
-    variety, top, tags = len(set(plain)) / max(1, len(plain)), 0.0, 0.0
-    if prose < 0.5 or variety < 0.55:  # else no word can be frequent
-        words = text.lower().translate(_SPLIT).split() if text.isascii() else _WORD.findall(text.lower())
-        total = max(1, len(words))
-        counts = Counter(words)
-        least = 4 if script in ("latn", "cyrl", "grek") else 2
-        top = max((k for w, k in counts.items() if len(w) >= least and not w.isdigit()), default=0) / total
-        variety = len(counts) / total
-        tags = len(_TAG.findall(text)) / total
-    return script, sum(n >= x for x in LENGTH_CLASSES), ratio, ends / n, prose, links, tags, top, variety
-
-
-def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col`` and ``FEATURES`` of every text of at least ``LEAST_CHARS``."""
+    words = _WORD.findall(low)
+    total = max(1, len(words))
+    bare, marks = _TAG.subn("\x02", bare)
+    least = 4 if script in ("latn", "cyrl", "grek") else 2
+    top, most = "", 0
+    for w, k in Counter(words).most_common():
+        if len(w) >= least and not w.isdigit():
+            top, most = w, k
+            break
+    # links and tags count as one mark each: they are redundant however they are spelt
+    ratio = block_ratio(bare, len(text.encode("utf-8", "surrogatepass")))
+    ends = informing = at = 0
+    turning = most >= TURNING * total
+    for m in _END.finditer(low):
+        ends += 1
+        sentence = low[at : m.start()]
+        at = m.end()
+        informing += len(sentence) >= LEAST_SENTENCE and not (turning and top in sentence)
+    own = (tag or "").strip().lower()[:2]
+    return script, script + "-" + own if own.isalpha() else script, sum(n >= x for x in LENGTH_CLASSES), ratio, ends / n, informing / n, links, marks / total, most / total
+
+
+def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``id_col`` and ``FEATURES`` of every text that isn't blank."""
 
     def scan(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in FEATURES.split(", ")]
         for pdf in pdfs:
-            out = pd.DataFrame([page_features(t) for t in pdf["_text"]], columns=names)
+            out = pd.DataFrame([page_features(t, x) for t, x in zip(pdf["_text"], pdf["_lang"])], columns=names)
             out.insert(0, "_id", pdf["_id"].to_numpy())
             yield out
 
     kind = df.schema[id_col].dataType.simpleString()
-    rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).where(F.length(F.trim("_text")) >= LEAST_CHARS)
+    lang = F.col(lang_col).cast("string") if lang_col in df.columns else F.lit(None).cast("string")
+    rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), lang.alias("_lang")).where(F.length(F.trim("_text")) > 0)
     return rows.mapInPandas(scan, f"_id {kind}, {FEATURES}").withColumnRenamed("_id", id_col)
 
 
 def expected_ratios(features: DataFrame) -> DataFrame:
-    """Median and spread (scaled median deviation) of the compression ratio per script and length class: at most
-    scripts x length classes rows, whatever the corpus."""
-    mid = features.groupBy("script", "len_class").agg(F.percentile_approx("ratio", 0.5, 1000).alias("own"), F.count("*").alias("n"))
-    every = features.groupBy("script").agg(F.percentile_approx("ratio", 0.5, 1000).alias("of_script"))
-    mid = mid.join(every, "script").withColumn("median", F.when(F.col("n") >= LEAST_PAGES, F.col("own")).otherwise(F.greatest("own", "of_script"))).select("script", "len_class", "median")
-    off = features.join(F.broadcast(mid), ["script", "len_class"])
-    return off.groupBy("script", "len_class").agg(F.first("median").alias("median"), (1.4826 * F.percentile_approx(F.abs(F.col("ratio") - F.col("median")), 0.5, 1000)).alias("spread"), F.count("*").alias("n")).select("script", "len_class", "median", F.when(F.col("n") >= LEAST_PAGES, F.col("spread")).otherwise(USUAL_SPREAD).alias("spread"))
-
-
-def score_pages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every measured page with ``z`` (spreads below the expected ratio) and ``kind`` of spam, null for other pages."""
-    features = materialize(measure(df, id_col, text_col), "page-features")
-    scored = features.join(F.broadcast(expected_ratios(features)), ["script", "len_class"]).withColumn("z", (F.col("ratio") - F.col("median")) / F.greatest("spread", F.lit(LEAST_SPREAD)))
-    no_prose, z, top = F.col("prose") < 0.35, F.col("z"), F.col("top")
-    kind = (
-        F.when((F.col("links") > 0.42) & (F.col("prose") < 0.5), "links")
-        .when(no_prose & (F.col("tags") > 0.08), "tags")
-        .when(no_prose & ((top >= 0.25) | ((z < -2) & (top > 0.15)) | ((z < -3.5) & (F.col("variety") < 0.4))), "keywords")
-        .when(((z < -3.5) & (top > 0.13)) | ((z < -1.5) & (top > 0.2) & (F.col("variety") < 0.5)), "phrases")
-    )
-    return scored.withColumn("kind", kind)
-
-
-def find_stuffed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Median and spread (scaled median deviation) of the compression ratio, and median density of sentence ends, per language and length
+    class: at most languages x length classes rows. Classes with few pages take the values of their script."""
+    middle = lambda c: F.percentile_approx(c, 0.5, 1000)
+    classes, scripts = ["script", "language", "len_class"], ["script", "len_class"]
+    own = features.groupBy(*classes).agg(middle("ratio").alias("own"), F.count("*").alias("n"))
+    every = features.groupBy(*scripts).agg(middle("ratio").alias("of_class"), F.count("*").alias("n_class"))
+    script = features.groupBy("script").agg(middle("ratio").alias("of_script"), middle("punct").alias("usual_punct"))
+    mid = own.join(every, scripts).join(script, "script")
+    median = F.when(F.col("n") >= LEAST_PAGES, F.col("own")).when(F.col("n_class") >= LEAST_PAGES, F.col("of_class")).otherwise(F.greatest("own", "of_script"))
+    mid = mid.select(*classes, median.alias("median"), "usual_punct", "n", "n_class")
+    off = features.join(F.broadcast(mid), classes).withColumn("off", F.abs(F.col("ratio") - F.col("median")))
+    spread = off.groupBy(*classes).agg((1.4826 * middle("off")).alias("spread"))
+    wide = off.groupBy(*scripts).agg((1.4826 * middle("off")).alias("class_spread"))
+    used = F.when(F.col("n") >= LEAST_PAGES, F.col("spread")).when(F.col("n_class") >= LEAST_PAGES, F.col("class_spread")).otherwise(USUAL_SPREAD)
+    return mid.join(spread, classes).join(wide, scripts).select(*classes, "median", "usual_punct", used.alias("spread"))
+
+
+def score_pages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """Every page with ``z`` (spreads from the expected ratio), ``redundancy``, ``informs`` (density of the ends of informing sentences
+    against the script's usual density of ends) and ``kind`` of spam, null for other pages."""
+    features = materialize(measure(df, id_col, text_col, lang_col), "page-features")
+    scored = features.join(F.broadcast(expected_ratios(features)), ["script", "language", "len_class"]).withColumn("z", (F.col("ratio") - F.col("median")) / F.greatest("spread", F.lit(LEAST_SPREAD)))
+    scored = scored.withColumn("redundancy", -F.col("z") + TOP_WEIGHT * F.col("top") + LINK_WEIGHT * F.col("links") + TAG_WEIGHT * F.col("tags"))
+    scored = scored.withColumn("informs", F.coalesce(F.col("informing") / F.nullif("usual_punct", F.lit(0.0)), F.lit(0.0)))
+    flagged = (F.col("redundancy") > REDUNDANT) & (F.col("informs") < INFORMS)
+    shown = F.when(F.col("links") * LINK_WEIGHT >= F.greatest(F.col("top") * TOP_WEIGHT, F.col("tags") * TAG_WEIGHT), "links").when(F.col("tags") * TAG_WEIGHT > F.col("top") * TOP_WEIGHT, "tags").otherwise("keywords")
+    return scored.withColumn("kind", F.when(flagged, shown))
+
+
+def find_stuffed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``id_col`` of the spam pages."""
-    return score_pages(df, id_col, text_col).where("kind IS NOT NULL").select(id_col).distinct()
+    return score_pages(df, id_col, text_col, lang_col).where("kind IS NOT NULL").select(id_col).distinct()
