@@ -53,6 +53,7 @@ SERVICE = (
     r"advert|werbung|anzeige|publicid|publicit|реклам|广告|広告|comment|kommentar|comentari|comentári|коммент|评论|コメント|photo gallery|bilderstrecke|galer[ií]a|browser|audio|podcast|\bapp\b|phone|newsletter|inbox|e-?mail|subscri|abonn|suscr|assin|подпис|订阅|購読"
     r"|\bshare\b|teilen|compart|partager|поделит|分享|シェア|\[[^\]]+\]|story continues|continues below|read on|support (?:us|our|independent)|donat|spende|apoy|apoi|souten|sign (?:up|in)|log ?in|cookie|download|poll\b|vote below|listen to"
 )
+_SERVICE = re.compile(SERVICE, re.I)
 _NOT_ASCII = re.compile(r"\s*[^\x00-\x7f]+\s*")
 _MARKUP = re.compile(r"<(?:/?[a-zA-Z][^<>]*|!--.*?--)>")
 _HOST = re.compile(r"^\w+://([^/?#]+)")
@@ -269,20 +270,20 @@ def learn(pages: DataFrame, broadcast_keys: int = BROADCAST_KEYS, surge: int = S
 
 
 def learn_frames(per_site: DataFrame, total: int) -> frozenset[str]:
-    """Frames of keys that stand outside the core in enough pages and in different forms: at most CORPUS_SHARE times the lines of a page."""
+    """Frames of keys that stand outside the core in enough pages and in different forms, or of which the exact check finds a service: at
+    most CORPUS_SHARE times the lines of a page."""
+    outside, service = (F.col("head") + F.col("tail") >= FRAME_OUTSIDE * F.col("pages")) & (F.col("last") <= MOST_LAST * F.col("pages")) & (F.col("near") <= FRAME_NEAR * F.col("pages")), F.col("pages") * INSERT_SHARE >= total
 
     @F.pandas_udf("array<string>")
-    def frames(key: pd.Series) -> pd.Series:
-        return key.map(frames_of)
+    def frames(key: pd.Series, outer: pd.Series) -> pd.Series:
+        return pd.Series([frames_of(k) if o else [f for f in frames_of(k)[:1] if _serves(f)] for k, o in zip(key, outer)])
 
     keys = per_site.where("h IS NOT NULL AND key IS NOT NULL").withColumn("form", F.expr("shiftleft(1L, int(pmod(h, 64)))"))
-    sums = [F.sum(c).alias(c) for c in ("pages", "head", "tail", "last", "near")] + [F.bit_or("texts").alias("texts"), F.bit_or("form").alias("forms")]
-    outer = (F.col("head") + F.col("tail") >= FRAME_OUTSIDE * F.col("pages")) & (F.col("last") <= MOST_LAST * F.col("pages")) & (F.col("near") <= FRAME_NEAR * F.col("pages"))
-    often = (F.col("pages") * CORPUS_SHARE >= total) & (F.bit_count("texts") >= CORPUS_TEXTS) & (F.bit_count("forms") >= FRAME_FORMS)
-    service = lambda c: F.col(c).rlike("(?i)" + SERVICE)
-    insert = F.col("pages") * INSERT_SHARE >= total
+    numbers = ["pages", "head", "tail", "last", "near"]
+    sums = [F.sum(c).alias(c) for c in numbers] + [F.bit_or("texts").alias("texts"), F.bit_or("form").alias("form")]
+    often = (F.col("pages") * CORPUS_SHARE >= total) & (F.bit_count("texts") >= CORPUS_TEXTS) & (F.bit_count("form") >= FRAME_FORMS)
     # first those of keys that stand outside (or pass the check of keys inside the core), then, of these frames, all keys
-    first = keys.where(outer | service("key")).select("form", *[c for c in ("pages", "head", "tail", "last", "near", "texts")], F.explode(frames("key")).alias("frame")).groupBy("frame").agg(*sums).where(often & (outer | insert & ~F.col("frame").contains("0") & service("frame") & F.col("frame").rlike(r"^\S+ \S+ _ \S+ \S+$"))).select("frame").collect()
+    first = keys.select("form", "texts", *numbers, F.explode(frames("key", outside)).alias("frame")).groupBy("frame").agg(*sums).where(often).select("frame").collect()
     found = frozenset(r[0] for r in first)
     if not found:
         return found
@@ -291,8 +292,13 @@ def learn_frames(per_site: DataFrame, total: int) -> frozenset[str]:
     def known(key: pd.Series) -> pd.Series:
         return key.map(lambda k: [f for f in frames_of(k) if f in found])
 
-    rows = keys.select("form", *[c for c in ("pages", "head", "tail", "last", "near", "texts")], F.explode(known("key")).alias("frame")).groupBy("frame").agg(*sums).where(often & (outer | insert & ~F.col("frame").contains("0") & service("frame") & F.col("frame").rlike(r"^\S+ \S+ _ \S+ \S+$"))).select("frame").collect()
-    return frozenset(r[0] for r in rows)
+    rows = keys.select("form", "texts", *numbers, F.explode(known("key")).alias("frame")).groupBy("frame").agg(*sums).where(often).withColumn("outside", outside).where(outside | service).select("frame", "outside").collect()
+    return frozenset(r["frame"] for r in rows if r["outside"] or _serves(r["frame"]))
+
+
+def _serves(frame: str) -> bool:
+    """The exact check of what repeats inside the core, for a frame that has both ends; dated sentences are none."""
+    return frame.count(" ") == 4 and " _ " in frame and "0" not in frame and bool(_SERVICE.search(frame))
 
 
 def with_site_keys(pages: DataFrame, furniture: Furniture, salts: int = 32) -> DataFrame:
