@@ -13,6 +13,7 @@ is searched whole and copies of it count as one record; other columns are ignore
 from __future__ import annotations
 
 import functools
+import math
 import re
 from collections.abc import Iterator
 
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 
 #: Slots of the tables of pair and character counts, whatever the corpus.
 PAIR_SLOTS, CHAR_SLOTS = 1 << 20, 1 << 16
+#: At most so many values have so large a share of all rows.
+HEAVY_COPIES = 1000
 #: A pair needs this share of all counted pairs for half of its mutual information to count.
 DISCOUNT_SHARE = 3e-3
 #: More mutual information counts as this much: characters seen only together are no better than common pairs.
@@ -39,6 +42,8 @@ _INVISIBLE = "\ufeff\xa0\xad\u200b\u200e\u200f\u2009\u202f"
 _HIGH = re.compile(r"[^\x00-\x7f]+")
 #: Control characters that only wrong decoding leaves in a text.
 _CONTROL = re.compile("[\x80-\x84\x86-\x9f]")
+#: Beginnings of sequences read byte by byte; what is left of them where the other bytes were lost can't be restored.
+_LEFTOVER = re.compile("â€|ï¿½|Ã[\xa1-\xbf]|Â[\xa1-\xbf]")
 _MARK_AT_END = re.compile(r"�+[\s.…]*(?:\[[^\]\n]{0,40}\])?\s*$")
 _UTF8 = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}")
 
@@ -85,24 +90,41 @@ def high_pairs(points: np.ndarray) -> np.ndarray:
 
 
 def count_pairs(values: DataFrame, col: str) -> DataFrame:
-    """``kind, slot, n``: counts of pairs (kind 0) and of their first (1) and second (2) characters; a fixed number of rows."""
+    """``kind, slot, n``: counts of pairs (kind 0) and of their first (1) and second (2) characters; a fixed number of rows. A value
+    that makes up one in HEAVY_COPIES of all rows counts once, as its copies say nothing new."""
+    rows = values.select(F.col(col).alias("v")).where("v IS NOT NULL").withColumn("h", F.xxhash64("v"))
+    copies = rows.groupBy("h").agg(F.count("*").alias("n"))
+    total = copies.agg(F.sum("n")).first()[0] or 0
+    heavy = {r["h"]: r["n"] for r in copies.where((F.col("n") > 1) & (F.col("n") * HEAVY_COPIES >= total)).collect()}  # at most HEAVY_COPIES
 
     def scan(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pairs, first, second = np.zeros(PAIR_SLOTS, np.int64), np.zeros(CHAR_SLOTS, np.int64), np.zeros(CHAR_SLOTS, np.int64)
+        pairs, first, second = np.zeros(PAIR_SLOTS), np.zeros(CHAR_SLOTS), np.zeros(CHAR_SLOTS)
+        met: dict[int, list] = {}  # copies of heavy values in this part
+
+        def add(texts: list[str], weight: float = 1.0) -> None:
+            p = _points("\x00".join(texts))
+            i = high_pairs(p)
+            a, b = p[i], p[i + 1]
+            for counts, slots in ((pairs, _slots(a, b)), (first, _char_slots(a)), (second, _char_slots(b))):
+                np.add(counts, np.bincount(slots, minlength=len(counts)) * weight if weight != 1 else np.bincount(slots, minlength=len(counts)), out=counts)
+
         for pdf in pdfs:
-            texts = [t for t in pdf["v"] if t and not t.isascii()]
+            texts = []
+            for t, h in zip(pdf["v"], pdf["h"]):
+                if t and not t.isascii():
+                    if h in heavy:
+                        met.setdefault(h, [t, 0])[1] += 1
+                    else:
+                        texts.append(t)
             for at in range(0, len(texts), 256):
-                p = _points("\x00".join(texts[at : at + 256]))
-                i = high_pairs(p)
-                a, b = p[i], p[i + 1]
-                pairs += np.bincount(_slots(a, b), minlength=PAIR_SLOTS)
-                first += np.bincount(_char_slots(a), minlength=CHAR_SLOTS)
-                second += np.bincount(_char_slots(b), minlength=CHAR_SLOTS)
+                add(texts[at : at + 256])
+        for h, (t, n) in met.items():
+            add([t], n / heavy[h])
         for kind, counts in enumerate((pairs, first, second)):
             at = np.flatnonzero(counts)
             yield pd.DataFrame({"kind": np.full(len(at), kind, np.int32), "slot": at.astype(np.int32), "n": counts[at]})
 
-    return values.select(F.col(col).alias("v")).where("v IS NOT NULL").mapInPandas(scan, "kind int, slot int, n bigint").groupBy("kind", "slot").agg(F.sum("n").alias("n"))
+    return rows.mapInPandas(scan, "kind int, slot int, n double").groupBy("kind", "slot").agg(F.sum("n").alias("n"))
 
 
 class Associations:
@@ -144,6 +166,11 @@ class Associations:
     def mean(self, text: str) -> float:
         return self.excess(text) / max(1, len(text) - 1) + IMPROBABLE
 
+    def familiar(self, text: str) -> float:
+        """How often characters outside ASCII occur, as the mean of logarithms."""
+        logs = [math.log1p(self.known(c)) for c in text if c > "\x7f" and c != "�"]
+        return sum(logs) / max(1, len(logs))
+
     def known(self, char: str) -> float:
         """How often the character occurs, in counted pairs."""
         cache = self.__dict__.setdefault("cache", {})
@@ -235,7 +262,9 @@ def _from_wide(run: str, encoding: str, stats: Associations) -> tuple[str, bool]
     gaps = raw.count(b"?")  # lost bytes, each beside at most two that are left of its character
     if not sequences or sum(map(len, sequences)) + 3 * gaps < len(raw) or known * 4 < len(sequences) * 3 or (len(sequences) < 2 and len(run) > 2 + gaps):
         return None
-    if stats.excess("".join(s.decode() for s in sequences)) <= stats.excess(run) + GAIN:
+    back = "".join(s.decode() for s in sequences)
+    # characters that wrong decoding makes are rarer than those they stand for, whatever the corpus consists of
+    if stats.familiar(back) <= stats.familiar(run) or stats.excess(back) <= stats.excess(run) + GAIN:
         return None
     text = raw.decode("utf-8", "replace")
     return text, "�" not in text and "?" not in text
@@ -320,6 +349,8 @@ def repair(text: str | None, stats: Associations, may_be_cut: bool = True) -> tu
             segment = fixed[a:b]
             if not _SUSPECT.search(segment):
                 continue
+            if _LEFTOVER.search(segment):
+                case = True
             better, gone, encoding = _repair_segment(segment, stats, fixed[a - 1 : a] if a else "", fixed[b : b + 1])
             lost |= gone
             if encoding:
@@ -346,7 +377,7 @@ def repair(text: str | None, stats: Associations, may_be_cut: bool = True) -> tu
         if best is not None and stats.mean(best) > stats.mean(text) + GAIN and not lost:
             return True, best
         lost = True
-    return case or lost, (None if lost else fixed) if case or lost else None
+    return case or lost, (None if lost or fixed == text else fixed) if case or lost else None
 
 
 def _repair_segment(segment: str, stats: Associations, left: str = "", right: str = "") -> tuple[str | None, bool, str | tuple[str, str] | None]:

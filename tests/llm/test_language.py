@@ -47,6 +47,15 @@ def test_repair_values_over_rows(spark, values, stats):
     assert mojibake.repair_values(df.limit(0), ["id"], "v").count() == 0
 
 
+def test_copies_of_one_value_change_nothing(spark):
+    rows = ["Der Fluß ist über die Ufer getreten, sagte Jürgen Größer.", "費用は52億円から85億円に増えた。調査は続いている。", "据水务管理局称,医院合并涉及799户家庭。几周后,调查仍在进行。", "Стоимость выросла, как сообщили в ведомстве."]
+    few = [r for r in rows for _ in range(40)]
+    sound, skewed = (mojibake.associations(spark.createDataFrame([(v,) for v in few + [rows[3]] * n], "v string"), "v") for n in (0, 4000))
+    assert not [v for v in rows if mojibake.repair(v, skewed)[0]]
+    garbled = "Der FluÃŸ ist Ã¼ber die Ufer getreten, sagte JÃ¼rgen."
+    assert mojibake.repair(garbled, sound) == mojibake.repair(garbled, skewed) == (True, "Der Fluß ist über die Ufer getreten, sagte Jürgen.")
+
+
 @pytest.fixture(scope="module")
 def learned(spark):
     rng = random.Random(8)
