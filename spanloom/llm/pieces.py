@@ -134,8 +134,11 @@ def split_oversized(df: DataFrame, limits: DataFrame, keys: list[str], text_col:
 def _split_spread(rows: DataFrame, keys: list[str], range_chars: int) -> DataFrame:
     """The same for items too long for one task: their ranges are separate rows, of which only boundary tables meet."""
     rows = rows.withColumn("_item", F.xxhash64(*keys, "_text"))
-    parts = rows.select(*keys, "_item", "_len", "_max", "_overlap", "_text", F.explode(F.sequence(F.lit(0), F.col("_len") - 1, F.lit(range_chars))).alias("_begin"))
-    parts = parts.select(*keys, "_item", "_len", "_max", "_overlap", "_begin", F.least(F.lit(HALO), "_begin").alias("_left"), F.expr(f"substring(_text, greatest(_begin - {HALO}, 0) + 1, {range_chars} + least({HALO}, _begin) + {HALO})").alias("_part"))
+    copies = rows.groupBy("_item").agg(F.count("*").alias("_copies"))
+    # ranges are made before they become rows, so that no row carries the whole text beside its range
+    cut = F.expr(f"transform(sequence(0, _len - 1, {range_chars}), b -> struct(b AS _begin, substring(_text, greatest(b - {HALO}, 0) + 1, {range_chars} + least({HALO}, b) + {HALO}) AS _part))")
+    parts = rows.select(*keys, "_item", "_len", "_max", "_overlap", cut.alias("_ranges")).select(*keys, "_item", "_len", "_max", "_overlap", F.explode("_ranges").alias("_r"))
+    parts = parts.select(*keys, "_item", "_len", "_max", "_overlap", "_r._begin", F.least(F.lit(HALO), F.col("_r._begin")).alias("_left"), "_r._part")
 
     @F.pandas_udf("struct<at:array<bigint>,strength:array<tinyint>>")
     def table(part: pd.Series, begin: pd.Series, left: pd.Series, limit: pd.Series) -> pd.DataFrame:
@@ -167,6 +170,8 @@ def _split_spread(rows: DataFrame, keys: list[str], range_chars: int) -> DataFra
     own = parts.select("_item", "_begin", F.expr(f"substring(_part, _left + 1, {range_chars})").alias("_own")).dropDuplicates(["_item", "_begin"])
     cut = touched.join(own, ["_item", "_begin"]).withColumn("_seg", F.expr("substring(_own, greatest(start_off - _begin, 0) + 1, end_off - greatest(start_off, _begin))"))
     whole = cut.groupBy(*keys, "_item", "piece_no", "n_pieces", "start_off", "end_off").agg(F.sort_array(F.collect_list(F.struct("_begin", "_seg"))).alias("_segs"))
+    # repeated rows give repeated pieces, as they do where a text stays in one task
+    whole = whole.join(copies, "_item").withColumn("_copy", F.explode(F.expr("sequence(1L, _copies)")))
     return whole.select(*keys, "piece_no", "n_pieces", "start_off", "end_off", F.expr("concat_ws('', transform(_segs, x -> x._seg))").alias("piece"))
 
 

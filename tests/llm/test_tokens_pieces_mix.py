@@ -75,6 +75,14 @@ def test_spread_ranges_give_the_same_pieces(spark):
     assert [(r["start_off"], r["end_off"], r["piece"]) for k in (1, 2) for r in one[k]] == [(r["start_off"], r["end_off"], r["piece"]) for k in (1, 2) for r in spread[k]]
 
 
+def test_repeated_rows_give_repeated_pieces_on_either_path(spark):
+    text = "".join(f"Sentence number {i} of a long text. " for i in range(200))
+    df = spark.createDataFrame([(1, text, "PROSE"), (1, text, "PROSE"), (2, text, "PROSE")], "k int, text string, layout string")
+    limits = spark.createDataFrame([("PROSE", 900, 50)], "layout string, max_chars int, overlap_chars int")
+    one, spread = (sorted(map(tuple, pieces.split_oversized(df, limits, ["k"], inline_chars=n, range_chars=1024).collect())) for n in (1 << 22, 100))
+    assert one == spread and len(one) == 3 * len({r[1] for r in one})
+
+
 def test_files_are_cut_by_byte_ranges(spark, tmp_path):
     rng = random.Random(4)
     text = " ".join("".join(rng.choice("aé字\U0001f600") for _ in range(rng.randrange(1, 9))) + rng.choice(["", ".", ".\n\n"]) for _ in range(4000))
