@@ -30,9 +30,9 @@ LEAST_SPREAD = 0.015
 LEAST_PAGES, USUAL_SPREAD = 20, 0.045
 LENGTH_CLASSES = (300, 600, 1200, 2400, 4800, 9600)
 #: Redundancy is how many spreads the ratio lies below what is expected, and what the share of the top word, of links in characters and of tags among words adds.
-TOP_WEIGHT, LINK_WEIGHT, TAG_WEIGHT = 12, 4, 15
+TOP_WEIGHT, LINK_WEIGHT, TAG_WEIGHT = 14, 6, 25
 #: Above this a page is extremely redundant; below this part of the usual density of sentence ends that is confirmed.
-REDUNDANT, INFORMS = 4.5, 0.2
+REDUNDANT, INFORMS = 5.5, 0.2
 #: A page turns on its top word from this share on, and sentences with it don't inform; neither do ones of fewer characters.
 TURNING, LEAST_SENTENCE = 0.08, 12
 FEATURES = "script string, language string, len_class int, ratio double, punct double, informing double, links double, tags double, top double"
@@ -89,7 +89,7 @@ def page_features(text: str, tag: str | None = None) -> tuple:
     top, most = "", 0
     for w, k in Counter(words).most_common():
         if len(w) >= least and not w.isdigit():
-            top, most = w, k
+            top, most = w, k - 1  # repetitions
             break
     # links and tags count as one mark each: they are redundant however they are spelt
     ratio = block_ratio(bare, len(text.encode("utf-8", "surrogatepass")))
@@ -126,6 +126,12 @@ def expected_ratios(features: DataFrame) -> DataFrame:
     middle = lambda c: F.percentile_approx(c, 0.5, 1000)
     classes, scripts = ["script", "language", "len_class"], ["script", "len_class"]
     own = features.groupBy(*classes).agg(middle("ratio").alias("own"), F.count("*").alias("n"))
+    # tags are often wrong: a language is written in the script of most of its texts, and counts for itself only there
+    tag = F.substring_index("language", "-", -1)
+    written = own.groupBy("script", "language").agg(F.sum("n").alias("n_written"))
+    tagged = written.groupBy(tag.alias("tag")).agg(F.sum("n_written").alias("n_tagged"))
+    proper = written.join(tagged, tag == F.col("tag")).where(F.col("n_written") * 2 > F.col("n_tagged")).select("script", "language", F.lit(True).alias("proper"))
+    own = own.join(proper, ["script", "language"], "left").withColumn("n", F.when(F.col("proper"), F.col("n")).otherwise(0)).drop("proper")
     every = features.groupBy(*scripts).agg(middle("ratio").alias("of_class"), F.count("*").alias("n_class"))
     script = features.groupBy("script").agg(middle("ratio").alias("of_script"), middle("punct").alias("usual_punct"))
     mid = own.join(every, scripts).join(script, "script")
