@@ -37,12 +37,21 @@ def test_empty_tables(spark):
 
 
 def test_heavy_key_gives_the_same(spark, monkeypatch):
-    refs = [(str(i), "hot", T(1 + i % 20)) for i in range(300)] + [("c", "cold", T(1)), ("d", "cold", T(9))]
+    refs = [(str(i), "hot", T(1 + i % 20)) for i in range(300)] + [("c", "cold", T(1)), ("d", "cold", T(9)), ("e", "gone", T(2))]
     targets = [("hot", T(3), T(10)), ("hot", T(15), None), ("cold", T(5), None)]
     plain = _orphans(spark, refs, targets)
-    monkeypatch.setattr(orphans, "HEAVY_LEAST", 10)
+    monkeypatch.setattr(orphans, "HEAVY_SHARE", 0.5)
     assert _orphans(spark, refs, targets) == plain
+    monkeypatch.setattr(orphans, "HEAVY_SHARE", 2)  # no key is heavy
+    assert _orphans(spark, refs, targets) == plain
+    monkeypatch.setattr(orphans, "HEAVY_SHARE", 0.001)
     monkeypatch.setattr(orphans, "HEAVY_SPANS", 1)  # too many spans: back to the shuffle
     assert _orphans(spark, refs, targets) == plain
-    want = sum(not (3 <= 1 + i % 20 < 10 or 1 + i % 20 >= 15) for i in range(300)) + 1
+    want = sum(not (3 <= 1 + i % 20 < 10 or 1 + i % 20 >= 15) for i in range(300)) + 2
     assert len(plain) == want
+
+
+def test_only_suspect_periods_come_back(spark):
+    refs = spark.createDataFrame([("a", "f", str(i), k, t) for i, (k, t) in enumerate([("x", T(5)), ("x", T(6)), ("y", T(1)), ("y", T(9)), ("z", T(3))])], REFS).selectExpr("*", "date_format(ref_time, 'yyyy-MM') AS period")
+    spans = orphans.live_spans(spark.createDataFrame([("x", T(1), None), ("y", T(5), None)], "k string, ingested_at timestamp, deleted_at timestamp"), "k")
+    assert sorted(r["target_key"] for r in orphans.suspect_periods(orphans.reference_periods(refs), spans).collect()) == ["y", "z"]
