@@ -17,8 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.furniture import CONTENT, HEAD, TEXT_CHARS, Furniture, digest, learn, page_lines, site_of, with_site_keys
-from spanloom.llm.lines import SENTENCE_END, _BULLET, key_of, shape_of
+from spanloom.llm.furniture import CONTENT, HEAD, Furniture, byte_length, digest, learn, page_lines, site_of, with_site_keys
+from spanloom.llm.lines import SENTENCE_END, TEXT_CHARS, _BULLET, key_of, shape_of
 
 #: Lines on either side that a window takes in, and the bytes at which its sum surges. Sentences and entries weigh a surge: they are text wherever they stand.
 REACH = 2
@@ -58,7 +58,7 @@ def label_lines(text: str, title: str | None, url: str | None, publisher: str |
     weights: list[int] = []
     teasers = seen_title = False
     for _, s in lines:
-        weight = len(s.encode("utf-8", "surrogatepass"))
+        weight = byte_length(s)
         if s == titled and not (teasers and seen_title):
             teasers, seen_title = False, True
         else:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.lines import _BULLET, SENTENCE_END, key_of, shape_of, title_statistics
+from spanloom.llm.lines import _BULLET, TEXT_CHARS, key_of, shape_of, title_statistics
 from spanloom.session import materialize
 
 #: A surge: so many bytes in a window of three lines, a third of them in the line itself.
@@ -35,8 +35,6 @@ STRONG_SITE, STRONG_CORPUS = 12, 120
 IN_HEAD, OUTSIDE, MOST_LAST, BEFORE_TITLES, ALWAYS_OUTSIDE = 0.7, 0.85, 0.8, 0.6, 0.97
 #: A key inside the core must be on one of so many pages.
 INSERT_SHARE = 150
-#: Keys of longer lines are counted by their hash alone; nothing else needs their text.
-TEXT_CHARS = 200
 FLUSH_KEYS = 100_000
 #: Keys with a part that varies have so many forms, and this share of their pages in head or tail, at most that share right beside the core.
 FRAME_FORMS, FRAME_OUTSIDE, FRAME_NEAR = 4, 0.95, 0.5
@@ -69,6 +67,10 @@ def digest(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
 
 
+def byte_length(line: str) -> int:
+    return len(line) if line.isascii() else len(line.encode("utf-8", "surrogatepass"))
+
+
 def page_lines(text: str) -> list[tuple[int, str]]:
     """Numbers and contents of the lines that aren't blank, without mark-up."""
     out = []
@@ -106,17 +108,17 @@ def line_counts(pages: DataFrame, frequent: frozenset[str], shapes: frozenset[st
     A row with ``h`` null has the number of such pages of its site. ``texts`` is a bitmap of 64 classes of texts."""
 
     def scan(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: dict[tuple[int, int | None], list] = {}
+        counts: dict[tuple[int, str | None], list] = {}
         shaped: dict[str, bool] = {}
         for pdf in pdfs:
             for text, title, url, publisher in zip(pdf["text"], pdf["title"], pdf["url"], pdf["publisher"]):
                 lines = [s for _, s in page_lines(text)]
-                core = core_lines([len(s.encode("utf-8", "surrogatepass")) for s in lines], surge)
+                core = core_lines([byte_length(s) for s in lines], surge)
                 if not core:
                     continue
                 site = digest(site_of(url, publisher))
                 bit = 1 << (digest(text) & 63)
-                _add(counts, (site, None), None, False, [1, 0, 0, 0, 0, 0], bit)
+                _add(counts, (site, None), False, [1, 0, 0, 0, 0, 0], bit)
                 titled = title.strip() if title else None
                 keys = [key_of(s, publisher) for s in lines]
                 entries = [menu_parts(k) for k in keys]
@@ -133,11 +135,11 @@ def line_counts(pages: DataFrame, frequent: frozenset[str], shapes: frozenset[st
                     z = last if last != j else core[-2]
                     before_title = j + 1 < n and shaped[keys[j + 1]] and lines[j + 1] != titled
                     row = [1, int(j < a), int(j > z), int(j == n - 1), int(before_title), int(j in (a - 1, z + 1))]
-                    _add(counts, (site, digest(k)), k, shaped[k], row, bit)
+                    _add(counts, (site, k), shaped[k], row, bit)
                     for p in () if shaped[k] else entries[j]:
                         if p not in seen:
                             seen.add(p)
-                            _add(counts, (site, digest(p)), p, False, [*row[:4], 0, row[5]], bit)
+                            _add(counts, (site, p), False, [*row[:4], 0, row[5]], bit)
             if len(counts) > FLUSH_KEYS:
                 yield _frame(counts)
                 counts, shaped = {}, {}
@@ -146,22 +148,28 @@ def line_counts(pages: DataFrame, frequent: frozenset[str], shapes: frozenset[st
     return pages.select("text", "title", "url", "publisher").mapInPandas(scan, "site bigint, h bigint, key string, shaped boolean, pages bigint, head bigint, tail bigint, last bigint, titles bigint, near bigint, texts bigint")
 
 
-def _add(counts: dict, at: tuple, key: str | None, shaped: bool, row: list[int], bit: int) -> None:
+def _add(counts: dict, at: tuple, shaped: bool, row: list[int], bit: int) -> None:
     own = counts.get(at)
     if own is None:
-        counts[at] = [key if key is not None and len(key) <= TEXT_CHARS else None, shaped, *row, bit]
+        counts[at] = [*row, bit, shaped]
     else:
-        for i, x in enumerate(row):
-            own[i + 2] += x
-        own[8] |= bit
+        own[0] += row[0]
+        own[1] += row[1]
+        own[2] += row[2]
+        own[3] += row[3]
+        own[4] += row[4]
+        own[5] += row[5]
+        own[6] |= bit
 
 
 def _frame(counts: dict) -> pd.DataFrame:
     """Rows of Spark's signed numbers."""
     signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
-    rows = [(signed(s), None if h is None else signed(h), k, sh, *n, signed(bits)) for (s, h), (k, sh, *n, bits) in counts.items()]
-    out = pd.DataFrame(rows, columns=["site", "h", "key", "shaped", "pages", "head", "tail", "last", "titles", "near", "texts"], dtype=object)
-    return out.astype({"h": "Int64"})  # from objects: by way of floats digits would be lost
+    keys = [k for _, k in counts]
+    numbers = list(zip(*counts.values())) or [()] * 8
+    columns = {"site": [signed(s) for s, _ in counts], "h": pd.array([None if k is None else signed(digest(k)) for k in keys], dtype="Int64"), "key": [k if k is not None and len(k) <= TEXT_CHARS else None for k in keys], "shaped": list(numbers[7])}
+    columns |= {c: list(numbers[i]) for i, c in enumerate(("pages", "head", "tail", "last", "titles", "near"))} | {"texts": [signed(x) for x in numbers[6]]}
+    return pd.DataFrame(columns).astype({"key": object, "shaped": bool})
 
 
 def _kind(least_texts: int, share: int, strong: int, insert: int) -> Column:

@@ -116,13 +116,17 @@ _PLAIN_FURNITURE, _PLAIN_HEADS = (frozenset(y for x in s if not x.isascii() and
 
 _SEPARATOR = re.compile(r"(?<=\S)(?:\s{2,}|\t|\s[|/>›»·]\s|[›»·|])(?=\S)")
 
+#: Lines up to this length are told by their key's text, longer ones by a digest of all their text.
+TEXT_CHARS = 200
 _MAY_SEPARATE = re.compile(r"\s\s|[\t|/>›»·]")
 
 
 def key_of(line: str, publisher: str | None) -> str:
     """What lines that repeat have in common: numbers as 0, the page's own publisher as <p>, white space as one blank, and
-    what separates entries of menus (wide space among it) as " | "."""
-    out = " ".join((_SEPARATOR.sub(" | ", line) if len(line) <= 400 and _MAY_SEPARATE.search(line) else line).split())
+    what separates entries of menus (wide space among it) as " | ". Lines of more than TEXT_CHARS are their own key."""
+    if len(line) > TEXT_CHARS:
+        return line
+    out = " ".join((_SEPARATOR.sub(" | ", line) if _MAY_SEPARATE.search(line) else line).split())
     if publisher and publisher in out:
         out = out.replace(publisher, "<p>")
     return _DIGITS.sub("0", out).lower()
