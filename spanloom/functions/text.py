@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import functools
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The forms of tokens, list prefixes, queries about lists, facts and dependent sentences.
 SENTENCE = r"[^.!?\n]+[.!?]*\s*|[.!?\n]\s*"
-TOKEN = r"[0-9]+(?:[.,][0-9]+)*%?|[\p{L}\p{N}]+(?:[’'-][\p{L}\p{N}]+)*"
+TOKEN = r"[0-9]+(?:[.,][0-9]+)*(?:%|(?![\p{L}\p{N}_]))|[\p{L}\p{N}]+(?:[’'-][\p{L}\p{N}]+)*"
 WORD = r"[\p{L}\p{N}]+(?:[’'-][\p{L}\p{N}]+)*"
 NUMBER = r"^[0-9]+(?:[.,][0-9]+)*%?$"
 LIST_PREFIX = r"^(?:[-*•]|[0-9]+[.)])\s+"
 LIST_QUERY = r"(?i)\b(?:list(?:ed|s|ing)?|member(?:s|ship)?\s+of|included\s+(?:in|on|among)|designated\s+(?:as|by)|belongs?\s+to|on\s+(?:the\s+)?(?:[\w'-]+\s+){0,6}(?:board|committee|council|register|roster))\b"
-FACT_CUES = r"(?i)\b(?:is|are|was|were|has|have|had|rose|fell|increased|decreased|reached|totalled|totaled|won|received|contains|includes)\b"
+FACT_CUES = r"(?i)\b(?:awarded|award|born|date|died|joined|member|population|prize|sale)\b"
 BACKWARD = r"(?i)^(?:however|but|and|also|instead|meanwhile|therefore|thus|accordingly|consequently|similarly|this|that|these|those|such|he|she|it|they|his|her|its|their|the former|the latter)(?:$|[^\p{L}\p{N}_])"
 FORWARD = r"(?i)(?:as follows|the following|these are|listed below)\s*[:.]?$"
 DEPENDENT = r"(?i)(?:^|[^\p{L}\p{N}_])(?:he|she|it|they|this|that|these|those|former|latter|above|below)(?:$|[^\p{L}\p{N}_])"
@@ -33,35 +36,59 @@ def sentences(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
 
 
 def canonical_number(token: Column) -> Column:
-    """One form for a number however it groups digits: of two kinds of separator the last is the decimal one; commas before three
-    digits each group; a single other comma is decimal. Zeros that say nothing are dropped; a percent sign stays."""
+    """One form for a number however it groups digits: of two kinds of separator the last is the decimal one, wherever it stands; commas before
+    three digits each group; a single other comma is decimal; several others stay. Zeros that say nothing are dropped; a percent sign stays."""
     body = F.regexp_replace(token, "%$", "")
     percent = F.when(token.endswith("%"), "%").otherwise("")
     both = body.contains(",") & body.contains(".")
-    last_comma = F.expr("0") + F.length(body) - F.length(F.regexp_replace(body, r"^.*,", ""))
-    last_dot = F.length(body) - F.length(F.regexp_replace(body, r"^.*\.", ""))
+    comma_last = body.rlike(r",[^.]*$")
     dotted = (
-        F.when(both & (last_comma > last_dot), F.regexp_replace(F.regexp_replace(body, r"\.", ""), r",(?=[^,]*$)", "."))
-        .when(both, F.regexp_replace(body, ",", ""))
-        .when(body.rlike(r"^[0-9]{1,3}(,[0-9]{3})+$"), F.regexp_replace(body, ",", ""))
-        .when(body.rlike(r"^[0-9]+,[0-9]+$"), F.regexp_replace(body, ",", "."))
-        .otherwise(F.regexp_replace(body, ",", ""))
+        F.when(both & comma_last, F.replace(F.replace(body, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
+        .when(both | body.rlike(r"^[0-9]{1,3}(,[0-9]{3})+$"), F.replace(body, F.lit(","), F.lit("")))
+        .when(body.rlike(r"^[^,]*,[^,]*$"), F.replace(body, F.lit(","), F.lit(".")))
+        .otherwise(body)
     )
-    whole = F.regexp_replace(F.regexp_extract(dotted, r"^([0-9]*)", 1), r"^0+(?=[0-9])", "")
-    part = F.regexp_replace(F.regexp_extract(dotted, r"^[0-9]*\.([0-9.]*)$", 1), r"0+$", "")
+    whole = F.regexp_replace(F.regexp_replace(F.regexp_extract(dotted, r"^([^.]*)", 1), r"^0+", ""), "^$", "0")
+    part = F.regexp_replace(F.regexp_extract(dotted, r"^[^.]*\.(.*)$", 1), r"0+$", "")
     return F.concat(F.lit("#number:"), whole, F.when(part != "", F.concat(F.lit("."), part)).otherwise(""), percent)
 
 
+# Letters whose folded form is not their lower case.
+FOLDED = (("ß", "ss"), ("ẞ", "ss"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st"))
+
+
+def folded(text: Column) -> Column:
+    """Text without differences of case, in the full sense: sharp s and ligatures as their letters, one sigma, one s."""
+    text = F.translate(F.lower(text), "ςſ", "σs")
+    for c, plain in FOLDED:
+        text = F.replace(text, F.lit(c), F.lit(plain))
+    return text
+
+
 def lexical_tokens(text: Column) -> Column:
-    """Lower-case tokens in order, repeats kept: words of more than two letters, and numbers in one form."""
-    found = _all(F.lower(text), TOKEN)
+    """Folded tokens in order, repeats kept: words of more than two letters, and numbers in one form. A number that runs on into letters is a word."""
+    found = F.transform(_all(text, TOKEN), folded)
     kept = F.filter(found, lambda t: t.rlike(NUMBER) | (F.length(t) > 2))
     return F.transform(kept, lambda t: F.when(t.rlike(NUMBER), canonical_number(t)).otherwise(t))
 
 
+@functools.lru_cache(maxsize=1)
+def _compatible() -> tuple[str, str]:
+    """Characters that compatibility turns into one ASCII letter or digit, and what they become; ligatures are folded, other digraphs left."""
+    pairs = ((c, unicodedata.normalize("NFKC", c).casefold()) for c in map(chr, range(0x80, 0x1FC00)) if unicodedata.category(c)[0] in "LN")
+    one = {c: plain for c, plain in pairs if len(plain) == 1 and plain.isascii()}
+    return "".join(one), "".join(one.values())
+
+
+def normalized(text: Column) -> Column:
+    """Folded text with compatible characters as ASCII and letters under combining marks as composed ones, which are no ASCII letters."""
+    one, plain = _compatible()
+    return F.regexp_replace(folded(F.translate(text, one, plain)), r"[aceghijklnoprstuwyz][\u0300-\u036f]+", "é")
+
+
 def symbol_tokens(text: Column) -> Column:
     """Distinct plain tokens without stop words."""
-    plain = F.lower(F.regexp_replace(text, r"[\p{S}]", " "))
+    plain = normalized(F.regexp_replace(text, r"[\p{S}]", " "))
     return F.array_distinct(F.filter(_all(plain, r"[a-z][a-z0-9'-]*"), lambda t: ~t.isin(*STOP_WORDS)))
 
 
@@ -81,7 +108,7 @@ def is_sentence_like(text: Column) -> Column:
     words = word_count(t)
     return (
         F.when(t == "", False)
-        .when(F.lower(t).startswith("myth:"), False)
+        .when(t.rlike(r"(?i)^myth\s*:"), False)
         .when((words >= LEAST_WORDS) | t.rlike(r"[.?!]$"), True)
         .when((words >= 3) & t.rlike("[0-9]") & t.rlike(FACT_CUES), True)
         .otherwise(t.rlike(LIST_PREFIX))

@@ -10,56 +10,63 @@ from pyspark.sql import functions as F
 
 KEYS = ["case_id", "atom_id"]
 
-# Number words, and the words of three measures of height and size.
-WORDS = {w: i for i, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty".split())}
-SCALES = {"thousand": 1e3, "million": 1e6, "billion": 1e9}
-MEASURES = {"population": ("population", "inhabitants", "residents"), "above_sea_level": ("above sea level", "elevation"), "base_to_summit": ("base to summit", "base-to-summit", "from base")}
-_QUANTITY = re.compile(rf"(?<![\w.])([+-]?\d+(?:,\d{{3}})*(?:\.\d+)?|(?:{'|'.join(WORDS)})\b)\s*(%|percent\b|per cent\b)?\s*(thousand|million|billion)?", re.I)
-REFUTING = r"(?i)\b(?:no|not|never|false|incorrect|wrong|untrue|contrary|instead of|rather than|denied|refuted)\b"
+# Number words, scales, words that say nothing of a measured fact, words that deny outright, and how amounts are written.
+WORDS = {w: float(i) for i, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty".split())}
+SCALES = {"billion": 1e9, "bn": 1e9, "million": 1e6, "mn": 1e6, "m": 1e6, "thousand": 1e3, "k": 1e3, "%": 0.01, "percent": 0.01, "percentage": 0.01}
+PLAIN_WORDS = frozenset("about added after already and approximately around back been before claim during from height more pandemic than that the their there these this through time were where with would".split())
+REFUTING = r"(?i)\b(?:false|incorrect|inaccurate|myth|not true|isn[’']t\s+true|did not|didn[’']t|does not|doesn[’']t|never)\b"
+AMOUNT = r"(?<![\w.])([+-]?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?)\s*(billion|million|thousand|bn|mn|m|k|%|percent(?:age)?)?(?=\s|[.,;:!?)]|$)"
+_AMOUNT = re.compile(AMOUNT, re.I)
+_SPELT = re.compile(r"(?<![\w-])(?:" + "|".join(WORDS) + r")(?![\w-])", re.I)
+MEASURES = {"population": ("population", "populous", "residents", "people"), "above_sea_level": ("above sea level", "elevation", "sea level"), "base_to_summit": ("base to summit", "base-to-summit", "base to top", "base-to-top", "from its base", "ocean floor", "below sea level")}
 
 
 def quantities(text: str) -> list[tuple[float, float]]:
-    """``(value, scale)`` of a text's amounts as floats; percentages are hundredths (scale 0.01); bare whole numbers from 1000 to 2099 are taken for years."""
+    """``(value, scale)`` of a text's amounts, then of those in words; percentages are hundredths (scale 0.01), and those alone are compared by scale; bare whole numbers from 1000 to 2099 are
+    taken for years."""
     out = []
-    for m in _QUANTITY.finditer(text):
-        raw = m.group(1).lower()
-        value = float(WORDS[raw]) if raw in WORDS else float(raw.replace(",", ""))
-        if m.group(2):
-            out.append((value * 0.01, 0.01))
-        elif m.group(3):
-            out.append((value * SCALES[m.group(3).lower()], 1.0))
-        elif not (raw.isdigit() and 1000 <= value <= 2099):
-            out.append((value, 1.0))
-    return out
+    for m in _AMOUNT.finditer(text):
+        value, scale = float(m.group(1).replace(",", "")), SCALES.get((m.group(2) or "").lower(), 1.0)
+        if m.group(2) or not (value.is_integer() and 1000 <= value <= 2099):
+            out.append((value * scale, scale))
+    return out + [(WORDS[m.group().lower()], 1.0) for m in _SPELT.finditer(text)]
 
 
 def quantity_matches(a: tuple[float, float], b: tuple[float, float]) -> bool:
     """Percentages must be equal; other amounts, too, or from a million on within five percent."""
-    if a[1] != b[1]:
-        return False
-    if abs(a[0] - b[0]) < 1e-9:
+    if abs(a[0] - b[0]) <= 1e-9:
+        return True
+    return 0.01 not in (a[1], b[1]) and abs(a[0]) >= 1e6 and abs(a[0] - b[0]) / abs(a[0]) <= 0.05
+
+
+def measured_terms(text: str) -> set[str]:
+    """Words of three letters and more that may name a measured fact, singular where they look plural."""
+    words = (w for w in re.findall(r"[A-Za-z]{3,}", text.lower()) if w not in PLAIN_WORDS)
+    return {w[:-1] if w.endswith("s") and len(w) > 4 else w for w in words}
+
+
+def grounds(claim: str, evidence: str, supports: bool) -> bool:
+    """Whether evidence grounds the amounts of a claim: it speaks of a word of it, and support has every amount, refutation any or a denial."""
+    need = quantities(claim)
+    if not need:
         return True
-    return a[1] != 0.01 and abs(a[0]) >= 1e6 and abs(a[0] - b[0]) <= 0.05 * abs(a[0])
+    if not measured_terms(claim) & measured_terms(evidence):
+        return False
+    have = quantities(evidence)
+    if supports:
+        return all(any(quantity_matches(x, y) for y in have) for x in need)
+    return bool(have) or bool(re.search(REFUTING, evidence))
 
 
-def _covered(claim: pd.Series, evidence: pd.Series) -> pd.DataFrame:
-    rows = []
-    for c, e in zip(claim, evidence):
-        need, have = quantities(c or ""), quantities(e or "")
-        met = [any(quantity_matches(x, y) for y in have) for x in need]
-        rows.append((len(need), sum(met)))
-    return pd.DataFrame(rows, columns=["n_need", "n_met"])
+def _grounded(claim: pd.Series, evidence: pd.Series, relation: pd.Series) -> pd.Series:
+    return pd.Series([r not in ("SUPPORTS", "REFUTES") or grounds(c or "", e or "", r == "SUPPORTS") for c, e, r in zip(claim, evidence, relation)], dtype=bool)
 
 
 def numeric_grounding(atoms: DataFrame, relations: DataFrame) -> DataFrame:
-    """``case_id, atom_id, span_id, relation, grounded``: support must meet every amount of the claim, refutation some, or deny in words.
-    Claims without amounts ground anything. ``relations``: case_id, atom_id, span_id, span_text, relation."""
+    """``case_id, atom_id, span_id, relation, grounded``: support must meet every amount of the claim, refutation some, or deny in words; both must speak of a
+    word of it. Claims without amounts ground anything. ``relations``: case_id, atom_id, span_id, span_text, relation."""
     rows = relations.join(atoms.select(*KEYS, F.col("text").alias("claim")), KEYS)
-    rows = rows.withColumn("q", F.pandas_udf(_covered, "struct<n_need:int,n_met:int>")(F.col("claim"), F.col("span_text")))
-    grounded = (
-        F.when(F.col("q.n_need") == 0, True).when(F.col("relation") == "SUPPORTS", F.col("q.n_met") == F.col("q.n_need")).when(F.col("relation") == "REFUTES", (F.col("q.n_met") > 0) | F.col("span_text").rlike(REFUTING)).otherwise(True)
-    )
-    return rows.select(*KEYS, "span_id", "relation", grounded.alias("grounded"))
+    return rows.select(*KEYS, "span_id", "relation", F.pandas_udf(_grounded, "boolean")("claim", "span_text", "relation").alias("grounded"))
 
 
 def demote_ungrounded(assessments: DataFrame, grounding: DataFrame) -> DataFrame:

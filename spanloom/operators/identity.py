@@ -65,26 +65,57 @@ def alias_groups(text: str) -> dict[str, str]:
     return {x: root(x) for x in parent}
 
 
-def align(claims: DataFrame, evidence: DataFrame) -> DataFrame:
-    """``case_id, atom_id, required, matched, status`` for claims (case_id, atom_id, text) and the evidence chosen for them (case_id, atom_id, document_id, text):
-    aligned if every name of the claim is in some document under one of its names there; unresolved if not; not applicable without names."""
-
-    def names_of(text: pd.Series) -> pd.Series:
-        return pd.Series([mentions(t) if t else [] for t in text])
-
-    def known_in(text: pd.Series) -> pd.Series:
-        out = []
-        for t in text:
-            groups = alias_groups(t or "")
-            here = set(mentions(t or ""))
-            roots = {groups.get(n, n) for n in here}
-            last = [n.split()[-1] for n in here if " " in n]
-            out.append(sorted(here | {n for n, r in groups.items() if r in roots} | {x for x in last if last.count(x) == 1}))
-        return pd.Series(out)
-
-    need = claims.select("case_id", "atom_id", F.pandas_udf(names_of, "array<string>")(F.col("text")).alias("required"))
-    have = evidence.select("case_id", "atom_id", F.explode(F.pandas_udf(known_in, "array<string>")(F.col("text"))).alias("name")).distinct()
-    met = need.select("case_id", "atom_id", F.explode("required").alias("name")).join(have, ["case_id", "atom_id", "name"]).groupBy("case_id", "atom_id").agg(F.array_sort(F.collect_set("name")).alias("matched"))
-    rows = need.join(met, ["case_id", "atom_id"], "left").withColumn("matched", F.coalesce("matched", F.array().cast("array<string>")))
-    status = F.when(F.size("required") == 0, "NOT_APPLICABLE").when(F.size("matched") == F.size("required"), "ALIGNED").otherwise("UNRESOLVED")
+def form_of(name: str) -> str | None:
+    """What a name looks like: that of a person or body in several words, or an acronym; single words may be places and compete with nothing."""
+    return "words" if " " in name else None
+
+
+def mentioned(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """``keys, names``: the names in texts, each text read once."""
+
+    def column(texts: pd.Series) -> pd.Series:
+        return pd.Series([mentions(t) if t else [] for t in texts])
+
+    return df.select(*keys, F.pandas_udf(column, "array<string>")(F.col(text)).alias("names"))
+
+
+def document_groups(documents: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """``keys, groups``: of every document its names that have others there, with the first of each group; each document read once."""
+
+    def column(texts: pd.Series) -> pd.Series:
+        return pd.Series([alias_groups(t) if t else {} for t in texts])
+
+    return documents.select(*keys, F.pandas_udf(column, "map<string,string>")(F.col(text)).alias("groups"))
+
+
+def _compare(required: pd.Series, names: pd.Series, groups: pd.Series) -> pd.DataFrame:
+    out = []
+    for need, here, group in zip(required, names, groups):
+        group = dict(group) if group is not None else {}
+        here = set(here) if here is not None else set()
+        last = [n.split()[-1] for n in here if " " in n]
+        known = here | {x for x in last if last.count(x) == 1}
+        roots = {group.get(n, n) for n in known}
+        matched = [n for n in need if n in known or group.get(n, n) in roots]
+        rivals = {n for n in here if form_of(n)}
+        competing = [n for n in need if n not in matched and form_of(n) and rivals - {x for x in rivals if group.get(x, x) == group.get(n, n)}]
+        out.append((matched, competing))
+    return pd.DataFrame(out, columns=["matched", "competing"])
+
+
+def align(claims: DataFrame, evidence: DataFrame, groups: DataFrame | None = None, relation: str = "SUPPORTS") -> DataFrame:
+    """``case_id, atom_id, required, matched, status`` for claims (case_id, atom_id, text) and the names in their evidence (case_id, atom_id, document_id, names), with the groups of
+    names of the documents (case_id, document_id, groups).
+
+    A claim's name is matched if some document has it under one of its names there. UNRESOLVED if one is not and its evidence has another name of its form instead, which
+    a refutation may well have; ALIGNED else; not applicable without names. What meets are names, never texts."""
+    need = mentioned(claims, ["case_id", "atom_id"]).withColumnRenamed("names", "required")
+    rows = need.where(F.size("required") > 0).join(evidence.select("case_id", "atom_id", "document_id", "names"), ["case_id", "atom_id"])
+    rows = rows.join(groups, ["case_id", "document_id"], "left") if groups is not None else rows.withColumn("groups", F.lit(None).cast("map<string,string>"))
+    met = rows.withColumn("m", F.pandas_udf(_compare, "struct<matched:array<string>,competing:array<string>>")("required", "names", "groups"))
+    both = met.groupBy("case_id", "atom_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("m.matched")))).alias("matched"), F.array_distinct(F.flatten(F.collect_list("m.competing"))).alias("competing"))
+    empty = F.array().cast("array<string>")
+    rows = need.join(both, ["case_id", "atom_id"], "left").withColumn("matched", F.coalesce("matched", empty)).withColumn("competing", F.array_except(F.coalesce("competing", empty), F.coalesce("matched", empty)))
+    decisive = (F.size("competing") > 0) & F.lit(relation == "SUPPORTS")
+    status = F.when(F.size("required") == 0, "NOT_APPLICABLE").when(decisive, "UNRESOLVED").otherwise("ALIGNED")
     return rows.select("case_id", "atom_id", "required", "matched", status.alias("status"))

@@ -27,24 +27,37 @@ def corpus_statistics(passages: DataFrame, case: str, keys: list[str], text: str
     return passages.groupBy(case).agg(F.count("*").alias("n_passages"), F.avg(F.size(lexical_tokens(F.col(text)))).alias("avg_len"))
 
 
-def bm25(passages: DataFrame, queries: DataFrame, case: str, passage_keys: list[str], query_key: str, text: str = "sentence", query_text: str = "query") -> DataFrame:
-    """``case, query_key, passage_keys, score`` of every passage for every query of its case; 0 where no term meets."""
+def passage_tokens(passages: DataFrame, case: str, passage_keys: list[str], text: str = "sentence") -> DataFrame:
+    """Passages with their tokens, made once and kept, as several aggregates need them."""
+    return materialize(passages.select(case, *passage_keys, F.col(text).rlike(LIST_PREFIX).alias("listed"), lexical_tokens(F.col(text)).alias("_tokens")).withColumn("n_tokens", F.size("_tokens")), "passage-tokens")
+
+
+def bm25_matches(base: DataFrame, queries: DataFrame, case: str, passage_keys: list[str], query_key: str, query_text: str = "query") -> DataFrame:
+    """``case, query_key, passage_keys, score`` of the passages (``passage_tokens``) that share a term with a query of their case. Every aggregate
+    combines before it shuffles, so no case is too large for a task."""
     keys = [case, *passage_keys]
-    # tokens are made once and kept, as several aggregates need them; each of these combines before it shuffles, so no case is too large for a task
-    base = materialize(passages.select(*keys, F.col(text).rlike(LIST_PREFIX).alias("listed"), lexical_tokens(F.col(text)).alias("_tokens")).withColumn("n_tokens", F.size("_tokens")), "passage-tokens")
     stats = base.groupBy(case).agg(F.count("*").alias("n_passages"), F.avg("n_tokens").alias("avg_len"))
-    terms = queries.select(case, query_key, F.explode(F.array_distinct(lexical_tokens(F.col(query_text)))).alias("term"))
-    tf = base.select(*keys, "n_tokens", F.explode("_tokens").alias("term")).join(terms.select(case, "term").distinct(), [case, "term"], "left_semi").groupBy(*keys, "n_tokens", "term").agg(F.count("*").alias("tf"))
+    asked = queries.select(case, query_key, F.col(query_text).rlike(LIST_QUERY).alias("asks_list"), F.explode(F.array_distinct(lexical_tokens(F.col(query_text)))).alias("term"))
+    tf = base.select(*keys, "n_tokens", "listed", F.explode("_tokens").alias("term")).join(asked.select(case, "term").distinct(), [case, "term"], "left_semi").groupBy(*keys, "n_tokens", "listed", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy(case, "term").agg(F.count("*").alias("df"))
     tf = tf.join(df, [case, "term"]).join(stats, case)
     idf = F.log(1 + (F.col("n_passages") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.when(F.col("avg_len") > 0, 1 - B + B * F.col("n_tokens") / F.col("avg_len")).otherwise(1 - B)
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * norm)
-    sums = tf.join(terms, [case, "term"]).groupBy(query_key, *keys).agg(F.sum(part).alias("raw"))
-    pairs = base.select(*keys, "listed").join(queries.select(case, query_key, F.col(query_text).rlike(LIST_QUERY).alias("asks_list")), case)
-    raw = F.coalesce("raw", F.lit(0.0))
-    score = raw + F.when((raw > 0) & F.col("listed") & F.col("asks_list"), LIST_BONUS).otherwise(0.0)
-    return pairs.join(sums, [query_key, *keys], "left").select(*keys, query_key, F.round(score, DIGITS).alias("score"))
+    sums = tf.join(asked, [case, "term"]).groupBy(query_key, *keys, "listed", "asks_list").agg(F.sum(part).alias("raw"))
+    score = F.col("raw") + F.when((F.col("raw") > 0) & F.col("listed") & F.col("asks_list"), LIST_BONUS).otherwise(0.0)
+    return sums.select(case, query_key, *passage_keys, F.round(score, DIGITS).alias("score"))
+
+
+def bm25(base: DataFrame, queries: DataFrame, case: str, passage_keys: list[str], query_key: str, query_text: str = "query", extra: list[str] | None = None) -> DataFrame:
+    """The same for every passage and query of a case, with 0 where no term meets, as ranks need it. ``extra``: the distinct tokens of the passage
+    (``ts``) and of the query (``qs``)."""
+    sides = {"ts": F.array_distinct("_tokens"), "qs": F.array_distinct(lexical_tokens(F.col(query_text)))}
+    held = base.select(case, *passage_keys, *[sides[c].alias(c) for c in extra or () if c == "ts"])
+    asked = queries.select(case, query_key, *[sides[c].alias(c) for c in extra or () if c == "qs"])
+    found = bm25_matches(base, queries, case, passage_keys, query_key, query_text)
+    rows = held.join(asked, case).join(found, [case, query_key, *passage_keys], "left")
+    return rows.select(case, *passage_keys, query_key, F.coalesce("score", F.lit(0.0)).alias("score"), *(extra or []))
 
 
 def cosine(a: Column, b: Column) -> Column:

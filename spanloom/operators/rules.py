@@ -7,6 +7,7 @@ DISPROVED, UNRESOLVED, NOT_APPLICABLE) and ``warning``. Premises meet claims on
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,13 +34,12 @@ def _terms(text: Column) -> Column:
 
 
 def numeric_compare(atoms: DataFrame, premises: DataFrame) -> DataFrame:
-    """A claim's last number as a threshold, against the numbers of its premises in the same unit, of the same years, about the same names."""
-    claims = atoms.select(*KEYS, F.col("text").alias("claim"), facts.comparator_in(F.col("text")).alias("op"), facts.numbers_in(F.col("text")).alias("ns"), facts.years_in(F.col("text")).alias("ys"), facts.first_name_in(F.col("text")).alias("name"))
+    """A claim's last number as a threshold, against the numbers of its premises in the same unit, of the same years, about the claim's first name."""
+    claims = atoms.select(*KEYS, F.col("text").alias("claim"), facts.comparator_in(F.col("text")).alias("op"), facts.numbers_in(F.col("text")).alias("ns"), facts.years_in(F.col("text")).alias("ys"), facts.anchor_tokens_in(F.col("text")).alias("names"))
     claims = claims.withColumn("bound", F.when(F.size("ns") > 0, F.element_at("ns", -1)))
     rows = premises.select(*KEYS, "premise_id", F.col("text").alias("evidence"), facts.numbers_in(F.col("text")).alias("es"), facts.years_in(F.col("text")).alias("eys"))
     met = claims.join(rows, KEYS, "left").withColumn("e", F.explode_outer("es"))
-    names = symbol_tokens(F.coalesce("name", F.lit("")))
-    fits = (F.col("e.unit") == F.col("bound.unit")) & ((F.size("ys") == 0) | (F.col("ys") == F.col("eys"))) & ((F.size(names) == 0) | F.arrays_overlap(names, symbol_tokens(F.col("evidence"))))
+    fits = (F.col("e.unit") == F.col("bound.unit")) & ((F.size("ys") == 0) | (F.col("ys") == F.col("eys"))) & ((F.size("names") == 0) | F.arrays_overlap("names", symbol_tokens(F.col("evidence"))))
     met = met.withColumn("fits", F.coalesce(fits, F.lit(False))).withColumn("shared", F.coalesce(F.arrays_overlap(_terms(F.col("claim")), _terms(F.col("evidence"))), F.lit(False)))
     met = met.withColumn("outcome", F.when(F.col("fits") & F.col("shared"), holds(F.col("e.value"), F.col("op"), F.col("bound.value"))))
     out = met.groupBy(*KEYS).agg(
@@ -47,7 +47,7 @@ def numeric_compare(atoms: DataFrame, premises: DataFrame) -> DataFrame:
     )
     unit = F.col("bound.unit")
     warning = (
-        F.when(F.col("op").isNull() | F.col("bound").isNull(), "NOT_APPLICABLE").when(unit.startswith("unsupported:"), "UNSUPPORTED_UNIT").when(F.col("n_fit") == 0, "MISSING_COMPATIBLE_UNIT")
+        F.when(F.col("op").isNull() | F.col("bound").isNull(), "NOT_APPLICABLE").when(unit.startswith("unsupported:"), "UNSUPPORTED_NUMERIC_UNIT").when(F.col("n_fit") == 0, "MISSING_COMPATIBLE_UNIT")
         .when((F.col("n") == 0) | ((unit == "count") & (F.col("n") != 1)), "AMBIGUOUS_NUMERIC_MAPPING").when(F.col("every") != F.col("some"), "CONFLICTING_NUMERIC_EVIDENCE")
     )
     return _result(out.withColumn("w", warning), F.col("every"))
@@ -59,40 +59,80 @@ def _result(rows: DataFrame, truth: Column) -> DataFrame:
     return rows.select(*KEYS, status.alias("status"), F.when(F.col("w") != "NOT_APPLICABLE", F.col("w")).alias("warning"))
 
 
+# What tells that a claim is about a date, and words of time that are never resolved.
+ON_DATE = rf"(?i)\b(?:on|in)\s+(?:{facts.MONTH}(?:\s+[0-9]{{1,2}},?)?\s+(?:19|20)[0-9]{{2}}|[0-9]{{1,2}}\s+{facts.MONTH}\s+(?:19|20)[0-9]{{2}}|(?:19|20)[0-9]{{2}})\b"
+RELATIVE = r"(?i)\b(?:yesterday|today|tomorrow|last|next|ago|later|earlier)\b"
+_NAME = r"\b[A-Z][A-Za-z'-]*(?:\s+[A-Z][A-Za-z'-]*)*"
+
+
 def temporal_compare(atoms: DataFrame, premises: DataFrame) -> DataFrame:
-    """Before, after, between and on: the premises' one date against the claim's, as intervals."""
+    """Before, after, between and on: the premises' dates against the claim's last one (between: its last two), as intervals; of two events without
+    dates, the one date that premises give each of them. What two intervals that overlap leave open stays unresolved.
+
+    Claims are read once; the dates of an atom's premises, of which there are as many as evidence was chosen for it, meet in an array."""
     low = F.lower("text")
-    kind = F.when(low.rlike(r"\bbefore\b"), "before").when(low.rlike(r"\bafter\b"), "after").when(low.rlike(r"\bbetween\b"), "between").when(low.rlike(rf"\b(?:on|in)\s+(?:{facts.MONTH}|\d{{1,2}}\s+{facts.MONTH}|(?:19|20)\d{{2}})".lower()), "on")
-    claims = atoms.select(*KEYS, kind.alias("kind"), facts.intervals_in(F.col("text")).alias("cs"), low.rlike(r"\b(?:yesterday|today|tomorrow|recently|last (?:week|month|year))\b").alias("relative"))
-    rows = premises.select(*KEYS, F.explode(facts.intervals_in(F.col("text"))).alias("v"))
-    near = claims.select(*KEYS, "kind", F.transform("cs", lambda x: x["raw"]).alias("raws"))
-    # a threshold quoted in a premise is no evidence for itself
-    rows = rows.join(near, KEYS).where(~F.col("kind").isin("before", "after") | ~F.array_contains("raws", F.col("v.raw")))
-    dates = rows.groupBy(*KEYS).agg(F.count_distinct("v.first", "v.last").alias("n"), F.min("v.first").alias("v0"), F.max("v.last").alias("v1"))
-    met = claims.join(dates, KEYS, "left")
-    t0, t1 = F.array_min(F.transform("cs", lambda x: x["first"])), F.array_max(F.transform("cs", lambda x: x["last"]))
-    truth = (
-        F.when(F.col("kind") == "before", F.when(F.col("v1") < t0, True).when(F.col("v0") >= t1, False))
-        .when(F.col("kind") == "after", F.when(F.col("v0") > t1, True).when(F.col("v1") <= t0, False))
-        .when(F.col("kind") == "between", F.when((F.col("v0") >= t0) & (F.col("v1") <= t1), True).when((F.col("v1") < t0) | (F.col("v0") > t1), False))
-        .when((F.col("v0") == F.col("v1")) & (t0 == t1) & (F.col("v0") == t0), True).when((F.col("v1") < t0) | (F.col("v0") > t1), False)
+    kind = F.when(low.rlike(r"\bbefore\b"), "before").when(low.rlike(r"\bafter\b"), "after").when(low.rlike(r"\bbetween\b"), "between").when(F.col("text").rlike(ON_DATE), "on")
+    left, right = (F.regexp_extract(F.regexp_extract("text", r"(?is)^(.+?)\b(?:before|after)\b(.+?)[.!?]?$", i), _NAME, 0) for i in (1, 2))
+    said = F.regexp_extract("text", r"(?is)^(.+?)\b(?:before|after)\b", 1)
+    claims = atoms.select(
+        *KEYS, kind.alias("kind"), facts.intervals_in(F.col("text")).alias("cs"), F.col("text").rlike(RELATIVE).alias("relative"), _terms(F.col("text")).alias("terms"),
+        F.lower(left).alias("left"), F.lower(right).alias("right"), F.array_except(symbol_tokens(said), symbol_tokens(left)).alias("event"),
     )
-    met = met.withColumn("truth", truth)
+    rows = premises.select(*KEYS, F.lower(F.regexp_replace("text", r"\s+", " ")).alias("said"), symbol_tokens(F.col("text")).alias("ts"), F.explode(facts.intervals_in(F.col("text"))).alias("v"))
+    met = claims.join(rows, KEYS, "left")
+    names = lambda n: (F.col(n) != "") & F.concat(F.lit(" "), F.regexp_replace("said", r"[^\p{L}\p{N}']+", " "), F.lit(" ")).contains(F.concat(F.lit(" "), F.regexp_replace(n, r"[^\p{L}\p{N}']+", " "), F.lit(" ")))
+    about = (F.size("event") == 0) | F.arrays_overlap("event", "ts")
+    shared = F.size(F.array_intersect("terms", _terms(F.col("said"))))
+    date = F.struct(F.col("v.first").alias("a"), F.col("v.last").alias("b"), F.col("v.raw").alias("raw"), shared.alias("shared"), (names("left") & about).alias("of_left"), (names("right") & about).alias("of_right"))
+    out = met.groupBy(*KEYS).agg(*[F.first(c).alias(c) for c in ("kind", "cs", "relative", "left", "right")], F.collect_list(F.when(F.col("v").isNotNull(), date)).alias("ds"))
+    last, former = F.element_at("cs", -1), F.element_at("cs", -2)
+    dated = F.size("cs") > 0
+    possible = F.when(F.col("kind") == "on", F.col("ds")).otherwise(F.filter("ds", lambda d: d["raw"] != F.element_at(F.col("cs"), -1)["raw"]))
+    out = out.withColumn("last", F.when(dated, last)).withColumn("lower", F.when(F.size("cs") > 1, former)).withColumn("possible", F.when(dated, possible).otherwise(F.array().cast(out.schema["ds"].dataType)))
+    best = F.array_max(F.transform("possible", lambda d: d["shared"]))
+    out = out.withColumn("aligned", F.filter("possible", lambda d: (d["shared"] == best) & (best > 0)))
+    one = F.element_at("possible", 1)
+    same = lambda d: (d["a"] == d["b"]) & (F.col("last.first") == F.col("last.last")) & (d["a"] == F.col("last.first"))
+    apart = lambda d: (d["b"] < F.col("last.first")) | (d["a"] > F.col("last.last"))
+    first_of = lambda n: F.array_distinct(F.transform(F.filter("ds", lambda d: d[n]), lambda d: F.struct(d["a"].alias("a"), d["b"].alias("b"), d["raw"].alias("raw"))))
+    out = out.withColumn("l", first_of("of_left")).withColumn("r", first_of("of_right"))
+    x, y = F.element_at("l", 1), F.element_at("r", 1)
+    ordered = F.when((F.size("l") == 1) & (F.size("r") == 1), F.when(F.col("kind") == "before", F.when(x["b"] < y["a"], True).when(x["a"] >= y["b"], False)).when(x["a"] > y["b"], True).when(x["b"] <= y["a"], False))
+    on = F.when(F.size("aligned") > 0, F.when(F.exists("aligned", same), True).when(F.forall("aligned", apart), False))
+    single = (
+        F.when(F.col("kind") == "before", F.when(one["b"] < F.col("last.first"), True).when(one["a"] >= F.col("last.last"), False))
+        .when(F.col("kind") == "after", F.when(one["a"] > F.col("last.last"), True).when(one["b"] <= F.col("last.first"), False))
+        .when(F.col("kind") == "on", F.when(same(one), True).when(apart(one), False))
+        .when((one["a"] >= F.col("lower.first")) & (one["b"] <= F.col("last.last")), True).when((one["b"] < F.col("lower.first")) | (one["a"] > F.col("last.last")), False)
+    )
+    decided = F.when(~dated, ordered).when((F.col("kind") == "on") & on.isNotNull(), on).when(F.size("possible") == 1, single)
+    out = out.withColumn("truth", decided)
     warning = (
-        F.when(F.col("kind").isNull(), "NOT_APPLICABLE").when(F.col("relative"), "RELATIVE_TIME").when(F.col("n").isNull(), "MISSING_DATE_OPERAND").when(F.size("cs") < F.when(F.col("kind") == "between", 2).otherwise(1), "MISSING_DATE_BOUNDARY")
-        .when(F.col("n") != 1, "AMBIGUOUS_DATE_OPERAND").when(F.col("truth").isNull(), "COARSE_DATE_OVERLAP")
+        F.when(F.col("kind").isNull(), "NOT_APPLICABLE").when(F.col("relative"), "RELATIVE_TIME").when(F.size("ds") == 0, "MISSING_DATE_OPERAND").when(~dated & (F.col("kind") == "between"), "MISSING_DATE_BOUNDARY")
+        .when(F.col("truth").isNotNull(), None).when(~dated | (F.size("possible") != 1), "AMBIGUOUS_TEMPORAL_MAPPING").when((F.col("kind") == "between") & F.col("lower").isNull(), "MISSING_DATE_BOUNDARY").otherwise("COARSE_DATE_OVERLAP")
     )
-    return _result(met.withColumn("w", warning), F.col("truth"))
+    return _result(out.withColumn("w", warning), F.col("truth"))
+
+
+# The ways to say that something is on a list; of each the first that fits counts.
+INCLUDED = r"(?i)^(.+?)\s+((?:has|have|had)\s+not|(?:has|have|had))\s+(?:officially\s+)?(?:included|listed|designated)\s+(.+?)\s+(?:in|on|among|as|by)\s+(.+?)[.!?]?$"
+MEMBERSHIP = r"(?i)^(.+?)\s+(is\s+not|isn't|was\s+not|wasn't|has\s+not\s+been|has\s+been|is|was)\s+(?:an?\s+)?(?:officially\s+)?(?:included\s+in|included\s+on|on|in|among|listed\s+on|designated\s+(?:as|by))\s+(.+?)[.!?]?$"
+MEMBER_OF = r"(?i)^(.+?)\s+(is\s+not|isn't|was\s+not|wasn't|is|was)\s+(?:an?\s+)?(?:permanent\s+)?member\s+of\s+(.+?)[.!?]?$"
 
 
-_MEMBER = r"(?i)^(.+?)\s+(?:is|was|has been)\s+(not\s+)?(?:an?\s+|the\s+)?(?:officially\s+)?(?:permanent\s+)?(?:members?\s+of|included\s+(?:in|on)|listed\s+on|designated\s+(?:as|by)|on|in|among)\s+(.+?)[.!?]?$"
+def membership_claim(text: Column) -> tuple[Column, Column]:
+    """Whom a claim says to be on a list, or not: the subject as normalised text (empty if it says nothing of the kind), and whether it denies it."""
+    plain = F.regexp_replace(F.trim(text), "’", "'")
+    subject = F.when(plain.rlike(INCLUDED), F.regexp_extract(plain, INCLUDED, 3)).when(plain.rlike(MEMBERSHIP), F.regexp_extract(plain, MEMBERSHIP, 1)).otherwise(F.regexp_extract(plain, MEMBER_OF, 1))
+    verb = F.when(plain.rlike(INCLUDED), F.regexp_extract(plain, INCLUDED, 2)).when(plain.rlike(MEMBERSHIP), F.regexp_extract(plain, MEMBERSHIP, 2)).otherwise(F.regexp_extract(plain, MEMBER_OF, 2))
+    return F.trim(F.regexp_replace(F.lower(subject), r"\s+", " ")), F.lower(verb).rlike("not|n't")
 
 
 def set_membership(atoms: DataFrame, premises: DataFrame) -> DataFrame:
     """Whether the subject is on the list: an item that is it (or an alias of it) proves; only a complete list disproves, and only if no
     other complete list differs. A negation in the claim turns both around."""
-    claims = atoms.select(*KEYS, F.lower(F.trim(F.regexp_extract("text", _MEMBER, 1))).alias("subject"), (F.regexp_extract("text", _MEMBER, 2) != "").alias("negated"))
-    claims = claims.withColumn("subject", F.regexp_replace("subject", "^(?:the|a|an) ", ""))
+    subject, negated = membership_claim(F.col("text"))
+    claims = atoms.select(*KEYS, subject.alias("subject"), negated.alias("negated"))
     found = premises.select(*KEYS, F.explode(facts.lists_in(F.col("text"))).alias("l"))
     alias = premises.select(*KEYS, F.explode(facts.aliases_in(F.col("text"))).alias("x")).select(*KEYS, F.col("x.name").alias("subject"), F.col("x.alias").alias("other")).distinct()
     names = claims.select(*KEYS, "subject", F.col("subject").alias("other")).unionByName(claims.select(*KEYS, "subject").join(alias, [*KEYS, "subject"]).select(*KEYS, "subject", "other"))
@@ -120,59 +160,102 @@ def count_distinct(atoms: DataFrame, premises: DataFrame) -> DataFrame:
     return _result(met.withColumn("w", warning), F.lit(True))
 
 
+# Superlatives, what ends a subject, the measures that can't be compared, and how a record begins.
+SUPERLATIVE = r"\b(largest|smallest|highest|lowest|tallest|shortest|most|least)\b"
+BEFORE_COPULA = r"(?i)^(.+?)\s+(?:is|was|has|have|received|won|invented|developed|makes|make|uses|causes)\b"
+ABOVE_SEA = ("above sea level", "elevation", "sea level")
+FROM_BASE = ("base to summit", "base-to-summit", "base to top", "base-to-top", "from its base", "ocean floor", "below sea level")
+RECORD = r"^\s*([A-Z][A-Za-z .'-]{1,80})"
+
+
+def superlative(text: Column) -> Column:
+    """The superlative of a text, null without one. No look-behind is needed: "at most" and "at least" are taken out first."""
+    word = F.regexp_extract(F.regexp_replace(F.lower(F.regexp_replace(text, r"\s+", " ")), r"at (?:most|least)\b", ""), SUPERLATIVE, 1)
+    return F.when(word != "", word)
+
+
+def subject_of(text: Column) -> Column:
+    return F.lower(F.trim(F.regexp_extract(F.trim(text), BEFORE_COPULA, 1)))
+
+
+def _speaks_of(text: Column, phrases: tuple[str, ...]) -> Column:
+    low = F.lower(F.regexp_replace(text, r"\s+", " "))
+    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(p)) for p in phrases])
+
+
 def extremum(atoms: DataFrame, premises: DataFrame) -> DataFrame:
-    """The largest or smallest: disproved by one record that is larger or smaller in the same unit; never proved, as records may be missing."""
-    # no look-behind is needed: "at most" and "at least" are taken out first
-    plain = F.regexp_replace(F.lower("text"), r"\bat (?:most|least)\b", "")
-    word = F.regexp_extract(plain, r"\b(largest|smallest|highest|lowest|tallest|shortest|most|least)\b", 1)
-    claims = atoms.select(*KEYS, F.when(word != "", word).alias("word"), symbol_tokens(F.coalesce(facts.first_name_in(F.col("text")), F.lit(""))).alias("subject"))
-    records = premises.select(*KEYS, "premise_id", facts.first_name_in(F.col("text")).alias("name"), facts.numbers_in(F.col("text")).alias("ns")).where("name IS NOT NULL AND size(ns) > 0").select(*KEYS, "premise_id", "name", F.col("ns")[0].alias("v"))
-    rows = records.join(claims, KEYS).withColumn("own", F.arrays_overlap("subject", symbol_tokens(F.col("name"))))
+    """The largest or smallest: disproved by one record that is larger or smaller in the same unit; never proved, as records may be missing. Heights
+    from the sea and from the base are not compared."""
+    text = F.col("text")
+    claims = atoms.select(*KEYS, superlative(text).alias("word"), symbol_tokens(subject_of(text)).alias("subject"), _speaks_of(text, ABOVE_SEA).alias("sea"), _speaks_of(text, FROM_BASE).alias("base"))
+    bases = premises.groupBy(*KEYS).agg(F.bool_or(_speaks_of(text, ABOVE_SEA)).alias("p_sea"), F.bool_or(_speaks_of(text, FROM_BASE)).alias("p_base"))
+    name = F.lower(F.trim(F.regexp_replace(F.regexp_extract("text", RECORD, 1), r"\s+", " ")))
+    records = premises.select(*KEYS, "premise_id", name.alias("name"), facts.numbers_in(text).alias("ns")).where("name <> '' AND size(ns) > 0").select(*KEYS, "premise_id", "name", F.col("ns")[0].alias("v"))
+    rows = records.join(claims.select(*KEYS, "word", "subject"), KEYS).withColumn("own", F.arrays_overlap("subject", symbol_tokens(F.col("name"))))
     mine = rows.where("own").groupBy(*KEYS).agg(F.min_by(F.struct("v", "name"), "premise_id").alias("mine"))
     met = rows.join(mine, KEYS).where((F.col("v.unit") == F.col("mine.v.unit")) & (F.col("name") != F.col("mine.name")))
     up = F.col("word").isin("largest", "highest", "tallest", "most")
     beaten = F.when(up, F.col("v.value") > F.col("mine.v.value")).otherwise(F.col("v.value") < F.col("mine.v.value"))
-    out = claims.join(met.groupBy(*KEYS).agg(F.bool_or(beaten).alias("beaten")), KEYS, "left")
-    warning = F.when(F.col("word").isNull(), "NOT_APPLICABLE").when(F.coalesce("beaten", F.lit(False)), None).otherwise("INCOMPLETE_COMPARISON_UNIVERSE")
+    out = claims.join(met.groupBy(*KEYS).agg(F.bool_or(beaten).alias("beaten")), KEYS, "left").join(mine.select(*KEYS, F.lit(True).alias("valued")), KEYS, "left").join(bases, KEYS, "left")
+    both = (F.col("sea") | F.coalesce("p_sea", F.lit(False))) & (F.col("base") | F.coalesce("p_base", F.lit(False)))
+    warning = F.when(F.col("word").isNull(), "NOT_APPLICABLE").when(both, "INCOMPATIBLE_MEASURES").when(F.col("valued").isNull(), "MISSING_SUBJECT_VALUE").when(F.coalesce("beaten", F.lit(False)), None).otherwise("INCOMPLETE_COMPARISON_UNIVERSE")
     return _result(out.withColumn("w", warning), F.lit(False))
 
 
-_NEGATION = r"(?i)\b(?:not|never|no|without|neither|nor|cannot|\w+n't)\b"
+# What denies, what parts clauses, what ends the words before a property, and words of purposes.
+NEGATION = r"(?i)\b(?:no|not|never|without|did not|does not|will not|won['’]t|cannot|can['’]t|false|myth)\b"
+CLAUSES = r"(?i)[.;]|\b(?:but|although|however|whereas|while)\b|\band\s+(?=(?:is|was|has|does|did|can|will)\b)"
+BEFORE_PROPERTY = r"(?i)^.+?\b(?:is|was|has|have|for|in)\b"
+MILITARY = r"(?is)\b(?:developed|development|designed|conceived)\b.{0,160}?\bmilitary\b|\bmilitary\b.{0,160}?\b(?:developed|development|designed|conceived)\b"
+
+
+def attribute_profile(text: Column) -> Column:
+    """Which kind of attribute a claim states, null for none."""
+    low = F.lower(F.regexp_replace(text, r"\s+", " "))
+    return F.when(low.rlike(r"\b(?:located|location)\b"), "COUNTRY_LOCATION").when(low.contains("exclusively"), "EXCLUSIVE_PURPOSE").when(low.rlike(r"\b(?:is|are|has|have|invented|created|developed|makes|make|causes|uses)\b|\bawarded\s+for\b"), "EXPLICIT_NEGATION")
+
+
+def exclusive_counterexample(claim: Column, evidence: Column) -> Column:
+    """Whether evidence speaks of a military purpose where a claim says that something was for civilians exclusively."""
+    low = F.lower(claim)
+    return low.contains("exclusively") & low.rlike(r"\bcivil(?:ian)?\b") & evidence.rlike(MILITARY)
 
 
 def attribute(atoms: DataFrame, premises: DataFrame) -> DataFrame:
     """Where something lies, or what it is said not to be: a country in both proves a location and two others disprove it; a clause that denies the
-    property of the subject disproves it."""
-    low = F.lower("text")
-    profile = F.when(low.rlike(r"\b(?:located|location|situated)\b"), "COUNTRY_LOCATION").when(low.rlike(r"\bexclusively\b"), "EXCLUSIVE_PURPOSE").when(low.rlike(r"\b(?:is|are|has|have|had|was|were|invented|created|developed|makes?|causes?|uses?|awarded for)\b"), "EXPLICIT_NEGATION")
-    subject = symbol_tokens(F.regexp_extract("text", r"(?i)^(.*?)\s+(?:is|are|was|were|has|have|had|received|won|invented|created|developed|makes?|uses?|causes?)\b", 1))
-    claims = atoms.select(*KEYS, F.col("text").alias("claim"), profile.alias("profile"), subject.alias("subject"), F.array_except(symbol_tokens(F.col("text")), subject).alias("property"), facts.jurisdictions_in(F.col("text")).alias("cc"))
-    clauses = premises.select(*KEYS, "text", F.explode(F.split("text", r"[.;!?]\s+|,\s+(?:but|while|whereas)\s+")).alias("clause"), facts.jurisdictions_in(F.col("text")).alias("ec"))
-    met = claims.join(clauses, KEYS)
-    about = F.size(F.array_except("subject", symbol_tokens(F.col("text")))) == 0
-    denied = F.arrays_overlap("subject", symbol_tokens(F.col("clause"))) & F.arrays_overlap("property", symbol_tokens(F.col("clause"))) & F.col("clause").rlike(_NEGATION)
-    military = F.col("text").rlike(r"(?is)\b(?:developed|development|built|designed)\b.{0,160}\bmilitary\b|\bmilitary\b.{0,160}\b(?:developed|development|built|designed)\b")
+    property of the subject disproves it. Premises together must name some word of the subject."""
+    text = F.col("text")
+    claims = atoms.select(*KEYS, text.alias("claim"), attribute_profile(text).alias("profile"), symbol_tokens(subject_of(text)).alias("subject"), symbol_tokens(F.regexp_replace(text, BEFORE_PROPERTY, "")).alias("property"), facts.jurisdictions_in(text).alias("cc"))
+    rows = premises.select(*KEYS, "text", facts.jurisdictions_in(text).alias("ec"))
+    met = claims.join(rows, KEYS)
+    denies = F.exists(F.split("text", CLAUSES), lambda c: c.rlike(NEGATION) & F.arrays_overlap(F.col("subject"), symbol_tokens(c)) & F.arrays_overlap(F.col("property"), symbol_tokens(c)))
     folded = met.groupBy(*KEYS).agg(
-        F.bool_or(about).alias("about"), F.bool_or(about & denied).alias("denied"), F.array_distinct(F.flatten(F.collect_set(F.when(about, F.col("ec"))))).alias("ec"), F.bool_or(military).alias("military")
-    )
-    out = claims.join(folded, KEYS, "left")
-    same = F.arrays_overlap("cc", "ec")
-    located = (F.col("profile") == "COUNTRY_LOCATION") & (F.size("cc") > 0) & (F.coalesce(F.size("ec"), F.lit(0)) > 0)
-    exclusive = (F.col("profile") == "EXCLUSIVE_PURPOSE") & F.lower("claim").rlike("civil") & F.coalesce("military", F.lit(False))
-    no = F.coalesce("denied", F.lit(False)) | (located & ~same) | exclusive
-    warning = F.when(F.col("profile").isNull(), "NOT_APPLICABLE").when(~F.coalesce("about", F.lit(False)), "MISSING_SUBJECT").when(no | located, None).otherwise("AMBIGUOUS_ATTRIBUTE_MAPPING")
+        F.bool_or(F.arrays_overlap("subject", symbol_tokens(F.col("text")))).alias("about"), F.bool_or(denies).alias("denied"), F.array_distinct(F.flatten(F.collect_set("ec"))).alias("ec"), F.bool_or(exclusive_counterexample(F.col("claim"), F.col("text"))).alias("military")
+    )  # codes of countries: a few hundred at most
+    out = claims.join(folded, KEYS, "left").withColumn("ec", F.coalesce("ec", F.array().cast("array<string>")))
+    located = (F.col("profile") == "COUNTRY_LOCATION") & (F.size("cc") > 0) & (F.size("ec") > 0)
+    denied = (F.col("profile") == "EXPLICIT_NEGATION") & F.coalesce("denied", F.lit(False))
+    exclusive = (F.col("profile") == "EXCLUSIVE_PURPOSE") & F.coalesce("military", F.lit(False))
+    no = denied | (located & ~F.arrays_overlap("cc", "ec")) | exclusive
+    warning = F.when((F.size("subject") > 0) & ~F.coalesce("about", F.lit(False)), "MISSING_ENTITY_ALIGNMENT").when(F.col("profile").isNull(), "NOT_APPLICABLE").when(no | located, None).otherwise("AMBIGUOUS_ATTRIBUTE_MAPPING")
     return _result(out.withColumn("w", warning), ~no)
 
 
+#: So much of a source's beginning tells where it is about, where neither domain nor title does.
+SCOPE_CHARS = 2000
+
+
 def scope_checks(atoms: DataFrame, spans: DataFrame) -> DataFrame:
-    """Whether evidence speaks of the claim's jurisdictions. ``spans``: case_id, atom_id, span_id, text, title, host. Evidence's own places count, else its source's:
+    """Whether evidence speaks of the claim's jurisdictions. ``spans``: case_id, atom_id, span_id, text, title, host and, where it is known, document (the source's text). Evidence's own places count, else its source's:
     by domain, title, then the text's beginning; more than four are none."""
     is_value = F.lower("text").rlike(r"\b(?:located|situated|based|born) in\b|\bmember of\b|\bcapital of\b")
     claims = atoms.select(*KEYS, is_value.alias("is_value"), facts.jurisdictions_in(F.col("text")).alias("claim_scope"))
     few = lambda c: F.when((F.size(c) >= 1) & (F.size(c) <= 4), c)
     local = few(facts.jurisdictions_in(F.col("text")))
     domain = facts.domain_scope(F.col("host"))
-    source = F.coalesce(F.when(domain.isNotNull(), F.array(domain)), few(facts.jurisdictions_in(F.coalesce("title", F.lit("")))))
+    opening = F.left("document", F.lit(SCOPE_CHARS)) if "document" in spans.columns else F.lit("")
+    some = lambda c: F.when(F.size(c) > 0, c)
+    source = few(F.coalesce(F.when(domain.isNotNull(), F.array(domain)), some(facts.jurisdictions_in(F.coalesce("title", F.lit("")))), some(facts.jurisdictions_in(F.coalesce(opening, F.lit(""))))))
     rows = spans.select(*KEYS, "span_id", F.coalesce(local, source, F.array().cast("array<string>")).alias("evidence_scope"))
     status = (
         F.when(F.col("is_value") | (F.size("claim_scope") == 0), "NOT_APPLICABLE").when(F.size("evidence_scope") == 0, "UNRESOLVED").when(F.arrays_overlap("claim_scope", "evidence_scope"), "MATCH").otherwise("MISMATCH")
@@ -200,11 +283,12 @@ def run_rules(candidates: DataFrame, premises: DataFrame) -> DataFrame:
 def candidates(atoms: DataFrame) -> DataFrame:
     """Which rules an atom qualifies for, by its words."""
     low = F.lower("text")
-    plain = F.regexp_replace(low, r"\bat (?:most|least)\b", "")
-    superlative = plain.rlike(r"\b(?:largest|smallest|highest|lowest|tallest|shortest|most|least)\b")
+    extreme = superlative(F.col("text")).isNotNull()
+    profile = attribute_profile(F.col("text"))
     fits = {
-        "SET_MEMBERSHIP": low.rlike(r"\b(?:list|listed|members?|included|designated)\b"), "COUNT_DISTINCT": F.regexp_extract("text", _COUNT, 2) != "", "EXTREMUM_COMPARE": superlative,
-        "ATTRIBUTE_COMPARE": low.rlike(r"\b(?:located|location|exclusively|has|have|invented|created|developed|makes?|causes?|uses?|awarded for)\b"), "NUMERIC_COMPARE": low.rlike("[0-9]") & facts.comparator_in(F.col("text")).isNotNull(),
-        "TEMPORAL_COMPARE": ~superlative & low.rlike(r"\b(?:before|after|between|during|on|since|until)\b"),
+        "SET_MEMBERSHIP": low.rlike(r"\b(?:list|listed|member|included|designated)\b"), "COUNT_DISTINCT": F.regexp_extract("text", _COUNT, 2) != "", "EXTREMUM_COMPARE": extreme,
+        "ATTRIBUTE_COMPARE": profile.isNotNull() & ((profile != "EXPLICIT_NEGATION") | low.rlike(r"\b(?:has|have|invented|created|developed|makes|make|causes|uses)\b|\bawarded\s+for\b")),
+        "NUMERIC_COMPARE": low.rlike("[0-9]") & low.rlike(r"[<>≤≥=]|\b(?:more|less|fewer|over|under|at least|at most|equal|than|percent)\b|[a-z0-9_]%[a-z0-9_]"),
+        "TEMPORAL_COMPARE": ~extreme & low.rlike(r"\b(?:before|after|between|during|on|since|until)\b"),
     }
     return atoms.select(*KEYS, "text", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in fits.items()]))).alias("operator"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
 from spanloom.operators import retrieval as R
-from spanloom.plans.text import LIKE_SQL, TOKEN_SQL, canonical_sql
+from spanloom.plans.text import LIKE_SQL, canonical_sql, token_sql
 from spanloom.sources.tables import table
 
 BUDGET = 6
@@ -24,7 +24,8 @@ def atoms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lexical_scores(spark: SparkSession, d: str) -> DataFrame:
-    return R.bm25(passages(spark, d), atoms(spark, d), "case_id", ["document_id", "ordinal"], "atom_id")
+    keys = ["document_id", "ordinal"]
+    return R.bm25(R.passage_tokens(passages(spark, d), "case_id", keys), atoms(spark, d), "case_id", keys, "atom_id")
 
 
 def bm25_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -35,7 +36,8 @@ def bm25_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_scores(spark: SparkSession, d: str) -> DataFrame:
-    return lexical_scores(spark, d).where("score > 0").select("case_id", "atom_id", "document_id", "ordinal", F.round("score", 6).alias("score"))
+    found = R.bm25_matches(R.passage_tokens(passages(spark, d), "case_id", ["document_id", "ordinal"]), atoms(spark, d), "case_id", ["document_id", "ordinal"], "atom_id")
+    return found.where("score > 0").select("case_id", "atom_id", "document_id", "ordinal", F.round("score", 6).alias("score"))
 
 
 _BY = ["case_id", "atom_id"]
@@ -57,12 +59,12 @@ def lexical_topk_capped(spark: SparkSession, d: str) -> DataFrame:
 
 def _fused(spark: SparkSession, d: str) -> DataFrame:
     """Both scores of every pair, their ranks, and the fused score. The vector share is the cosine of sets of tokens, in place of a model's vectors."""
-    sets = passages(spark, d).select("case_id", "document_id", "ordinal", F.array_distinct(T.lexical_tokens(F.col("sentence"))).alias("ts"))
-    asked = atoms(spark, d).select("case_id", "atom_id", F.array_distinct(T.lexical_tokens(F.col("query"))).alias("qs"))
+    keys = ["document_id", "ordinal"]
+    base, asked = R.passage_tokens(passages(spark, d), "case_id", keys), atoms(spark, d)
+    rows = R.bm25(base, asked, "case_id", keys, "atom_id", extra=["ts", "qs"])
     both = F.size(F.array_intersect("ts", "qs"))
     dense = F.when((F.size("ts") > 0) & (F.size("qs") > 0), both / F.sqrt(F.size("ts").cast("double") * F.size("qs"))).otherwise(0.0)
-    pairs = sets.join(asked, "case_id").select("case_id", "atom_id", "document_id", "ordinal", F.round(dense, R.DIGITS).alias("dense"))
-    rows = pairs.join(lexical_scores(spark, d).withColumnRenamed("score", "lexical"), ["case_id", "atom_id", "document_id", "ordinal"])
+    rows = rows.select("case_id", "atom_id", *keys, F.round(dense, R.DIGITS).alias("dense"), F.col("score").alias("lexical"))
     rows = rows.withColumn("dense_rank", R.competition_rank(_BY, "dense")).withColumn("lexical_rank", R.competition_rank(_BY, "lexical"))
     return rows.withColumn("fused", R.fused(F.col("dense_rank"), F.col("lexical_rank"), F.col("lexical")))
 
@@ -122,7 +124,7 @@ _NUM = "regexp_full_match(w, '[0-9]+(?:[.,][0-9]+)*%?')"
 
 
 def _tokens(expression: str) -> str:
-    return f"list_transform(list_filter(regexp_extract_all(lower({expression}), {TOKEN_SQL}), lambda w: {_NUM} OR length(w) > 2), lambda w: CASE WHEN {_NUM} THEN {canonical_sql('w')} ELSE w END)"
+    return f"list_transform(list_filter({token_sql(expression)}, lambda w: {_NUM} OR length(w) > 2), lambda w: CASE WHEN {_NUM} THEN {canonical_sql('w')} ELSE w END)"
 
 
 _BASE = rf"""

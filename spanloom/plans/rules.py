@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import facts
 from spanloom.operators import rules
+from spanloom.session import materialize
 from spanloom.sources.tables import table
 
 PLACES = ("Australia", "Canada", "France", "Germany", "India", "Japan")
@@ -18,11 +19,12 @@ def letters(name: Column) -> Column:
 
 
 def _dollars(value: Column) -> Column:
-    return F.concat(F.lit("$"), F.format_number(value, 2))
+    """An amount as it is printed, with its sign before the currency."""
+    return F.concat(F.when(value < 0, "-").otherwise(""), F.lit("$"), F.format_number(F.abs(value), 2))
 
 
 def _suppliers(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "supplier").where("s_acctbal >= 0").select("s_suppkey", letters(F.col("s_name")).alias("who"), "s_acctbal")
+    rows = table(spark, d, "supplier").select("s_suppkey", letters(F.col("s_name")).alias("who"), "s_acctbal")
     return rows.withColumn("premise", F.concat("who", F.lit(" holds "), _dollars(F.col("s_acctbal")), F.lit(" on its account.")))
 
 
@@ -70,7 +72,7 @@ def list_certificates(spark: SparkSession, d: str) -> DataFrame:
 def set_membership(spark: SparkSession, d: str) -> DataFrame:
     """Every nation against the complete list of every region."""
     text = _regions(spark, d).groupBy("r_name").agg(F.concat(F.lit("The complete list of the region includes "), F.array_join(F.array_sort(F.collect_set("n_name")), ", "), F.lit(".")).alias("list"))
-    pairs = text.withColumn("k", F.lit(1)).join(table(spark, d, "nation").select("n_name", F.lit(1).alias("k")), "k")  # 5 regions, 25 nations
+    pairs = table(spark, d, "nation").select("n_name").crossJoin(F.broadcast(text))  # five rows: every nation is asked of every region
     rows = pairs.select(F.col("r_name").alias("case_id"), F.col("n_name").alias("atom_id"), F.concat("n_name", F.lit(" is a member of the list of "), F.col("r_name"), F.lit(".")).alias("text"), "list")
     found = rules.set_membership(rows.select("case_id", "atom_id", "text"), rows.select("case_id", "atom_id", F.lit("p").alias("premise_id"), F.col("list").alias("text")))
     return found.select(F.col("case_id").alias("r_name"), F.col("atom_id").alias("n_name"), "status")
@@ -150,10 +152,11 @@ QUERIES = {
 _WHO = "lower(translate(regexp_replace({x}, '[^A-Za-z0-9]', '', 'g'), '0123456789', 'abcdefghij'))"
 _P = "[" + ", ".join(f"'{p}'" for p in PLACES) + "]"
 ORACLE_SQL = {
-    "numeric_extract": "SELECT s_suppkey, round(s_acctbal, 2) AS value, 'currency:$' AS unit FROM supplier WHERE s_acctbal >= 0",
-    "numeric_compare": "SELECT CAST(s_suppkey AS VARCHAR) AS atom_id, CASE WHEN round(s_acctbal, 2) >= 5000 THEN 'PROVED' ELSE 'DISPROVED' END AS status FROM supplier WHERE s_acctbal >= 0",
+    # an amount has no sign: a debt of $5 is read as $5
+    "numeric_extract": "SELECT s_suppkey, abs(round(s_acctbal, 2)) AS value, 'currency:$' AS unit FROM supplier",
+    "numeric_compare": "SELECT CAST(s_suppkey AS VARCHAR) AS atom_id, CASE WHEN abs(round(s_acctbal, 2)) >= 5000 THEN 'PROVED' ELSE 'DISPROVED' END AS status FROM supplier",
     "date_intervals": "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS first_day, CAST(o_orderdate AS DATE) AS last_day FROM orders",
-    "temporal_compare": "SELECT o_orderkey, CASE WHEN CAST(o_orderdate AS DATE) = DATE '1998-06-17' THEN 'UNRESOLVED' WHEN CAST(o_orderdate AS DATE) < DATE '1998-06-17' THEN 'PROVED' ELSE 'DISPROVED' END AS status, CASE WHEN CAST(o_orderdate AS DATE) = DATE '1998-06-17' THEN 'MISSING_DATE_OPERAND' END AS warning FROM orders",
+    "temporal_compare": "SELECT o_orderkey, CASE WHEN CAST(o_orderdate AS DATE) = DATE '1998-06-17' THEN 'UNRESOLVED' WHEN CAST(o_orderdate AS DATE) < DATE '1998-06-17' THEN 'PROVED' ELSE 'DISPROVED' END AS status, CASE WHEN CAST(o_orderdate AS DATE) = DATE '1998-06-17' THEN 'AMBIGUOUS_TEMPORAL_MAPPING' END AS warning FROM orders",
     "list_certificates": "SELECT r_name, 'exhaustive' AS kind, CAST(count(DISTINCT n_name) AS INTEGER) AS n_items, sha256(string_agg(DISTINCT lower(n_name), chr(10) ORDER BY lower(n_name))) AS digest FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1",
     "set_membership": "SELECT r_name, n_name, CASE WHEN n_regionkey = r_regionkey THEN 'PROVED' ELSE 'DISPROVED' END AS status FROM nation JOIN region ON r_regionkey IN (SELECT n_regionkey FROM nation)",
     "count_distinct_values": "SELECT r_name, CASE WHEN count(DISTINCT n_name) >= 6 THEN 'PROVED' ELSE 'UNRESOLVED' END AS status, CASE WHEN count(DISTINCT n_name) < 6 THEN 'MISSING_DISTINCT_VALUES' END AS warning FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1",
@@ -188,9 +191,11 @@ def identity_alignment(spark: SparkSession, d: str) -> DataFrame:
     from spanloom.operators import identity
 
     atoms = table(spark, d, "atoms").select("case_id", "atom_id", "text")
-    documents = table(spark, d, "case_documents").select("case_id", "document_id", F.col("text").alias("body")).distinct()
-    evidence = documents.join(atoms.select("case_id", "atom_id"), "case_id").select("case_id", "atom_id", "document_id", F.col("body").alias("text"))
-    found = identity.align(atoms, evidence)
+    documents = table(spark, d, "case_documents").groupBy("case_id", "document_id").agg(F.first("text").alias("text"))
+    # a document is read once; its names, not its text, meet the atoms of its cases
+    names = materialize(identity.mentioned(documents, ["case_id", "document_id"]).join(identity.document_groups(documents, ["case_id", "document_id"]), ["case_id", "document_id"]), "document-names")
+    evidence = names.select("case_id", "document_id", "names").join(atoms.select("case_id", "atom_id"), "case_id")
+    found = identity.align(atoms, evidence, names.select("case_id", "document_id", "groups"))
     return found.select("case_id", "atom_id", F.size("required").alias("n_required"), F.size("matched").alias("n_matched"), "status")
 
 

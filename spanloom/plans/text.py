@@ -12,24 +12,25 @@ from spanloom.sources.tables import table
 SPAN_SQL = r"""
     parts AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^.!?\n]+[.!?]*\s*|[.!?\n]\s*')) AS sentence, generate_subscripts(regexp_extract_all(text, '[^.!?\n]+[.!?]*\s*|[.!?\n]\s*'), 1) - 1 AS ordinal FROM documents WHERE text <> ''),
     spans AS (SELECT doc_id, ordinal, sentence, CAST(sum(length(sentence)) OVER (PARTITION BY doc_id ORDER BY ordinal) AS INTEGER) AS end_off FROM parts)"""
-NUMBER_SQL = r"""
-    CASE WHEN b LIKE '%,%' AND b LIKE '%.%' THEN
-           CASE WHEN length(b) - length(regexp_replace(b, '^.*,', '')) > length(b) - length(regexp_replace(b, '^.*\.', '')) THEN replace(replace(regexp_replace(b, ',([^,]*)$', '#\1'), '.', ''), '#', '.') ELSE replace(b, ',', '') END
-         WHEN regexp_full_match(b, '[0-9]{1,3}(,[0-9]{3})+') THEN replace(b, ',', '')
-         WHEN regexp_full_match(b, '[0-9]+,[0-9]+') THEN replace(b, ',', '.')
-         ELSE replace(b, ',', '') END"""
 
 
 def canonical_sql(token: str) -> str:
-    """``token`` in its canonical form, as SQL over an expression."""
-    b = f"regexp_replace({token}, '%$', '')"
-    dotted = NUMBER_SQL.replace("(b", "(" + b).replace(" b ", f" {b} ").replace("WHEN b", f"WHEN {b}")
-    whole = f"CASE WHEN ltrim(regexp_extract({dotted}, '^([0-9]*)', 1), '0') = '' AND regexp_extract({dotted}, '^([0-9]*)', 1) <> '' THEN '0' ELSE ltrim(regexp_extract({dotted}, '^([0-9]*)', 1), '0') END"
-    part = f"rtrim(regexp_extract({dotted}, '^[0-9]*\\.([0-9.]*)$', 1), '0')"
-    return f"'#number:' || {whole} || CASE WHEN {part} <> '' THEN '.' || {part} ELSE '' END || CASE WHEN {token} LIKE '%\\%' ESCAPE '\\' THEN '%' ELSE '' END"
+    """``token`` in its canonical form, as SQL over an expression: split at separators, put together by what these are."""
+    b = f"rtrim({token}, '%')"
+    last = f"regexp_extract({b}, '.*([.,])', 1)"
+    dotted = f"""CASE WHEN contains({b}, ',') AND contains({b}, '.') THEN CASE {last} WHEN ',' THEN array_to_string(string_split(array_to_string(string_split({b}, '.'), ''), ','), '.') ELSE array_to_string(string_split({b}, ','), '') END
+         WHEN len(string_split({b}, ',')) > 1 AND length(string_split({b}, ',')[1]) <= 3 AND len(list_filter(string_split({b}, ',')[2:], lambda g: length(g) <> 3)) = 0 THEN array_to_string(string_split({b}, ','), '')
+         WHEN len(string_split({b}, ',')) = 2 THEN array_to_string(string_split({b}, ','), '.') ELSE {b} END"""
+    whole = f"CASE WHEN ltrim(split_part({dotted}, '.', 1), '0') = '' THEN '0' ELSE ltrim(split_part({dotted}, '.', 1), '0') END"
+    part = f"rtrim(array_to_string(string_split({dotted}, '.')[2:], '.'), '0')"
+    return f"'#number:' || {whole} || CASE WHEN {part} <> '' THEN '.' || {part} ELSE '' END || CASE WHEN right({token}, 1) = '%' THEN '%' ELSE '' END"
 
 
-TOKEN_SQL = r"'[0-9]+(?:[.,][0-9]+)*%?|[\p{L}\p{N}]+(?:[’''-][\p{L}\p{N}]+)*'"
+def token_sql(text: str) -> str:
+    """Tokens of an expression, as SQL. A number that runs on into letters is marked before, as the expressions know no look-ahead."""
+    marked = f"regexp_replace({text}, '(^|[^\\p{{L}}\\p{{N}}_’''-]|(?:^|[^\\p{{L}}\\p{{N}}])[’''-])([0-9]+[\\p{{L}}_])', '\\1' || chr(57344) || '\\2', 'g')"
+    found = f"regexp_extract_all({marked}, '\\x{{E000}}[\\p{{L}}\\p{{N}}]+(?:[’''-][\\p{{L}}\\p{{N}}]+)*|[0-9]+(?:[.,][0-9]+)*%?|[\\p{{L}}\\p{{N}}]+(?:[’''-][\\p{{L}}\\p{{N}}]+)*')"
+    return f"list_transform({found}, lambda w: replace(replace(lower(ltrim(w, chr(57344))), 'ß', 'ss'), 'ς', 'σ'))"
 
 
 def tokens_lexical(spark: SparkSession, d: str) -> DataFrame:
@@ -43,6 +44,24 @@ def number_canonical(spark: SparkSession, d: str) -> DataFrame:
     return found.select("raw", T.canonical_number(F.col("raw")).alias("canonical"), "n")
 
 
+HARD_NUMBERS = ("1,234.567,8", "1.234,567.8", "1,23,456", "1,234,567", "12,5", "0012.500", "1.234.567", "0,000", "000", "7%", "1,234%", "12.50%", "1,2345", "1234,567", "0.0", "00,10%")
+HARD_TEXTS = ("12abc 2nd 1990s 5G", "3.5abc costs 3.5 and 1,000 or 12_a", "x-3d -3d a_12 _12", "Straße FLUẞ ΣΟΦΟΣ", "5%abc 7% covid-19 19-year", "It's 1,234.567,8 of 1,23,456", "don’t re-use 2nd-hand’s")
+
+
+def number_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers that are grouped in every way, for every case: the hard forms beside the case's count of atoms."""
+    rows = table(spark, d, "atoms").groupBy("case_id").agg(F.count("*").cast("string").alias("n"))
+    raw = F.explode(F.array(*[F.lit(x) for x in HARD_NUMBERS], F.concat("n", F.lit(",50"))))
+    return rows.select("case_id", raw.alias("raw")).select("case_id", "raw", T.canonical_number(F.col("raw")).alias("canonical"))
+
+
+def token_borders(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens where digits run into letters, after the text of every atom."""
+    rows = table(spark, d, "atoms").select("case_id", "atom_id", F.posexplode(F.array(*[F.lit(x) for x in HARD_TEXTS])).alias("no", "hard"), "text")
+    found = rows.select("case_id", "atom_id", "no", F.explode(T.lexical_tokens(F.concat("text", F.lit(" "), "hard"))).alias("term"))
+    return found.groupBy("case_id", "atom_id", "no", "term").agg(F.count("*").alias("n"))
+
+
 def _spans(spark: SparkSession, d: str) -> DataFrame:
     return T.sentences(table(spark, d, "documents").select("doc_id", "text"), ["doc_id"])
 
@@ -79,9 +98,10 @@ def reading_context(spark: SparkSession, d: str) -> DataFrame:
 
 
 def list_relevance(spark: SparkSession, d: str) -> DataFrame:
-    """Atoms that ask about a list, and lines of documents that begin as entries."""
-    atoms = table(spark, d, "atoms").groupBy("role").agg(F.count("*").alias("n_atoms"), F.count_if(F.col("text").rlike(T.LIST_QUERY)).alias("n_list"))
-    return atoms
+    """Atoms that ask about a list, and sentences of documents that begin as entries, by role and by source."""
+    atoms = table(spark, d, "atoms").groupBy(F.col("role").alias("kind")).agg(F.count("*").alias("n_rows"), F.count_if(F.col("text").rlike(T.LIST_QUERY)).alias("n_list"))
+    lines = T.sentences(table(spark, d, "documents").select("doc_id", "source", "text"), ["doc_id", "source"]).groupBy(F.concat(F.lit("source:"), F.coalesce("source", F.lit(""))).alias("kind")).agg(F.count("*").alias("n_rows"), F.count_if(F.col("sentence").rlike(T.LIST_PREFIX)).alias("n_list"))
+    return atoms.unionByName(lines)
 
 
 def clean_text(spark: SparkSession, d: str) -> DataFrame:
@@ -152,11 +172,11 @@ def word_lines(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (tokens_lexical, number_canonical, sentence_spans, utf16_offsets, utf16_roundtrip, eligible_sentences, reading_context, list_relevance, clean_text, min_words, leak_markers, canonical_urls, duplicate_sources, archive_urls, host_scope, sha256_digest, html_titles, symbol_tokens, word_lines)
+    for f in (tokens_lexical, number_canonical, sentence_spans, utf16_offsets, utf16_roundtrip, eligible_sentences, reading_context, list_relevance, clean_text, min_words, leak_markers, canonical_urls, duplicate_sources, archive_urls, host_scope, sha256_digest, html_titles, symbol_tokens, word_lines, number_forms, token_borders)
 }
 
 _T = "trim(regexp_replace(sentence, '\\s+', ' ', 'g'))"
-LIKE_SQL = rf"""CASE WHEN {_T} = '' THEN false WHEN lower({_T}) LIKE 'myth:%' THEN false
+LIKE_SQL = rf"""CASE WHEN {_T} = '' THEN false WHEN regexp_matches({_T}, '(?i)^myth\s*:') THEN false
       WHEN len(regexp_extract_all({_T}, '[\p{{L}}\p{{N}}]+(?:[’''-][\p{{L}}\p{{N}}]+)*')) >= 5 OR regexp_matches({_T}, '[.?!]$') THEN true
       WHEN len(regexp_extract_all({_T}, '[\p{{L}}\p{{N}}]+(?:[’''-][\p{{L}}\p{{N}}]+)*')) >= 3 AND regexp_matches({_T}, '[0-9]') AND regexp_matches({_T}, '{T.FACT_CUES}') THEN true
       ELSE regexp_matches({_T}, '{T.LIST_PREFIX}') END"""
@@ -167,10 +187,18 @@ _CLEAN = r"""regexp_replace(regexp_replace(array_to_string(list_transform(string
 
 ORACLE_SQL = {
     "tokens_lexical": f"""
-      WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), {TOKEN_SQL})) AS w FROM documents),
+      WITH t AS (SELECT doc_id, unnest({token_sql("text")}) AS w FROM documents),
       k AS (SELECT doc_id, CASE WHEN regexp_full_match(w, '[0-9]+(?:[.,][0-9]+)*%?') THEN {canonical_sql("w")} ELSE w END AS term FROM t WHERE length(w) > 2 OR regexp_full_match(w, '[0-9]+(?:[.,][0-9]+)*%?'))
       SELECT doc_id, term, count(*) AS n FROM k GROUP BY 1, 2""",
     "number_canonical": f"WITH t AS (SELECT unnest(regexp_extract_all(text, '[0-9]+(?:[.,][0-9]+)*%?')) AS raw FROM documents) SELECT raw, {canonical_sql('raw')} AS canonical, count(*) AS n FROM t GROUP BY raw",
+    # written from what the forms mean: every hard number with its value, worked out by hand
+    "number_forms": """WITH h(raw, canonical) AS (VALUES ('1,234.567,8', '#number:1.234567.8'), ('1.234,567.8', '#number:1.234567.8'), ('1,23,456', '#number:1,23,456'), ('1,234,567', '#number:1234567'), ('12,5', '#number:12.5'), ('0012.500', '#number:12.5'), ('1.234.567', '#number:1.234.567'),
+        ('0,000', '#number:0'), ('000', '#number:0'), ('7%', '#number:7%'), ('1,234%', '#number:1234%'), ('12.50%', '#number:12.5%'), ('1,2345', '#number:1.2345'), ('1234,567', '#number:1234.567'), ('0.0', '#number:0'), ('00,10%', '#number:0.1%'))
+      SELECT DISTINCT case_id, raw, canonical FROM atoms CROSS JOIN h UNION ALL SELECT case_id, count(*) || ',50', '#number:' || count(*) || '.5' FROM atoms GROUP BY case_id""",
+    "token_borders": f"""WITH h(no, hard) AS (VALUES {', '.join(f"({i}, '{x.replace(chr(39), chr(39) * 2)}')" for i, x in enumerate(HARD_TEXTS))}),
+      t AS (SELECT case_id, atom_id, no, unnest({token_sql("text || ' ' || hard")}) AS w FROM atoms CROSS JOIN h),
+      k AS (SELECT case_id, atom_id, no, CASE WHEN regexp_full_match(w, '[0-9]+(?:[.,][0-9]+)*%?') THEN {canonical_sql("w")} ELSE w END AS term FROM t WHERE length(w) > 2 OR regexp_full_match(w, '[0-9]+(?:[.,][0-9]+)*%?'))
+      SELECT case_id, atom_id, CAST(no AS INTEGER) AS no, term, count(*) AS n FROM k GROUP BY ALL""",
     "sentence_spans": f"WITH {SPAN_SQL} SELECT doc_id, CAST(ordinal AS INTEGER) AS ordinal, end_off - CAST(length(sentence) AS INTEGER) AS start_off, end_off, sha256(sentence) AS digest FROM spans",
     "utf16_offsets": f"""WITH {SPAN_SQL}, u AS (SELECT *, length(sentence) + len(regexp_extract_all(sentence, '[\\x{{10000}}-\\x{{10FFFF}}]')) AS n16 FROM spans),
       v AS (SELECT *, CAST(sum(n16) OVER (PARTITION BY doc_id ORDER BY ordinal) AS INTEGER) AS end_u16 FROM u)
@@ -184,7 +212,7 @@ ORACLE_SQL = {
         f IS NOT NULL AND length(f) <= 1000 AND NOT regexp_matches(right(sentence, 4) || left(f, 4), '\n\s*\n') AND (regexp_matches(regexp_replace(sentence, '^\s+|\s+$', '', 'g'), '{T.FORWARD}') OR regexp_matches(regexp_replace(f, '^\s+|\s+$', '', 'g'), '{T.BACKWARD}')) AS ahead FROM n)
       SELECT doc_id, CAST(ordinal AS INTEGER) AS ordinal, CASE WHEN back THEN CAST(ordinal - 1 AS INTEGER) END AS previous_ordinal, CASE WHEN ahead THEN CAST(ordinal + 1 AS INTEGER) END AS next_ordinal,
         CAST(least(4000, length(own) + CASE WHEN back THEN length(regexp_replace(p, '^\s+|\s+$', '', 'g')) + 1 ELSE 0 END + CASE WHEN ahead THEN length(regexp_replace(f, '^\s+|\s+$', '', 'g')) + 1 ELSE 0 END) AS INTEGER) AS n_context FROM c WHERE back OR ahead""",
-    "list_relevance": "SELECT role, count(*) AS n_atoms, count(*) FILTER (WHERE regexp_matches(text, '" + T.LIST_QUERY.replace("'", "''") + "')) AS n_list FROM atoms GROUP BY role",
+    "list_relevance": f"WITH {SPAN_SQL} SELECT role AS kind, count(*) AS n_rows, count(*) FILTER (WHERE regexp_matches(text, '" + T.LIST_QUERY.replace("'", "''") + "')) AS n_list FROM atoms GROUP BY role UNION ALL SELECT 'source:' || coalesce(source, ''), count(*), count(*) FILTER (WHERE regexp_matches(sentence, '" + T.LIST_PREFIX + "')) FROM spans JOIN documents USING (doc_id) GROUP BY 1",
     "clean_text": f"SELECT doc_id, sha256({_CLEAN}) AS digest, CAST(length({_CLEAN}) AS INTEGER) AS n_clean FROM documents WHERE text IS NOT NULL",
     "min_words": "SELECT doc_id, CAST(len(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) AS INTEGER) AS n_words FROM documents WHERE len(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) >= 175",
     "leak_markers": "SELECT DISTINCT case_id, document_id FROM case_documents WHERE " + " OR ".join(f"contains(text, '{m}')" for m in MARKERS),

@@ -26,7 +26,7 @@ def test_sentences_lose_nothing(spark):
 
 
 def test_sentence_like(spark):
-    for text, want in (("", False), ("Myth: it is so.", False), ("One two three four five", True), ("Short.", True), ("Prices rose 5", True), ("Heading only", False), ("- An entry", True)):
+    for text, want in (("", False), ("Myth : it is so, they say.", False), ("One two three four five", True), ("Short.", True), ("Prices rose 5", False), ("Nobel Prize 1998", True), ("Heading only", False), ("- An entry", True)):
         assert one(spark, T.is_sentence_like, text) is want, text
 
 

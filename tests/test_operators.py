@@ -14,7 +14,7 @@ def test_bm25_against_brute_force(spark):
     texts = {("c", "d1", 0): "the ferry crossed the bay", ("c", "d1", 1): "no ferry today ferry", ("c", "d2", 0): "bay water and sand", ("k", "d1", 0): "ferry"}
     rows = spark.createDataFrame([(*k, v) for k, v in texts.items()], "case_id string, document_id string, ordinal int, sentence string")
     queries = spark.createDataFrame([("c", "a", "Ferry in the bay"), ("k", "a", "ferry"), ("k", "b", "nothing here")], "case_id string, atom_id string, query string")
-    got = {(r["case_id"], r["atom_id"], r["document_id"], r["ordinal"]): r["score"] for r in retrieval.bm25(rows, queries, "case_id", ["document_id", "ordinal"], "atom_id").collect()}
+    got = {(r["case_id"], r["atom_id"], r["document_id"], r["ordinal"]): r["score"] for r in retrieval.bm25(retrieval.passage_tokens(rows, "case_id", ["document_id", "ordinal"]), queries, "case_id", ["document_id", "ordinal"], "atom_id").collect()}
     tokens = {k: [w for w in v.split() if len(w) > 2] for k, v in texts.items()}
     own = {k: t for k, t in tokens.items() if k[0] == "c"}
     avg = sum(map(len, own.values())) / 3
@@ -79,7 +79,7 @@ def _rule(spark, rule, claim, *evidence):
     (rules.numeric_compare, "Alpha holds at least $5,000.00 on its account.", ["Alpha holds 40 percent on its account."], ("UNRESOLVED", "MISSING_COMPATIBLE_UNIT")),
     (rules.numeric_compare, "Alpha holds at least $5,000.00 on its account.", ["Alpha holds $6,000.00 on its account.", "Alpha holds $1,000.00 on its account."], ("UNRESOLVED", "CONFLICTING_NUMERIC_EVIDENCE")),
     (rules.numeric_compare, "Alpha has money.", ["Alpha holds $6,000.00."], ("NOT_APPLICABLE", None)),
-    (rules.numeric_compare, "It ran more than 10 km.", ["It ran 12 km."], ("UNRESOLVED", "UNSUPPORTED_UNIT")),
+    (rules.numeric_compare, "It ran more than 10 km.", ["It ran 12 km."], ("UNRESOLVED", "UNSUPPORTED_NUMERIC_UNIT")),
     (rules.temporal_compare, "It opened before June 17, 1998.", ["It opened on March 1, 1997."], ("PROVED", None)),
     (rules.temporal_compare, "It opened after June 17, 1998.", ["It opened on March 1, 1997."], ("DISPROVED", None)),
     (rules.temporal_compare, "It opened between 1990 and 1995.", ["It opened in May 1993."], ("PROVED", None)),
@@ -156,9 +156,6 @@ def test_decompose_and_identity(spark):
     assert identity.entity_key("The Dr. Ann Lee’s") == "ann lee"
     groups = identity.alias_groups("World Food Board (WFB) met. Ann Lee spoke. Lee left.")
     assert groups["wfb"] == groups["world food board"] and groups["lee"] == groups["ann lee"]
-    claims = spark.createDataFrame([("c", "a", "Lee spoke at WFB."), ("c", "b", "rain fell")], "case_id string, atom_id string, text string")
-    evidence = spark.createDataFrame([("c", "a", "d", "The World Food Board (WFB) met. Ann Lee spoke.")], "case_id string, atom_id string, document_id string, text string")
-    assert {r["atom_id"]: r["status"] for r in identity.align(claims, evidence).collect()} == {"a": "ALIGNED", "b": "NOT_APPLICABLE"}
 
 
 def test_case_bundle(spark, tmp_path):
