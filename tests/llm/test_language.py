@@ -74,7 +74,7 @@ def learned(spark):
     ["Dr. Marrow met Mt. Hessel Grain Co. twice.", "See No. 12 and Fig. 3 in the annex."], ["It was signed with Vantor Holdings Ltd.", "The memos were late."], ["Prof. J. R. Ellery said so at 8 p.m. that day.", "Nobody knows."], ["The ratio fell to 3.14 in 2012.", "It rose."], ["“Who approved this? Nobody asked us,” said Marrow.", "It rose."],
     ["“It is safe!” read a banner outside.", "It rose."], ["A reviewer wrote: “The drawings were late.”", "It rose."], ["It fell (see the note. It is short) again.", "It rose!", "Is it true?", "No."], ["The list covers e.g. the north, i.e. more."], ["Despite that… it went on.", "It rose."],
     ["这是不实消息！", "柯凡娜女士补充道:“数字只是初步结果。”", "“我们没有签署任何文件。”万托博士在塔桥镇说。", "调查仍在进行……目前没有结论。"], ["ヴァントル博士は「数字は暫定だ。」と付け加えた。", "これは誤りだ！"], ["जाँच अभी जारी है।", "प्रो. वैंटर ने कहा, “हमने कुछ नहीं किया।”", "यह गलत है!"],
-    ["«¿Quién lo aprobó? Nadie nos preguntó», dijo Ilse.", "¡No hay pruebas!", "¿Es cierto?"], ["„Wir haben nichts unterschrieben“, sagte er am 20. Oktober 2020.", "Das ist falsch!"], ["See https://x.example/a.b?c=D.", "It rose."],
+    ["«¿Quién lo aprobó? Nadie nos preguntó», dijo Ilse.", "¡No hay pruebas!", "¿Es cierto?"], ["„Wir haben nichts unterschrieben“, sagte er.", "Das ist falsch!"], ["Marrow holds a Ph.D. in law.", "iNorvale, the app, fell.", "It rose."], ["See https://x.example/a.b?c=D.", "It rose."],
 ])
 def test_units(learned, parts):
     cjk = any("぀" <= c <= "鿿" for c in parts[0])
