@@ -19,7 +19,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TOKENIZER_DIR = os.environ.get("SPANLOOM_TOKENIZERS", "/opt/tokenizers")
@@ -33,6 +34,9 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 UNSETTLED = "[՘֋֌࢏౜೜₏₝-₟꟎꟏꟒꟔꟝꟢꟱꭬꭭\U00010000-\U0001d3ff\U0001d6a6\U0001d800-\U0001efff\U00020000-\U0010ffff]"
 
 
+_shipped: dict[str, set[str]] = {}
+
+
 def byte_table() -> dict[int, str]:
     """The printable character that byte-level BPE vocabularies write for each byte: printable Latin-1 bytes stand for
     themselves, the others are numbered upwards from U+0100."""
@@ -109,6 +113,24 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+def ship(spark: SparkSession, path: str) -> str:
+    """A name under which every worker finds the vocabulary: Spark copies the file to all of them, once for a session."""
+    name = os.path.basename(path)
+    if path not in _shipped.get(spark.sparkContext.applicationId, ()):
+        spark.sparkContext.addFile(path)
+        _shipped.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    return name
+
+
+def shipped(name: str, path: str) -> Codec:
+    """The codec of a shipped vocabulary, on a worker; from its own path where that is there and the copy isn't."""
+    try:
+        copy = SparkFiles.get(name)
+    except Exception:  # noqa: BLE001 - no Spark around
+        copy = path
+    return codec(copy if os.path.exists(copy) else path)
+
+
 def vocabulary_path(name: str = VOCABULARY, folder: str | None = None) -> str:
     return os.path.join(folder or TOKENIZER_DIR, name)
 
@@ -122,9 +144,10 @@ def _lists(rows: list[array]) -> pa.Array:
 def encode_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
     """``(id_col, ids)`` of every row: a map over Arrow batches, without a shuffle."""
     path = vocabulary or vocabulary_path()
+    name = ship(df.sparkSession, path)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
+        own = shipped(name, path)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -139,9 +162,10 @@ def encode_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def token_counts(df: DataFrame, keys: list[str], text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
     """``keys`` and ``n_tokens`` of every row (0 for null and empty texts); the ids stay in the worker."""
     path = vocabulary or vocabulary_path()
+    name = ship(df.sparkSession, path)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
+        own = shipped(name, path)
         for batch in batches:
             n = pa.array([len(own.encode(t)) for t in batch.column(batch.num_columns - 1).to_pylist()], type=pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], n], names=[*batch.schema.names[:-1], "n_tokens"])
@@ -153,9 +177,10 @@ def token_counts(df: DataFrame, keys: list[str], text_col: str = "text", vocabul
 def encode_with_offsets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
     """``(id_col, ids, starts, ends, restored)``: ids, their code-point spans, and whether decoding gives the text back."""
     path = vocabulary or vocabulary_path()
+    name = ship(df.sparkSession, path)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
+        own = shipped(name, path)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -177,9 +202,10 @@ def encode_with_offsets(df: DataFrame, id_col: str = "doc_id", text_col: str = "
 def decode_corpus(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabulary: str | None = None) -> DataFrame:
     """``(id_col, text)``: the texts of id lists; a null list gives an empty text."""
     path = vocabulary or vocabulary_path()
+    name = ship(df.sparkSession, path)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
+        own = shipped(name, path)
         for batch in batches:
             texts = pa.array([own.decode(x or ()) for x in batch.column(1).to_pylist()], type=pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), texts], names=["key", "text"])
