@@ -24,6 +24,8 @@ from spanloom.session import materialize
 
 BUCKETS = 4096
 SLICES = 4096
+#: So many rows of the queue are ordered in one task where the budget cuts it.
+EDGE_ROWS = 100_000
 
 
 def document_sizes(documents: DataFrame, targets: DataFrame, seed: int = 17, vocabulary: str | None = None) -> DataFrame:
@@ -52,19 +54,32 @@ def finish_times(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     return rows.select("doc_id", "source", "n_tokens", "round", ((F.col("round") * F.col("total") + F.col("ahead") + F.col("sofar")) / F.col("target_share")).alias("finish"))
 
 
-def within_budget(queue: DataFrame, budget: int) -> DataFrame:
-    """The front of ``queue`` whose tokens fit into ``budget``."""
-    last = queue.agg(F.max("finish")).first()[0] or 1.0
-    sliced = queue.withColumn("slice", F.least(F.floor(F.col("finish") / last * SLICES), F.lit(SLICES - 1)).cast("int"))
-    sums = sliced.groupBy("slice").agg(F.sum("n_tokens").alias("own"))  # at most SLICES rows
-    sums = sums.withColumn("upto", F.sum("own").over(Window.orderBy("slice"))).withColumn("ahead", F.col("upto") - F.col("own"))
-    marks = sums.select("slice", "ahead", (F.col("upto") <= budget).alias("whole"), ((F.col("ahead") < budget) & (F.col("upto") > budget)).alias("edge"))
-    joined = sliced.join(F.broadcast(marks), "slice")
-    whole = joined.where("whole").select(*queue.columns)
-    # one slice is cut inside: it alone is ordered, as a 1 / SLICES part of the queue
-    inside = Window.partitionBy("slice").orderBy("finish", "source", "round", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    edge = joined.where("edge").withColumn("upto", F.col("ahead") + F.sum("n_tokens").over(inside))
-    return whole.unionByName(edge.where(F.col("upto") <= budget).select(*queue.columns))
+def within_budget(queue: DataFrame, budget: int, edge_rows: int = EDGE_ROWS) -> DataFrame:
+    """The front of ``queue`` whose tokens fit into ``budget``. Sums over slices of virtual time find the slice that is cut inside; while it has more
+    than ``edge_rows`` rows it is sliced again, as a target of a tiny share stretches time and puts most rows into few slices."""
+    found = queue.agg(F.min("finish"), F.max("finish"), F.count("*")).first()
+    (low, high, rows), ahead, part = found, 0, queue
+    while rows:
+        place = F.least(F.floor((F.col("finish") - low) / (high - low) * SLICES), F.lit(SLICES - 1)) if high > low else F.lit(0)
+        sums = part.groupBy(place.cast("int").alias("slice")).agg(F.sum("n_tokens").alias("own"), F.count("*").alias("n"), F.min("finish").alias("low"), F.max("finish").alias("high")).collect()  # at most SLICES rows
+        edge = None
+        for r in sorted(sums, key=lambda r: r["slice"]):
+            if ahead + r["own"] > budget:
+                edge = r
+                break
+            ahead += r["own"]
+        if edge is None:
+            return queue
+        low, high, rows = edge["low"], edge["high"], edge["n"]
+        if rows <= edge_rows or low == high or len(sums) == 1:
+            break
+        part = queue.where(F.col("finish").between(low, high))
+    if not rows:
+        return queue
+    whole = queue.where(F.col("finish") < low)
+    inside = Window.orderBy("finish", "source", "round", "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # a slice's few rows, or ties
+    cut = queue.where(F.col("finish").between(low, high)).withColumn("upto", F.lit(ahead) + F.sum("n_tokens").over(inside))
+    return whole.unionByName(cut.where(F.col("upto") <= budget).select(*queue.columns))
 
 
 def mix(documents: DataFrame, targets: DataFrame, budget: int | None = None, seed: int = 17, vocabulary: str | None = None, sizes: DataFrame | None = None) -> DataFrame:
