@@ -11,6 +11,7 @@ record; texts of any length are scored, by their length and their end; other col
 
 from __future__ import annotations
 
+import math
 import random
 import re
 import zlib
@@ -32,8 +33,8 @@ WORD_SLOTS = 1 << 18
 #: A length is a limit if one record in so many has it and it is so many times as common as its neighbours.
 LIMIT_SHARE, LIMIT_FACTOR, LIMIT_LEAST = 2000, 6, 5
 THRESHOLD, SURE = 0.5, 0.9
-#: An end of a line in Thai that fewer lines than this share is not one of a clause.
-KNOWN_ENDS = 2
+#: An end of a line in Thai is one of a clause if at least this share of all such lines has it, and two of them.
+ENDS_SHARE, ENDS_LEAST = 1e-4, 2
 
 #: What a cut leaves behind it.
 TRACE = re.compile(r"(?:\s*(?:\[\s*[+＋]\s*\d[\d., ]*\s*(?:chars?|characters|more|zeichen|caracteres|caractères|字)?\s*\]|\[(?:…|\.\.\.|truncated|cut|gekürzt|more)\]|\((?:…|\.\.\.|more|truncated)\)|<truncated>|(?:read|see|show) more\s*[»›>→]?|continue reading\s*[»›>→]?|weiterlesen|leer más|lire la suite|ler mais|(?-i:&[a-z#]{1,5}\d{0,4};?|</?[a-z]{0,10})|…|\.\.\.|�))+\s*$", re.I)
@@ -60,8 +61,8 @@ def script_class(text: str) -> str:
 class Corpus:
     """Counts over all records: words, limits of length, and the forms of titles."""
 
-    def __init__(self, words: np.ndarray, limits: frozenset[int], byte_limits: frozenset[int], frequent: frozenset[str], shapes: frozenset[str], n_texts: int = 0) -> None:
-        self.words, self.limits, self.byte_limits, self.frequent, self.shapes, self.n_texts = words, limits, byte_limits, frequent, shapes, n_texts
+    def __init__(self, words: np.ndarray, limits: frozenset[int], byte_limits: frozenset[int], frequent: frozenset[str], shapes: frozenset[str], n_texts: int = 0, ends: frozenset[str] = frozenset()) -> None:
+        self.words, self.limits, self.byte_limits, self.frequent, self.shapes, self.n_texts, self.ends = words, limits, byte_limits, frequent, shapes, n_texts, ends
 
     def word_count(self, word: str) -> int:
         return int(self.words[_slot(word)])
@@ -170,7 +171,7 @@ def corpus_counts(pages: DataFrame) -> Corpus:
     """``Corpus`` of all records (``text, title, publisher``); what comes to the driver has a fixed bound."""
 
     def scan(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, chars, sizes = Counter(), Counter(), Counter()
+        words, chars, sizes, ends = Counter(), Counter(), Counter(), Counter()
         for pdf in pdfs:
             for t in pdf["text"]:
                 _, _, n = end_of(t)
@@ -178,15 +179,16 @@ def corpus_counts(pages: DataFrame) -> Corpus:
                 sizes[len(t.encode("utf-8", "surrogatepass"))] += 1
                 words.update(_LETTER.findall(t.lower()))
                 if not t.isascii() and _THAI_END.search(t):
-                    words.update("$" + x for x in _THAI_END.findall(t[: t.rstrip().rfind("\n") + 1]))
+                    ends.update(_THAI_END.findall(t[: t.rstrip().rfind("\n") + 1]))
             if len(words) > 200_000:
                 yield _counted(words, chars, sizes)
                 words, chars, sizes = Counter(), Counter(), Counter()
         yield _counted(words, chars, sizes)
+        yield _counted(Counter(), Counter(), Counter(), ends)
 
-    counts = pages.where("text IS NOT NULL").select("text").mapInPandas(scan, "kind int, value bigint, n bigint").groupBy("kind", "value").agg(F.sum("n").alias("n"))
+    counts = pages.where("text IS NOT NULL").select("text").mapInPandas(scan, "kind int, value bigint, word string, n bigint").groupBy("kind", "value", "word").agg(F.sum("n").alias("n"))
     counts = materialize(counts, "length-counts")  # several parts of the plan below read it
-    lengths = counts.where("kind > 0").withColumn("near", F.floor(F.col("value") / 50))
+    lengths = counts.where("kind IN (1, 2)").withColumn("near", F.floor(F.col("value") / 50))
     around = lengths.groupBy("kind", "near").agg(F.sum("n").alias("all"), F.count("*").alias("of"))
     total = lengths.groupBy("kind").agg(F.sum("n").alias("total"))
     limits = (
@@ -196,21 +198,24 @@ def corpus_counts(pages: DataFrame) -> Corpus:
         .select("kind", "value", "n")
     )
     texts = total.where("kind = 1").select(F.lit(3).alias("kind"), F.lit(0).cast("bigint").alias("value"), F.col("total").alias("n"))
-    rows = counts.where("kind = 0").unionByName(limits).unionByName(texts).toPandas()  # at most WORD_SLOTS + 2 x LIMIT_SHARE + 1 rows
+    rows = counts.where("kind = 0").select("kind", "value", "n").unionByName(limits).unionByName(texts).toPandas()  # at most WORD_SLOTS + 2 x LIMIT_SHARE + 1 rows
     words = np.zeros(WORD_SLOTS, np.int64)
     own = rows[rows["kind"] == 0]
     words[own["value"].to_numpy()] = own["n"].to_numpy()
     frequent, shapes = title_statistics(pages)
     n_texts = int(rows[rows["kind"] == 3]["n"].sum())
-    return Corpus(words, *(frozenset(rows[rows["kind"] == k]["value"].tolist()) for k in (1, 2)), frequent, shapes, n_texts)
+    lines = counts.where("kind = 4")
+    least = max(ENDS_LEAST, math.ceil(ENDS_SHARE * (lines.agg(F.sum("n")).first()[0] or 0)))
+    ends = frozenset(r["word"] for r in lines.where(F.col("n") >= least).select("word").collect())  # at most 1 / ENDS_SHARE
+    return Corpus(words, *(frozenset(rows[rows["kind"] == k]["value"].tolist()) for k in (1, 2)), frequent, shapes, n_texts, ends)
 
 
-def _counted(words: Counter, chars: Counter, sizes: Counter) -> pd.DataFrame:
+def _counted(words: Counter, chars: Counter, sizes: Counter, ends: Counter | None = None) -> pd.DataFrame:
     slots: Counter = Counter()
     for w, n in words.items():
         slots[_slot(w)] += n
-    rows = [(k, v, n) for k, c in enumerate((slots, chars, sizes)) for v, n in c.items()]
-    return pd.DataFrame(rows, columns=["kind", "value", "n"]).astype({"kind": "int32"})
+    rows = [(k, v, None, n) for k, c in enumerate((slots, chars, sizes)) for v, n in c.items()] + [(4, 0, w, n) for w, n in (ends or {}).items()]
+    return pd.DataFrame(rows, columns=["kind", "value", "word", "n"]).astype({"kind": "int32", "value": "int64", "word": object, "n": "int64"})
 
 
 def training_texts(pages: DataFrame, limits: frozenset[int], n_texts: int) -> list[str]:
@@ -241,7 +246,7 @@ class Classifier:
         body, trace, size = end_of(text)
         line = body[body.rfind("\n") + 1 :].strip()
         thai = script_class(line[-160:]) == "thai"
-        if thai and (m := _THAI_END.search(line)) and self.corpus.word_count("$" + m.group(1)) <= KNOWN_ENDS and "\n" in body:
+        if thai and (m := _THAI_END.search(line)) and m.group(1) not in self.corpus.ends and "\n" in body:
             return True
         if self.score(text) < THRESHOLD:
             return False
