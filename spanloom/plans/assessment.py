@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.functions.text import utf16_length
-from spanloom.operators import cascade, premises, rules
+from spanloom.functions.text import STOP_WORDS
+from spanloom.operators import cascade, premises, reasoning, rules
+from spanloom.session import materialize
 from spanloom.sources.tables import table
 
 KEYS = ["case_id", "atom_id"]
@@ -98,17 +99,47 @@ def extremum_operands(spark: SparkSession, d: str) -> DataFrame:
     return premises.extremum_operands(atoms, operands).select("case_id", "premise_id", "place")
 
 
+def _candidates(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Candidates, and all premises that they may use: retrieved evidence, lists and lines."""
+    from spanloom.plans.retrieval import lexical_topk, passages
+
+    documents = _documents(spark, d)
+    lists, lines = materialize(premises.list_premises(documents), "list-premises"), materialize(premises.line_operands(documents), "line-operands")
+    key = F.concat_ws(":", F.lit("evidence"), "atom_id", "document_id", F.col("ordinal").cast("string")).alias("premise_id")
+    top = materialize(lexical_topk(spark, d), "evidence")
+    evidence = top.join(passages(spark, d), ["case_id", "document_id", "ordinal"]).select("case_id", key, "document_id", F.lit("EVIDENCE").alias("kind"), F.trim("sentence").alias("text"), F.lit(None).cast("string").alias("digest"))
+    found = premises.build_candidates(_atoms(spark, d), top.select(*KEYS, key, F.col("rank").alias("place")), lists, lines)
+    known = [x.select("case_id", "premise_id", "document_id", "kind", "text", "digest") for x in (evidence, lists, lines)]
+    return materialize(found, "candidates"), known[0].unionByName(known[1]).unionByName(known[2])
+
+
 def candidate_premises(spark: SparkSession, d: str) -> DataFrame:
     """Candidates of the atoms with the premises they may use, from retrieved evidence, lists and lines."""
-    from spanloom.plans.retrieval import lexical_topk
+    return _candidates(spark, d)[0].select(*KEYS, "operator", "profile", F.size("premise_ids").alias("n_premises"))
+
+
+def rule_executions(spark: SparkSession, d: str) -> DataFrame:
+    """Every candidate run on its own premises, with the steps of its program."""
+    found, known = _candidates(spark, d)
+    rows = reasoning.programs_of(reasoning.execute(_atoms(spark, d), found, known))
+    return rows.select(*KEYS, "operator", "status", "warning", "relation", F.size("program.steps").alias("n_steps"), F.array_join(F.transform(F.filter("preconditions", lambda p: p["met"]), lambda p: p["name"]), "|").alias("met"))
 
-    documents = _documents(spark, d)
-    chosen = lexical_topk(spark, d).select(*KEYS, F.concat_ws(":", F.lit("evidence"), "atom_id", "document_id", F.col("ordinal").cast("string")).alias("premise_id"), F.col("rank").alias("place"))
-    found = premises.build_candidates(_atoms(spark, d), chosen, premises.list_premises(documents), premises.line_operands(documents))
-    return found.select(*KEYS, "operator", "profile", F.size("premise_ids").alias("n_premises"))
 
+def mapped_executions(spark: SparkSession, d: str) -> DataFrame:
+    """The same where a model mapped only the candidates of every second atom: others are recovered or stay unresolved."""
+    found, known = _candidates(spark, d)
+    mappings = found.where(F.right("atom_id", F.lit(1)).cast("int") % 2 == 1).select(*KEYS, "candidate_id", F.slice("premise_ids", 1, 3).alias("premise_ids"))
+    return reasoning.execute(_atoms(spark, d), found, known, mappings).groupBy("operator", "status", "warning").agg(F.count("*").alias("n"))
 
-QUERIES = {f.__name__: f for f in (assessment_rejects, assessment_both_sides, assessment_final, line_operands, grounded_premises, rendered_lists, extremum_operands, candidate_premises)}
+
+def redundant_atoms(spark: SparkSession, d: str) -> DataFrame:
+    """Atoms that span all others of their case and say nothing that these don't."""
+    from spanloom.operators import decompose
+
+    return decompose.redundant_covering(table(spark, d, "atoms"))
+
+
+QUERIES = {f.__name__: f for f in (assessment_rejects, assessment_both_sides, assessment_final, line_operands, grounded_premises, rendered_lists, extremum_operands, candidate_premises, rule_executions, mapped_executions, redundant_atoms)}
 
 _ANSWERS = r"""
     docs AS (SELECT case_id, document_id, any_value(text) AS text, any_value(title) AS title, min(doc_ord) AS ord FROM case_documents GROUP BY ALL),
@@ -117,6 +148,12 @@ _ANSWERS = r"""
     j AS (SELECT a.case_id, a.atom_id, a.text AS claim, n, coalesce(s, []) AS s, coalesce(r, []) AS r, coalesce(c, []) AS c, length(a.text) % 7 AS k, length(a.text) % 11 = 0 AS u FROM atoms a LEFT JOIN an ON an.case_id = a.case_id AND an.atom_id = a.atom_id),
     rj AS (SELECT case_id, atom_id, CASE WHEN n IS NULL THEN 'MISSING_ANSWER' WHEN k = 6 THEN 'UNKNOWN_SUFFICIENCY' WHEN u THEN 'UNAVAILABLE_EVIDENCE' END AS reason FROM j)"""
 
+_STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
+
+
+def _sym(x: str) -> str:
+    return rf"list_distinct(list_filter(regexp_extract_all(lower(regexp_replace({x}, '[\p{{S}}]', ' ', 'g')), '[a-z][a-z0-9''-]*'), lambda t: t NOT IN ({_STOP})))"
+
 
 def _sentence(x: str, limit: int) -> str:
     line = f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
@@ -136,6 +173,9 @@ ORACLE_SQL = {
         CASE WHEN k < 3 THEN 'SUFFICIENT' WHEN k < 5 THEN 'PARTIAL' ELSE 'INSUFFICIENT' END AS sufficiency,
         CASE WHEN k < 3 THEN '' ELSE {_sentence("claim", cascade.MISSING_CHARS).format(fallback=cascade.NO_END)} END AS missing,
         CASE WHEN length(claim) % 5 = 0 THEN '{cascade.NO_REASON}' ELSE {_sentence("claim || ' And more'", cascade.REASON_CHARS).format(fallback=cascade.NO_REASON)} END AS reason, CAST(n AS INTEGER) AS n_spans FROM g""",
+    "redundant_atoms": f"""WITH a AS (SELECT *, {_sym("text")} AS ts, count(*) OVER w AS n, min(start_off) OVER w AS lo, max(end_off) OVER w AS hi FROM atoms WINDOW w AS (PARTITION BY case_id)),
+      c AS (SELECT x.case_id, x.atom_id, x.ts, flatten(list(y.ts)) AS said FROM a x JOIN a y ON y.case_id = x.case_id AND y.atom_id <> x.atom_id WHERE x.n >= 3 AND x.start_off = x.lo AND x.end_off = x.hi GROUP BY ALL)
+      SELECT case_id, min(atom_id) AS atom_id FROM c WHERE len(list_filter(ts, lambda t: NOT list_contains(said, t))) = 0 GROUP BY 1""",
     "line_operands": r"""WITH docs AS (SELECT case_id, document_id, any_value(text) AS text FROM case_documents WHERE text <> '' GROUP BY ALL),
       l AS (SELECT case_id, document_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM docs),
       m AS (SELECT *, CAST(sum(u + 1) OVER w - u - 1 AS INTEGER) AS begin, sum(CASE WHEN length(line) BETWEEN 1 AND 500 THEN 1 ELSE 0 END) OVER w AS no FROM (SELECT *, length(line) + len(regexp_extract_all(line, '[\x{10000}-\x{10FFFF}]')) AS u FROM l) WINDOW w AS (PARTITION BY case_id, document_id ORDER BY n)),

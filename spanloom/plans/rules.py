@@ -201,3 +201,17 @@ def identity_alignment(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES |= {f.__name__: f for f in (atom_grounding, atom_warnings, identity_alignment)}
 ORACLE_SQL["atom_grounding"] = "SELECT case_id, atom_id, start_off AS start_u16, end_off AS end_u16, true AS grounded FROM atoms"
+
+_LOW = "lower(regexp_replace(text, '\\s+', ' ', 'g'))"
+_EXTREME = rf"regexp_matches(regexp_replace({_LOW}, 'at (?:most|least)\b', '', 'g'), '{rules.SUPERLATIVE}')"
+_PROFILED = rf"""CASE WHEN regexp_matches({_LOW}, '\b(?:located|location)\b') OR contains({_LOW}, 'exclusively') THEN true
+    WHEN regexp_matches({_LOW}, '\b(?:is|are|has|have|invented|created|developed|makes|make|causes|uses)\b|\bawarded\s+for\b') THEN regexp_matches(lower(text), '\b(?:has|have|invented|created|developed|makes|make|causes|uses)\b|\bawarded\s+for\b') ELSE false END"""
+ORACLE_SQL["rule_candidates"] = rf"""SELECT case_id, atom_id, operator FROM (SELECT case_id, atom_id, unnest(list_filter([
+      CASE WHEN regexp_matches(lower(text), '\b(?:list|listed|member|included|designated)\b') THEN 'SET_MEMBERSHIP' END, CASE WHEN regexp_matches(text, '{rules._COUNT}') THEN 'COUNT_DISTINCT' END, CASE WHEN {_EXTREME} THEN 'EXTREMUM_COMPARE' END, CASE WHEN {_PROFILED} THEN 'ATTRIBUTE_COMPARE' END,
+      CASE WHEN regexp_matches(text, '[0-9]') AND regexp_matches(lower(text), '[<>≤≥=]|\b(?:more|less|fewer|over|under|at least|at most|equal|than|percent)\b|[a-z0-9_]%[a-z0-9_]') THEN 'NUMERIC_COMPARE' END,
+      CASE WHEN NOT {_EXTREME} AND regexp_matches(lower(text), '\b(?:before|after|between|during|on|since|until)\b') THEN 'TEMPORAL_COMPARE' END], lambda x: x IS NOT NULL)) AS operator FROM atoms)"""
+ORACLE_SQL["atom_warnings"] = r"""WITH a AS (SELECT *, count(*) OVER (PARTITION BY case_id, source_text) AS shared, string_split_regex(regexp_replace(text, '([;,])([0-9])', '#\2', 'g'), '[;,]\s*|\s(?:and|but|while|whereas)\s') AS parts FROM atoms),
+      w AS (SELECT case_id, atom_id, unnest(list_filter([CASE WHEN shared > 1 THEN 'REUSED_SOURCE_TEXT' END, CASE WHEN length(trim(source_text)) < 4 THEN 'AMBIGUOUS_SOURCE_TEXT' END, CASE WHEN regexp_matches(text, '(?i)^(?:he|she|it|they|this|that|these|those|his|her|its|their)\b') THEN 'NON_STANDALONE_REFERENCE' END,
+        CASE WHEN len(list_filter(parts, lambda c: regexp_matches(c, '[0-9]') AND regexp_matches(c, '(?i)\b(?:is|are|was|were|has|have|had|rose|fell|reached|covered|counted|spent)\b'))) > 1 THEN 'MULTIPLE_NUMERIC_ASSERTIONS' END], lambda x: x IS NOT NULL)) AS code FROM a),
+      c AS (SELECT case_id, min(claim) AS claim FROM catalog GROUP BY 1), s AS (SELECT case_id, max(end_off - start_off) AS longest, count(*) AS n FROM atoms GROUP BY 1)
+      SELECT case_id, atom_id, code FROM w UNION ALL SELECT c.case_id, NULL, 'UNDER_DECOMPOSED' FROM c JOIN s ON s.case_id = c.case_id WHERE n = 1 AND longest >= 0.9 * length(claim) AND len(regexp_extract_all(claim, '[.!?]\s+[A-Z]')) >= 1"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import shutil
 import tempfile
@@ -42,14 +44,40 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+_owned: dict[str, object] = {}
+
+
+def _own_dir(spark: SparkSession) -> str:
+    path = f"{shared_dir(spark).rstrip('/')}/spanloom-{spark.sparkContext.applicationId}"
+    if path not in _owned:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        system = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+        _owned[path] = lambda: system.delete(hadoop, True)
+        atexit.register(_remove, path)
+    return path
+
+
+def _remove(path: str) -> None:
+    remove = _owned.pop(path, None)
+    if remove is not None:
+        with contextlib.suppress(Exception):  # the JVM may have ended before
+            remove()
+
+
+def release(spark: SparkSession) -> None:
+    """Remove what ``materialize`` wrote for this application. Results that were not computed by then can't be any more."""
+    _remove(f"{shared_dir(spark).rstrip('/')}/spanloom-{spark.sparkContext.applicationId}")
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage and survives lost executors.
 
     For results that several jobs read (corpus statistics, per-row sizes); each is written as Parquet
-    under a fresh name, so reruns never see one another's files.
+    under a fresh name in the application's own folder, so reruns never see one another's files. The
+    application owns that folder and removes it when its driver ends; ``release`` does so at once.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

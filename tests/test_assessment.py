@@ -179,3 +179,25 @@ def test_entry_points(spark):
     atoms, rejected = api.decompose(claims, replies)
     assert [(r["case_id"], r["atom_id"], r["start_u16"], r["role"]) for r in atoms.orderBy("case_id", "atom_id").collect()] == [("c", "atom-1", 0, "CORE"), ("c", "atom-2", 18, "CORE")]
     assert {r["case_id"]: r["reason"] for r in rejected.collect()} == {"k": "MALFORMED_REPLY", "m": "NO_ATOMS"}
+
+
+def test_executions_of_candidates(spark):
+    from spanloom.operators import reasoning
+
+    atoms = spark.createDataFrame([("c", "a", "Cove is listed on the register."), ("c", "b", "Gull is listed on the register."), ("c", "k", "Bay has at least 9 boats."), ("c", "m", "Ann Lee has at least 9 boats.")], "case_id string, atom_id string, text string")
+    documents = spark.createDataFrame([("c", "d", "The full register of Cove and Gull list:\n- Bay\n- Cove")], "case_id string, document_id string, text string")
+    evidence = spark.createDataFrame([("c", "e1", "d", "EVIDENCE", "Bay has 12 boats.", None), ("c", "e2", "d", "EVIDENCE", "Bob Ray, not Ann, has 12 boats.", None)], "case_id string, premise_id string, document_id string, kind string, text string, digest string")
+    lists = premises.list_premises(documents)
+    chosen = spark.createDataFrame([("c", "k", "e1", 1), ("c", "m", "e2", 1)], "case_id string, atom_id string, premise_id string, place int")
+    found = premises.build_candidates(atoms, chosen, lists, premises.line_operands(documents))
+    known = evidence.unionByName(lists.select(*evidence.columns))
+    kinds = {"a": "SET_MEMBERSHIP", "b": "SET_MEMBERSHIP", "k": "NUMERIC_COMPARE", "m": "NUMERIC_COMPARE"}
+    of = lambda rows: {r["atom_id"]: (r["status"], r["warning"]) for r in rows.collect() if r["operator"] == kinds[r["atom_id"]]}
+    got = of(reasoning.execute(atoms, found, known))
+    # an item proves, a certified list disproves, amounts prove, and a proof about somebody else is none
+    assert got == {"a": ("PROVED", None), "b": ("DISPROVED", None), "k": ("PROVED", None), "m": ("UNRESOLVED", "MISSING_ENTITY_ALIGNMENT")}
+    mappings = found.where("atom_id = 'k' AND operator = 'NUMERIC_COMPARE'").select("case_id", "atom_id", "candidate_id", "premise_ids")
+    got = of(reasoning.execute(atoms, found, known, mappings))
+    assert got == {"k": ("PROVED", None), **{a: ("UNRESOLVED", "NO_GROUNDED_PROGRAM") for a in "abm"}}
+    steps = reasoning.programs_of(reasoning.execute(atoms, found, known)).where("atom_id = 'k' AND operator = 'NUMERIC_COMPARE'").first()["program"]["steps"]
+    assert [s["operation"] for s in steps] == ["LOOKUP", "COMPARE"]

@@ -77,3 +77,17 @@ def test_comparator_and_lists():
 def test_comparator_expression(spark):
     for text in ("at least 3", "no more than 4", "recovered", "x > 3", "nothing"):
         assert one(spark, facts.comparator_in, text) == facts.comparator(text)
+
+
+def test_materialized_results_have_an_owner(spark, tmp_path):
+    import glob
+
+    from spanloom import session
+
+    kept = session.materialize(spark.range(5), "numbers")
+    assert kept.count() == 5
+    folder = f"{session.shared_dir(spark)}/spanloom-{spark.sparkContext.applicationId}".replace("file://", "")
+    assert glob.glob(f"{folder}/numbers-*")
+    session.release(spark)
+    assert not glob.glob(f"{folder}/*")
+    assert session.materialize(spark.range(3), "numbers").count() == 3
