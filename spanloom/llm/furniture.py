@@ -284,7 +284,8 @@ def learn_frames(per_site: DataFrame, total: int) -> frozenset[str]:
 
     @F.pandas_udf("array<string>")
     def frames(key: pd.Series, outer: pd.Series) -> pd.Series:
-        return pd.Series([frames_of(k) if o else [f for f in frames_of(k)[:1] if _serves(f)] for k, o in zip(key, outer)])
+        # inside the core only frames count that can serve, so dated keys, which can't, are not taken apart
+        return pd.Series([frames_of(k) if o else [f for f in frames_of(k)[:1] if _serves(f)] if "0" not in k else [] for k, o in zip(key, outer)])
 
     keys = per_site.where("h IS NOT NULL AND key IS NOT NULL").withColumn("form", F.expr("shiftleft(1L, int(pmod(h, 64)))"))
     numbers = ["pages", "head", "tail", "last", "near"]
@@ -298,12 +299,23 @@ def learn_frames(per_site: DataFrame, total: int) -> frozenset[str]:
 
     @F.pandas_udf("array<string>")
     def known(key: pd.Series) -> pd.Series:
-        return key.map(lambda k: [f for f in frames_of(k) if f in found])
+        return key.map(lambda k: [f for f in frames_of(k) if f in found] if _may_have(k, firsts, lasts) else [])
 
+    firsts = frozenset(f.split(" ", 1)[0] for f in found if f[0] != "_")
+    lasts = frozenset(f.rsplit(" ", 1)[1] for f in found if f[0] == "_")
     rows = keys.select("form", "texts", *numbers, F.explode(known("key")).alias("frame")).groupBy("frame").agg(*sums).where(often).withColumn("outside", outside).where(outside | service).select("frame", "outside").collect()
     return frozenset(r["frame"] for r in rows if r["outside"] or _serves(r["frame"]))
 
 
+def _may_have(key: str, firsts: frozenset[str], lasts: frozenset[str]) -> bool:
+    """Whether a key begins or ends as some frame does; most don't, and need not be taken apart."""
+    m = _TOKEN.search(key if key[:1].isalpha() else _BULLET.sub("", key))
+    if m is None or m.group() in firsts:
+        return m is not None
+    ends = _TOKEN.findall(key.rsplit(None, 1)[-1])
+    return bool(ends) and ends[-1] in lasts
+
+
 def _serves(frame: str) -> bool:
     """The exact check of what repeats inside the core, for a frame that has both ends; dated sentences are none."""
     return frame.count(" ") == 4 and " _ " in frame and "0" not in frame and bool(_SERVICE.search(frame))
