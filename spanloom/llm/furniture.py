@@ -36,6 +36,8 @@ IN_HEAD, OUTSIDE, MOST_LAST, BEFORE_TITLES, ALWAYS_OUTSIDE = 0.7, 0.85, 0.8, 0.6
 #: A key inside the core must be on one of so many pages.
 INSERT_SHARE = 150
 FLUSH_KEYS = 100_000
+#: So many pages are remembered, to count copies once.
+MOST_MET = 1_000_000
 #: Keys with a part that varies have so many forms, and this share of their pages in head or tail, at most that share right beside the core.
 FRAME_FORMS, FRAME_OUTSIDE, FRAME_NEAR = 4, 0.95, 0.5
 #: Site keys are sent to all workers up to this number (16 bytes each), else joined.
@@ -110,14 +112,18 @@ def line_counts(pages: DataFrame, frequent: frozenset[str], shapes: frozenset[st
     def scan(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: dict[tuple[int, str | None], list] = {}
         shaped: dict[str, bool] = {}
+        met: set[int] = set()  # copies of a page say nothing new; so of a text that a third of all rows have, each part counts one
         for pdf in pdfs:
             for text, title, url, publisher in zip(pdf["text"], pdf["title"], pdf["url"], pdf["publisher"]):
                 lines = [s for _, s in page_lines(text)]
                 core = core_lines([byte_length(s) for s in lines], surge)
                 if not core:
                     continue
-                site = digest(site_of(url, publisher))
-                bit = 1 << (digest(text) & 63)
+                site, own = digest(site_of(url, publisher)), digest(text)
+                if own ^ site in met:
+                    continue
+                met.add(own ^ site)
+                bit = 1 << (own & 63)
                 _add(counts, (site, None), False, [1, 0, 0, 0, 0, 0], bit)
                 titled = title.strip() if title else None
                 keys = [key_of(s, publisher) for s in lines]
@@ -143,6 +149,8 @@ def line_counts(pages: DataFrame, frequent: frozenset[str], shapes: frozenset[st
             if len(counts) > FLUSH_KEYS:
                 yield _frame(counts)
                 counts, shaped = {}, {}
+            if len(met) > MOST_MET:
+                met.clear()
         yield _frame(counts)
 
     return pages.select("text", "title", "url", "publisher").mapInPandas(scan, "site bigint, h bigint, key string, shaped boolean, pages bigint, head bigint, tail bigint, last bigint, titles bigint, near bigint, texts bigint")
