@@ -172,8 +172,12 @@ def corpus_counts(pages: DataFrame) -> Corpus:
 
     def scan(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, chars, sizes, ends = Counter(), Counter(), Counter(), Counter()
+        met: set[int] = set()  # the length of a text that many rows have is no limit
         for pdf in pdfs:
             for t in pdf["text"]:
+                if hash(t) in met:
+                    continue
+                met.add(hash(t))
                 _, _, n = end_of(t)
                 chars[n] += 1
                 sizes[len(t.encode("utf-8", "surrogatepass"))] += 1
@@ -224,6 +228,7 @@ def training_texts(pages: DataFrame, limits: frozenset[int], n_texts: int) -> li
     share = min(1.0, 3 * TRAIN_TEXTS / max(1, n_texts))
     few = pages.select("text", F.xxhash64("text").alias("h")).where(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)))
     few = few.where((F.length("text") <= TRAIN_CHARS) & (F.length("text") >= 200) & F.col("text").rlike("[.!?。\uff01\uff1f।؟][\"'”’»」』)]*\\s*$|[ก-๛]\\s*$"))
+    few = few.groupBy("h").agg(F.first("text").alias("text"))  # copies count once
     rows = few.orderBy("h").limit(TRAIN_TEXTS).select("text").collect()
     return [r[0] for r in rows if not TRACE.search(r[0][-160:]) and len(r[0]) not in limits]
 
