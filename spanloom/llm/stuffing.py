@@ -125,6 +125,7 @@ def expected_ratios(features: DataFrame) -> DataFrame:
     class: at most languages x length classes rows. Classes with few pages take the values of their script."""
     middle = lambda c: F.percentile_approx(c, 0.5, 1000)
     classes, scripts = ["script", "language", "len_class"], ["script", "len_class"]
+    features = features.select(*classes, "ratio", "punct", "informing", "top").distinct()  # copies, which may be most of a class, count once
     own = features.groupBy(*classes).agg(middle("ratio").alias("own"), F.count("*").alias("n"))
     # tags are often wrong: a language is written in the script of most of its texts, and counts for itself only there
     tag = F.substring_index("language", "-", -1)

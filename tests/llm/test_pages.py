@@ -53,6 +53,13 @@ def test_boilerplate(spark):
     assert boilerplate.find_boilerplate(df.limit(0), keys).count() == 0
 
 
+def test_copies_of_a_page_change_nothing(spark):
+    keys, rows = ["case_id", "document_id"], rows_of(30)
+    own = lambda df: {(r["document_id"], r["line_no"]) for r in boilerplate.find_boilerplate(df, keys).collect() if int(r["document_id"][1:]) < 30}
+    copied = pages(spark, rows + [("\n".join(prose(900 + k) for k in range(3)), "Topic in Bay", "https://bay.example/x", "Bay Courier")] * 400).coalesce(2)
+    assert own(copied) == own(pages(spark, rows))
+
+
 def test_site_keys_sent_or_joined_are_the_same(spark):
     df = pages(spark, rows_of(20) + [(f"{t}\nBay rules apply", h, u.replace("bay", "cove"), None) for t, h, u, _ in rows_of(12, "Cove Post")])
     sent, joined = furniture.learn(df), furniture.learn(df, broadcast_keys=0)
@@ -137,6 +144,16 @@ def test_stuffing(spark):
     assert stuffing.find_stuffed(df.limit(0)).count() == 0
 
 
+def test_stuffing_beside_copies_of_one_page(spark):
+    rng = random.Random(6)
+    words = [f"w{a}{b}n" for a in "abcdefghkl" for b in "aeiouyrst"]
+    honest = [" ".join(" ".join(rng.choice(words) for _ in range(9)).capitalize() + "." for _ in range(12)) for _ in range(60)]
+    rolls = ["\n".join(f"- {rng.choice(words)} {rng.choice(words)}, {1900 + i}" for i in range(50)) for _ in range(3)]
+    texts = honest + rolls + ["cheap loans, " * 70] + [honest[0]] * 300
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r["doc_id"] for r in stuffing.find_stuffed(df).collect()} == {63}
+
+
 @pytest.fixture(scope="module")
 def classifier(spark):
     rng = random.Random(6)
