@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import facts
 from spanloom.functions.text import symbol_tokens
+from spanloom.session import materialize
 
 KEYS = ["case_id", "atom_id"]
 
@@ -41,7 +42,7 @@ def numeric_compare(atoms: DataFrame, premises: DataFrame) -> DataFrame:
     met = claims.join(rows, KEYS, "left").withColumn("e", F.explode_outer("es"))
     fits = (F.col("e.unit") == F.col("bound.unit")) & ((F.size("ys") == 0) | (F.col("ys") == F.col("eys"))) & ((F.size("names") == 0) | F.arrays_overlap("names", symbol_tokens(F.col("evidence"))))
     met = met.withColumn("fits", F.coalesce(fits, F.lit(False))).withColumn("shared", F.coalesce(F.arrays_overlap(_terms(F.col("claim")), _terms(F.col("evidence"))), F.lit(False)))
-    met = met.withColumn("outcome", F.when(F.col("fits") & F.col("shared"), holds(F.col("e.value"), F.col("op"), F.col("bound.value"))))
+    met = met.withColumn("outcome", F.when(F.col("fits") & F.col("shared"), holds(F.col("e.key"), F.col("op"), F.col("bound.key"))))
     out = met.groupBy(*KEYS).agg(
         F.first("op").alias("op"), F.first("bound").alias("bound"), F.count_if("fits").alias("n_fit"), F.count("outcome").alias("n"), F.bool_and("outcome").alias("every"), F.bool_or("outcome").alias("some")
     )
@@ -150,7 +151,7 @@ _COUNT = r"(?i)\b(?:won|wins|received|receives|earned|contains|contained|include
 def count_distinct(atoms: DataFrame, premises: DataFrame) -> DataFrame:
     """At least so many different values: proved by as many in the premises (``label: value`` or what follows the predicate), never disproved."""
     word = F.lower(F.regexp_extract("text", _COUNT, 2))
-    n = F.coalesce(F.create_map(*[F.lit(x) for kv in facts.COUNT_WORDS.items() for x in kv])[word], F.when(word.rlike("^[0-9]+$"), word).cast("int"))
+    n = F.coalesce(F.create_map(*[F.lit(x) for kv in facts.COUNT_WORDS.items() for x in kv])[word], F.when(word.rlike("^[0-9]+$"), F.coalesce(word.try_cast("bigint"), F.lit(2**63 - 1))))  # more than any number of premises
     claims = atoms.select(*KEYS, n.alias("need"), F.lower(F.regexp_extract("text", _COUNT, 1)).rlike("at|no").alias("open"), symbol_tokens(F.regexp_extract("text", r"^(.*?)\s+(?:won|wins|received|receives|earned|contains|contained|includes|included|offers|offered|supports|supported|uses|used)\b", 1)).alias("subject"))
     value = F.lower(F.trim(F.regexp_replace(F.regexp_extract("text", r"(?i)\b(?:won|received|earned|contains|contained|includes|included|offers|offered|supports|supported|uses|used)\s+(?:the\s+)?([^.,;]+)", 1), r"\s+", " ")))
     said = premises.select(*KEYS, value.alias("value"), symbol_tokens(F.col("text")).alias("ts")).where("value <> ''")
@@ -195,7 +196,7 @@ def extremum(atoms: DataFrame, premises: DataFrame) -> DataFrame:
     mine = rows.where("own").groupBy(*KEYS).agg(F.min_by(F.struct("v", "name"), "premise_id").alias("mine"))
     met = rows.join(mine, KEYS).where((F.col("v.unit") == F.col("mine.v.unit")) & (F.col("name") != F.col("mine.name")))
     up = F.col("word").isin("largest", "highest", "tallest", "most")
-    beaten = F.when(up, F.col("v.value") > F.col("mine.v.value")).otherwise(F.col("v.value") < F.col("mine.v.value"))
+    beaten = F.when(up, F.col("v.key") > F.col("mine.v.key")).otherwise(F.col("v.key") < F.col("mine.v.key"))
     out = claims.join(met.groupBy(*KEYS).agg(F.bool_or(beaten).alias("beaten")), KEYS, "left").join(mine.select(*KEYS, F.lit(True).alias("valued")), KEYS, "left").join(bases, KEYS, "left")
     both = (F.col("sea") | F.coalesce("p_sea", F.lit(False))) & (F.col("base") | F.coalesce("p_base", F.lit(False)))
     warning = F.when(F.col("word").isNull(), "NOT_APPLICABLE").when(both, "INCOMPATIBLE_MEASURES").when(F.col("valued").isNull(), "MISSING_SUBJECT_VALUE").when(F.coalesce("beaten", F.lit(False)), None).otherwise("INCOMPLETE_COMPARISON_UNIVERSE")
@@ -269,15 +270,17 @@ REGISTRY: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
 
 
 def run_rules(candidates: DataFrame, premises: DataFrame) -> DataFrame:
-    """All candidates (case_id, atom_id, operator, text) by their operators: ``operator, status, warning, relation``; resolved ones first."""
+    """All candidates (case_id, atom_id, operator, text) by their operators: ``operator, status, warning, relation``; resolved ones first.
+
+    Each rule runs by itself over the premises of its own atoms, and its results are kept: one plan of all rules, with what they come from in it
+    many times, outgrows the driver."""
+    asked = materialize(candidates.select(*KEYS, "operator", "text"), "rule-atoms")
+    used = materialize(premises.select(*KEYS, "premise_id", "text").join(asked.select(*KEYS, "operator").distinct(), KEYS), "rule-premises")
     parts = []
     for name, rule in REGISTRY.items():
-        atoms = candidates.where(F.col("operator") == name).select(*KEYS, "text")
-        parts.append(rule(atoms, premises).withColumn("operator", F.lit(name)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return with_relation(out)
+        own = F.col("operator") == name
+        parts.append(materialize(rule(asked.where(own).drop("operator"), used.where(own).drop("operator")), "rule-results").withColumn("operator", F.lit(name)))
+    return with_relation(reduce(DataFrame.unionByName, parts))
 
 
 def candidates(atoms: DataFrame) -> DataFrame:

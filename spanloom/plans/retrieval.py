@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spanloom.functions import text as T
 from spanloom.operators import retrieval as R
 from spanloom.plans.text import LIKE_SQL, canonical_sql, token_sql
+from spanloom.session import materialize
 from spanloom.sources.tables import table
 
 BUDGET = 6
@@ -51,6 +52,15 @@ def lexical_topk(spark: SparkSession, d: str) -> DataFrame:
     return lexical_scores(spark, d).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= BUDGET).select(*_BY, "rank", "document_id", "ordinal", F.round("score", 6).alias("score"))
 
 
+def evidence(spark: SparkSession, d: str) -> DataFrame:
+    """``lexical_topk`` with the sentences. Documents meet the places of their chosen sentences, so that no other sentence is moved."""
+    top = materialize(lexical_topk(spark, d), "evidence")
+    places = top.groupBy("case_id", "document_id").agg(F.collect_set("ordinal").alias("places"))  # of a document's sentences
+    documents = table(spark, d, "case_documents").select("case_id", "document_id", "text").dropDuplicates(["case_id", "document_id"]).join(places, ["case_id", "document_id"])
+    chosen = documents.select("case_id", "document_id", "places", F.posexplode(F.regexp_extract_all("text", F.lit(T.SENTENCE), F.lit(0))).alias("ordinal", "sentence")).where(F.array_contains("places", F.col("ordinal")))
+    return materialize(top.join(chosen.drop("places"), ["case_id", "document_id", "ordinal"]), "evidence-sentences")
+
+
 def lexical_topk_capped(spark: SparkSession, d: str) -> DataFrame:
     """The same with a share of the budget for every document."""
     found = R.capped_top(lexical_scores(spark, d), _BY, "document_id", [F.desc("score"), F.asc("document_id"), F.asc("ordinal")], BUDGET)

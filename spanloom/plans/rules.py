@@ -136,10 +136,9 @@ def rule_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 def rule_results(spark: SparkSession, d: str) -> DataFrame:
     """All rules over the atoms of the cases, with the sentences of their documents that share words with them as premises."""
-    from spanloom.plans.retrieval import lexical_topk, passages
+    from spanloom.plans.retrieval import evidence
 
-    top = lexical_topk(spark, d).join(passages(spark, d), ["case_id", "document_id", "ordinal"])
-    premises = top.select("case_id", "atom_id", F.concat_ws("::", "document_id", F.col("ordinal").cast("string")).alias("premise_id"), F.trim("sentence").alias("text"))
+    premises = evidence(spark, d).select("case_id", "atom_id", F.concat_ws("::", "document_id", F.col("ordinal").cast("string")).alias("premise_id"), F.trim("sentence").alias("text"))
     found = rules.run_rules(rules.candidates(table(spark, d, "atoms").select("case_id", "atom_id", "text")), premises)
     return found.select("case_id", "atom_id", "operator", "status", "warning", "relation")
 

@@ -91,3 +91,11 @@ def test_materialized_results_have_an_owner(spark, tmp_path):
     session.release(spark)
     assert not glob.glob(f"{folder}/*")
     assert session.materialize(spark.range(3), "numbers").count() == 3
+
+
+def test_numbers_of_any_length_are_ordered(spark):
+    said = ["0", "0.0000001", "0.000001", "0.5", "7", "12", "120", "120.5", "1 million", "9" * 22, "1" + "0" * 31, "1" + "0" * 32, "12" + "0" * 40, "9" * 600]
+    rows = [one(spark, facts.numbers_in, x)[0] for x in said]
+    keys = [r["key"] for r in rows]
+    assert keys[0] == keys[1] and keys[1:] == sorted(set(keys)) and one(spark, facts.numbers_in, "12.50")[0]["key"] == one(spark, facts.numbers_in, "12.5")[0]["key"]
+    assert [r["value"] for r in rows[4:6]] == [Decimal(7), Decimal(12)] and rows[10]["value"] == Decimal(10**31) and [r["value"] for r in rows[11:]] == [None] * 3

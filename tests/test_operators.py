@@ -108,6 +108,23 @@ def test_rules_run_by_candidates(spark):
     assert [(r["atom_id"], r["operator"], r["relation"]) for r in got] == [("a", "SET_MEMBERSHIP", "SUPPORTS")]
 
 
+def test_rules_on_numbers_of_any_length(spark):
+    """Amounts beyond any decimal type are compared digit by digit; counts beyond any integer are never reached."""
+    long = "9" * 600
+    atoms = spark.createDataFrame([("c", "a", "Alpha holds more than 5 boats."), ("c", "b", f"Alpha holds more than {long} boats."), ("c", "k", f"Alpha won {long} prizes.")], "case_id string, atom_id string, text string")
+    premises = spark.createDataFrame([("c", "a", "p", f"Alpha holds {long} boats."), ("c", "b", "q", "Alpha holds 12 boats."), ("c", "k", "r", "Alpha won the cup.")], "case_id string, atom_id string, premise_id string, text string")
+    got = {(r["atom_id"], r["operator"]): (r["status"], r["warning"]) for r in api.reason(atoms, premises).collect()}
+    assert got["a", "NUMERIC_COMPARE"] == ("PROVED", None) and got["b", "NUMERIC_COMPARE"] == ("DISPROVED", None)
+    assert got["k", "COUNT_DISTINCT"] == ("UNRESOLVED", "MISSING_DISTINCT_VALUES")
+
+
+def test_rules_are_planned_apart(spark):
+    """The plan of all rules holds what they gave, not what they come from."""
+    atoms = spark.createDataFrame([("c", "a", "Alpha is a member of the board.")], "case_id string, atom_id string, text string")
+    premises = spark.createDataFrame([("c", "a", "p", "The board has two members: Alpha and Beta.")], "case_id string, atom_id string, premise_id string, text string")
+    assert "Join" not in api.reason(atoms, premises)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_smallest_enclosing_against_brute_force(spark):
     rng = random.Random(2)
     spans = [(a := rng.randrange(500), a + rng.randrange(1, 200), f"s{i}") for i in range(60)]
