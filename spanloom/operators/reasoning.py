@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import facts
 from spanloom.operators import identity, programs, rules
+from spanloom.session import materialize
 
 KEYS = ["case_id", "atom_id"]
 
@@ -35,7 +36,6 @@ def listed_membership(atoms: DataFrame, premises: DataFrame) -> DataFrame:
 def execute(atoms: DataFrame, candidates: DataFrame, premises: DataFrame, mappings: DataFrame | None = None) -> DataFrame:
     """``case_id, atom_id, candidate_id, operator, profile, premise_ids, status, warning, relation``. ``mappings``: case_id, atom_id, candidate_id, premise_ids that a model chose; without, all
     permitted premises are used. Candidates that no mapping chose are unresolved, but decided attribute and count candidates are recovered."""
-    known = premises.select("case_id", "premise_id", "document_id", "kind", "text", "digest").dropDuplicates(["case_id", "premise_id"])
     cut = F.slice("premise_ids", 1, programs.MOST_OPERANDS)
     every = candidates.select(*programs.CANDIDATE, "operator", "profile", cut.alias("premise_ids"))
     if mappings is None:
@@ -44,14 +44,19 @@ def execute(atoms: DataFrame, candidates: DataFrame, premises: DataFrame, mappin
         chosen = every.drop("premise_ids").join(mappings.select(*programs.CANDIDATE, "premise_ids"), programs.CANDIDATE)
         left = every.join(mappings, programs.CANDIDATE, "left_anti")
         chosen = chosen.unionByName(left.where("operator IN ('ATTRIBUTE_COMPARE', 'COUNT_DISTINCT')"))
-    used = chosen.select(*KEYS, "operator", F.explode("premise_ids").alias("premise_id")).join(known, ["case_id", "premise_id"])
+    chosen = materialize(chosen, "chosen-candidates")
+    asked = chosen.select(*KEYS, "operator", F.explode("premise_ids").alias("premise_id"))
+    # of all premises only those that a candidate uses are kept, once; each rule runs by itself, as one plan of all rules repeats what it comes from
+    known = premises.select("case_id", "premise_id", "document_id", "kind", "text", "digest").join(asked.select("case_id", "premise_id").distinct(), ["case_id", "premise_id"], "left_semi")
+    known = materialize(known.dropDuplicates(["case_id", "premise_id"]), "used-premises")
     parts = []
     for name, rule in rules.REGISTRY.items():
         own = chosen.where(F.col("operator") == name).select(*KEYS).join(atoms.select(*KEYS, "text"), KEYS)
+        used = asked.where(F.col("operator") == name).drop("operator").join(known, ["case_id", "premise_id"])
         run = listed_membership if name == "SET_MEMBERSHIP" else rule
-        parts.append(run(own, used.where(F.col("operator") == name).drop("operator")).withColumn("operator", F.lit(name)))
+        parts.append(materialize(run(own, used), "rule-results").withColumn("operator", F.lit(name)))
     found = rules.with_relation(reduce(DataFrame.unionByName, parts))
-    out = chosen.join(found, [*KEYS, "operator"])
+    out = materialize(chosen.join(found, [*KEYS, "operator"]), "executions")
     if left is not None:
         kept = out.join(mappings.select(*programs.CANDIDATE), programs.CANDIDATE, "left_semi").unionByName(programs.recovered(out.join(mappings.select(*programs.CANDIDATE), programs.CANDIDATE, "left_anti")))
         rest = programs.unmapped(candidates, mappings).join(kept.select(*programs.CANDIDATE), programs.CANDIDATE, "left_anti")

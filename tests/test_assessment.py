@@ -202,3 +202,13 @@ def test_executions_of_candidates(spark):
     assert got == {"k": ("PROVED", None), **{a: ("UNRESOLVED", "NO_GROUNDED_PROGRAM") for a in "abm"}}
     steps = next(r for r in rows if r["atom_id"] == "k" and r["operator"] == "NUMERIC_COMPARE")["program"]["steps"]
     assert [s["operation"] for s in steps] == ["LOOKUP", "COMPARE"]
+
+
+def test_executions_on_numbers_of_any_length(spark):
+    from spanloom.operators import reasoning
+
+    atoms = spark.createDataFrame([("c", "k", "Bay has at least 9 boats.")], "case_id string, atom_id string, text string")
+    candidates = spark.createDataFrame([("c", "k", "n", "NUMERIC_COMPARE", "x", ["e"])], "case_id string, atom_id string, candidate_id string, operator string, profile string, premise_ids array<string>")
+    known = spark.createDataFrame([("c", "e", "d", "EVIDENCE", f"Bay has {'7' * 600} boats.", None)], "case_id string, premise_id string, document_id string, kind string, text string, digest string")
+    out = reasoning.execute(atoms, candidates, known)
+    assert [(r["status"], r["relation"]) for r in out.collect()] == [("PROVED", "SUPPORTS")]
