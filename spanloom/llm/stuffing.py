@@ -40,7 +40,8 @@ FEATURES = "script string, language string, len_class int, ratio double, punct d
 _END = re.compile(r"[.!?…]+(?=[\s\"'”’»)\]]|$)|[。\uff01\uff1f।؟۔]|(?<=[ก-๛]) +(?=[ก-๛])")
 _LINK = re.compile(r"\[[^\]\n]*\]\([^)\s]+\)|\[url=[^\]\n]*\][^\[\n]*\[/url\]|<a\s[^>\n]*>[^<\n]*</a>|(?:https?://|www\.)\S+|\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}/\S*", re.I)
 _CHAIN = re.compile(r"[^\s»›>|/]\s[»›>]\s")
-_TAG = re.compile(r"(?<!\w)#\w+|\bSKU\b[\s:#-]*\S+|[$€£]\s?\d+(?:[.,]\d+)?|\b(?:XS|XL|XXL)\b|\b[SML] (?=[a-z])")
+#: One set of first characters, which lets the search skip all others.
+_TAG = re.compile(r"[#SXML$€£](?:(?<=#)(?<!\w#)\w+|(?<=S)(?<!\wS)KU\b[\s:#-]*\S+|(?<=[$€£])\s?\d+(?:[.,]\d+)?|(?<=X)(?<!\wX)(?:S|L|XL)\b|(?<=[SML])(?<!\w[SML]) (?=[a-z]))")
 _WORD = re.compile(r"[^\W_]+", re.UNICODE)
 _SCRIPTS = (("thai", "฀", "๿"), ("deva", "ऀ", "ॿ"), ("arab", "؀", "ۿ"), ("cyrl", "Ѐ", "ӿ"), ("cjk", "぀", "鿿"), ("hang", "가", "힣"), ("grek", "Ͱ", "Ͽ"), ("hebr", "֐", "׿"))
 
@@ -77,9 +78,9 @@ def page_features(text: str, tag: str | None = None) -> tuple:
     low = text.lower()
     bare, links = text, 0.0
     if "/" in text:
-        links = sum(map(len, _LINK.findall(text))) / n
-        bare = _LINK.sub("\x01", text)
-        low = _LINK.sub(" ", text).lower()
+        parts = _LINK.split(text)
+        links = (n - sum(map(len, parts))) / n
+        bare, low = "\x01".join(parts), " ".join(parts).lower()
     if "»" in text or "›" in text or " > " in text:
         links += len(_CHAIN.findall(text)) * 12 / n
     words = _WORD.findall(low)
@@ -87,19 +88,19 @@ def page_features(text: str, tag: str | None = None) -> tuple:
     bare, marks = _TAG.subn("\x02", bare)
     least = 4 if script in ("latn", "cyrl", "grek") else 2
     top, most = "", 0
-    for w, k in Counter(words).most_common():
-        if len(w) >= least and not w.isdigit():
-            top, most = w, k - 1  # repetitions
-            break
+    for w, k in Counter(words).items():  # the first of the most frequent
+        if k > most and len(w) >= least and not w.isdigit():
+            top, most = w, k
+    most = max(0, most - 1)  # repetitions
     # links and tags count as one mark each: they are redundant however they are spelt
     ratio = block_ratio(bare, len(text.encode("utf-8", "surrogatepass")))
     ends = informing = at = 0
     turning = most >= TURNING * total
     for m in _END.finditer(low):
         ends += 1
-        sentence = low[at : m.start()]
+        stop = m.start()
+        informing += stop - at >= LEAST_SENTENCE and not (turning and low.find(top, at, stop) >= 0)
         at = m.end()
-        informing += len(sentence) >= LEAST_SENTENCE and not (turning and top in sentence)
     own = (tag or "").strip().lower()[:2]
     return script, script + "-" + own if own.isalpha() else script, sum(n >= x for x in LENGTH_CLASSES), ratio, ends / n, informing / n, links, marks / total, most / total
 

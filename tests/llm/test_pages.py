@@ -193,3 +193,22 @@ def test_truncation_without_texts(spark):
     empty = pages(spark, [(None, None, None, None)]).where("text IS NOT NULL")
     own = truncation.Classifier(empty.select("text", "title", "publisher"))
     assert truncation.score_records(empty, ["case_id", "document_id"], own).count() == 0
+
+
+def test_tags_are_searched_by_their_first_character():
+    """The same tags as with a test of every branch at every place, in fewer seconds."""
+    import re
+    import time
+
+    plain = re.compile(r"(?<!\w)#\w+|\bSKU\b[\s:#-]*\S+|[$€£]\s?\d+(?:[.,]\d+)?|\b(?:XS|XL|XXL)\b|\b[SML] (?=[a-z])")
+    text = "#a b#c ##d SKU: 12 xSKU 1 SKUs SKU#-9 $5 $ 5.50 $x €7,2 XS XXL XL-1 aXL XLs S cotton S Cotton MS m L a#S b L  x _S y é#t XXS"
+    rng = random.Random(5)
+    texts = [text, *("".join(rng.choices("#SKUXML$€ a1:_é-.,\n", k=60)) for _ in range(3000))]
+    assert all(stuffing._TAG.findall(t) == plain.findall(t) and stuffing._TAG.subn("|", t) == plain.subn("|", t) for t in texts)
+    took = []
+    for pattern in (stuffing._TAG, plain):
+        began = time.process_time()
+        for _ in range(5):
+            pattern.subn("|", "words of a usual page without any mark " * 5000)
+        took.append(time.process_time() - began)
+    assert took[0] < 0.7 * took[1]
