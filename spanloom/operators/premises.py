@@ -8,24 +8,28 @@ Defined results: null and empty documents give no premises; a document that come
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import facts
 from spanloom.functions.text import identity_tokens, symbol_tokens, utf16_length
+from spanloom.operators.prepare import once
 from spanloom.operators.rules import BEFORE_COPULA, _COUNT, attribute_profile, superlative
 
 # Limits of lines, list items, operands and context, and what is no row of a table.
 LINE_CHARS, MOST_ITEMS, MOST_OPERANDS, CONTEXT_CHARS, SHOWN_CHARS = 500, 4, 8, 5000, 240
 NO_ROW = r"(?i)^(?:capital city|total|all capitals|regional|---)"
 AMOUNT = r"[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+(?:\.[0-9]+)?"
+BLANKS, _DIGIT, _LETTER = " \t\n\x0b\f\r", re.compile("[0-9]"), re.compile("[A-Za-z]")
 COLUMNS = ["case_id", "premise_id", "document_id", "kind", "text", "start_u16", "end_u16", "digest"]
 
 
 def _once(documents: DataFrame) -> DataFrame:
-    return documents.where("text <> ''").groupBy("case_id", "document_id").agg(F.first("text").alias("body"))
+    return once(documents.select("case_id", "document_id", "text"), ["case_id", "document_id"], "text = ''").withColumnRenamed("text", "body")
 
 
 def _placed(rows: DataFrame, begin: Column, end: Column) -> DataFrame:
@@ -47,23 +51,43 @@ def list_premises(documents: DataFrame) -> DataFrame:
     """The certificates of complete lists and their items, at their places."""
     rows = _once(documents).select("case_id", "document_id", "body", F.explode(facts.lists_in(F.col("body"))).alias("l"))
     rows = rows.withColumn("list", F.concat(F.lit("list:"), "document_id", F.when(F.col("l.kind") == "counted", ":counted-").otherwise(":"), F.col("l.no").cast("string")))
-    whole = _placed(rows, F.col("l.begin"), F.col("l.end")).select("case_id", F.concat("list", F.lit(":certificate")).alias("premise_id"), "document_id", F.lit("LIST_CERTIFICATE").alias("kind"), F.col("l.text").alias("text"), "start_u16", "end_u16", F.col("l.digest").alias("digest"))
-    items = rows.select("case_id", "document_id", "body", "list", F.col("l.digest").alias("digest"), F.posexplode("l.placed").alias("i", "p"))
-    items = _placed(items, F.col("p.begin"), F.col("p.end")).select("case_id", F.concat("list", F.lit(":item:"), (F.col("i") + 1).cast("string")).alias("premise_id"), "document_id", F.lit("LIST_ITEM").alias("kind"), F.col("p.name").alias("text"), "start_u16", "end_u16", "digest")
-    return whole.unionByName(items)
+    # the list itself, then its items, so that every document is read once
+    whole = F.struct(F.col("l.text").alias("name"), F.col("l.begin").alias("begin"), F.col("l.end").alias("end"))
+    rows = rows.select("case_id", "document_id", "body", "list", F.col("l.digest").alias("digest"), F.posexplode(F.concat(F.array(whole), "l.placed")).alias("i", "p"))
+    item = F.col("i") > 0
+    name, kind = F.when(item, F.concat(F.lit(":item:"), F.col("i").cast("string"))).otherwise(":certificate"), F.when(item, "LIST_ITEM").otherwise("LIST_CERTIFICATE")
+    return _placed(rows, F.col("p.begin"), F.col("p.end")).select("case_id", F.concat("list", name).alias("premise_id"), "document_id", kind.alias("kind"), F.col("p.name").alias("text"), "start_u16", "end_u16", "digest")
 
 
 def line_operands(documents: DataFrame) -> DataFrame:
     """Short lines with a digit and a letter, as rows of operands; numbered among a document's short lines."""
-    rows = _once(documents).select("case_id", "document_id", F.posexplode(F.split("body", "\n")).alias("n", "line"))
-    order = Window.partitionBy("case_id", "document_id").orderBy("n")
-    rows = rows.withColumn("begin", F.coalesce(F.sum(utf16_length(F.col("line")) + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int"))
-    short = F.length("line").between(1, LINE_CHARS)
-    rows = rows.withColumn("no", F.sum(short.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))).where(short)
-    value = F.regexp_replace("line", r"^\s+|\s+$", "")
-    lead = F.length("line") - F.length(F.regexp_replace("line", r"^\s+", ""))  # blanks are one code unit each
-    rows = rows.withColumn("text", value).where(F.col("text").rlike("[0-9]") & F.col("text").rlike("[A-Za-z]")).withColumn("start_u16", (F.col("begin") + lead).cast("int"))
-    return rows.select("case_id", F.concat(F.lit("operand:"), "document_id", F.lit(":line:"), F.col("no").cast("string")).alias("premise_id"), "document_id", F.lit("OPERAND").alias("kind"), "text", "start_u16", (F.col("start_u16") + utf16_length(F.col("text"))).cast("int").alias("end_u16"), F.lit(None).cast("string").alias("digest"))
+    rows = _once(documents).select("case_id", "document_id", F.explode(_lines_of(F.col("body"))).alias("l"))
+    return rows.select("case_id", F.concat(F.lit("operand:"), "document_id", F.lit(":line:"), F.col("l.no").cast("string")).alias("premise_id"), "document_id", F.lit("OPERAND").alias("kind"), "l.text", "l.start_u16", "l.end_u16", F.lit(None).cast("string").alias("digest"))
+
+
+def _numbered_lines(body: str) -> list[dict]:
+    """The lines of ``line_operands`` in one walk."""
+    out, begin, no = [], 0, 0
+    for line in body.split("\n"):
+        if 1 <= len(line) <= LINE_CHARS:
+            no += 1
+            if _DIGIT.search(line) and _LETTER.search(line):
+                text = line.strip(BLANKS)
+                start = begin + len(line) - len(line.lstrip(BLANKS))  # blanks are one code unit each
+                out.append({"no": no, "text": text, "start_u16": start, "end_u16": start + _units(text)})
+        begin += _units(line) + 1
+    return out
+
+
+def _units(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode("utf-16-le", "surrogatepass")) // 2
+
+
+def _lines_of(text: Column) -> Column:
+    def column(texts: pd.Series) -> pd.Series:
+        return pd.Series([_numbered_lines(t) if t else [] for t in texts])
+
+    return F.pandas_udf(column, "array<struct<no:int,text:string,start_u16:int,end_u16:int>>")(text)
 
 
 def context_premises(atoms: DataFrame, spans: DataFrame, documents: DataFrame) -> DataFrame:

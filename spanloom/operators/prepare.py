@@ -2,9 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.session import materialize
+
+
+def once(df: DataFrame, keys: list[str], drop: str = "false") -> DataFrame:
+    """One row per key, without rows that ``drop`` holds for. Only keys and the rows of repeated ones are moved: texts whose key comes once stay where they are read."""
+    repeated = df.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").select(*[F.col(k).alias(f"_{k}") for k in keys])
+    repeated = materialize(repeated, "repeated-keys")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    kept = df.where(f"NOT ({drop})")
+    return kept.join(repeated, same, "left_anti").unionByName(kept.join(repeated, same, "left_semi").dropDuplicates(keys))
+
 
 def first_rows(df: DataFrame, key: str, order: list[Column], most: int, least: int = 1) -> DataFrame:
     """The first ``most`` rows per key, for keys with ``least`` at least. A key with very many rows sends only its first ones on."""

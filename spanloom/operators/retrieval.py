@@ -37,8 +37,11 @@ def bm25_matches(base: DataFrame, queries: DataFrame, case: str, passage_keys: l
     combines before it shuffles, so no case is too large for a task."""
     keys = [case, *passage_keys]
     stats = base.groupBy(case).agg(F.count("*").alias("n_passages"), F.avg("n_tokens").alias("avg_len"))
-    asked = queries.select(case, query_key, F.col(query_text).rlike(LIST_QUERY).alias("asks_list"), F.explode(F.array_distinct(lexical_tokens(F.col(query_text)))).alias("term"))
-    tf = base.select(*keys, "n_tokens", "listed", F.explode("_tokens").alias("term")).join(asked.select(case, "term").distinct(), [case, "term"], "left_semi").groupBy(*keys, "n_tokens", "listed", "term").agg(F.count("*").alias("tf"))
+    asked = materialize(queries.select(case, query_key, F.col(query_text).rlike(LIST_QUERY).alias("asks_list"), F.explode(F.array_distinct(lexical_tokens(F.col(query_text)))).alias("term")), "query-terms")
+    # passages meet the terms of their case as they are, and only terms that are asked for become rows
+    met = base.select(*keys, "n_tokens", "listed", "_tokens").join(asked.groupBy(case).agg(F.collect_set("term").alias("_asked")), case)
+    met = met.select(*keys, "n_tokens", "listed", "_tokens", F.explode(F.array_intersect("_tokens", "_asked")).alias("term"))
+    tf = met.select(*keys, "n_tokens", "listed", "term", F.size(F.filter("_tokens", lambda t: t == F.col("term"))).alias("n")).groupBy(*keys, "n_tokens", "listed", "term").agg(F.sum("n").alias("tf"))
     df = tf.groupBy(case, "term").agg(F.count("*").alias("df"))
     tf = tf.join(df, [case, "term"]).join(stats, case)
     idf = F.log(1 + (F.col("n_passages") - F.col("df") + 0.5) / (F.col("df") + 0.5))

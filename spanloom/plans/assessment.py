@@ -101,13 +101,13 @@ def extremum_operands(spark: SparkSession, d: str) -> DataFrame:
 
 def _candidates(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Candidates, and all premises that they may use: retrieved evidence, lists and lines."""
-    from spanloom.plans.retrieval import lexical_topk, passages
+    from spanloom.plans.retrieval import evidence as ranked
 
-    documents = _documents(spark, d)
+    documents = table(spark, d, "case_documents").select("case_id", "document_id", "text")
     lists, lines = materialize(premises.list_premises(documents), "list-premises"), materialize(premises.line_operands(documents), "line-operands")
     key = F.concat_ws(":", F.lit("evidence"), "atom_id", "document_id", F.col("ordinal").cast("string")).alias("premise_id")
-    top = materialize(lexical_topk(spark, d), "evidence")
-    evidence = top.join(passages(spark, d), ["case_id", "document_id", "ordinal"]).select("case_id", key, "document_id", F.lit("EVIDENCE").alias("kind"), F.trim("sentence").alias("text"), F.lit(None).cast("string").alias("digest"))
+    top = ranked(spark, d)
+    evidence = top.select("case_id", key, "document_id", F.lit("EVIDENCE").alias("kind"), F.trim("sentence").alias("text"), F.lit(None).cast("string").alias("digest"))
     found = premises.build_candidates(_atoms(spark, d), top.select(*KEYS, key, F.col("rank").alias("place")), lists, lines)
     known = [x.select("case_id", "premise_id", "document_id", "kind", "text", "digest") for x in (evidence, lists, lines)]
     return materialize(found, "candidates"), known[0].unionByName(known[1]).unionByName(known[2])

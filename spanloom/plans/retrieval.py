@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
 from spanloom.operators import retrieval as R
+from spanloom.operators.prepare import once
 from spanloom.plans.text import LIKE_SQL, canonical_sql, token_sql
 from spanloom.session import materialize
 from spanloom.sources.tables import table
@@ -16,7 +17,7 @@ BUDGET = 6
 
 def passages(spark: SparkSession, d: str) -> DataFrame:
     """``case_id, document_id, ordinal, sentence``: the candidates of every case."""
-    documents = table(spark, d, "case_documents").select("case_id", "document_id", "text").dropDuplicates(["case_id", "document_id"])
+    documents = once(table(spark, d, "case_documents").select("case_id", "document_id", "text"), ["case_id", "document_id"])
     return T.sentences(documents, ["case_id", "document_id"]).where(T.eligible(F.col("sentence"))).select("case_id", "document_id", "ordinal", "sentence")
 
 
@@ -56,7 +57,7 @@ def evidence(spark: SparkSession, d: str) -> DataFrame:
     """``lexical_topk`` with the sentences. Documents meet the places of their chosen sentences, so that no other sentence is moved."""
     top = materialize(lexical_topk(spark, d), "evidence")
     places = top.groupBy("case_id", "document_id").agg(F.collect_set("ordinal").alias("places"))  # of a document's sentences
-    documents = table(spark, d, "case_documents").select("case_id", "document_id", "text").dropDuplicates(["case_id", "document_id"]).join(places, ["case_id", "document_id"])
+    documents = once(table(spark, d, "case_documents").select("case_id", "document_id", "text"), ["case_id", "document_id"]).join(places, ["case_id", "document_id"])
     chosen = documents.select("case_id", "document_id", "places", F.posexplode(F.regexp_extract_all("text", F.lit(T.SENTENCE), F.lit(0))).alias("ordinal", "sentence")).where(F.array_contains("places", F.col("ordinal")))
     return materialize(top.join(chosen.drop("places"), ["case_id", "document_id", "ordinal"]), "evidence-sentences")
 

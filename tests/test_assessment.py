@@ -212,3 +212,13 @@ def test_executions_on_numbers_of_any_length(spark):
     known = spark.createDataFrame([("c", "e", "d", "EVIDENCE", f"Bay has {'7' * 600} boats.", None)], "case_id string, premise_id string, document_id string, kind string, text string, digest string")
     out = reasoning.execute(atoms, candidates, known)
     assert [(r["status"], r["relation"]) for r in out.collect()] == [("PROVED", "SUPPORTS")]
+
+
+def test_texts_that_come_once_are_not_moved(spark):
+    rows = [("c", "d", "1 boat\n\n 🚨 2 boats "), ("c", "e", "x"), ("c", "e", "x"), ("c", "f", ""), ("c", "f", "3 boats"), (None, "g", "a 4"), (None, "g", "a 4"), ("c", "h", None)]
+    documents = spark.createDataFrame(rows, "case_id string, document_id string, text string")
+    found = premises.line_operands(documents)
+    got = sorted((r["document_id"], r["premise_id"], r["text"], r["start_u16"], r["end_u16"]) for r in found.collect())
+    assert got == [("d", "operand:d:line:1", "1 boat", 0, 6), ("d", "operand:d:line:2", "🚨 2 boats", 9, 19), ("f", "operand:f:line:1", "3 boats", 0, 7), ("g", "operand:g:line:1", "a 4", 0, 3)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("Aggregate") == 1  # of repeated documents
