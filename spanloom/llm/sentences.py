@@ -32,8 +32,8 @@ ABBREVIATION_SCORE, TOKEN_SHARE, LEAST_COUNT = 0.3, 500_000, 3
 STARTER_LEAST = 5
 #: Log-likelihood at which a word is a sentence starter, or bound to the word before a period.
 STARTER_SCORE, COLLOCATION_SCORE = 30, 7.88
-#: So many of a language's most frequent words tell it, seen in so many characters of a text.
-COMMON_WORDS, TELLING_CHARS = 40, 400
+#: So many of a language's most frequent words tell it.
+COMMON_WORDS = 40
 #: Stands for numbers of one or two digits before a period.
 NUMBER = "0"
 FLUSH_TOKENS = 200_000
@@ -73,11 +73,12 @@ class Statistics:
         self.common: dict[str, tuple[str, ...]] = {}
 
     def of(self, text: str, tag: str | None) -> Statistics:
-        """The statistics of a text's language; tags are often missing or wrong, so the text's own words count more."""
+        """The statistics of a text's language; tags are often missing or wrong, so the text's own words count more: all of them, as a beginning may be a title, a menu or a quotation."""
         lang, seen = language_of(tag), Counter()
-        for w in _TOKEN.findall(text[:TELLING_CHARS]):
-            for x in self.common.get(w, ()):
-                seen[x] += 1
+        words = Counter(_TOKEN.findall(text))
+        for w in words.keys() & self.common.keys():
+            for x in self.common[w]:
+                seen[x] += words[w]
         if seen:
             most = max(seen.values())
             if most >= seen[lang] + 3:

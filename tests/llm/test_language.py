@@ -138,3 +138,11 @@ def test_statistics_are_kept_per_language_with_collocations(spark):
     assert cut("Die Stadt und die Maut bis Montag, 3. Oktober und so.", "de") == ["Die Stadt und die Maut bis Montag, 3. Oktober und so."]
     assert ("ft", "Hessel") in own.languages["en"].collocations
     assert sentences._association(10, 10, 1, 100) == 0 and sentences._association(10, 10, 9, 1000) > sentences.COLLOCATION_SCORE
+
+
+def test_all_of_a_text_tells_its_language():
+    own = {x: sentences.Statistics(frozenset({x})) for x in ("en", "de")}
+    stats = sentences.Statistics()
+    stats.languages, stats.common = own, {"the": ("en",), "of": ("en",), "und": ("de",), "die": ("de",)}
+    text = "the list of the names of " * 20 + "die Stadt und die Leute und die Stadt " * 100
+    assert stats.of(text, None) is own["de"] and stats.of(text, "en") is own["de"] and stats.of("the town of the", None) is own["en"]
