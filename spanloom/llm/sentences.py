@@ -21,7 +21,6 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,15 +36,22 @@ COMMON_WORDS = 40
 #: Stands for numbers of one or two digits before a period.
 NUMBER = "0"
 FLUSH_TOKENS = 200_000
+#: So many pieces between spaces are kept with what they say of the language, each of at most so many characters.
+KEPT_PIECES, PIECE_CHARS = 200_000, 40
+#: Texts with longer pieces than this on average (without spaces between words) are counted by token at once.
+MEAN_PIECE = 20
 
 _BREAK = re.compile(r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]")
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*\.?")
-_START = re.compile(r"(?:^[ \t ]*|[!?]\s+)[“\"«„¿¡(]*([^\W\d_]+)", re.M)
+#: Of a text with a line break put before it.
+_START = re.compile(r"(?:\n[ \t ]*|!\s+|\?\s+)[“\"«„¿¡(]*([^\W\d_]+)")
 _DOT = re.compile(r"\.(?=\s+[“\"«„(]*([^\W_]+)|([,;:)\]])|\s*$)", re.M)
 _THAI = "ก-๛"
 _CLOSERS = "\"'”’»›)\\]」』)】〉》"
-#: A terminator with what closes after it; French marks stand apart.
-_END = re.compile(rf"[.!?…。\uff01\uff1f\uff0e\uff61।॥؟۔]+(?:[{_CLOSERS}]|“(?=[\s,;:.)]|$)|[   ](?=»)»|[   ](?:»))*")
+#: A terminator with what closes after it; French marks stand apart. Periods that text goes on after in small letters or digits end nothing and are passed over; each mark stands by itself, as
+#: alternatives of single characters are searched for faster.
+_LOWER = "a-zß-öø-ÿа-яё"
+_END = re.compile(rf"(?:\.(?![0-9{_LOWER}]| [{_LOWER}][{_LOWER} ,;:.'’-])|!|\?|…|。|\uff01|\uff1f|\uff0e|\uff61|।|॥|؟|۔)[.!?…。\uff01\uff1f\uff0e\uff61।॥؟۔]*(?:[{_CLOSERS}]|“(?=[\s,;:.)]|$)|[   ](?=»)»|[   ](?:»))*")
 _THAI_LETTER = re.compile(f"[{_THAI}]")
 _HAS_END = re.compile(r"[.!?…。\uff01\uff1f\uff0e\uff61।॥؟۔]")
 _THAI_SPACE = re.compile(rf"(?<=[{_THAI}0-9”\"])[  ]+(?=[{_THAI}“\"])")
@@ -61,6 +67,26 @@ _CJK = re.compile(r"[぀-ヿ一-鿿]")
 _URLISH = re.compile(r"://|www\.|@|\w\.\w{2,}/|/\w+\.\w", re.I)
 
 
+class Votes(dict):
+    """The languages that the words of a piece between spaces are frequent in, each as a character; no word goes over a space."""
+
+    def __init__(self, common: dict[str, tuple[str, ...]]) -> None:
+        super().__init__()
+        self.common = common
+        self.signs = {x: chr(k) for k, x in enumerate(sorted({x for langs in common.values() for x in langs}))}
+
+    def __missing__(self, piece: str) -> str:
+        said = "".join(self.signs[x] for w in _TOKEN.findall(piece) for x in self.common.get(w, ()))
+        if len(piece) <= PIECE_CHARS:
+            if len(self) >= KEPT_PIECES:
+                self.clear()
+            self[piece] = said
+        return said
+
+    def __reduce__(self) -> tuple:  # what is kept stays with its worker
+        return Votes, (self.common,)
+
+
 class Statistics:
     """What a corpus taught: abbreviations, those that may end a sentence, sentence starters, Thai ends and beginnings, and collocations
     over a period. ``languages`` has the same for each language, with its abbreviations known from others alone in
@@ -71,17 +97,18 @@ class Statistics:
         self.foreign: frozenset[str] = frozenset()
         self.languages: dict[str, Statistics] = {}
         self.common: dict[str, tuple[str, ...]] = {}
+        self.votes = Votes(self.common)
 
     def of(self, text: str, tag: str | None) -> Statistics:
         """The statistics of a text's language; tags are often missing or wrong, so the text's own words count more: all of them, as a beginning may be a title, a menu or a quotation."""
-        lang, seen = language_of(tag), Counter()
-        words = Counter(_TOKEN.findall(text))
-        for w in words.keys() & self.common.keys():
-            for x in self.common[w]:
-                seen[x] += words[w]
-        if seen:
+        lang = language_of(tag)
+        if self.votes.common is not self.common:
+            self.votes = Votes(self.common)
+        said = "".join(map(self.votes.__getitem__, text.split()))
+        if said:
+            seen = {x: said.count(sign) for x, sign in self.votes.signs.items()}
             most = max(seen.values())
-            if most >= seen[lang] + 3:
+            if most >= seen.get(lang, 0) + 3:
                 lang = min(x for x, n in seen.items() if n == most)
         return self.languages.get(lang, self)
 
@@ -97,51 +124,77 @@ def count_tokens(documents: DataFrame, text_col: str = "text", lang_col: str = "
     """``kind, lang, a, b, n``. Kinds: 0 tokens, with or without period; 1 words at sure beginnings; 2 what follows short words with
     a period (or NUMBER): the next word, or its class; 3, 4 first and last characters of Thai clauses. Partial counts leave a worker, not tokens."""
 
-    def scan(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens, begins, follows, thai = defaultdict(Counter), defaultdict(Counter), defaultdict(Counter), Counter()
-        for pdf in pdfs:
-            for text, tag in zip(pdf["t"], pdf["l"]):
-                lang = language_of(tag)
-                tokens[lang].update(_TOKEN.findall(text))
-                begins[lang].update(_START.findall(text))
-                if "." in text:
-                    follows[lang].update(dotted_words(text))
-                if not text.isascii() and _THAI_LETTER.search(text):
-                    for line in _BREAK.split(text):
-                        for clause in _THAI_SPACE.split(line.strip()):
-                            if len(clause) > 3 * THAI_GRAM and "ก" <= clause[0] <= "๛":
-                                thai[3, clause[:THAI_GRAM]] += 1
-                                thai[4, clause[-THAI_GRAM:]] += 1
-            if sum(map(len, tokens.values())) + sum(map(len, follows.values())) > FLUSH_TOKENS:
-                yield _rows(tokens, begins, follows, thai)
-                tokens, begins, follows, thai = defaultdict(Counter), defaultdict(Counter), defaultdict(Counter), Counter()
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces, tokens, begins, follows, thai = defaultdict(Counter), defaultdict(Counter), defaultdict(Counter), defaultdict(Counter), Counter()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                for text, tag in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    lang = language_of(tag)
+                    own = text.split()
+                    if len(own) * MEAN_PIECE >= len(text):
+                        pieces[lang].update(own)
+                    else:
+                        tokens[lang].update(_TOKEN.findall(text))
+                    begins[lang].update(_START.findall("\n" + text))
+                    if "." in text:
+                        follows[lang].update(dotted_words(text))
+                    if not text.isascii() and _THAI_LETTER.search(text):
+                        for line in _BREAK.split(text):
+                            for clause in _THAI_SPACE.split(line.strip()):
+                                if len(clause) > 3 * THAI_GRAM and "ก" <= clause[0] <= "๛":
+                                    thai[3, clause[:THAI_GRAM]] += 1
+                                    thai[4, clause[-THAI_GRAM:]] += 1
+                if sum(map(len, pieces.values())) > FLUSH_TOKENS:
+                    _count_pieces(pieces, tokens)
+                if sum(map(len, tokens.values())) + sum(map(len, follows.values())) > FLUSH_TOKENS:
+                    _count_pieces(pieces, tokens)
+                    yield _rows(tokens, begins, follows, thai)
+                    tokens, begins, follows, thai = defaultdict(Counter), defaultdict(Counter), defaultdict(Counter), Counter()
+        _count_pieces(pieces, tokens)
         yield _rows(tokens, begins, follows, thai)
 
-    rows = documents.select(F.col(text_col).cast("string").alias("t"), F.col(lang_col).alias("l")).where("t IS NOT NULL")
-    return rows.mapInPandas(scan, "kind int, lang string, a string, b string, n bigint").groupBy("kind", "lang", "a", "b").agg(F.sum("n").alias("n"))
+    rows = documents.select(F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l")).where("t IS NOT NULL")
+    return rows.mapInArrow(scan, "kind int, lang string, a string, b string, n bigint").groupBy("kind", "lang", "a", "b").agg(F.sum("n").alias("n"))
+
+
+def _count_pieces(pieces: dict[str, Counter], tokens: dict[str, Counter]) -> None:
+    """Count the tokens of pieces between spaces, each different piece once; ``pieces`` is empty after."""
+    for lang, counted in pieces.items():
+        own = tokens[lang]
+        for piece, n in counted.items():
+            for w in _TOKEN.findall(piece):
+                own[w] += n
+    pieces.clear()
 
 
 def dotted_words(text: str) -> Iterator[tuple[str, str, str]]:
     """Words of at most ABBREVIATION_CHARS letters, and NUMBER, before periods, each with the word or mark after the period."""
     for m in _DOT.finditer(text):
-        at = begin = m.start()
+        at = m.start()
         if text[at - 1 : at].isdigit():
             begin = at - 2 if text[at - 2 : at - 1].isdigit() else at - 1
             if m.group(1) and begin > 0 and text[begin - 1] in " (":  # not the marker of a line
                 yield NUMBER, m.group(1), ""
             continue
-        while begin and at - begin <= ABBREVIATION_CHARS and text[begin - 1].isalpha():
-            begin -= 1
-        if 0 < at - begin <= ABBREVIATION_CHARS:
-            yield text[begin:at], m.group(1) or "", m.group(2) or ""
-
-
-def _rows(tokens: dict[str, Counter], begins: dict[str, Counter], follows: dict[str, Counter], thai: Counter) -> pd.DataFrame:
+        word = text[max(0, at - ABBREVIATION_CHARS - 1) : at]
+        word = word[word.rfind(" ") + 1 :]
+        if not word.isalpha():
+            begin = len(word)
+            while begin and word[begin - 1].isalpha():
+                begin -= 1
+            word = word[begin:]
+        if 0 < len(word) <= ABBREVIATION_CHARS:
+            yield word, m.group(1) or "", m.group(2) or ""
+
+
+def _rows(tokens: dict[str, Counter], begins: dict[str, Counter], follows: dict[str, Counter], thai: Counter) -> pa.RecordBatch:
     out = [(0, lang, w, "", n) for lang, c in tokens.items() for w, n in c.items()]
     out += [(1, lang, w, "", n) for lang, c in begins.items() for w, n in c.items()]
     out += [(2, lang, w, word or mark or "$", n) for lang, c in follows.items() for (w, word, mark), n in c.items()]
     out += [(kind, "th", w, "", n) for (kind, w), n in thai.items()]
-    return pd.DataFrame(out, columns=["kind", "lang", "a", "b", "n"]).astype({"kind": "int32"})
+    columns = zip(*out) if out else [()] * 5
+    return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, (pa.int32(), pa.string(), pa.string(), pa.string(), pa.int64()))], names=["kind", "lang", "a", "b", "n"])
 
 
 def _log_likelihood(a: float, b: float, ab: float, n: float) -> float:
@@ -309,9 +362,10 @@ def _thai_breaks(line: str, stats: Statistics) -> list[int]:
 def split_line(line: str, stats: Statistics) -> list[int]:
     """Offsets in ``line`` at which a new unit begins, beside its own beginning."""
     cuts: list[int] = []
-    if _THAI_LETTER.search(line) and sum("ก" <= c <= "๛" for c in line) * 3 > len(line):
+    if not line.isascii() and _THAI_LETTER.search(line) and sum("ก" <= c <= "๛" for c in line) * 3 > len(line):
         cuts = _thai_breaks(line, stats)
-    spans = _enclosed(line) if _MARKS.search(line) else []
+    marked = "(" in line or '"' in line or "[" in line if line.isascii() else _MARKS.search(line)
+    spans = _enclosed(line) if marked else []
     start, n = 0, len(line)
     marker = _MARKER.match(line)
     k = 0
@@ -339,6 +393,16 @@ def split_line(line: str, stats: Statistics) -> list[int]:
 def _begins_new(line: str, at: int, end: int, start: int, quote: tuple[int, int] | None, stats: Statistics) -> bool:
     """Whether a unit ends with the mark at ``line[at:end]``, which is not inside an enclosure unless it closes it (``quote``)."""
     mark, following = line[at], line[end]
+    if mark == "." and following == " " and end == at + 1:  # most marks: a word or number, a period, a space and a capital or digit
+        head, token = line[end + 1 : end + 2], line[line.rfind(" ", 0, at) + 1 : at]
+        if 1 < len(token) <= 40 and ("0" <= head <= "9" or head.isupper() and head.isalpha()):
+            if token.isalpha():
+                short = token.lower()
+                if quote or short not in stats.abbreviations:
+                    return True
+                return _after_abbreviation(short, _WORD_AFTER.match(line, end).group(1), head, head, stats)
+            if len(token) > 2 and token.isdigit():
+                return True
     spaced = following.isspace()
     after = _WORD_AFTER.match(line, end)
     word = after.group(1) if after else ""
@@ -414,16 +478,21 @@ def _begins_new(line: str, at: int, end: int, start: int, quote: tuple[int, int]
             return prior[-1:].isdigit() and word in stats.starters
         return False
     if short in stats.abbreviations or whole in stats.abbreviations:
-        if head.isdigit() or not word:
-            return first in "“«„¿¡" and short in stats.final
-        if (short, word) in stats.collocations:
-            return False
-        if short in stats.final:
-            return head.isupper() and word.lower() not in stats.final
-        return short in stats.foreign and word in stats.starters
+        return _after_abbreviation(short, word, head, first, stats)
     return True
 
 
+def _after_abbreviation(short: str, word: str, head: str, first: str, stats: Statistics) -> bool:
+    """Whether a unit ends with the abbreviation ``short`` before ``word``; ``first`` is what follows the space, marks included."""
+    if head.isdigit() or not word:
+        return first in "“«„¿¡" and short in stats.final
+    if (short, word) in stats.collocations:
+        return False
+    if short in stats.final:
+        return head.isupper() and word.lower() not in stats.final
+    return short in stats.foreign and word in stats.starters
+
+
 def units(text: str | None, stats: Statistics, tag: str | None = None) -> tuple[array, array]:
     """Starts and ends of a text's units, in code points, by the statistics of its language."""
     starts, ends = array("i"), array("i")
@@ -432,14 +501,12 @@ def units(text: str | None, stats: Statistics, tag: str | None = None) -> tuple[
     if stats.languages and "." in text:
         stats = stats.of(text, tag)
     at = 0
-    for m in [*_BREAK.finditer(text), None]:
-        stop = m.start() if m else len(text)
-        line = text[at:stop]
+    for line in text.splitlines(keepends=True):  # at the breaks of _BREAK
         body = line.strip()
         if body:
-            a = at + len(line) - len(line.lstrip())
+            a = at + len(line) - len(line.lstrip()) if line[0].isspace() else at
             b = a + len(body)
-            cuts = split_line(body, stats) if len(body) > 3 and (_HAS_END.search(body, 0, len(body) - 1) or "ก" <= max(body) and _THAI_SPACE.search(body) or stats.thai_begin and "ก" <= body[0] <= "๛") else ()
+            cuts = split_line(body, stats) if len(body) > 3 and (body.find(".", 0, -1) >= 0 or _HAS_END.search(body, 0, len(body) - 1) or not body.isascii() and "ก" <= max(body) and _THAI_SPACE.search(body) or stats.thai_begin and "ก" <= body[0] <= "๛") else ()
             begin = a
             for c in cuts:
                 end = a + c
@@ -452,7 +519,7 @@ def units(text: str | None, stats: Statistics, tag: str | None = None) -> tuple[
             if b > begin:
                 starts.append(begin)
                 ends.append(b)
-        at = m.end() if m else stop
+        at += len(line)
     return starts, ends
 
 

@@ -1,4 +1,6 @@
 import random
+import re
+from collections import Counter
 
 import pytest
 
@@ -146,3 +148,48 @@ def test_all_of_a_text_tells_its_language():
     stats.languages, stats.common = own, {"the": ("en",), "of": ("en",), "und": ("de",), "die": ("de",)}
     text = "the list of the names of " * 20 + "die Stadt und die Leute und die Stadt " * 100
     assert stats.of(text, None) is own["de"] and stats.of(text, "en") is own["de"] and stats.of("the town of the", None) is own["en"]
+
+
+def test_each_piece_is_read_once_and_periods_inside_clauses_never(monkeypatch):
+    read, token = [], sentences._TOKEN
+
+    class Reader:
+        def findall(self, text):
+            read.append(text)
+            return token.findall(text)
+
+    monkeypatch.setattr(sentences, "_TOKEN", Reader())
+    stats = sentences.Statistics()
+    stats.languages, stats.common = {x: sentences.Statistics(frozenset({x})) for x in ("en", "de")}, {"the": ("en",), "die": ("de",), "in": ("de", "en")}
+    for _ in range(3):
+        assert stats.of("the town (the mill) in the fog, " * 50, "de") is stats.languages["en"]
+    assert sorted(read) == sorted({"the", "town", "(the", "mill)", "in", "fog,"})
+    asked, decide = [], sentences._begins_new
+    monkeypatch.setattr(sentences, "_begins_new", lambda line, at, *more: asked.append(at) or decide(line, at, *more))
+    text = "It rose by 3.5 points, approx. twice, at a.b in Köln, i.e. über das ganze Land. It fell."
+    a, b = sentences.units(text, stats)
+    assert [text[x:y] for x, y in zip(a, b)] == [text[:-9], "It fell."] and asked == [text.index(". It")]
+
+
+def test_language_and_counts_are_those_of_all_tokens(spark):
+    rng = random.Random(11)
+    common = {"the": ("en",), "l'eau": ("fr",), "de": ("es", "fr"), "la": ("es", "fr"), "und": ("de",)}
+    stats = sentences.Statistics()
+    stats.languages, stats.common = {x: sentences.Statistics(frozenset({x})) for x in ("de", "en", "es", "fr")}, common
+    parts = ["the", "The", "(the", "the—the,", "l'eau", "l’eau", "de", "de.", "la", "und/und", "3und", "Dr.", "e.g.", "水务管理局称医院合并涉及户家庭", "\x1f", "\xa0", "\n", "la!\n«La", "? Und", "x" * 60, "approximately. So", "abcdefgh. On", "5. Mai", "(12. Mai"]
+    rows = []
+    for i in range(300):
+        text = rng.choice(["", " "]).join(rng.choice(parts) for _ in range(rng.randrange(30)))
+        tag = rng.choice(["en", "fr-CA", None, "zz"])
+        seen = Counter(x for w in sentences._TOKEN.findall(text) for x in common.get(w, ()))
+        lang = sentences.language_of(tag)
+        if seen and max(seen.values()) >= seen[lang] + 3:
+            lang = min(x for x, n in seen.items() if n == max(seen.values()))
+        assert stats.of(text, tag) is stats.languages.get(lang, stats), text
+        rows.append((i, text, tag))
+    tokens = Counter((0, sentences.language_of(tag), w, "") for _, text, tag in rows for w in sentences._TOKEN.findall(text))
+    start = re.compile(r"(?:^[ \t\xa0]*|[!?]\s+)[“\"«„¿¡(]*([^\W\d_]+)", re.M)
+    tokens.update((1, sentences.language_of(tag), w, "") for _, text, tag in rows for w in start.findall(text))
+    got = sentences.count_tokens(spark.createDataFrame(rows, "doc_id int, text string, lang string")).where("kind < 2").collect()
+    assert {(r["kind"], r["lang"], r["a"], r["b"]): r["n"] for r in got} == tokens
+    assert [x[0] for x in sentences.dotted_words("abcdefgh. On approximately. So e.g. a (No. 5), (12. Mai 5. Mai\nabcd. x")] == ["abcdefgh", "g", "No", "0", "0", "abcd"]
