@@ -9,12 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.functions.text import LIST_PREFIX, LIST_QUERY, lexical_tokens
+from spanloom.functions.text import LIST_PREFIX, LIST_QUERY, MAX_SENTENCE, SENTENCE, eligible, lexical_tokens, shared_tokens
 from spanloom.session import materialize
 
 # Fixed values of the scoring function and of fusion.
 K1, B, LIST_BONUS, FUSION = 1.5, 0.75, 0.15, 60
 DIGITS = 9
+#: So many queries meet a document at once; a case with more of them has several such groups, and its documents meet each.
+AT_ONCE = 64
 
 
 def term_frequencies(passages: DataFrame, keys: list[str], text: str = "sentence") -> DataFrame:
@@ -63,6 +65,22 @@ def bm25(base: DataFrame, queries: DataFrame, case: str, passage_keys: list[str]
     return rows.select(case, *passage_keys, query_key, F.coalesce("score", F.lit(0.0)).alias("score"), *(extra or []))
 
 
+def sharing_sentences(documents: DataFrame, queries: DataFrame, case: str, document: str, query_keys: list[str], text: str = "text", query_text: str = "text") -> DataFrame:
+    """``case, query_keys, document, ordinal, sentence``: every eligible sentence with every query of its case that it shares a token with, however many there are.
+
+    Texts move once, to the queries of their case; there they are cut, and only sentences that share a token become rows."""
+    terms = queries.groupBy(case, *query_keys).agg(F.array_distinct(F.flatten(F.collect_list(lexical_tokens(F.col(query_text))))).alias("terms"))  # a key's texts: one
+    terms = materialize(terms, "query-terms")
+    groups = terms.groupBy(case).agg(F.ceil(F.count("*") / AT_ONCE).alias("_groups"))
+    asked = terms.join(groups, case).groupBy(case, F.pmod(F.xxhash64(*query_keys), "_groups").alias("_group")).agg(F.collect_list(F.struct(*query_keys, "terms")).alias("_asked"))
+    asked = asked.select(case, "_asked", F.array_distinct(F.flatten(F.transform("_asked", lambda q: q["terms"]))).alias("_all"))
+    shared = lambda s: F.when(F.length(s) <= MAX_SENTENCE, shared_tokens(s, F.col("_all")))
+    cut = F.transform(F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0)), lambda s, i: F.struct(i.alias("ordinal"), s.alias("sentence"), shared(s).alias("own")))
+    rows = documents.select(case, document, text).join(asked, case).select(case, document, "_asked", F.explode(F.filter(cut, lambda x: F.size(x["own"]) > 0)).alias("x"))
+    met = rows.where(eligible(F.col("x.sentence"))).select(case, document, "x", F.explode(F.filter("_asked", lambda q: F.arrays_overlap(q["terms"], F.col("x.own")))).alias("q"))
+    return met.select(case, *[F.col(f"q.{k}").alias(k) for k in query_keys], document, "x.ordinal", "x.sentence")
+
+
 def cosine(a: Column, b: Column) -> Column:
     """The dot product of vectors that are normalised, in double precision."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)

@@ -38,7 +38,8 @@ def numeric_compare(atoms: DataFrame, premises: DataFrame) -> DataFrame:
     """A claim's last number as a threshold, against the numbers of its premises in the same unit, of the same years, about the claim's first name."""
     claims = atoms.select(*KEYS, F.col("text").alias("claim"), facts.comparator_in(F.col("text")).alias("op"), facts.numbers_in(F.col("text")).alias("ns"), facts.years_in(F.col("text")).alias("ys"), facts.anchor_tokens_in(F.col("text")).alias("names"))
     claims = claims.withColumn("bound", F.when(F.size("ns") > 0, F.element_at("ns", -1)))
-    rows = premises.select(*KEYS, "premise_id", F.col("text").alias("evidence"), facts.numbers_in(F.col("text")).alias("es"), facts.years_in(F.col("text")).alias("eys"))
+    # premises without a number change nothing
+    rows = premises.where(F.col("text").rlike(r"[0-9]|[^\x00-\x7f]")).select(*KEYS, "premise_id", F.col("text").alias("evidence"), facts.numbers_in(F.col("text")).alias("es"), facts.years_in(F.col("text")).alias("eys"))
     met = claims.join(rows, KEYS, "left").withColumn("e", F.explode_outer("es"))
     fits = (F.col("e.unit") == F.col("bound.unit")) & ((F.size("ys") == 0) | (F.col("ys") == F.col("eys"))) & ((F.size("names") == 0) | F.arrays_overlap("names", symbol_tokens(F.col("evidence"))))
     met = met.withColumn("fits", F.coalesce(fits, F.lit(False))).withColumn("shared", F.coalesce(F.arrays_overlap(_terms(F.col("claim")), _terms(F.col("evidence"))), F.lit(False)))
@@ -70,7 +71,7 @@ def temporal_compare(atoms: DataFrame, premises: DataFrame) -> DataFrame:
     """Before, after, between and on: the premises' dates against the claim's last one (between: its last two), as intervals; of two events without
     dates, the one date that premises give each of them. What two intervals that overlap leave open stays unresolved.
 
-    Claims are read once; the dates of an atom's premises, of which there are as many as evidence was chosen for it, meet in an array."""
+    Claims are read once; the dates of an atom's premises, however many, are folded by aggregates."""
     low = F.lower("text")
     kind = F.when(low.rlike(r"\bbefore\b"), "before").when(low.rlike(r"\bafter\b"), "after").when(low.rlike(r"\bbetween\b"), "between").when(F.col("text").rlike(ON_DATE), "on")
     left, right = (F.regexp_extract(F.regexp_extract("text", r"(?is)^(.+?)\b(?:before|after)\b(.+?)[.!?]?$", i), _NAME, 0) for i in (1, 2))
@@ -79,38 +80,41 @@ def temporal_compare(atoms: DataFrame, premises: DataFrame) -> DataFrame:
         *KEYS, kind.alias("kind"), facts.intervals_in(F.col("text")).alias("cs"), F.col("text").rlike(RELATIVE).alias("relative"), _terms(F.col("text")).alias("terms"),
         F.lower(left).alias("left"), F.lower(right).alias("right"), F.array_except(symbol_tokens(said), symbol_tokens(left)).alias("event"),
     )
-    rows = premises.select(*KEYS, F.lower(F.regexp_replace("text", r"\s+", " ")).alias("said"), symbol_tokens(F.col("text")).alias("ts"), F.explode(facts.intervals_in(F.col("text"))).alias("v"))
+    claims = claims.withColumn("last", F.when(F.size("cs") > 0, F.element_at("cs", -1))).withColumn("lower", F.when(F.size("cs") > 1, F.element_at("cs", -2)))
+    rows = premises.where(F.col("text").contains("19") | F.col("text").contains("20")).select(*KEYS, F.lower(F.regexp_replace("text", r"\s+", " ")).alias("said"), symbol_tokens(F.col("text")).alias("ts"), F.explode(facts.intervals_in(F.col("text"))).alias("v"))
     met = claims.join(rows, KEYS, "left")
     names = lambda n: (F.col(n) != "") & F.concat(F.lit(" "), F.regexp_replace("said", r"[^\p{L}\p{N}']+", " "), F.lit(" ")).contains(F.concat(F.lit(" "), F.regexp_replace(n, r"[^\p{L}\p{N}']+", " "), F.lit(" ")))
     about = (F.size("event") == 0) | F.arrays_overlap("event", "ts")
-    shared = F.size(F.array_intersect("terms", _terms(F.col("said"))))
-    date = F.struct(F.col("v.first").alias("a"), F.col("v.last").alias("b"), F.col("v.raw").alias("raw"), shared.alias("shared"), (names("left") & about).alias("of_left"), (names("right") & about).alias("of_right"))
-    out = met.groupBy(*KEYS).agg(*[F.first(c).alias(c) for c in ("kind", "cs", "relative", "left", "right")], F.collect_list(F.when(F.col("v").isNotNull(), date)).alias("ds"))
-    last, former = F.element_at("cs", -1), F.element_at("cs", -2)
-    dated = F.size("cs") > 0
-    possible = F.when(F.col("kind") == "on", F.col("ds")).otherwise(F.filter("ds", lambda d: d["raw"] != F.element_at(F.col("cs"), -1)["raw"]))
-    out = out.withColumn("last", F.when(dated, last)).withColumn("lower", F.when(F.size("cs") > 1, former)).withColumn("possible", F.when(dated, possible).otherwise(F.array().cast(out.schema["ds"].dataType)))
-    best = F.array_max(F.transform("possible", lambda d: d["shared"]))
-    out = out.withColumn("aligned", F.filter("possible", lambda d: (d["shared"] == best) & (best > 0)))
-    one = F.element_at("possible", 1)
-    same = lambda d: (d["a"] == d["b"]) & (F.col("last.first") == F.col("last.last")) & (d["a"] == F.col("last.first"))
-    apart = lambda d: (d["b"] < F.col("last.first")) | (d["a"] > F.col("last.last"))
-    first_of = lambda n: F.array_distinct(F.transform(F.filter("ds", lambda d: d[n]), lambda d: F.struct(d["a"].alias("a"), d["b"].alias("b"), d["raw"].alias("raw"))))
-    out = out.withColumn("l", first_of("of_left")).withColumn("r", first_of("of_right"))
-    x, y = F.element_at("l", 1), F.element_at("r", 1)
-    ordered = F.when((F.size("l") == 1) & (F.size("r") == 1), F.when(F.col("kind") == "before", F.when(x["b"] < y["a"], True).when(x["a"] >= y["b"], False)).when(x["a"] > y["b"], True).when(x["b"] <= y["a"], False))
-    on = F.when(F.size("aligned") > 0, F.when(F.exists("aligned", same), True).when(F.forall("aligned", apart), False))
+    dated = F.col("last").isNotNull()
+    possible = F.col("v").isNotNull() & dated & ((F.col("kind") == "on") | (F.col("v.raw") != F.col("last.raw")))
+    met = met.withColumn("possible", possible).withColumn("shared", F.when(F.col("possible"), F.size(F.array_intersect("terms", _terms(F.col("said"))))))
+    met = met.withColumn("of_left", F.col("v").isNotNull() & names("left") & about).withColumn("of_right", F.col("v").isNotNull() & names("right") & about)
+    same = lambda a, b: (a == b) & (F.col("last.first") == F.col("last.last")) & (a == F.col("last.first"))
+    apart = lambda a, b: (b < F.col("last.first")) | (a > F.col("last.last"))
+    days = (F.col("v.first").alias("a"), F.col("v.last").alias("b"))
+    # of the dates that share most with the claim: whether one is the same, and whether one is not apart
+    nearest = lambda holds, name: F.max(F.when(F.col("possible"), F.struct("shared", holds.alias("holds")))).alias(name)
+    of = lambda n, fold: fold(F.when(F.col(n), F.struct(*days, F.col("v.raw").alias("raw"))))
+    out = met.groupBy(*KEYS).agg(
+        *[F.first(c).alias(c) for c in ("kind", "relative", "last", "lower")], F.count("v").alias("n"), F.count_if("possible").alias("n_possible"), F.min(F.when(F.col("possible"), F.struct(*days))).alias("one"),
+        nearest(same(F.col("v.first"), F.col("v.last")), "equal"), nearest(~apart(F.col("v.first"), F.col("v.last")), "near"),
+        of("of_left", F.min).alias("l"), of("of_left", F.max).alias("l_last"), of("of_right", F.min).alias("r"), of("of_right", F.max).alias("r_last"),
+    )
+    x, y, one = F.col("l"), F.col("r"), F.col("one")
+    alone = F.col("l").isNotNull() & F.col("r").isNotNull() & (F.col("l") == F.col("l_last")) & (F.col("r") == F.col("r_last"))
+    ordered = F.when(alone, F.when(F.col("kind") == "before", F.when(x["b"] < y["a"], True).when(x["a"] >= y["b"], False)).when(x["a"] > y["b"], True).when(x["b"] <= y["a"], False))
+    on = F.when(F.col("equal.shared") > 0, F.when(F.col("equal.holds"), True).when(~F.col("near.holds"), False))
     single = (
         F.when(F.col("kind") == "before", F.when(one["b"] < F.col("last.first"), True).when(one["a"] >= F.col("last.last"), False))
         .when(F.col("kind") == "after", F.when(one["a"] > F.col("last.last"), True).when(one["b"] <= F.col("last.first"), False))
-        .when(F.col("kind") == "on", F.when(same(one), True).when(apart(one), False))
+        .when(F.col("kind") == "on", F.when(same(one["a"], one["b"]), True).when(apart(one["a"], one["b"]), False))
         .when((one["a"] >= F.col("lower.first")) & (one["b"] <= F.col("last.last")), True).when((one["b"] < F.col("lower.first")) | (one["a"] > F.col("last.last")), False)
     )
-    decided = F.when(~dated, ordered).when((F.col("kind") == "on") & on.isNotNull(), on).when(F.size("possible") == 1, single)
+    decided = F.when(~dated, ordered).when((F.col("kind") == "on") & on.isNotNull(), on).when(F.col("n_possible") == 1, single)
     out = out.withColumn("truth", decided)
     warning = (
-        F.when(F.col("kind").isNull(), "NOT_APPLICABLE").when(F.col("relative"), "RELATIVE_TIME").when(F.size("ds") == 0, "MISSING_DATE_OPERAND").when(~dated & (F.col("kind") == "between"), "MISSING_DATE_BOUNDARY")
-        .when(F.col("truth").isNotNull(), None).when(~dated | (F.size("possible") != 1), "AMBIGUOUS_TEMPORAL_MAPPING").when((F.col("kind") == "between") & F.col("lower").isNull(), "MISSING_DATE_BOUNDARY").otherwise("COARSE_DATE_OVERLAP")
+        F.when(F.col("kind").isNull(), "NOT_APPLICABLE").when(F.col("relative"), "RELATIVE_TIME").when(F.col("n") == 0, "MISSING_DATE_OPERAND").when(~dated & (F.col("kind") == "between"), "MISSING_DATE_BOUNDARY")
+        .when(F.col("truth").isNotNull(), None).when(~dated | (F.col("n_possible") != 1), "AMBIGUOUS_TEMPORAL_MAPPING").when((F.col("kind") == "between") & F.col("lower").isNull(), "MISSING_DATE_BOUNDARY").otherwise("COARSE_DATE_OVERLAP")
     )
     return _result(out.withColumn("w", warning), F.col("truth"))
 
@@ -227,17 +231,17 @@ def attribute(atoms: DataFrame, premises: DataFrame) -> DataFrame:
     property of the subject disproves it. Premises together must name some word of the subject."""
     text = F.col("text")
     claims = atoms.select(*KEYS, text.alias("claim"), attribute_profile(text).alias("profile"), symbol_tokens(subject_of(text)).alias("subject"), symbol_tokens(F.regexp_replace(text, BEFORE_PROPERTY, "")).alias("property"), facts.jurisdictions_in(text).alias("cc"))
-    rows = premises.select(*KEYS, "text", facts.jurisdictions_in(text).alias("ec"))
-    met = claims.join(rows, KEYS)
+    met = claims.join(premises.select(*KEYS, "text"), KEYS)
+    met = met.withColumn("ec", facts.jurisdictions_in(F.when(F.col("profile") == "COUNTRY_LOCATION", text)))  # no other profile reads places
     denies = F.exists(F.split("text", CLAUSES), lambda c: c.rlike(NEGATION) & F.arrays_overlap(F.col("subject"), symbol_tokens(c)) & F.arrays_overlap(F.col("property"), symbol_tokens(c)))
     folded = met.groupBy(*KEYS).agg(
-        F.bool_or(F.arrays_overlap("subject", symbol_tokens(F.col("text")))).alias("about"), F.bool_or(denies).alias("denied"), F.array_distinct(F.flatten(F.collect_set("ec"))).alias("ec"), F.bool_or(exclusive_counterexample(F.col("claim"), F.col("text"))).alias("military")
-    )  # codes of countries: a few hundred at most
-    out = claims.join(folded, KEYS, "left").withColumn("ec", F.coalesce("ec", F.array().cast("array<string>")))
-    located = (F.col("profile") == "COUNTRY_LOCATION") & (F.size("cc") > 0) & (F.size("ec") > 0)
+        F.bool_or(F.arrays_overlap("subject", symbol_tokens(F.col("text")))).alias("about"), F.bool_or(denies).alias("denied"), F.bool_or(F.size("ec") > 0).alias("placed"), F.bool_or(F.arrays_overlap("cc", "ec")).alias("same_place"), F.bool_or(exclusive_counterexample(F.col("claim"), F.col("text"))).alias("military")
+    )
+    out = claims.join(folded, KEYS, "left")
+    located = (F.col("profile") == "COUNTRY_LOCATION") & (F.size("cc") > 0) & F.coalesce("placed", F.lit(False))
     denied = (F.col("profile") == "EXPLICIT_NEGATION") & F.coalesce("denied", F.lit(False))
     exclusive = (F.col("profile") == "EXCLUSIVE_PURPOSE") & F.coalesce("military", F.lit(False))
-    no = denied | (located & ~F.arrays_overlap("cc", "ec")) | exclusive
+    no = denied | (located & ~F.coalesce("same_place", F.lit(False))) | exclusive
     warning = F.when((F.size("subject") > 0) & ~F.coalesce("about", F.lit(False)), "MISSING_ENTITY_ALIGNMENT").when(F.col("profile").isNull(), "NOT_APPLICABLE").when(no | located, None).otherwise("AMBIGUOUS_ATTRIBUTE_MAPPING")
     return _result(out.withColumn("w", warning), ~no)
 
@@ -270,12 +274,14 @@ REGISTRY: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
 
 
 def run_rules(candidates: DataFrame, premises: DataFrame) -> DataFrame:
-    """All candidates (case_id, atom_id, operator, text) by their operators: ``operator, status, warning, relation``; resolved ones first.
+    """All candidates (case_id, atom_id, operator, text) by their operators: ``operator, status, warning, relation``; resolved ones first. Premises with an ``operator`` are
+    for that one only, others for all of their atom.
 
     Each rule runs by itself over the premises of its own atoms, and its results are kept: one plan of all rules, with what they come from in it
     many times, outgrows the driver."""
     asked = materialize(candidates.select(*KEYS, "operator", "text"), "rule-atoms")
-    used = materialize(premises.select(*KEYS, "premise_id", "text").join(asked.select(*KEYS, "operator").distinct(), KEYS), "rule-premises")
+    used = premises if "operator" in premises.columns else premises.select(*KEYS, "premise_id", "text").join(asked.select(*KEYS, "operator").distinct(), KEYS)
+    used = materialize(used, "rule-premises")
     parts = []
     for name, rule in REGISTRY.items():
         own = F.col("operator") == name

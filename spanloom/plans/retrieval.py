@@ -62,6 +62,12 @@ def evidence(spark: SparkSession, d: str) -> DataFrame:
     return materialize(top.join(chosen.drop("places"), ["case_id", "document_id", "ordinal"]), "evidence-sentences")
 
 
+def sharing(spark: SparkSession, d: str, queries: DataFrame, keys: list[str]) -> DataFrame:
+    """All passages that share a word with a query (case_id, keys, text) of their case, with the sentences."""
+    documents = once(table(spark, d, "case_documents").select("case_id", "document_id", "text"), ["case_id", "document_id"])
+    return R.sharing_sentences(documents, queries, "case_id", "document_id", keys)
+
+
 def lexical_topk_capped(spark: SparkSession, d: str) -> DataFrame:
     """The same with a share of the budget for every document."""
     found = R.capped_top(lexical_scores(spark, d), _BY, "document_id", [F.desc("score"), F.asc("document_id"), F.asc("ordinal")], BUDGET)

@@ -135,11 +135,12 @@ def rule_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rule_results(spark: SparkSession, d: str) -> DataFrame:
-    """All rules over the atoms of the cases, with the sentences of their documents that share words with them as premises."""
-    from spanloom.plans.retrieval import evidence
+    """All rules over the atoms of the cases, with all passages of their documents that share words with them as premises."""
+    from spanloom.plans.retrieval import sharing
 
-    premises = evidence(spark, d).select("case_id", "atom_id", F.concat_ws("::", "document_id", F.col("ordinal").cast("string")).alias("premise_id"), F.trim("sentence").alias("text"))
-    found = rules.run_rules(rules.candidates(table(spark, d, "atoms").select("case_id", "atom_id", "text")), premises)
+    asked = materialize(rules.candidates(table(spark, d, "atoms").select("case_id", "atom_id", "text")), "rule-candidates")
+    premises = sharing(spark, d, asked, ["atom_id", "operator"]).select("case_id", "atom_id", "operator", F.concat_ws("::", "document_id", F.col("ordinal").cast("string")).alias("premise_id"), F.trim("sentence").alias("text"))
+    found = rules.run_rules(asked, premises)
     return found.select("case_id", "atom_id", "operator", "status", "warning", "relation")
 
 

@@ -253,3 +253,39 @@ def test_publish_and_prep(spark):
     assert prep.strip_export("see [the page](http://x) and hyphen-\nated") == "see the page and hyphenated"
     claims = spark.createDataFrame([("1", "It rains!"), ("2", "It snows.")], "case_id string, claim string")
     assert [r["case_id"] for r in publish.prompt_leaks(claims, spark.createDataFrame([("it RAINS",)], "claim string")).collect()] == ["1"]
+
+
+def test_rules_rest_on_all_sentences_that_share_a_word(spark, tmp_path):
+    """The one that decides comes behind more than a budget of better ones."""
+    from spanloom.plans import rules as plans
+
+    better = " ".join(f"Alpha holds boats in the {w} bay." for w in ("east", "west", "north", "south", "outer", "inner", "upper", "lower"))
+    text = better + " Alpha and many others who came along much later own 60 boats."
+    spark.createDataFrame([("c", "a", "Alpha holds at least 50 boats in the bay."), ("c", "b", "Zebras run at least 50 laps.")], "case_id string, atom_id string, text string").write.parquet(f"{tmp_path}/atoms.parquet")
+    spark.createDataFrame([("c", "d", text), ("c", "d", text), ("c", "e", None)], "case_id string, document_id string, text string").write.parquet(f"{tmp_path}/case_documents.parquet")
+    got = {(r["atom_id"], r["operator"]): (r["status"], r["warning"]) for r in plans.rule_results(spark, str(tmp_path)).collect()}
+    assert got == {("a", "NUMERIC_COMPARE"): ("PROVED", None), ("b", "NUMERIC_COMPARE"): ("UNRESOLVED", "MISSING_COMPATIBLE_UNIT")}
+
+
+def test_sharing_sentences_are_those_with_a_token_in_common(spark):
+    from spanloom.functions.text import eligible, lexical_tokens
+
+    pool = ["İstanbul'da bir köprü var.", "It has 1,500 boats.", "It has 1500 of 0.50% and 007 or 12abc.", "ΟΔΟΣ and οδος are one.", "The ﬁsh ſwam off.", "Nothing there is alike.", "STRASSE or Straße it is.", "v_2 is 3_4 there.", "Don’t say don't now."]
+    documents = spark.createDataFrame([("c", f"d{i}", t) for i, t in enumerate(pool)] + [("k", "d", pool[1])], "case_id string, document_id string, text string")
+    asked = spark.createDataFrame([("c", f"a{i}", t) for i, t in enumerate(pool + ["fish swam", "0.5%", "7", "οδοσ", "strasse", "i̇stanbul'da", "istanbul"] + ["lone words"] * 150)], "case_id string, atom_id string, text string")
+    found = retrieval.sharing_sentences(documents, asked, "case_id", "document_id", ["atom_id"]).collect()
+    got = sorted((r["atom_id"], r["document_id"], r["ordinal"]) for r in found)
+    cut = documents.select("case_id", "document_id", F.posexplode(F.regexp_extract_all("text", F.lit(retrieval.SENTENCE), F.lit(0))).alias("ordinal", "sentence")).where(eligible(F.col("sentence")))
+    met = cut.withColumn("ts", lexical_tokens(F.col("sentence"))).join(asked.select("case_id", "atom_id", lexical_tokens(F.col("text")).alias("qs")), "case_id").where(F.arrays_overlap("ts", "qs"))
+    assert got == sorted((r["atom_id"], r["document_id"], r["ordinal"]) for r in met.collect()) and len(got) > len(pool)
+
+
+def test_many_dates_are_folded(spark):
+    """Of dates that share equally much with a claim, one that is the same decides; without any, all must be apart."""
+    on = lambda *dates: _rule(spark, rules.temporal_compare, "The ferry sank on May 4, 1990.", *[f"The ferry sank on {d}." for d in dates], "Rain in 1990.")
+    others = [f"June {i % 28 + 1}, 19{i % 10 + 60}" for i in range(300)]
+    assert on(*others, "May 4, 1990") == ("PROVED", None)
+    assert on(*others) == ("DISPROVED", None)
+    assert on(*others, "May 1990") == ("UNRESOLVED", "AMBIGUOUS_TEMPORAL_MAPPING")
+    assert _rule(spark, rules.temporal_compare, "Alpha sank before Beta.", *["Alpha sank on May 4, 1990."] * 50, "Beta sank in 1991.") == ("PROVED", None)
+    assert _rule(spark, rules.temporal_compare, "Alpha sank before Beta.", "Alpha sank on May 4, 1990.", "Alpha sank in 1989.", "Beta sank in 1991.") == ("UNRESOLVED", "AMBIGUOUS_TEMPORAL_MAPPING")
